@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from klarspan.llm import decontaminate as decontamination
 from klarspan.llm.simhash import simhash_dedup
 from klarspan.llm.substring_dedup import substring_dedup
 
@@ -18,13 +19,17 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), length=35).drop("spans")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), length=10).drop("spans", "text_md5")
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_table(spark, sf_dir, "documents"), size=4, radius=4)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_substring_dedup, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op3_substring_dedup, op7_decontaminate, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_decontaminate": decontamination.ORACLE}
