@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from klarspan.llm import decontaminate as decontamination
+from klarspan.llm import mixing, url_filter
 from klarspan.llm.simhash import simhash_dedup
 from klarspan.llm.substring_dedup import substring_dedup
 
@@ -23,13 +24,25 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), length=10).drop("spans", "text_md5")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(_table(spark, sf_dir, "pages"), url_filter.outcomes_of(_table(spark, sf_dir, "labels")))
+
+
+#: The mixture: a first source cut to a tenth, two lifted, the others as they are.
+WEIGHTS = {"src0": 0.1, "src1": 0.15, "src2": 0.1}
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), WEIGHTS, seed=20)
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_table(spark, sf_dir, "documents"), size=4, radius=4)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_substring_dedup, op7_decontaminate, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op3_substring_dedup, op7_decontaminate, op8_url_filter, op9_mix_sources, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontaminate": decontamination.ORACLE}
+    return {"op7_decontaminate": decontamination.ORACLE, "op8_url_filter": url_filter.ORACLE, "op9_mix_sources": mixing.oracle(WEIGHTS, seed=20)}
