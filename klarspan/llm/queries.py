@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from klarspan.llm import decontaminate as decontamination
-from klarspan.llm import mixing, url_filter
+from klarspan.llm import licenses, mixing, topk, url_filter
 from klarspan.llm.simhash import simhash_dedup
 from klarspan.llm.substring_dedup import substring_dedup
 
@@ -16,6 +17,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), length=35).drop("spans")
 
@@ -41,8 +50,8 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_substring_dedup, op7_decontaminate, op8_url_filter, op9_mix_sources, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_top_k, op3_substring_dedup, op7_decontaminate, op8_url_filter, op9_mix_sources, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontaminate": decontamination.ORACLE, "op8_url_filter": url_filter.ORACLE, "op9_mix_sources": mixing.oracle(WEIGHTS, seed=20)}
+    return {"op1_license_scan": licenses.ORACLE, "op2_top_k": topk.ORACLE, "op7_decontaminate": decontamination.ORACLE, "op8_url_filter": url_filter.ORACLE, "op9_mix_sources": mixing.oracle(WEIGHTS, seed=20)}
