@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from klarspan.llm import decontaminate as decontamination
 from klarspan.llm import licenses, mixing, topk, url_filter
 from klarspan.llm.language import identify
+from klarspan.llm.pii import find_pii
 from klarspan.llm.simhash import simhash_dedup
 from klarspan.llm.substring_dedup import substring_dedup
 
@@ -34,6 +35,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), length=10).drop("spans", "text_md5")
 
@@ -55,7 +60,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_top_k, op3_substring_dedup, op4_language_id, op7_decontaminate, op8_url_filter, op9_mix_sources, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_top_k, op3_substring_dedup, op4_language_id, op5_pii, op7_decontaminate, op8_url_filter, op9_mix_sources, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
