@@ -14,6 +14,8 @@ from klarspan.llm.pii import find_pii
 from klarspan.llm.simhash import simhash_dedup
 from klarspan.llm.substring_dedup import substring_dedup
 
+from klarspan.llm.suffix_dedup import suffix_dedup
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,6 +41,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents"), length=400).drop("spans")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), length=10).drop("spans", "text_md5")
 
@@ -60,7 +66,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_top_k, op3_substring_dedup, op4_language_id, op5_pii, op7_decontaminate, op8_url_filter, op9_mix_sources, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_top_k, op3_substring_dedup, op4_language_id, op5_pii, op6_suffix_array_dedup, op7_decontaminate, op8_url_filter, op9_mix_sources, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
