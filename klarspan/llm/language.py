@@ -6,7 +6,7 @@ their space, and batches of texts are scored as products of their presence matri
 fitted coefficients. Texts are read whole; A-Z is lower-cased.
 
 Bounds, all parameters: PER_LANGUAGE expected sample texts and LANDMARKS expected landmarks for each language (chosen by
-a hash of text, not by order), GRAMS n-grams kept of the landmarks, LANGUAGES languages. Languages with fewer texts give
+a hash of the row, not by order), GRAMS n-grams kept of the landmarks, LANGUAGES languages. Languages with fewer texts give
 all they have. Beyond LANGUAGES languages, those with the most labelled texts are learned.
 
 Null text, text without a letter, and every text if nothing is labelled: `und` with score 0. A null id is not held out.
@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from klarspan.llm import common as C
 
@@ -79,8 +80,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, grams: int = GRAMS, languages: int = LANGUAGES, ridge: float = RIDGE) -> Model | None:
-    """A model of (text, lang), from samples; None if nothing is labelled."""
-    labelled = labelled.select("text", "lang").where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
+    """A model of (doc_id, text, lang), from samples (doc_id only spreads the sample over copies); None if nothing is labelled."""
+    labelled = labelled.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     names = sorted(counts)
     if not names:
@@ -88,7 +89,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int =
     share = F.lit(0.0)
     for name in names:
         share = F.when(F.col("lang") == name, F.lit(1.0 / counts[name])).otherwise(share)
-    at = F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 40)) / float(1 << 40)
+    at = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
     sample = labelled.where(at < share * per_language)
 
     def codes_of(batches):
@@ -104,7 +105,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int =
                 rows += [(every[which == i] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() for i in range(hi - lo)]
             yield pa.RecordBatch.from_arrays([b["lang"], pa.array(rows, pa.binary())], ["lang", "codes"])
 
-    marks = [np.frombuffer(r["codes"], "<u4") for r in labelled.where(at < share * landmarks).mapInArrow(codes_of, "lang string, codes binary").orderBy("lang", F.md5("codes")).collect()]
+    marks = [np.frombuffer(r["codes"], "<u4") for r in labelled.where(at < share * landmarks).mapInArrow(codes_of, "lang string, codes binary").collect()]
+    marks.sort(key=lambda m: m.tobytes())
     if not marks:
         return None
     kept, df = np.unique(np.concatenate(marks), return_counts=True)
@@ -122,7 +124,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int =
             rows = [normalised(presence(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], table, len(kept))) @ own.T for lo, hi in C.chunks(offsets, 1 << 20)]
             yield pa.RecordBatch.from_arrays([b["lang"], pa.array([r.astype("<f4").tobytes() for part in rows for r in part], pa.binary())], ["lang", "k"])
 
-    rows = sample.mapInArrow(kernel, "lang string, k binary").orderBy("lang", F.md5("k")).collect()  # of the bounded sample
+    rows = sorted(sample.mapInArrow(kernel, "lang string, k binary").collect())  # of the bounded sample, in an order that repeats
     k = np.array([np.frombuffer(r["k"], "<f4") for r in rows], np.float64).reshape(len(rows), len(marks))
     lang = np.array([names.index(r["lang"]) for r in rows], int)
     value, vector = np.linalg.eigh((own @ own.T).astype(np.float64))
@@ -137,12 +139,13 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int =
     return model
 
 
-def predict(docs: DataFrame, model: Model | None, steep: float = STEEP) -> DataFrame:
-    """The documents' doc_id with lang_pred and score (the softmax of the predicted language's regression)."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), out: tuple[str, str] = ("lang_pred", "score"), steep: float = STEEP) -> DataFrame:
+    """The columns ``keep`` of the documents with, named ``out``, the language and its score (the softmax of its regression)."""
+    fields = [docs.schema[c] for c in keep]
     if model is None:
-        return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*keep, F.lit("und").alias(out[0]), F.lit(0.0).alias(out[1]))
+    whole = F.struct(*keep).alias("whole")
+    docs = docs.select(whole, F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
 
     def run(batches):
         table, width = model.table(), len(model.grams)
@@ -158,12 +161,19 @@ def predict(docs: DataFrame, model: Model | None, steep: float = STEEP) -> DataF
             lettered = b["lettered"].to_numpy(zero_copy_only=False).astype(bool)
             names_of = np.where(lettered, np.concatenate(best), "und") if best else []
             scores = np.where(lettered, np.concatenate(score), 0.0) if score else []
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(names_of, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b["whole"].flatten(), pa.array(names_of, pa.string()), pa.array(scores, pa.float64())], [*keep, *out])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.mapInArrow(run, T.StructType([*fields, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())]))
 
 
 def identify(docs: DataFrame, **bounds) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learned from the documents that are not held out."""
     model = fit(docs.where(~held_out(F.col("doc_id"))), **bounds)
     return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def reject_unknown(docs: DataFrame, **bounds) -> DataFrame:
+    """The documents, all columns, without those whose language cannot be told (`und`)."""
+    model = fit(docs.where(~held_out(F.col("doc_id"))), **bounds)
+    told = predict(docs, model, keep=tuple(docs.columns), out=("language_told", "language_score"))
+    return told.where("language_told <> 'und'").select(*(F.col(f"`{c}`") for c in docs.columns)) if model else told.select(*docs.columns)

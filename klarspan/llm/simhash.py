@@ -51,15 +51,15 @@ def fingerprint(text: bytes, size: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long)."""
-    docs = docs.select("doc_id", "text")
+    """doc_id, text_md5, fp (the 64 bits as a long)."""
+    docs = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "text")
 
     def run(batches):
         for b in batches:
             prints = np.array([fingerprint((x.as_buffer() or b"") and x.as_buffer().to_pybytes(), size) for x in b["text"]], np.uint64)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_md5"], pa.array(prints.view(np.int64))], ["doc_id", "text_md5", "fp"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_md5 string, fp long")
 
 
 def _flips(bits: int, lowest: int, most: int) -> list[np.ndarray]:
@@ -192,3 +192,17 @@ def simhash_dedup(docs: DataFrame, size: int = 4, radius: int = 4, first_bits: i
     classes = C.written(linked.join(ids, "root").select("fp", "root", "component_id"), "classes")
     hexed = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
     return prints.join(classes, "fp").select("doc_id", hexed("fp").alias("fingerprint"), "component_id", hexed("root").alias("class_id"))
+
+
+def keep_one(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
+    """The documents, all columns, but of each component only the one of the smallest id (null ids last, then the
+    smallest md5 of text); of repeated rows one stays."""
+    prints = C.written(fingerprints(docs, size), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")
+    distinct = C.written(prints.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
+    roots = connected(ball_links(distinct, radius))
+    linked = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    winners = C.written(linked.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("won_id"), F.col("first.text_md5").alias("won_md5")), "winners")
+    marked = docs.withColumn("simhash_md5", F.md5(F.coalesce("text", F.lit(""))))
+    kept = marked.join(winners, marked["doc_id"].eqNullSafe(winners["won_id"]) & (marked["simhash_md5"] == winners["won_md5"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "simhash_md5"]).drop("simhash_md5")
