@@ -24,8 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, a radius of 4 bits."""
-    return simhash.keep_one(docs, size=5, radius=4)
+    """One document of each group of near-duplicates stays: five-word shingles, a similarity of 0.8."""
+    return simhash.keep_one(docs, size=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,15 +51,15 @@ def fingerprint(text: bytes, size: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
-    """doc_id, text_md5, fp (the 64 bits as a long)."""
-    docs = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "text")
+    """doc_id, fp (the 64 bits as a long)."""
+    docs = docs.select("doc_id", "text")
 
     def run(batches):
         for b in batches:
             prints = np.array([fingerprint((x.as_buffer() or b"") and x.as_buffer().to_pybytes(), size) for x in b["text"]], np.uint64)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_md5"], pa.array(prints.view(np.int64))], ["doc_id", "text_md5", "fp"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_md5 string, fp long")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def _flips(bits: int, lowest: int, most: int) -> list[np.ndarray]:
@@ -94,8 +94,9 @@ def _dealt(df: DataFrame, old: int, new: int, most: int) -> DataFrame:
     return df.select("prefix", "fp").mapInArrow(run, "prefix long, fp long")
 
 
-def _shared(prefix: np.ndarray, fp: np.ndarray, bits: int, masks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Links that the variants of some whole prefixes show, thinned to a forest."""
+def _shared(prefix: np.ndarray, fp: np.ndarray, bits: int, masks: list[np.ndarray], thin: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links that the variants of some whole prefixes show: each fingerprint with the first that shares a variant, or,
+    if thin, a forest that connects as much."""
     left = len(masks) - 1 - np.bitwise_count(_above(fp, bits) ^ prefix).astype(np.int64)
     low = np.uint64((1 << (64 - bits)) - 1)
     own = prefix | (fp & low)
@@ -116,6 +117,14 @@ def _shared(prefix: np.ndarray, fp: np.ndarray, bits: int, masks: list[np.ndarra
         variants.append(at[hit])
         owners.append(mine[hit // n])
     variant, owner = np.concatenate(variants), np.concatenate(owners)
+    if not thin:
+        rank = np.empty(len(fp), np.int64)
+        rank[np.argsort(fp, kind="stable")] = np.arange(len(fp))
+        low = np.full(len(twice), len(fp), np.int64)
+        np.minimum.at(low, variant, rank[owner])
+        pair = np.unique(np.stack([rank[owner], low[variant]], 1)[rank[owner] != low[variant]], axis=0)
+        own = np.sort(fp)
+        return own[pair[:, 0]], own[pair[:, 1]]
     first = np.full(len(twice), len(fp), np.int64)
     np.minimum.at(first, variant, owner)
     label = C.components(owner, first[variant], len(fp))
@@ -123,11 +132,11 @@ def _shared(prefix: np.ndarray, fp: np.ndarray, bits: int, masks: list[np.ndarra
     return fp[node], fp[label[node]]
 
 
-def _links(df: DataFrame, bits: int, most: int) -> DataFrame:
+def _links(df: DataFrame, bits: int, most: int, width: int, thin: bool) -> DataFrame:
     """Links (a, b) among the fingerprints of each prefix."""
 
     def run(batches):
-        masks = _flips(64 - bits, 0, most)
+        masks = _flips(width - bits, 64 - width, most)
         row_cost = sum(map(len, masks))
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -135,14 +144,14 @@ def _links(df: DataFrame, bits: int, most: int) -> DataFrame:
             nonlocal held
             prefix, fp = (np.concatenate(x) for x in zip(*held))
             whole = len(prefix) if last else int(np.flatnonzero(prefix != prefix[-1])[-1]) + 1 if prefix[0] != prefix[-1] else 0
-            cost = np.cumsum(np.where(_above(fp, bits) == prefix, row_cost, 1 + 64 - bits))
+            cost = np.cumsum(np.where(_above(fp, bits) == prefix, row_cost, 1 + width - bits))
             edge = np.flatnonzero(np.concatenate([prefix[1:] != prefix[:-1], [True]])) + 1  # ends of prefixes
             at = 0
             while at < whole:
                 end = edge[(edge > at) & (edge <= whole)]
                 fits = end[cost[end - 1] - (cost[at - 1] if at else 0) <= CHUNK]
                 to = int(fits[-1] if len(fits) else end[0])
-                a, b = _shared(prefix[at:to], fp[at:to], bits, masks)
+                a, b = _shared(prefix[at:to], fp[at:to], bits, masks, thin)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
                 at = to
@@ -161,19 +170,22 @@ def _links(df: DataFrame, bits: int, most: int) -> DataFrame:
     return df.select("prefix", "fp").repartition("prefix").sortWithinPartitions("prefix").mapInArrow(run, "a long, b long")
 
 
-def ball_links(prints: DataFrame, radius: int = 4, first_bits: int | None = None, most_rows: int = MOST_ROWS) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints ``fp`` at most ``radius`` (even) bits apart."""
+def ball_links(prints: DataFrame, radius: int = 4, width: int = 64, thin: bool = True, first_bits: int | None = None, most_rows: int = MOST_ROWS) -> DataFrame:
+    """Links (a, b) among the distinct fingerprints ``fp`` that differ in at most ``radius`` (even) of their ``width``
+    highest bits and in none below; if thin, enough of them to connect all such fingerprints."""
     most = radius // 2
     n = prints.count()
-    bits = first_bits or next(b for b in (16, 24, 32, 40) if n * len(np.concatenate(_flips(b, 0, most))) <= (1 << b) * 2_000 or b == 40)
+    balls = lambda b: len(np.concatenate(_flips(b, 0, most)))
+    rows_most = most_rows * 2 // 5
+    bits = first_bits or next(b for b in range(8, width + 1, STEP) if n * balls(b) <= (1 << b) * rows_most or b + STEP > width)
     rows = _dealt(prints.select(F.lit(0).cast("long").alias("prefix"), "fp"), 0, bits, most)
     found = []
     while True:
-        large = C.written(rows.groupBy("prefix").count().where(F.col("count") > most_rows).select("prefix"), "prefixes") if bits < 64 else None
+        large = C.written(rows.groupBy("prefix").count().where(F.col("count") > most_rows).select("prefix"), "prefixes") if bits + STEP <= width else None
         if large is None or large.isEmpty():
-            found.append(_links(rows, bits, most))
+            found.append(_links(rows, bits, most, width, thin))
             break
-        found.append(_links(rows.join(large, "prefix", "left_anti"), bits, most))
+        found.append(_links(rows.join(large, "prefix", "left_anti"), bits, most, width, thin))
         rows = _dealt(rows.join(large, "prefix", "left_semi"), bits, bits + STEP, most)
         bits += STEP
     out = found[0]
@@ -186,7 +198,7 @@ def simhash_dedup(docs: DataFrame, size: int = 4, radius: int = 4, first_bits: i
     """doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id reachable over links)."""
     prints = C.written(fingerprints(docs, size), "fingerprints")
     distinct = C.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = connected(ball_links(distinct, radius, first_bits, most_rows))
+    roots = connected(ball_links(distinct, radius, first_bits=first_bits, most_rows=most_rows))
     linked = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     ids = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = C.written(linked.join(ids, "root").select("fp", "root", "component_id"), "classes")
@@ -194,14 +206,119 @@ def simhash_dedup(docs: DataFrame, size: int = 4, radius: int = 4, first_bits: i
     return prints.join(classes, "fp").select("doc_id", hexed("fp").alias("fingerprint"), "component_id", hexed("root").alias("class_id"))
 
 
-def keep_one(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
-    """The documents, all columns, but of each component only the one of the smallest id (null ids last, then the
-    smallest md5 of text); of repeated rows one stays."""
-    prints = C.written(fingerprints(docs, size), "fingerprints")
+# Near copies of a given similarity, which one fingerprint's few bits would miss
+
+LANES = 8
+#: A signature's slices, each a fingerprint of its own, and their bits.
+TABLES, WIDTH = 12, 40
+#: Standard deviations around a similarity's expected distance within which a signature leaves a pair in doubt.
+SLACK = 2.6
+#: Texts in doubt whose keys are broadcast; more meet in a shuffled join.
+MOST_KEYS = 200_000
+
+
+def signature(text: bytes, size: int = 5) -> np.ndarray:
+    """LANES fingerprints of the text, each by another hash of its shingles."""
+    words = text.lower().split()
+    out = np.zeros(LANES, np.uint64)
+    if not words:
+        return out
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else [b" ".join(words)]
+    n = max(1, len(words) - size + 1)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
+    for lane in range(LANES):
+        counts = np.zeros(2048, np.int64)
+        for at in range(0, n, 1_000_000):
+            mixed = C.mix(hashes[at : at + 1_000_000] + np.uint64((lane * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
+            counts += np.bincount((mixed.view(np.uint8).reshape(-1, 8) + _LANES).ravel(), minlength=2048)
+        out[lane] = np.packbits(2 * (counts.reshape(8, 256) @ _BITS).ravel() > n, bitorder="little").view("<u8")[0]
+    return out
+
+
+def expected_bits(similarity: float, slack: float, bits: int = 64 * LANES) -> int:
+    """Bits in which signatures of texts of a Jaccard similarity differ, plus slack standard deviations."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * share + slack * np.sqrt(bits * share * (1 - share)))
+
+
+def near_pairs(signed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows (node, sig) that meet in a slice of their signatures, with the bits in which the whole
+    signatures differ. Each slice is dealt by ball hashing (radius 4)."""
+    words = [F.get("sig", i) for i in range(LANES)]
+    mask = F.lit(-1 << (64 - WIDTH)).cast("long")
+
+    def slice_(t: int):
+        word, off = divmod(t * WIDTH, 64)
+        high = F.shiftleft(words[word], off) if off else words[word]
+        value = high.bitwiseOR(F.shiftrightunsigned(words[word + 1], 64 - off)) if off + WIDTH > 64 else high
+        return value.bitwiseAND(mask).bitwiseOR(F.lit(t).cast("long"))  # the slice's number fills low bits, which never flip
+
+    prints = signed.select("node", F.explode(F.array(*map(slice_, range(TABLES)))).alias("fp"))
+    firsts = C.written(prints.groupBy("fp").agg(F.min("node").alias("node")), "slices")
+    same = prints.join(firsts.withColumnRenamed("node", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
+    balls = ball_links(firsts, 4, WIDTH, thin=False, most_rows=100_000)
+    of = lambda c: firsts.select(F.col("fp").alias(c), F.col("node").alias(f"{c}_node"))
+    near = balls.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    pairs = same.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sig = lambda c: signed.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
+    unlike = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    return pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", unlike.alias("bits"))
+
+
+def _shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(text_md5, shingles): the distinct shingles of each text as 64-bit hashes."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for x in b["text"]:
+                words = x.as_buffer().to_pybytes().lower().split()
+                parts = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else [b" ".join(words)]
+                rows.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b["text_md5"], pa.array(rows, pa.list_(pa.int64()))], ["text_md5", "shingles"])
+
+    return texts.select("text_md5", "text").mapInArrow(run, "text_md5 string, shingles array<long>")
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links (a, b) that connect the nodes (node, sig, text_md5) whose texts have the similarity. Signatures that
+    differ clearly less than expected decide alone; between groups that they leave apart, pairs in doubt are decided by
+    the Jaccard similarity of the texts' shingles."""
+    most, least = expected_bits(similarity, SLACK), expected_bits(similarity, -SLACK)
+    pairs = C.written(near_pairs(nodes.select("node", "sig")).where(F.col("bits") <= most), "pairs")
+    sure = pairs.where(F.col("bits") < least).select("a", "b")
+    roots = connected(sure)
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    doubt = pairs.where(F.col("bits") >= least).join(of("a"), "a", "left").join(of("b"), "b", "left")
+    doubt = C.written(doubt.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "doubt")
+    ends = doubt.select(F.col("a").alias("node")).union(doubt.select(F.col("b").alias("node"))).distinct()
+    keys = C.written(nodes.select("node", "text_md5").join(ends, "node"), "keys")
+    wanted = keys.select("text_md5").distinct()
+    of_texts = texts.join(F.broadcast(wanted) if keys.count() <= MOST_KEYS else wanted, "text_md5", "left_semi")
+    sets = _shingle_sets(of_texts, size).dropDuplicates(["text_md5"]).join(keys, "text_md5").select("node", "shingles")
+    sets = C.written(sets, "sets")
+    shingles = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}"))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    alike = both >= similarity * (F.size("of_a") + F.size("of_b") - both)
+    return sure.union(doubt.join(shingles("a"), "a").join(shingles("b"), "b").where(alike).select("a", "b"))
+
+
+def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents, all columns, but of each group of near copies only the one of the smallest id (null ids last,
+    then the smallest md5 of text); of repeated rows one stays."""
+    texts = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def run(batches):
+        for b in batches:
+            sigs = [signature(x.as_buffer().to_pybytes(), size) for x in b["text"]]
+            flat = pa.array(np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_md5"], pa.ListArray.from_arrays(np.arange(0, LANES * len(sigs) + 1, LANES, dtype=np.int32), flat)], ["doc_id", "text_md5", "sig"])
+
+    prints = C.written(texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text_md5 string, sig array<long>"), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")
-    distinct = C.written(prints.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
-    roots = connected(ball_links(distinct, radius))
-    linked = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    nodes = C.written(prints.groupBy(F.xxhash64("sig").alias("node")).agg(F.first("sig").alias("sig"), F.min(order).alias("first")), "nodes")
+    roots = connected(similar_links(nodes.select("node", "sig", "first.text_md5"), texts, size, similarity))
+    linked = nodes.select("node", "first").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     winners = C.written(linked.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("won_id"), F.col("first.text_md5").alias("won_md5")), "winners")
     marked = docs.withColumn("simhash_md5", F.md5(F.coalesce("text", F.lit(""))))
     kept = marked.join(winners, marked["doc_id"].eqNullSafe(winners["won_id"]) & (marked["simhash_md5"] == winners["won_md5"]), "left_semi")
