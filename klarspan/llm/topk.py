@@ -8,7 +8,7 @@ Counts below a task's own kth highest score cannot matter and are not sent.
 
 Components become floor(64 * x), x as double. Vectors that are null or hold null or non-finite components, and rows
 without an id, take no part. Missing components of shorter vectors are zero. A query sees no row of its own id; rows
-that repeat a query's id are queries of their own. Products are exact while they fit 64 bits.
+that repeat a query's id are queries of their own. Scores are exact while they fit 62 bits.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ class _Block:
         self.ids, self.vectors = ids, vectors
         most = float(np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1)).max(initial=0)) * longest
         self.kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
-        self.most = int(min(most + 1, 2.0**63 - 2**40))
+        self.most = int(min(most * (1 + 1e-9) + 1, 2.0**62 - 2**40))
 
     def scores(self, batches):
         """(ids, scores as queries x candidates, own: pairs of one id) for pieces of a task's rows."""
@@ -155,9 +155,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, queries: int = QUER
     """query_id, rank (from 1), vec_id, score: each query's k highest inner products among all other rows."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL")
     asked = rows.where(is_query)
-    lengths = rows.agg(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.when(F.isnan(x) | x.isNull(), F.lit(0.0)).otherwise(F.pow(F.floor(x * 64).cast("double"), F.lit(2.0)))))).alias("longest"), F.count_if(is_query).alias("n")).first()
+    lengths = rows.agg(F.max(F.when(F.forall("embedding", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))), F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.pow(F.abs(x * 64) + 1, F.lit(2.0))))).alias("longest"), F.count_if(is_query).alias("n")).first()
     blocks = max(1, -(-lengths["n"] // queries))
-    longest = lengths["longest"] or 0.0
+    longest = float(np.sqrt(lengths["longest"] or 0.0))
     outs = []
     for b in range(blocks):
         own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()  # a bounded block
