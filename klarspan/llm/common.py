@@ -129,3 +129,20 @@ def components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             label = label[label]
         if np.array_equal(before, label):
             return label
+
+
+def packed(key: np.ndarray) -> tuple[int, bytes]:
+    """Sorted keys as little-endian differences of as few bytes as the largest needs."""
+    step = np.diff(key, prepend=np.uint64(0))
+    step[0] = 0
+    width = max(1, (int(step.max()).bit_length() + 7) // 8)
+    return width, step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(first: int, width: int, data: bytes) -> np.ndarray:
+    part = np.frombuffer(data, np.uint8).reshape(-1, width)
+    step = np.zeros((len(part), 8), np.uint8)
+    step[:, :width] = part
+    step = step.view("<u8").ravel().astype(np.uint64)
+    step[0] = np.uint64(first & 0xFFFFFFFFFFFFFFFF)
+    return np.cumsum(step)

@@ -1,9 +1,9 @@
 """SimHash near-dedup by meet-in-the-middle ball hashing.
 
 Two fingerprints at most ``radius`` bits apart have a common variant within half the radius of each. Every distinct
-fingerprint emits all its variants within half the radius, factored by their leading bits: one row (prefix variant,
-fingerprint) stands for all variants with that prefix, and the task that receives a prefix expands them, sorts them
-and links the fingerprints that share one (each shares it with the smallest; all of them lie within the radius of one
+fingerprint emits all its variants within half the radius, factored by their leading bits: one pair (prefix variant,
+fingerprint), packed with others of its prefix, stands for all variants with that prefix, and the task that receives a
+prefix expands them, sorts them and links the fingerprints that share one (each shares it with the smallest; all of them lie within the radius of one
 another). Prefixes with too many fingerprints are dealt again by longer ones, without loss, so a large group of near
 copies spreads over tasks. Links are contracted to components in Spark.
 
@@ -26,8 +26,12 @@ from klarspan.llm.components import connected
 
 SEED = 42
 STEP = 8
-#: Rows of one prefix that a task expands; larger prefixes are dealt again by STEP more bits.
-MOST_ROWS = 5_000
+#: Fingerprints of one prefix that a task expands; larger prefixes are dealt again by STEP more bits.
+MOST_ROWS = 1_000_000
+#: Links of a fingerprint to hubs nearby that a prefix of one slice shows; other prefixes and slices show others.
+NEAREST = 4
+#: Fingerprints dealt at once in a task.
+DEAL = 50_000
 #: Variants expanded at once in a task.
 CHUNK = 4_000_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -72,34 +76,84 @@ def _above(x: np.ndarray, bits: int) -> np.ndarray:
     return x & np.uint64((((1 << bits) - 1) << (64 - bits)) & 0xFFFFFFFFFFFFFFFF)
 
 
-def _dealt(df: DataFrame, old: int, new: int, most: int) -> DataFrame:
-    """Rows (prefix of ``old`` bits, fp) become one row for each prefix of ``new`` bits within the flips left to them.
-    A prefix fills the highest bits of a long; the others are zero."""
+DEALT = "prefix long, n long, first long, width int, data binary"
+_DEALT = pa.schema([("prefix", pa.int64()), ("n", pa.int64()), ("first", pa.int64()), ("width", pa.int32()), ("data", pa.binary())])
+
+
+def _copies(prefix: np.ndarray, fp: np.ndarray, old: int, new: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(prefix of ``old`` bits, fp) pairs become one for each prefix of ``new`` bits within the flips left to them. A
+    prefix fills the highest bits of a number; the others are zero."""
+    left = most - np.bitwise_count(_above(fp, old) ^ prefix).astype(np.int64)
+    own = prefix | (_above(fp, new) ^ _above(fp, old))
+    prefixes, prints = [], []
+    for k, mask in enumerate(_flips(new - old, 64 - new, most)):
+        mine = np.flatnonzero(left >= k)
+        prefixes.append((own[mine][:, None] ^ mask[None, :]).ravel())
+        prints.append(np.repeat(fp[mine], len(mask)))
+    return np.concatenate(prefixes), np.concatenate(prints)
+
+
+def _sorted_pairs(prefix: np.ndarray, fp: np.ndarray):
+    """Each prefix with its fingerprints, sorted."""
+    order = np.argsort(fp)
+    order = order[np.argsort(prefix[order], kind="stable")]
+    prefix, fp = prefix[order], fp[order]
+    edge = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]])) if len(prefix) else np.zeros(0, int)
+    for a, b in zip(edge, np.append(edge[1:], len(prefix))):
+        yield prefix[a], fp[a:b]
+
+
+def _blobs(prefix: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    rows = []
+    for p, own in _sorted_pairs(prefix, fp):
+        width, data = C.packed(own)
+        rows.append((int(p.view(np.int64)), len(own), int(own[:1].view(np.int64)[0]), width, data))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_DEALT)], schema=_DEALT)
+
+
+def _read_blobs(batch: pa.RecordBatch):
+    for r in batch.to_pylist():
+        yield np.array([r["prefix"]], np.int64).view(np.uint64)[0], C.unpacked(r["first"], r["width"], r["data"])
+
+
+def _dealt_first(prints: DataFrame, bits: int, most: int) -> DataFrame:
+    """Fingerprints by prefix, packed: a row for each prefix and task (or part of a large task)."""
 
     def run(batches):
-        masks = _flips(new - old, 64 - new, most)
+        held, n = [], 0
         for b in batches:
-            fp = b["fp"].to_numpy(zero_copy_only=False).view(np.uint64)
-            prefix = b["prefix"].to_numpy(zero_copy_only=False).view(np.uint64)
-            left = most - np.bitwise_count(_above(fp, old) ^ prefix).astype(np.int64) if old else np.full(len(fp), most)
-            for k in range(most + 1):
-                mine = np.flatnonzero(left >= k)
-                for lo in range(0, len(mine), 4096):
-                    part = mine[lo : lo + 4096]
-                    own = prefix[part] | (_above(fp[part], new) ^ (_above(fp[part], old) if old else np.uint64(0)))
-                    out = (own[:, None] ^ masks[k][None, :]).ravel()
-                    if len(out):
-                        yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), pa.array(np.repeat(fp[part], len(masks[k])).view(np.int64))], ["prefix", "fp"])
+            held.append(b["fp"].to_numpy(zero_copy_only=False).view(np.uint64))
+            n += b.num_rows
+            if n >= DEAL:
+                fp = np.concatenate(held)
+                yield _blobs(*_copies(np.zeros(len(fp), np.uint64), fp, 0, bits, most))
+                held, n = [], 0
+        if n:
+            fp = np.concatenate(held)
+            yield _blobs(*_copies(np.zeros(len(fp), np.uint64), fp, 0, bits, most))
 
-    return df.select("prefix", "fp").mapInArrow(run, "prefix long, fp long")
+    return prints.select("fp").mapInArrow(run, DEALT)
+
+
+def _dealt_again(rows: DataFrame, old: int, new: int, most: int) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            for prefix, fp in _read_blobs(b):
+                for lo in range(0, len(fp), DEAL):
+                    part = fp[lo : lo + DEAL]
+                    yield _blobs(*_copies(np.full(len(part), prefix), part, old, new, most))
+
+    return rows.mapInArrow(run, DEALT)
 
 
 def _shared(prefix: np.ndarray, fp: np.ndarray, bits: int, masks: list[np.ndarray], thin: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links that the variants of some whole prefixes show: each fingerprint with the first that shares a variant, or,
-    if thin, a forest that connects as much."""
-    left = len(masks) - 1 - np.bitwise_count(_above(fp, bits) ^ prefix).astype(np.int64)
+    """Links that the variants of some whole prefixes show: in each variant's group, all with the one that shares most
+    variants overall (its hub); of these, each fingerprint's links to its foremost hub and the NEAREST ones with most
+    variants in common. If thin, a forest that connects as much as all of them."""
+    fp, name = np.unique(fp, return_inverse=True)  # a fingerprint may stand under several prefixes
+    left = len(masks) - 1 - np.bitwise_count(_above(fp[name], bits) ^ prefix).astype(np.int64)
     low = np.uint64((1 << (64 - bits)) - 1)
-    own = prefix | (fp & low)
+    own = prefix | (fp[name] & low)
     parts, who = [], []
     for k, mask in enumerate(masks):
         mine = np.flatnonzero(left >= k)
@@ -115,59 +169,75 @@ def _shared(prefix: np.ndarray, fp: np.ndarray, bits: int, masks: list[np.ndarra
         at = np.minimum(np.searchsorted(twice, part), len(twice) - 1)
         hit = np.flatnonzero(twice[at] == part)
         variants.append(at[hit])
-        owners.append(mine[hit // n])
+        owners.append(name[mine[hit // n]])
     variant, owner = np.concatenate(variants), np.concatenate(owners)
-    if not thin:
-        rank = np.empty(len(fp), np.int64)
-        rank[np.argsort(fp, kind="stable")] = np.arange(len(fp))
-        low = np.full(len(twice), len(fp), np.int64)
-        np.minimum.at(low, variant, rank[owner])
-        pair = np.unique(np.stack([rank[owner], low[variant]], 1)[rank[owner] != low[variant]], axis=0)
-        own = np.sort(fp)
-        return own[pair[:, 0]], own[pair[:, 1]]
+    by_rank = np.lexsort((np.arange(len(fp)), -np.bincount(owner, minlength=len(fp))))
+    rank = np.empty(len(fp), np.int64)
+    rank[by_rank] = np.arange(len(fp))
     first = np.full(len(twice), len(fp), np.int64)
-    np.minimum.at(first, variant, owner)
-    label = C.components(owner, first[variant], len(fp))
+    np.minimum.at(first, variant, rank[owner])
+    other = by_rank[first[variant]]
+    if not thin:
+        pair, shared = np.unique((owner * len(fp) + other)[owner != other], return_counts=True)
+        own, hub = pair // len(fp), pair % len(fp)
+        kept = np.zeros(len(pair), bool)
+        begin = np.searchsorted(own, own)  # where a fingerprint's pairs start
+        for order, most in ((np.lexsort((rank[hub], own)), 1), (np.lexsort((rank[hub], -shared, own)), NEAREST)):
+            kept[order[np.arange(len(pair)) - begin < most]] = True
+        return fp[own[kept]], fp[hub[kept]]
+    label = C.components(owner, other, len(fp))
     node = np.flatnonzero(label != np.arange(len(fp)))
     return fp[node], fp[label[node]]
 
 
-def _links(df: DataFrame, bits: int, most: int, width: int, thin: bool) -> DataFrame:
-    """Links (a, b) among the fingerprints of each prefix."""
+def _links(rows: DataFrame, bits: int, most: int, width: int, thin: bool) -> DataFrame:
+    """Links (a, b) among the fingerprints of each prefix. A prefix with more variants than CHUNK is expanded in
+    pieces, by a few more bits at a time."""
+    sizes = lambda b: np.cumsum([len(m) for m in _flips(width - b, 0, most)])
+
+    def pieces(prefix: np.ndarray, fp: np.ndarray, at: int):
+        cost = np.maximum(0, sizes(at)[np.clip(most - np.bitwise_count(_above(fp, at) ^ prefix).astype(np.int64), 0, most)]).sum()
+        if cost <= CHUNK or at + 4 > width:
+            yield prefix, fp, at, cost
+            return
+        for p, own in _sorted_pairs(*_copies(prefix, fp, at, at + 4, most)):
+            if len(own) > 1:
+                yield from pieces(np.full(len(own), p), own, at + 4)
+
+    def linked(todo, at: int):
+        masks = _flips(width - at, 64 - width, most)
+        a, b = _shared(np.concatenate([p for p, _ in todo]), np.concatenate([f for _, f in todo]), at, masks, thin)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     def run(batches):
-        masks = _flips(width - bits, 64 - width, most)
-        row_cost = sum(map(len, masks))
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def done(last: bool):
-            nonlocal held
-            prefix, fp = (np.concatenate(x) for x in zip(*held))
-            whole = len(prefix) if last else int(np.flatnonzero(prefix != prefix[-1])[-1]) + 1 if prefix[0] != prefix[-1] else 0
-            cost = np.cumsum(np.where(_above(fp, bits) == prefix, row_cost, 1 + width - bits))
-            edge = np.flatnonzero(np.concatenate([prefix[1:] != prefix[:-1], [True]])) + 1  # ends of prefixes
-            at = 0
-            while at < whole:
-                end = edge[(edge > at) & (edge <= whole)]
-                fits = end[cost[end - 1] - (cost[at - 1] if at else 0) <= CHUNK]
-                to = int(fits[-1] if len(fits) else end[0])
-                a, b = _shared(prefix[at:to], fp[at:to], bits, masks, thin)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-                at = to
-            held = [(prefix[whole:], fp[whole:])] if whole < len(prefix) else []
-
-        rows = 0
-        for b in batches:
-            held.append(tuple(b[c].to_numpy(zero_copy_only=False).view(np.uint64) for c in ("prefix", "fp")))
-            rows += b.num_rows
-            if rows >= 200_000:
-                yield from done(False)
-                rows = 0
+        todo, total, now = [], 0, None
+        held: list[np.ndarray] = []
+        last = None
+
+        def whole(prefix, prints):
+            nonlocal todo, total, now
+            fp = np.concatenate(prints)
+            for p, f, at, cost in pieces(np.full(len(fp), prefix), fp, bits):
+                if todo and (at != now or total + cost > CHUNK):
+                    yield from linked(todo, now)
+                    todo, total = [], 0
+                todo.append((p, f))
+                total, now = total + cost, at
+
+        for batch in batches:
+            for prefix, fp in _read_blobs(batch):
+                if held and prefix != last:
+                    yield from whole(last, held)
+                    held = []
+                held.append(fp)
+                last = prefix
         if held:
-            yield from done(True)
+            yield from whole(last, held)
+        if todo:
+            yield from linked(todo, now)
 
-    return df.select("prefix", "fp").repartition("prefix").sortWithinPartitions("prefix").mapInArrow(run, "a long, b long")
+    return rows.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(run, "a long, b long")
 
 
 def ball_links(prints: DataFrame, radius: int = 4, width: int = 64, thin: bool = True, first_bits: int | None = None, most_rows: int = MOST_ROWS) -> DataFrame:
@@ -175,18 +245,17 @@ def ball_links(prints: DataFrame, radius: int = 4, width: int = 64, thin: bool =
     highest bits and in none below; if thin, enough of them to connect all such fingerprints."""
     most = radius // 2
     n = prints.count()
-    balls = lambda b: len(np.concatenate(_flips(b, 0, most)))
-    rows_most = most_rows * 2 // 5
-    bits = first_bits or next(b for b in range(8, width + 1, STEP) if n * balls(b) <= (1 << b) * rows_most or b + STEP > width)
-    rows = _dealt(prints.select(F.lit(0).cast("long").alias("prefix"), "fp"), 0, bits, most)
+    balls = lambda b: sum(map(len, _flips(b, 0, most)))
+    bits = first_bits or next(b for b in range(8, width + 1, STEP) if n * balls(b) <= (1 << b) * most_rows * 2 // 3 or b + STEP > width)
+    rows = _dealt_first(prints, bits, most)
     found = []
     while True:
-        large = C.written(rows.groupBy("prefix").count().where(F.col("count") > most_rows).select("prefix"), "prefixes") if bits + STEP <= width else None
+        large = C.written(rows.groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") > most_rows).select("prefix"), "prefixes") if bits + STEP <= width and n > most_rows else None
         if large is None or large.isEmpty():
             found.append(_links(rows, bits, most, width, thin))
             break
         found.append(_links(rows.join(large, "prefix", "left_anti"), bits, most, width, thin))
-        rows = _dealt(rows.join(large, "prefix", "left_semi"), bits, bits + STEP, most)
+        rows = _dealt_again(rows.join(large, "prefix", "left_semi"), bits, bits + STEP, most)
         bits += STEP
     out = found[0]
     for f in found[1:]:
@@ -256,7 +325,7 @@ def near_pairs(signed: DataFrame) -> DataFrame:
     prints = signed.select("node", F.explode(F.array(*map(slice_, range(TABLES)))).alias("fp"))
     firsts = C.written(prints.groupBy("fp").agg(F.min("node").alias("node")), "slices")
     same = prints.join(firsts.withColumnRenamed("node", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
-    balls = ball_links(firsts, 4, WIDTH, thin=False, most_rows=100_000)
+    balls = ball_links(firsts, 4, WIDTH, thin=False)
     of = lambda c: firsts.select(F.col("fp").alias(c), F.col("node").alias(f"{c}_node"))
     near = balls.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     pairs = same.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

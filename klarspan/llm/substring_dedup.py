@@ -49,29 +49,12 @@ def _sorted(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return order, new, key
 
 
-def _packed(key: np.ndarray) -> tuple[int, bytes]:
-    """Sorted keys as little-endian differences of as few bytes as the largest needs."""
-    step = np.diff(key, prepend=np.uint64(0))
-    step[0] = 0
-    width = max(1, (int(step.max()).bit_length() + 7) // 8)
-    return width, step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def _unpacked(first: int, width: int, data: bytes) -> np.ndarray:
-    part = np.frombuffer(data, np.uint8).reshape(-1, width)
-    step = np.zeros((len(part), 8), np.uint8)
-    step[:, :width] = part
-    step = step.view("<u8").ravel().astype(np.uint64)
-    step[0] = np.uint64(first & 0xFFFFFFFFFFFFFFFF)
-    return np.cumsum(step)
-
-
 _BLOBS = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("width", pa.int32()), ("keys", pa.binary()), ("checks", pa.binary())])
 BLOBS = "part int, block int, first long, width int, keys binary, checks binary"
 
 
 def _blob(part: int, block: int, key: np.ndarray, check: np.ndarray) -> tuple:
-    width, data = _packed(key)
+    width, data = C.packed(key)
     return part, block, int(key[:1].view(np.int64)[0]), width, data, check.tobytes()
 
 
@@ -105,7 +88,7 @@ def substring_dedup(docs: DataFrame, length: int = 35, keep_text: bool = False)
 
     def count(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        keys = [_unpacked(r["first"], r["width"], r["keys"]) for r in rows]
+        keys = [C.unpacked(r["first"], r["width"], r["keys"]) for r in rows]
         checks = [np.frombuffer(r["checks"], np.uint8) for r in rows]
         order, new, _ = _sorted(np.concatenate(keys), np.concatenate(checks))
         group = np.cumsum(new) - 1
@@ -125,7 +108,7 @@ def substring_dedup(docs: DataFrame, length: int = 35, keep_text: bool = False)
 
     def remove(texts: pa.Table, flags: pa.Table) -> pa.Table:
         flags = flags.sort_by("part").to_pylist()
-        far = np.concatenate([_unpacked(r["first"], r["width"], r["keys"]) for r in flags]) if flags else np.zeros(0, np.uint64)
+        far = np.concatenate([C.unpacked(r["first"], r["width"], r["keys"]) for r in flags]) if flags else np.zeros(0, np.uint64)
         far_check = np.concatenate([np.frombuffer(r["checks"], np.uint8) for r in flags]) if flags else np.zeros(0, np.uint8)
         raw, offsets = C.buffer_of(texts["text"])
         found = [_windows(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length) for lo, hi in C.chunks(offsets)]
