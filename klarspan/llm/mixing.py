@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from klarspan.llm import common as C
+
 #: A single draw's largest mean: its distribution must not underflow.
 PART = 16.0
 #: Counts considered in a single draw; beyond lies less than 2**-52 of a distribution of mean PART.
@@ -42,7 +44,7 @@ def _uniform(*parts):
 
 def mix_sources(docs: DataFrame, weights: dict[str, float], seed: int = 0, size: float = 1.0) -> DataFrame:
     """The documents, all columns, each as often as drawn, shuffled; mix_copy (from 1) numbers a document's copies."""
-    rate = rates(docs, weights, size).select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"))
+    rate = C.written(rates(docs, weights, size).select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate")), "rates")  # so that its size is known when the join is planned
     rated = docs.join(rate, docs["source"].eqNullSafe(F.col("mix_source")), "left")  # Spark broadcasts the rates where they are measured small
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
     parts = F.greatest(F.lit(1), F.ceil(F.col("mix_rate") / PART)).cast("int")
