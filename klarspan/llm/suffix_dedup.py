@@ -34,6 +34,8 @@ GRAM = 32
 SHALLOW = 16
 BLOCK_BYTES = 8_000_000
 HOT_SLICES = 20_000
+#: Bytes of documents whose slices are found at once (some 150 bytes of memory each).
+CHUNK = 1_000_000
 #: Suffixes sorted at once.
 SUFFIXES = 500_000
 _GRAM_POWERS = C.Powers(0x9E3779B97F4A7C15 | 1)
@@ -223,7 +225,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, keep_text: bool = False, ho
 
     def slices_of(table: pa.Table):
         raw, offsets = C.buffer_of(table["text"])
-        for lo, hi in C.chunks(offsets):
+        for lo, hi in C.chunks(offsets, CHUNK):
             yield lo, hi, Slices(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length)
 
     def send_anchors(table: pa.Table) -> pa.Table:
