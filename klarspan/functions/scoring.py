@@ -14,7 +14,6 @@ AUTHORITY_WEIGHT = {"explicit_truth": 250, "confirmed_decision": 160, "ssot": 10
 DESCRIPTOR_WEIGHT = ((("ssot", "target", "reference", "scope-matrix", "run-ssot", "contract"), 35), (("architecture", "policy", "process", "guardrail", "governed"), 15), (("as_is", "legacy", "deprecated", "archive", "historic", "historical"), -40))
 GENERATED, TEST_PATHS = ("generated", "export", "dump"), ("/tests/", "fixture", "mock")
 WEAK_STATUS = ("deprecated", "secondary_only", "not_ssot")
-RECORD_WEIGHT = {"explicit_truth": 400, "confirmed_decision": 300, "ssot": 200, "governed": 150, "working_doc": 100, "implementation": 80, "runtime_observation": 70, "historical": 30, "heuristic": 50}
 SEVERITY = {"critical": 0, "high": 1, "medium": 2, "low": 3}
 ROOT_CAUSE = {"truth": 0, "write_contract": 1, "policy": 2, "lifecycle": 3, "process": 4, "implementation": 5, "documentation": 6, "clarification": 7, "misc": 8}
 CORE = ("truth", "write_contract", "policy", "lifecycle", "process")

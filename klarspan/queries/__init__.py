@@ -1,7 +1,7 @@
 """The registered queries of the engine and their SQL, by family."""
 
-from klarspan.queries import claims, plane, relations
+from klarspan.queries import claims, plane, relations, texts
 
-FAMILIES = (claims, relations, plane)
+FAMILIES = (claims, relations, plane, texts)
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLES = {name: text for family in FAMILIES for name, text in family.ORACLES.items()}
