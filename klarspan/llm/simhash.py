@@ -3,8 +3,8 @@
 Two fingerprints at most ``radius`` bits apart have a common variant within half the radius of each. Every distinct
 fingerprint emits all its variants within half the radius, factored by their leading bits: one pair (prefix variant,
 fingerprint), packed with others of its prefix, stands for all variants with that prefix, and the task that receives a
-prefix expands them, sorts them and links the fingerprints that share one (each shares it with the smallest; all of them lie within the radius of one
-another). Prefixes with too many fingerprints are dealt again by longer ones, without loss, so a large group of near
+prefix expands them, sorts them and links the fingerprints that share one (each with one of them; all lie within the
+radius of one another). Prefixes with too many fingerprints are dealt again by longer ones, without loss, so a large group of near
 copies spreads over tasks. Links are contracted to components in Spark.
 
 Null or empty text: fingerprint zero, linked like any other. Null ids take part but are never a component's smallest,
@@ -28,8 +28,10 @@ SEED = 42
 STEP = 8
 #: Fingerprints of one prefix that a task expands; larger prefixes are dealt again by STEP more bits.
 MOST_ROWS = 1_000_000
-#: Links of a fingerprint to hubs nearby that a prefix of one slice shows; other prefixes and slices show others.
-NEAREST = 4
+#: Which links are given, and the low bits that hold a fingerprint's label.
+FOREST, FOREMOST, APART = "forest", "foremost", "apart"
+LABEL_BITS = 18
+LABEL = ((1 << LABEL_BITS) - 1) << 4
 #: Fingerprints dealt at once in a task.
 DEAL = 50_000
 #: Variants expanded at once in a task.
@@ -146,13 +148,31 @@ def _dealt_again(rows: DataFrame, old: int, new: int, most: int) -> DataFrame:
     return rows.mapInArrow(run, DEALT)
 
 
-def _shared(prefix: np.ndarray, fp: np.ndarray, bits: int, masks: list[np.ndarray], thin: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links that the variants of some whole prefixes show: in each variant's group, all with the one that shares most
-    variants overall (its hub); of these, each fingerprint's links to its foremost hub and the NEAREST ones with most
-    variants in common. If thin, a forest that connects as much as all of them."""
+def _middle(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A variant halfway between fingerprints at most four bits apart: the smaller one with the upper half of the
+    differing bits, rounded up, flipped."""
+    clear = np.uint64(~LABEL & 0xFFFFFFFFFFFFFFFF)
+    a, b = a & clear, b & clear
+    out, left = np.minimum(a, b), a ^ b
+    for step in (1, 3):
+        top = left.copy()
+        for shift in (1, 2, 4, 8, 16, 32):
+            top |= top >> np.uint64(shift)
+        top ^= top >> np.uint64(1)
+        out = np.where(np.bitwise_count(a ^ b) >= step, out ^ top, out)
+        left = left ^ top
+    return out
+
+
+def _shared(prefix: np.ndarray, fp: np.ndarray, bits: int, masks: list[np.ndarray], how: str) -> tuple[np.ndarray, np.ndarray]:
+    """Links that the variants of some whole prefixes show. In each variant's group, every fingerprint is linked to the
+    one that shares most variants overall, the hub; of these links,
+    FOREST: a forest that connects as much as all of them;
+    FOREMOST: each fingerprint's link to its foremost hub, in the one prefix that holds the pair's middle;
+    APART: those between fingerprints of unlike labels, each in that one prefix."""
     fp, name = np.unique(fp, return_inverse=True)  # a fingerprint may stand under several prefixes
     left = len(masks) - 1 - np.bitwise_count(_above(fp[name], bits) ^ prefix).astype(np.int64)
-    low = np.uint64((1 << (64 - bits)) - 1)
+    low = np.uint64((1 << (64 - bits)) - 1 & ~(LABEL if how == APART else 0))
     own = prefix | (fp[name] & low)
     parts, who = [], []
     for k, mask in enumerate(masks):
@@ -177,20 +197,24 @@ def _shared(prefix: np.ndarray, fp: np.ndarray, bits: int, masks: list[np.ndarra
     first = np.full(len(twice), len(fp), np.int64)
     np.minimum.at(first, variant, rank[owner])
     other = by_rank[first[variant]]
-    if not thin:
-        pair, shared = np.unique((owner * len(fp) + other)[owner != other], return_counts=True)
-        own, hub = pair // len(fp), pair % len(fp)
-        kept = np.zeros(len(pair), bool)
-        begin = np.searchsorted(own, own)  # where a fingerprint's pairs start
-        for order, most in ((np.lexsort((rank[hub], own)), 1), (np.lexsort((rank[hub], -shared, own)), NEAREST)):
-            kept[order[np.arange(len(pair)) - begin < most]] = True
-        return fp[own[kept]], fp[hub[kept]]
-    label = C.components(owner, other, len(fp))
-    node = np.flatnonzero(label != np.arange(len(fp)))
-    return fp[node], fp[label[node]]
-
-
-def _links(rows: DataFrame, bits: int, most: int, width: int, thin: bool) -> DataFrame:
+    if how == FOREST:
+        label = C.components(owner, other, len(fp))
+        node = np.flatnonzero(label != np.arange(len(fp)))
+        return fp[node], fp[label[node]]
+    pair = np.unique((owner * len(fp) + other)[owner != other])
+    own, hub = pair // len(fp), pair % len(fp)
+    middle = _middle(fp[own], fp[hub])
+    here = twice[np.minimum(np.searchsorted(twice, middle), len(twice) - 1)] == middle
+    if how == APART:
+        here &= ((fp[own] ^ fp[hub]) & np.uint64(LABEL)) != 0
+        return fp[own[here]], fp[hub[here]]
+    here = np.flatnonzero(here)
+    here = here[np.lexsort((rank[hub[here]], own[here]))]
+    here = here[np.concatenate([[True], own[here][1:] != own[here][:-1]])[: len(here)]]
+    return fp[own[here]], fp[hub[here]]
+
+
+def _links(rows: DataFrame, bits: int, most: int, width: int, how: str) -> DataFrame:
     """Links (a, b) among the fingerprints of each prefix. A prefix with more variants than CHUNK is expanded in
     pieces, by a few more bits at a time."""
     sizes = lambda b: np.cumsum([len(m) for m in _flips(width - b, 0, most)])
@@ -206,7 +230,7 @@ def _links(rows: DataFrame, bits: int, most: int, width: int, thin: bool) -> Dat
 
     def linked(todo, at: int):
         masks = _flips(width - at, 64 - width, most)
-        a, b = _shared(np.concatenate([p for p, _ in todo]), np.concatenate([f for _, f in todo]), at, masks, thin)
+        a, b = _shared(np.concatenate([p for p, _ in todo]), np.concatenate([f for _, f in todo]), at, masks, how)
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
@@ -240,9 +264,9 @@ def _links(rows: DataFrame, bits: int, most: int, width: int, thin: bool) -> Dat
     return rows.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(run, "a long, b long")
 
 
-def ball_links(prints: DataFrame, radius: int = 4, width: int = 64, thin: bool = True, first_bits: int | None = None, most_rows: int = MOST_ROWS) -> DataFrame:
+def ball_links(prints: DataFrame, radius: int = 4, width: int = 64, how: str = FOREST, first_bits: int | None = None, most_rows: int = MOST_ROWS) -> DataFrame:
     """Links (a, b) among the distinct fingerprints ``fp`` that differ in at most ``radius`` (even) of their ``width``
-    highest bits and in none below; if thin, enough of them to connect all such fingerprints."""
+    highest bits and, but for labels, in none below; which of them, ``how`` says (see _shared)."""
     most = radius // 2
     n = prints.count()
     balls = lambda b: sum(map(len, _flips(b, 0, most)))
@@ -252,9 +276,9 @@ def ball_links(prints: DataFrame, radius: int = 4, width: int = 64, thin: bool =
     while True:
         large = C.written(rows.groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") > most_rows).select("prefix"), "prefixes") if bits + STEP <= width and n > most_rows else None
         if large is None or large.isEmpty():
-            found.append(_links(rows, bits, most, width, thin))
+            found.append(_links(rows, bits, most, width, how))
             break
-        found.append(_links(rows.join(large, "prefix", "left_anti"), bits, most, width, thin))
+        found.append(_links(rows.join(large, "prefix", "left_anti"), bits, most, width, how))
         rows = _dealt_again(rows.join(large, "prefix", "left_semi"), bits, bits + STEP, most)
         bits += STEP
     out = found[0]
@@ -310,25 +334,31 @@ def expected_bits(similarity: float, slack: float, bits: int = 64 * LANES) -> in
     return int(bits * share + slack * np.sqrt(bits * share * (1 - share)))
 
 
-def near_pairs(signed: DataFrame) -> DataFrame:
+def near_pairs(signed: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of rows (node, sig) that meet in a slice of their signatures, with the bits in which the whole
-    signatures differ. Each slice is dealt by ball hashing (radius 4)."""
+    signatures differ. Each slice is dealt by ball hashing (radius 4). Without ``roots`` (node, root), pairs with the
+    foremost hubs; with them, all pairs with hubs of another root."""
     words = [F.get("sig", i) for i in range(LANES)]
     mask = F.lit(-1 << (64 - WIDTH)).cast("long")
+    tagged = signed.withColumn("label", F.lit(0).cast("long"))
+    if roots is not None:
+        own = F.pmod(F.xxhash64(F.coalesce("root", "node")), F.lit(1 << LABEL_BITS))
+        tagged = signed.join(roots, "node", "left").withColumn("label", F.shiftleft(own, 4))
 
     def slice_(t: int):
         word, off = divmod(t * WIDTH, 64)
         high = F.shiftleft(words[word], off) if off else words[word]
         value = high.bitwiseOR(F.shiftrightunsigned(words[word + 1], 64 - off)) if off + WIDTH > 64 else high
-        return value.bitwiseAND(mask).bitwiseOR(F.lit(t).cast("long"))  # the slice's number fills low bits, which never flip
+        return value.bitwiseAND(mask).bitwiseOR(F.lit(t).cast("long")).bitwiseOR(F.col("label"))  # the slice's number and label fill low bits, which never flip
 
-    prints = signed.select("node", F.explode(F.array(*map(slice_, range(TABLES)))).alias("fp"))
+    prints = tagged.select("node", F.explode(F.array(*map(slice_, range(TABLES)))).alias("fp"))
     firsts = C.written(prints.groupBy("fp").agg(F.min("node").alias("node")), "slices")
-    same = prints.join(firsts.withColumnRenamed("node", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
-    balls = ball_links(firsts, 4, WIDTH, thin=False)
+    balls = ball_links(firsts, 4, WIDTH, FOREMOST if roots is None else APART).distinct()
     of = lambda c: firsts.select(F.col("fp").alias(c), F.col("node").alias(f"{c}_node"))
     near = balls.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    pairs = same.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if roots is None:
+        near = near.union(prints.join(firsts.withColumnRenamed("node", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b"))
+    pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sig = lambda c: signed.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
     unlike = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
     return pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", unlike.alias("bits"))
@@ -349,17 +379,12 @@ def _shingle_sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("text_md5", "text").mapInArrow(run, "text_md5 string, shingles array<long>")
 
 
-def similar_links(nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Links (a, b) that connect the nodes (node, sig, text_md5) whose texts have the similarity. Signatures that
-    differ clearly less than expected decide alone; between groups that they leave apart, pairs in doubt are decided by
-    the Jaccard similarity of the texts' shingles."""
+def _decided(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of at least the similarity: signatures that differ clearly less or more than expected decide
+    alone, the others' texts are compared by the Jaccard similarity of their shingles."""
     most, least = expected_bits(similarity, SLACK), expected_bits(similarity, -SLACK)
-    pairs = C.written(near_pairs(nodes.select("node", "sig")).where(F.col("bits") <= most), "pairs")
-    sure = pairs.where(F.col("bits") < least).select("a", "b")
-    roots = connected(sure)
-    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    doubt = pairs.where(F.col("bits") >= least).join(of("a"), "a", "left").join(of("b"), "b", "left")
-    doubt = C.written(doubt.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "doubt")
+    pairs = C.written(pairs.where(F.col("bits") <= most), "pairs")
+    doubt = pairs.where(F.col("bits") >= least).select("a", "b")
     ends = doubt.select(F.col("a").alias("node")).union(doubt.select(F.col("b").alias("node"))).distinct()
     keys = C.written(nodes.select("node", "text_md5").join(ends, "node"), "keys")
     wanted = keys.select("text_md5").distinct()
@@ -369,7 +394,16 @@ def similar_links(nodes: DataFrame, texts: DataFrame, size: int, similarity: flo
     shingles = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     alike = both >= similarity * (F.size("of_a") + F.size("of_b") - both)
-    return sure.union(doubt.join(shingles("a"), "a").join(shingles("b"), "b").where(alike).select("a", "b"))
+    return C.written(pairs.where(F.col("bits") < least).select("a", "b").union(doubt.join(shingles("a"), "a").join(shingles("b"), "b").where(alike).select("a", "b")), "decided")
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links (a, b) that connect the nodes (node, sig, text_md5) whose texts have the similarity. A first round tries
+    each node with its foremost hubs; a second one tries all hubs of groups that the first left apart."""
+    signed = nodes.select("node", "sig")
+    first = _decided(near_pairs(signed), nodes, texts, size, similarity)
+    second = _decided(near_pairs(signed, connected(first)), nodes, texts, size, similarity)
+    return first.union(second)
 
 
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
