@@ -51,9 +51,9 @@ def delta_run(claims: DataFrame, previous: DataFrame, previous_findings: DataFra
     claims = kept(C.deduplicated(claims))
     scopes = kept(C.impacted_scopes(C.claim_delta(claims, previous), truths))
     again = kept(_findings(kept(C.in_scopes(claims, scopes)), truths))
-    kept = previous_findings.withColumn("scope_key", semantics.scope_key(F.col("object_key"))).join(scopes, "scope_key", "left_anti").select("category", "severity", "object_key", "title")
+    carried = previous_findings.withColumn("scope_key", semantics.scope_key(F.col("object_key"))).join(scopes, "scope_key", "left_anti").select("category", "severity", "object_key", "title")
     touched = again.withColumn("scope_key", semantics.scope_key(F.col("object_key"))).join(scopes, "scope_key", "left_semi").select("category", "severity", "object_key", "title")
-    return _complete(claims, kept.union(touched))
+    return _complete(claims, carried.union(touched))
 
 
 def fast_run(docs: DataFrame) -> DataFrame:
