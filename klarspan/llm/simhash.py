@@ -28,10 +28,8 @@ SEED = 42
 STEP = 8
 #: Fingerprints of one prefix that a task expands; larger prefixes are dealt again by STEP more bits.
 MOST_ROWS = 1_000_000
-#: Which links are given, and the low bits that hold a fingerprint's label.
-FOREST, FOREMOST, APART = "forest", "foremost", "apart"
-LABEL_BITS = 18
-LABEL = ((1 << LABEL_BITS) - 1) << 4
+#: Which links are given.
+FOREST, MIDDLE = "forest", "middle"
 #: Fingerprints dealt at once in a task.
 DEAL = 50_000
 #: Variants expanded at once in a task.
@@ -151,8 +149,6 @@ def _dealt_again(rows: DataFrame, old: int, new: int, most: int) -> DataFrame:
 def _middle(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A variant halfway between fingerprints at most four bits apart: the smaller one with the upper half of the
     differing bits, rounded up, flipped."""
-    clear = np.uint64(~LABEL & 0xFFFFFFFFFFFFFFFF)
-    a, b = a & clear, b & clear
     out, left = np.minimum(a, b), a ^ b
     for step in (1, 3):
         top = left.copy()
@@ -168,11 +164,10 @@ def _shared(prefix: np.ndarray, fp: np.ndarray, bits: int, masks: list[np.ndarra
     """Links that the variants of some whole prefixes show. In each variant's group, every fingerprint is linked to the
     one that shares most variants overall, the hub; of these links,
     FOREST: a forest that connects as much as all of them;
-    FOREMOST: each fingerprint's link to its foremost hub, in the one prefix that holds the pair's middle;
-    APART: those between fingerprints of unlike labels, each in that one prefix."""
+    MIDDLE: all of them, each in the one prefix that holds the pair's middle."""
     fp, name = np.unique(fp, return_inverse=True)  # a fingerprint may stand under several prefixes
     left = len(masks) - 1 - np.bitwise_count(_above(fp[name], bits) ^ prefix).astype(np.int64)
-    low = np.uint64((1 << (64 - bits)) - 1 & ~(LABEL if how == APART else 0))
+    low = np.uint64((1 << (64 - bits)) - 1)
     own = prefix | (fp[name] & low)
     parts, who = [], []
     for k, mask in enumerate(masks):
@@ -205,12 +200,6 @@ def _shared(prefix: np.ndarray, fp: np.ndarray, bits: int, masks: list[np.ndarra
     own, hub = pair // len(fp), pair % len(fp)
     middle = _middle(fp[own], fp[hub])
     here = twice[np.minimum(np.searchsorted(twice, middle), len(twice) - 1)] == middle
-    if how == APART:
-        here &= ((fp[own] ^ fp[hub]) & np.uint64(LABEL)) != 0
-        return fp[own[here]], fp[hub[here]]
-    here = np.flatnonzero(here)
-    here = here[np.lexsort((rank[hub[here]], own[here]))]
-    here = here[np.concatenate([[True], own[here][1:] != own[here][:-1]])[: len(here)]]
     return fp[own[here]], fp[hub[here]]
 
 
@@ -266,7 +255,7 @@ def _links(rows: DataFrame, bits: int, most: int, width: int, how: str) -> DataF
 
 def ball_links(prints: DataFrame, radius: int = 4, width: int = 64, how: str = FOREST, first_bits: int | None = None, most_rows: int = MOST_ROWS) -> DataFrame:
     """Links (a, b) among the distinct fingerprints ``fp`` that differ in at most ``radius`` (even) of their ``width``
-    highest bits and, but for labels, in none below; which of them, ``how`` says (see _shared)."""
+    highest bits and in none below; which of them, ``how`` says (see _shared)."""
     most = radius // 2
     n = prints.count()
     balls = lambda b: sum(map(len, _flips(b, 0, most)))
@@ -334,31 +323,25 @@ def expected_bits(similarity: float, slack: float, bits: int = 64 * LANES) -> in
     return int(bits * share + slack * np.sqrt(bits * share * (1 - share)))
 
 
-def near_pairs(signed: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+def near_pairs(signed: DataFrame) -> DataFrame:
     """Pairs (a, b) of rows (node, sig) that meet in a slice of their signatures, with the bits in which the whole
-    signatures differ. Each slice is dealt by ball hashing (radius 4). Without ``roots`` (node, root), pairs with the
-    foremost hubs; with them, all pairs with hubs of another root."""
+    signatures differ. Each slice is dealt by ball hashing (radius 4)."""
     words = [F.get("sig", i) for i in range(LANES)]
     mask = F.lit(-1 << (64 - WIDTH)).cast("long")
-    tagged = signed.withColumn("label", F.lit(0).cast("long"))
-    if roots is not None:
-        own = F.pmod(F.xxhash64(F.coalesce("root", "node")), F.lit(1 << LABEL_BITS))
-        tagged = signed.join(roots, "node", "left").withColumn("label", F.shiftleft(own, 4))
 
     def slice_(t: int):
         word, off = divmod(t * WIDTH, 64)
         high = F.shiftleft(words[word], off) if off else words[word]
         value = high.bitwiseOR(F.shiftrightunsigned(words[word + 1], 64 - off)) if off + WIDTH > 64 else high
-        return value.bitwiseAND(mask).bitwiseOR(F.lit(t).cast("long")).bitwiseOR(F.col("label"))  # the slice's number and label fill low bits, which never flip
+        return value.bitwiseAND(mask).bitwiseOR(F.lit(t).cast("long"))  # the slice's number fills low bits, which never flip
 
-    prints = tagged.select("node", F.explode(F.array(*map(slice_, range(TABLES)))).alias("fp"))
+    prints = signed.select("node", F.explode(F.array(*map(slice_, range(TABLES)))).alias("fp"))
     firsts = C.written(prints.groupBy("fp").agg(F.min("node").alias("node")), "slices")
-    balls = ball_links(firsts, 4, WIDTH, FOREMOST if roots is None else APART).distinct()
+    balls = ball_links(firsts, 4, WIDTH, MIDDLE)
     of = lambda c: firsts.select(F.col("fp").alias(c), F.col("node").alias(f"{c}_node"))
     near = balls.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    if roots is None:
-        near = near.union(prints.join(firsts.withColumnRenamed("node", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b"))
-    pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    same = prints.join(firsts.withColumnRenamed("node", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
+    pairs = near.union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sig = lambda c: signed.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
     unlike = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
     return pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", unlike.alias("bits"))
@@ -379,7 +362,7 @@ def _shingle_sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("text_md5", "text").mapInArrow(run, "text_md5 string, shingles array<long>")
 
 
-def _decided(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+def similar_links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of at least the similarity: signatures that differ clearly less or more than expected decide
     alone, the others' texts are compared by the Jaccard similarity of their shingles."""
     most, least = expected_bits(similarity, SLACK), expected_bits(similarity, -SLACK)
@@ -394,16 +377,7 @@ def _decided(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, si
     shingles = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     alike = both >= similarity * (F.size("of_a") + F.size("of_b") - both)
-    return C.written(pairs.where(F.col("bits") < least).select("a", "b").union(doubt.join(shingles("a"), "a").join(shingles("b"), "b").where(alike).select("a", "b")), "decided")
-
-
-def similar_links(nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Links (a, b) that connect the nodes (node, sig, text_md5) whose texts have the similarity. A first round tries
-    each node with its foremost hubs; a second one tries all hubs of groups that the first left apart."""
-    signed = nodes.select("node", "sig")
-    first = _decided(near_pairs(signed), nodes, texts, size, similarity)
-    second = _decided(near_pairs(signed, connected(first)), nodes, texts, size, similarity)
-    return first.union(second)
+    return pairs.where(F.col("bits") < least).select("a", "b").union(doubt.join(shingles("a"), "a").join(shingles("b"), "b").where(alike).select("a", "b"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -420,7 +394,8 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
     prints = C.written(texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text_md5 string, sig array<long>"), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")
     nodes = C.written(prints.groupBy(F.xxhash64("sig").alias("node")).agg(F.first("sig").alias("sig"), F.min(order).alias("first")), "nodes")
-    roots = connected(similar_links(nodes.select("node", "sig", "first.text_md5"), texts, size, similarity))
+    nodes_of = nodes.select("node", "sig", "first.text_md5")
+    roots = connected(similar_links(near_pairs(nodes_of.select("node", "sig")), nodes_of, texts, size, similarity))
     linked = nodes.select("node", "first").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     winners = C.written(linked.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("won_id"), F.col("first.text_md5").alias("won_md5")), "winners")
     marked = docs.withColumn("simhash_md5", F.md5(F.coalesce("text", F.lit(""))))
