@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from klarspan.functions import scoring, semantics, text
+from klarspan.operators.graph import kept
 
 DOCS = ("confluence_page", "local_doc")
 CODE = ("github_file",)
@@ -58,9 +59,9 @@ def truth_targets(aspects: DataFrame, truths: DataFrame) -> DataFrame:
     return found.groupBy("subject_key", "predicate").agg(F.min_by("truth_value", order).alias("truth_value"))
 
 
-def consensus(claims: DataFrame, truths: DataFrame) -> DataFrame:
+def consensus(claims: DataFrame, truths: DataFrame, votes: DataFrame | None = None) -> DataFrame:
     """One row for each aspect (subject, predicate) of at least two votes: winner, share, and who covers it."""
-    votes = voted(claims)
+    votes = voted(claims) if votes is None else votes
     buckets = votes.groupBy("subject_key", "predicate", "bucket").agg(
         F.sum("weight").alias("weight"), F.count("*").alias("votes"), F.min_by("value", "record_ord").alias("shown"),
         F.bool_or(F.col("source_type").isin("confluence_page", "local_doc", "metamodel") & counts_as_target()).alias("has_doc"), F.bool_or(F.col("source_type").isin(*CODE)).alias("has_code"),
@@ -79,8 +80,9 @@ def consensus(claims: DataFrame, truths: DataFrame) -> DataFrame:
 
 def deviations(claims: DataFrame, truths: DataFrame) -> DataFrame:
     """Sources that contradict a clear target: one row for each aspect and source."""
-    targets = consensus(claims, truths).where("kind = 'clear'").select("subject_key", "predicate", "target", "truth_fixed", "shown")
-    off = voted(claims).join(targets, ["subject_key", "predicate"]).where("bucket <> target")
+    votes = kept(voted(claims).select("subject_key", "predicate", "bucket", "weight", "value", "record_ord", "source_type", "source_id", "source_authority", "assertion_status"))
+    targets = consensus(claims, truths, votes).where("kind = 'clear'").select("subject_key", "predicate", "target", "truth_fixed", "shown")
+    off = votes.join(targets, ["subject_key", "predicate"]).where("bucket <> target")
     return off.groupBy("subject_key", "predicate", "source_type", "source_id").agg(
         F.first("shown").alias("target_value"), F.array_join(F.array_sort(F.collect_set("value")), "|").alias("deviating"), F.when(F.first("truth_fixed"), "critical").otherwise("high").alias("severity"), F.count("*").alias("n_claims")
     )

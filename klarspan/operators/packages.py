@@ -6,14 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from klarspan.functions import scoring
+from klarspan.operators.graph import kept
 
 BASE, HARD_CAP = 12, 24
 
 
 def ranked(findings: DataFrame) -> DataFrame:
-    """Findings (finding_ord, bucket, severity, category, delta, object_key, title) with their place in the global order."""
-    order = Window.orderBy(scoring.root_cause_priority(F.col("bucket")), scoring.severity_rank(F.col("severity")), scoring.detail_penalty(F.col("category")), F.when(F.col("delta"), 0).otherwise(1), "object_key", "title", "finding_ord")
-    return findings.withColumn("place", F.row_number().over(order))
+    """Findings (finding_ord, bucket, severity, category, delta, object_key, title) with their place in the global order.
+    Rows are dealt by ranges of the order; a row's place is its place in its range and the sizes of those before."""
+    order = [scoring.root_cause_priority(F.col("bucket")), scoring.severity_rank(F.col("severity")), scoring.detail_penalty(F.col("category")), F.when(F.col("delta"), 0).otherwise(1), F.col("object_key"), F.col("title"), F.col("finding_ord")]
+    dealt = kept(findings.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each range
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
+    return dealt.join(before, "_part").withColumn("place", place.cast("int")).drop("_part", "_before")
 
 
 def top_findings(findings: DataFrame, n: int) -> DataFrame:

@@ -83,15 +83,15 @@ def impacted_scopes(spark, d):
 
 
 def incremental_claims(spark, d):
-    """Claims to examine again: those of impacted scopes that a single source changed."""
-    delta = C.claim_delta(A.claims(spark, d), A.previous_claims(spark, d)).where("source_id = 's7'")
-    return C.in_scopes(A.claims(spark, d), C.impacted_scopes(delta, A.truths(spark).where("truth_ord = 3"))).select("record_ord", "source_type")
+    """Claims to examine again: those of the model and of impacted scopes."""
+    delta = C.claim_delta(A.claims(spark, d), A.previous_claims(spark, d))
+    return C.in_scopes(A.claims(spark, d), C.impacted_scopes(delta, A.truths(spark))).select("record_ord", "source_type")
 
 
 def snapshot_delta(spark, d):
-    hashed = lambda c: c.groupBy("source_type", "source_id").agg(F.md5(F.array_join(F.array_sort(F.collect_list("fingerprint")), ",")).alias("content_hash"))
-    before = hashed(A.previous_claims(spark, d).where("source_id <> 's3'"))
-    return C.source_delta(hashed(A.claims(spark, d).where("record_ord % 7 <> 0 AND record_ord % 5 <> 0 OR source_id < 's30'")), before, ["source_type", "source_id"], "content_hash").select("source_type", "source_id", "delta_status")
+    keys = ["source_type", "source_id", "subject_key"]
+    hashed = lambda c: c.groupBy(*keys).agg(F.md5(F.array_join(F.array_sort(F.collect_list("fingerprint")), ",")).alias("content_hash"))
+    return C.source_delta(hashed(A.claims(spark, d)), hashed(A.previous_claims(spark, d)), keys, "content_hash").select(*keys, "delta_status")
 
 
 def truth_conflict(spark, d):
@@ -182,8 +182,8 @@ ORACLES = {
     "claim_groups": _TAGGED + "x AS (SELECT subject_key, count(*) AS n, array_to_string(list(normalized_value ORDER BY record_ord)[1:3], '|') AS evidence FROM first GROUP BY 1) SELECT * FROM x",
     "claim_delta": _DELTA + " SELECT record_ord, delta_status, delta_change_type FROM delta",
     "impacted_scopes": _DELTA + f" SELECT DISTINCT {_SCOPE} AS scope_key FROM delta WHERE delta_status = 'added' OR delta_change_type = 'semantic' UNION SELECT {_SCOPE} FROM truths WHERE {S.EXPLICIT} AND pending_delta_recalculation",
-    "incremental_claims": _DELTA + f", scopes AS (SELECT {_SCOPE} AS k FROM delta WHERE source_id = 's7' AND (delta_status = 'added' OR delta_change_type = 'semantic')) SELECT record_ord, source_type FROM claims WHERE source_type = 'metamodel' OR {_SCOPE} IN (SELECT k FROM scopes) OR subject_key IN (SELECT k FROM scopes)",
-    "snapshot_delta": _WITH + "cur AS (SELECT source_type, source_id, md5(string_agg(fingerprint, ',' ORDER BY fingerprint)) AS h FROM claims WHERE record_ord % 7 <> 0 AND record_ord % 5 <> 0 OR source_id < 's30' GROUP BY ALL), bef AS (SELECT source_type, source_id, md5(string_agg(fingerprint, ',' ORDER BY fingerprint)) AS h FROM previous WHERE source_id <> 's3' GROUP BY ALL) SELECT source_type, source_id, CASE WHEN bef.h IS NULL THEN 'added' WHEN bef.h = cur.h THEN 'unchanged' ELSE 'changed' END AS delta_status FROM cur LEFT JOIN bef USING (source_type, source_id)",
+    "incremental_claims": _DELTA + f", scopes AS (SELECT {_SCOPE} AS k FROM delta WHERE delta_status = 'added' OR delta_change_type = 'semantic' UNION SELECT " + _SCOPE + f" FROM truths WHERE {S.EXPLICIT} AND pending_delta_recalculation) SELECT record_ord, source_type FROM claims WHERE source_type = 'metamodel' OR {_SCOPE} IN (SELECT k FROM scopes) OR subject_key IN (SELECT k FROM scopes)",
+    "snapshot_delta": _WITH + "h AS (SELECT 1 AS now, * FROM claims UNION ALL SELECT 0, * FROM previous), g AS (SELECT source_type, source_id, subject_key, md5(string_agg(fingerprint, ',' ORDER BY fingerprint) FILTER (WHERE now = 1)) AS c, md5(string_agg(fingerprint, ',' ORDER BY fingerprint) FILTER (WHERE now = 0)) AS b FROM h GROUP BY ALL) SELECT source_type, source_id, subject_key, CASE WHEN b IS NULL THEN 'added' WHEN b = c THEN 'unchanged' ELSE 'changed' END AS delta_status FROM g WHERE c IS NOT NULL",
     "truth_conflict": _WITH + f"""near AS (SELECT c.*, x.canonical_key, x.normalized_value AS tv, {S.norm('c.normalized_value')} AS n, {S.norm('x.normalized_value')} AS tn FROM (SELECT *, unnest({S.ancestors('subject_key')}) AS ts FROM claims WHERE {S.PRIMARY}) c JOIN (SELECT * FROM truths WHERE {S.EXPLICIT}) x ON c.ts = x.subject_key),
 tag AS (SELECT *, {S.signature('subject_key', 'predicate', 'n')} AS t, {S.signature('subject_key', 'predicate', 'tn')} AS tt FROM near)
 SELECT canonical_key, source_type, source_id, count(*) AS n_claims, min(record_ord) AS first_ord, arg_min(normalized_value, record_ord) AS first_value FROM tag

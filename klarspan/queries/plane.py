@@ -19,7 +19,7 @@ _CORE = "bucket IN (" + ", ".join(map(S.quoted, scoring.CORE)) + ")"
 
 
 def finding_order(spark, d):
-    return P.ranked(_findings(spark, d).where("finding_ord % 7 = 0")).select("finding_ord", "place")
+    return P.ranked(_findings(spark, d)).select("finding_ord", "place")
 
 
 def findings_for_retrieval(spark, d):
@@ -131,7 +131,7 @@ def review_cards(spark, d):
 
 def _pages(spark, d):
     k = F.col("doc_id")
-    return A.table(spark, d, "documents").select(k.alias("node"), F.when(k > 0, (k / 5).cast("long")).alias("parent"), F.substring(F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1), 1, 90).alias("title"))
+    return A.table(spark, d, "documents").select(k.alias("node"), F.when(k > 0, (k / 5).cast("long")).alias("parent"), F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1).alias("title"))
 
 
 def page_issues(spark, d):
@@ -192,7 +192,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY ls ORDER BY score DESC, rs) AS p
 once AS (SELECT least(ls, rs) AS left_id, greatest(ls, rs) AS right_id, max(score) AS score, max(overlap) AS overlap, min((-lp, ls, place)) AS turn FROM b GROUP BY 1, 2),
 pair AS (SELECT left_id, right_id, score, overlap FROM once ORDER BY turn LIMIT 14)"""
 _TITLE = "(CASE WHEN a > 0 AND b > 0 THEN 'mixed' WHEN a > b THEN 'concept' WHEN b > a THEN 'process' ELSE 'unclear' END)"
-_PAGES = f"""WITH RECURSIVE page AS (SELECT doc_id AS node, CASE WHEN doc_id > 0 THEN doc_id // 5 END AS parent, substr(string_split(coalesce(text, ''), chr(10))[1], 1, 90) AS title FROM documents),
+_PAGES = f"""WITH RECURSIVE page AS (SELECT doc_id AS node, CASE WHEN doc_id > 0 THEN doc_id // 5 END AS parent, string_split(coalesce(text, ''), chr(10))[1] AS title FROM documents),
 up(node, parent, level) AS (SELECT node, parent, 0 FROM page UNION ALL SELECT up.node, t.parent, level + 1 FROM up LEFT JOIN page t ON up.parent = t.node WHERE up.parent IS NOT NULL AND level <= 20),
 deep AS (SELECT node, max(level) AS depth FROM up GROUP BY node),
 kid AS (SELECT parent AS node, count(*) AS children FROM page GROUP BY 1),
@@ -202,7 +202,7 @@ _KINDS = ("deep", "long", "short", "fat", "mixed", "unclear", "duplicate")
 _PART_NAME = "p_name || ' ' || p_brand || ' ' || p_type"
 _PW = "list_filter(regexp_extract_all(lower({}), '[a-z0-9_]{{3,}}'), lambda w: w NOT IN (" + ", ".join(map(S.quoted, text.STOPWORDS)) + "))"
 ORACLES = {
-    "finding_order": FINDINGS_SQL + f" SELECT finding_ord, CAST(row_number() OVER (ORDER BY {_ORDER}) AS INT) AS place FROM ranked WHERE finding_ord % 7 = 0",
+    "finding_order": FINDINGS_SQL + f" SELECT finding_ord, CAST(row_number() OVER (ORDER BY {_ORDER}) AS INT) AS place FROM ranked",
     "findings_for_retrieval": _FIRST[0],
     "decision_packages": FINDINGS_SQL + f""", f AS (SELECT *, {_SCOPE} AS cluster, {_RANK} AS sr, {_PENALTY} AS dp FROM ranked), lead AS (SELECT cluster, arg_min(bucket, priority) FILTER (WHERE {_CORE}) AS lb FROM f GROUP BY 1),
 a AS (SELECT f.*, CASE WHEN lb IS NULL OR {_CORE} THEN bucket ELSE lb END AS assigned FROM f JOIN lead USING (cluster)),

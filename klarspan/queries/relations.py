@@ -9,14 +9,15 @@ from klarspan.functions import scoring, semantics, text
 from klarspan.operators import graph as G
 from klarspan.operators import relations as R
 from klarspan.operators import retrieval as T
+from klarspan.operators.claims import first_by
 from klarspan.queries import sql as S
 
 _CATEGORIES = ("contradiction", "policy_conflict", "implementation_drift", "missing_documentation")
 
 
 def _findings(spark, d):
-    """Every 25th claim as a finding."""
-    c = A.claims(spark, d).where("record_ord % 25 = 0").withColumn("category", A.pick(_CATEGORIES, F.col("record_ord") / 25))
+    """A finding for each value that is claimed of a subject, at its first claim."""
+    c = first_by(A.claims(spark, d), ["subject_key", "normalized_value"], ["record_ord"]).withColumn("category", A.pick(_CATEGORIES, F.col("record_ord") / 25))
     bucket = scoring.root_cause(F.col("subject_key"), F.col("category"), F.col("normalized_value"), F.col("source_authority") == "ssot")
     return c.select(F.col("record_ord").alias("finding_ord"), F.concat_ws(":", "category", "subject_key", "predicate", "normalized_value").alias("canonical_key"), F.concat_ws(":", F.lit("g"), "source_id", semantics.scope_key(F.col("subject_key"))).alias("group_key"), F.when(F.col("source_authority") == "ssot", F.concat(F.lit("t"), F.col("source_id"))).alias("truth_key"), F.col("subject_key").alias("object_key"), "category", bucket.alias("bucket"), "title", A.pick(("critical", "high", "medium", "low"), F.col("record_ord") / 25).alias("severity"), (F.col("source_authority") == "ssot").alias("truth"), (F.col("line") % 2 == 0).alias("delta"), "source_id", "confidence", "matched_text")
 
@@ -31,7 +32,7 @@ def _sql_bucket(truth: str) -> str:
 
 
 FINDINGS_SQL = f"""WITH RECURSIVE {A.CLAIMS_SQL},
-f0 AS (SELECT *, {A._pick_sql(_CATEGORIES, "record_ord // 25")} AS category FROM claims WHERE record_ord % 25 = 0),
+f0 AS (SELECT *, {A._pick_sql(_CATEGORIES, "record_ord // 25")} AS category FROM claims QUALIFY row_number() OVER (PARTITION BY subject_key, normalized_value ORDER BY record_ord) = 1),
 findings AS (SELECT record_ord AS finding_ord, category || ':' || subject_key || ':' || predicate || ':' || normalized_value AS canonical_key, 'g:' || source_id || ':' || {S.scope('subject_key')} AS group_key, CASE WHEN source_authority = 'ssot' THEN 't' || source_id END AS truth_key,
   subject_key AS object_key, category, {_sql_bucket("source_authority = 'ssot'")} AS bucket, title, {A._pick_sql(("critical", "high", "medium", "low"), "record_ord // 25")} AS severity, source_authority = 'ssot' AS truth, line % 2 = 0 AS delta, source_id, confidence, matched_text FROM f0),
 ranked AS (SELECT *, {S.lookup('bucket', scoring.ROOT_CAUSE, 99)} AS priority FROM findings)
@@ -58,8 +59,7 @@ def _parts(spark, d):
 
 
 def _few_claims(spark, d):
-    c = A.claims(spark, d).where("record_ord % 10 = 0")
-    return c.select("claim_id", "source_id", F.concat(F.lit("a"), (F.col("record_ord") % 211).cast("string")).alias("anchor"), F.concat("section_path", F.lit("!")).alias("section_path"), "line", text.keywords("matched_text", 8).alias("words"))
+    return A.claims(spark, d).select("claim_id", "source_id", F.concat(F.lit("a"), (F.col("record_ord") % 211).cast("string")).alias("anchor"), F.concat("section_path", F.lit("!")).alias("section_path"), "line", text.keywords("matched_text", 8).alias("words"))
 
 
 _WORDS_SQL = "list_filter(regexp_extract_all(lower({}), '[a-z0-9_]{{3,}}'), lambda w: w NOT IN (" + ", ".join(map(S.quoted, text.STOPWORDS)) + "))"
@@ -72,7 +72,7 @@ def _first_distinct(words: str, n: int) -> str:
 
 _PARTS_SQL = f"""parts0 AS (SELECT p_partkey AS k, {_WORDS_SQL.format("p_name || ' ' || p_type || ' ' || p_brand || ' low write read high'")} AS ws FROM part),
 parts AS (SELECT k AS segment_id, 's' || (k % 50) AS source_id, 'a' || (k % 97) AS anchor, 'Top > ' || {A._pick_sql(("Flow", "Notes", "Other", "More", "Last", "Extra"), "k")} AS section_path, 1 + k % 8 * 5 AS line_start, 2 + k % 8 * 5 AS line_end, {_first_distinct("ws", 5)} AS words FROM parts0)"""
-_FEW_SQL = f"""few0 AS (SELECT claim_id, source_id, 'a' || (record_ord % 211) AS anchor, section_path || '!' AS section_path, line, {_WORDS_SQL.format("matched_text")} AS ws FROM claims WHERE record_ord % 10 = 0),
+_FEW_SQL = f"""few0 AS (SELECT claim_id, source_id, 'a' || (record_ord % 211) AS anchor, section_path || '!' AS section_path, line, {_WORDS_SQL.format("matched_text")} AS ws FROM claims),
 few AS (SELECT * EXCLUDE (ws), {_first_distinct("ws", 8)} AS words FROM few0)"""
 
 
@@ -82,7 +82,7 @@ def claim_segment_links(spark, d):
 
 def _segments(spark, d):
     docs = A.table(spark, d, "documents")
-    return docs.select(F.col("doc_id").alias("segment_id"), F.col("source").alias("title"), F.col("lang").alias("section"), F.substring("text", 1, 40).alias("keywords"), F.col("text").alias("content"))
+    return docs.select(F.col("doc_id").alias("segment_id"), F.col("source").alias("title"), F.col("lang").alias("section"), F.concat_ws(" ", "source", "lang").alias("keywords"), F.col("text").alias("content"))
 
 
 def full_text_search(spark, d):
@@ -123,7 +123,7 @@ def graph_best_paths(spark, d):
 
 
 def graph_closure(spark, d):
-    return G.closure(_edges(spark, d).where("src % 7 = 1"), 6)
+    return G.closure(_edges(spark, d), 6)
 
 
 def graph_edge_merge(spark, d):
@@ -131,13 +131,13 @@ def graph_edge_merge(spark, d):
 
 
 def scope_groups(spark, d):
-    """Sources reachable from s7 over claims with one subject and value."""
-    c = A.claims(spark, d).where("record_ord % 97 < 3").select(F.concat_ws(":", "subject_key", "normalized_value").alias("claim_id"), F.col("source_id").alias("key"))
+    """Sources reachable from s7 over claims of one subject, value, title and line."""
+    c = A.claims(spark, d).select(F.concat_ws(":", "subject_key", "normalized_value", "title", "line").alias("claim_id"), F.col("source_id").alias("key"))
     return G.reachable_groups(c, spark.range(1).select(F.lit("s7").alias("key")))
 
 
 QUERIES = {f.__name__: f for f in (finding_links, finding_root_causes, similar_pairs, claim_segment_links, full_text_search, snippets, graph_expand, graph_best_paths, graph_closure, graph_edge_merge, scope_groups)}
-_SEARCH = """WITH seg AS (SELECT doc_id AS segment_id, source AS title, lang AS section, substr(text, 1, 40) AS keywords, text AS content FROM documents),
+_SEARCH = """WITH seg AS (SELECT doc_id AS segment_id, source AS title, lang AS section, source || ' ' || lang AS keywords, text AS content FROM documents),
 term AS (SELECT segment_id, unnest(regexp_extract_all(lower(title), '[a-z0-9_]{2,}')) AS term, 4.0::DOUBLE AS w FROM seg UNION ALL SELECT segment_id, unnest(regexp_extract_all(lower(section), '[a-z0-9_]{2,}')), 2.0::DOUBLE FROM seg
   UNION ALL SELECT segment_id, unnest(regexp_extract_all(lower(keywords), '[a-z0-9_]{2,}')), 1.0::DOUBLE FROM seg UNION ALL SELECT segment_id, unnest(regexp_extract_all(lower(content), '[a-z0-9_]{2,}')), 1.0::DOUBLE FROM seg),
 posted AS (SELECT segment_id, term, sum(w) AS tf, count(*) AS n FROM term GROUP BY ALL),
@@ -172,7 +172,7 @@ SELECT finding_id, segment_id, score, CAST(row_number() OVER (PARTITION BY findi
     "graph_best_paths": f"""WITH RECURSIVE {_EDGES_SQL}, arc AS (SELECT src, dst, max(greatest({G.FLOOR}, confidence * CASE relation {' '.join(f"WHEN '{k}' THEN {v}" for k, v in G.STRENGTH.items())} ELSE 0.5 END)::DOUBLE) AS s FROM edge GROUP BY ALL),
 r(seed, node, score, hops) AS (SELECT x, x, 1.0::DOUBLE, 0 FROM (SELECT unnest([0, 70, 140])::BIGINT AS x) UNION ALL SELECT seed, dst, score * s, hops + 1 FROM r JOIN arc ON r.node = arc.src WHERE hops < 3)
 SELECT seed, node, round(score, 9) AS score, hops FROM r QUALIFY row_number() OVER (PARTITION BY seed, node ORDER BY round(score, 12) DESC, hops) = 1""",
-    "graph_closure": f"WITH RECURSIVE {_EDGES_SQL}, e AS (SELECT DISTINCT src, dst FROM edge WHERE src % 7 = 1), r(src, dst, n) AS (SELECT src, dst, 1 FROM e UNION SELECT r.src, e.dst, n + 1 FROM r JOIN e ON r.dst = e.src WHERE n < 6) SELECT DISTINCT src, dst FROM r",
+    "graph_closure": f"WITH RECURSIVE {_EDGES_SQL}, e AS (SELECT DISTINCT src, dst FROM edge), r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT DISTINCT src, dst FROM r",
     "graph_edge_merge": f"WITH {_EDGES_SQL} SELECT src, dst, max(confidence) AS strength, bool_or(write_relevant) AS write_relevant, ['none', 'truth_only', 'delta_only', 'both'][bit_or(CASE mode WHEN 'truth_only' THEN 1 WHEN 'delta_only' THEN 2 WHEN 'both' THEN 3 ELSE 0 END) + 1] AS mode FROM edge GROUP BY ALL",
-    "scope_groups": f"WITH RECURSIVE {A.CLAIMS_SQL}, m AS (SELECT DISTINCT subject_key || ':' || normalized_value AS k, source_id FROM claims WHERE record_ord % 97 < 3), r(key) AS (SELECT 's7' UNION SELECT b.source_id FROM r JOIN m a ON a.source_id = r.key JOIN m b USING (k)) SELECT key FROM r",
+    "scope_groups": f"WITH RECURSIVE {A.CLAIMS_SQL}, m AS (SELECT DISTINCT subject_key || ':' || normalized_value || ':' || title || ':' || line AS k, source_id FROM claims), r(key) AS (SELECT 's7' UNION SELECT b.source_id FROM r JOIN m a ON a.source_id = r.key JOIN m b USING (k)) SELECT key FROM r",
 }

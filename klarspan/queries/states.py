@@ -11,10 +11,6 @@ from klarspan.operators import state as Z
 from klarspan.queries import sql as S
 
 
-def _some(spark, d):
-    return A.claims(spark, d).where("record_ord % 40 = 0")
-
-
 def inherited_truths(spark, d):
     return Z.inherited_truths(A.truths(spark), "run2")
 
@@ -24,18 +20,18 @@ def derived_truths(spark, d):
 
 
 def replaced_claims(spark, d):
-    changes = A.claims(spark, d).where("record_ord % 11 = 0").select("fingerprint", F.concat(F.lit("new "), "claim_id").alias("normalized_value"), F.col("record_ord").alias("ord"))
+    changes = A.claims(spark, d).where("source_authority = 'confirmed_decision'").select("fingerprint", F.concat(F.lit("new "), "claim_id").alias("normalized_value"), F.col("record_ord").alias("ord"))
     return Z.replaced(A.claims(spark, d), changes).select("record_ord", "normalized_value")
 
 
 def rehydrated_claims(spark, d):
-    cached = A.claims(spark, d).withColumn("line", F.when((F.col("record_ord") % 997 != 5), F.col("line"))).withColumn("source_id", F.concat_ws(":", "source_id", "source_type"))
-    docs = cached.where("source_id < 's3'").select("source_id")
+    cached = A.claims(spark, d).withColumn("line", F.when(F.col("assertion_status") != "excluded", F.col("line"))).withColumn("source_id", F.concat_ws(":", "source_id", "subject_key"))
+    docs = cached.where("source_type = 'github_file'").select("source_id")
     return Z.rehydrated(cached, docs).select("record_ord", "source_id")
 
 
 def impacted_packages(spark, d):
-    members = A.claims(spark, d).where("record_ord % 9 = 0").select(semantics.scope_key(F.col("subject_key")).alias("package"), F.concat_ws(":", "source_id", "normalized_value").alias("key"))
+    members = A.claims(spark, d).select(semantics.scope_key(F.col("subject_key")).alias("package"), F.concat_ws(":", "source_id", "normalized_value", "line").alias("key"))
     return Z.impacted_packages(members, F.col("package") == "BSM.process")
 
 
@@ -69,7 +65,7 @@ def path_baselines(spark, d):
 
 
 def semantic_relations(spark, d):
-    return G.relations(_some(spark, d), A.truths(spark))
+    return G.relations(A.claims(spark, d), A.truths(spark))
 
 
 def causal_edges(spark, d):
@@ -120,7 +116,7 @@ def dashboard(spark, d):
 def cross_references(spark, d):
     """Pages and the claims that name them: by the same source id, or by a title that contains the page's."""
     pages = spark.createDataFrame([("s1", "legacy"), ("s2", "target"), ("s3", "zzz"), ("s99", "notes")], "page string, title string")
-    c = A.claims(spark, d).where("record_ord % 30 = 0").select("claim_id", "source_id", F.lower("title").alias("t"))
+    c = A.claims(spark, d).select("claim_id", "source_id", F.lower("title").alias("t"))
     same = c.join(pages, c.source_id == pages.page).select("page", "claim_id")
     named = c.join(F.broadcast(pages), F.contains("t", F.col("title"))).select("page", "claim_id")  # a constant of four pages
     return same.union(named).groupBy("page").agg(F.count_distinct("claim_id").alias("n"))
@@ -153,8 +149,8 @@ def coverage_summary(spark, d):
 QUERIES = {f.__name__: f for f in (inherited_truths, derived_truths, replaced_claims, rehydrated_claims, impacted_packages, approval_states, next_run, go_live_gate, comment_statements, path_baselines, semantic_relations, causal_edges, truth_frames, causal_attribution, schema_validation, model_claims, dashboard, cross_references, completed_facts, uncached_vectors, usage_totals, coverage_summary)}
 _W = f"WITH RECURSIVE {A.CLAIMS_SQL}"
 _SCOPE = S.scope("subject_key")
-_REL = _W + f""", rel0 AS (SELECT 'subject:' || subject_key AS src, 'scope:' || {_SCOPE} AS dst, 'belongs_to' AS relation, 1.0::DOUBLE AS confidence FROM claims WHERE record_ord % 40 = 0
- UNION ALL SELECT 'source:' || source_id, 'subject:' || subject_key, CASE source_type WHEN 'github_file' THEN 'implements' WHEN 'metamodel' THEN 'stated_by' ELSE 'documents' END, confidence FROM claims WHERE record_ord % 40 = 0
+_REL = _W + f""", rel0 AS (SELECT 'subject:' || subject_key AS src, 'scope:' || {_SCOPE} AS dst, 'belongs_to' AS relation, 1.0::DOUBLE AS confidence FROM claims
+ UNION ALL SELECT 'source:' || source_id, 'subject:' || subject_key, CASE source_type WHEN 'github_file' THEN 'implements' WHEN 'metamodel' THEN 'stated_by' ELSE 'documents' END, confidence FROM claims
  UNION ALL SELECT 'truth:' || canonical_key, 'subject:' || subject_key, 'truth_on', 1.0 FROM truths WHERE truth_status = 'active'), rel AS (SELECT src, dst, relation, max(confidence) AS confidence FROM rel0 GROUP BY ALL)"""
 _EDGE = _REL + f""", rule(relation, edge_type, way, points, mode) AS (VALUES {", ".join(str(r) for r in G.EDGE_RULES)}), edge AS (SELECT CASE WHEN way = 1 THEN src ELSE dst END AS src, CASE WHEN way = 1 THEN dst ELSE src END AS dst, edge_type, mode, round(confidence * points / 100, 6) AS strength FROM rel JOIN rule USING (relation))"""
 _SLUG = S.slug
@@ -162,9 +158,9 @@ _PP = "p AS (SELECT 'k' || (p_partkey % 40) AS subject_key, p_partkey AS id, ['s
 ORACLES = {
     "inherited_truths": _W + " SELECT left(sha256('run2|' || canonical_key), 16) AS truth_id, canonical_key, subject_key, predicate, normalized_value, pending_delta_recalculation AS retrigger, false AS pending FROM truths WHERE truth_status = 'active'",
     "derived_truths": _W + ", a AS (SELECT subject_key, predicate, normalized_value, source_kind FROM truths WHERE truth_status = 'active' AND truth_ord <> 4) SELECT * FROM a UNION ALL SELECT subject_key, predicate, arg_min(normalized_value, record_ord), 'system_inference' FROM claims WHERE subject_key = 'BSM.process' AND predicate = 'phase_count' AND NOT EXISTS (SELECT 1 FROM a WHERE a.subject_key = 'BSM.process' AND a.predicate = 'phase_count') GROUP BY 1, 2",
-    "replaced_claims": _W + ", ch AS (SELECT fingerprint, arg_max('new ' || claim_id, record_ord) AS nv FROM claims WHERE record_ord % 11 = 0 GROUP BY 1) SELECT record_ord, coalesce(nv, normalized_value) AS normalized_value FROM claims LEFT JOIN ch USING (fingerprint)",
-    "rehydrated_claims": _W + ", c AS (SELECT record_ord, source_id || ':' || source_type AS source_id, record_ord % 997 <> 5 AS good FROM claims) SELECT record_ord, source_id FROM c WHERE source_id < 's3' AND source_id NOT IN (SELECT source_id FROM c WHERE NOT good)",
-    "impacted_packages": _W + f", m AS (SELECT {_SCOPE} AS package, source_id || ':' || normalized_value AS key FROM claims WHERE record_ord % 9 = 0) SELECT DISTINCT package FROM m WHERE package <> 'BSM.process' AND key IN (SELECT key FROM m WHERE package = 'BSM.process')",
+    "replaced_claims": _W + ", ch AS (SELECT fingerprint, arg_max('new ' || claim_id, record_ord) AS nv FROM claims WHERE source_authority = 'confirmed_decision' GROUP BY 1) SELECT record_ord, coalesce(nv, normalized_value) AS normalized_value FROM claims LEFT JOIN ch USING (fingerprint)",
+    "rehydrated_claims": _W + ", c AS (SELECT record_ord, source_type, source_id || ':' || subject_key AS source_id, assertion_status <> 'excluded' AS good FROM claims) SELECT record_ord, source_id FROM c WHERE source_id IN (SELECT source_id FROM c WHERE source_type = 'github_file') AND source_id NOT IN (SELECT source_id FROM c WHERE NOT good)",
+    "impacted_packages": _W + f", m AS (SELECT {_SCOPE} AS package, source_id || ':' || normalized_value || ':' || line AS key FROM claims) SELECT DISTINCT package FROM m WHERE package <> 'BSM.process' AND key IN (SELECT key FROM m WHERE package = 'BSM.process')",
     "approval_states": f"""WITH e AS (SELECT user_id % 400 AS request_id, event_id AS ord, {A._pick_sql(("requested", "approved", "requested", "executed", "rejected", "cancelled", "requested"), "event_id // 3")} AS action FROM events),
 g AS (SELECT request_id, {", ".join(f"min(ord) FILTER (WHERE action = '{a}') AS {a}" for a in ("requested", "approved", "rejected", "cancelled", "executed"))} FROM e GROUP BY 1), s AS (SELECT *, least(approved, rejected, cancelled) AS decided FROM g WHERE requested IS NOT NULL)
 SELECT request_id, CASE WHEN decided IS NULL THEN 'pending' WHEN decided = rejected THEN 'rejected' WHEN decided = cancelled THEN 'cancelled' WHEN executed > approved THEN 'executed' ELSE 'approved' END AS state FROM s""",
@@ -182,7 +178,7 @@ s AS (SELECT claim, CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.name = t.name AND
 SELECT claim, confirmed, observed_only, unconfirmed, CASE WHEN confirmed = n THEN 'confirmed' WHEN unconfirmed = n THEN 'unconfirmed' WHEN observed_only = n THEN 'observed_only' WHEN unconfirmed > 0 THEN 'partly_unconfirmed' ELSE 'mixed' END AS verdict FROM g""",
     "model_claims": f"SELECT 'BSM.process' AS subject_key, 'phase_count' AS predicate, CAST(count(*) AS VARCHAR) AS value FROM region UNION ALL SELECT 'BSM.phase.' || {_SLUG('r_name')}, 'phase_order', CAST(r_regionkey AS VARCHAR) FROM region UNION ALL SELECT 'BSM.phase.' || {_SLUG('r_name')} || '.question.' || {_SLUG('n_name')}, 'question_reference', n_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'BSM.phase.' || {_SLUG('r_name')}, 'question_count', CAST(count(*) AS VARCHAR) FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
     "dashboard": "WITH g AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY n DESC, o_orderpriority) AS INT) AS place FROM g QUALIFY place <= 3",
-    "cross_references": _W + ", page(page, title) AS (VALUES ('s1', 'legacy'), ('s2', 'target'), ('s3', 'zzz'), ('s99', 'notes')) SELECT page, count(DISTINCT claim_id) AS n FROM page JOIN claims c ON c.source_id = page.page OR contains(lower(c.title), page.title) WHERE record_ord % 30 = 0 GROUP BY 1",
+    "cross_references": _W + ", page(page, title) AS (VALUES ('s1', 'legacy'), ('s2', 'target'), ('s3', 'zzz'), ('s99', 'notes')) SELECT page, count(DISTINCT claim_id) AS n FROM page JOIN claims c ON c.source_id = page.page OR contains(lower(c.title), page.title) GROUP BY 1",
     "completed_facts": "SELECT o_orderdate, count(*) AS facts, count(DISTINCT l_orderkey) AS runs FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1",
     "uncached_vectors": "WITH h AS (SELECT doc_id, md5(coalesce(text, '')) AS h FROM documents) SELECT doc_id FROM h WHERE h NOT IN (SELECT h FROM h WHERE doc_id % 3 = 0)",
     "usage_totals": "SELECT event_type, CAST(sum(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS tokens, count(*) AS calls, count(*) FILTER (WHERE TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NULL) AS unknown FROM events GROUP BY 1",

@@ -16,8 +16,8 @@ from klarspan.streaming import deltas
 
 
 def _line_docs(spark, d):
-    """A document a source: its claims as lines, every fifth of a hundred a heading."""
-    c = A.claims(spark, d).where("record_ord % 20 = 0")
+    """A document a source: its claims as lines, or as a heading where the key is a hundred's multiple."""
+    c = A.claims(spark, d)
     line = F.when(F.col("record_ord") % 100 == 0, F.concat(F.lit("# "), "title")).otherwise(F.concat(F.lit("`"), F.substring_index("subject_key", ".", 1), F.lit("` "), "matched_text"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("record_ord", line.alias("line")))), lambda x: x["line"])
     return c.groupBy("source_id").agg(F.array_join(lines, "\n").alias("text")).select(F.col("source_id").alias("doc_id"), F.lit("Doc").alias("title"), "text")
@@ -36,7 +36,7 @@ def role_conflicts(spark, d):
 
 
 def documentation_gaps(spark, d):
-    return X.documentation_gaps(A.claims(spark, d).where("record_ord % 53 = 0"))
+    return X.documentation_gaps(A.claims(spark, d).withColumn("subject_key", F.concat_ws(".", "source_id", "predicate", "normalized_value")))
 
 
 def _events(spark, d):
@@ -90,9 +90,9 @@ def deep_run(spark, d):
 
 
 def delta_run(spark, d):
-    before = runs.deep_run(A.previous_claims(spark, d).where("record_ord % 3 = 0"), A.truths(spark)).findings
-    now = A.claims(spark, d).where("record_ord % 3 = 0")
-    r = runs.delta_run(now, C.deduplicated(A.previous_claims(spark, d).where("record_ord % 3 = 0")), before, A.truths(spark))
+    before = runs.deep_run(A.previous_claims(spark, d), A.truths(spark)).findings
+    now = A.claims(spark, d)
+    r = runs.delta_run(now, C.deduplicated(A.previous_claims(spark, d)), before, A.truths(spark))
     return r.findings.groupBy("category", "severity").agg(F.count("*").alias("n"))
 
 
@@ -115,7 +115,7 @@ _HINT = "CASE " + " ".join(f"WHEN contains(lower(line), '{w}') THEN '{n}'" for w
 _EVENTS = f"e AS (SELECT 'f' || (user_id % 60) AS source_id, 'fn' || (event_id % 9) AS func, CAST(event_id % 900 AS INT) AS line, {A._pick_sql(('entity', 'write', 'persist', 'enqueue', 'call'), 'event_id // 7')} AS kind FROM events)"
 _WORDS = "list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]{3,}'), lambda w: w NOT IN (" + ", ".join(map(S.quoted, text.STOPWORDS)) + "))"
 ORACLES = {
-    "document_claims": _WITH + f""", l AS (SELECT source_id AS doc_id, record_ord, title, record_ord % 100 = 0 AS head, row_number() OVER (PARTITION BY source_id ORDER BY record_ord) AS line_no, '`' || split_part(subject_key, '.', 1) || '` ' || matched_text AS line FROM claims WHERE record_ord % 20 = 0),
+    "document_claims": _WITH + f""", l AS (SELECT source_id AS doc_id, record_ord, title, record_ord % 100 = 0 AS head, row_number() OVER (PARTITION BY source_id ORDER BY record_ord) AS line_no, '`' || split_part(subject_key, '.', 1) || '` ' || matched_text AS line FROM claims),
 s AS (SELECT *, last_value(CASE WHEN head THEN title END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS section FROM l),
 x AS (SELECT *, coalesce(nullif(regexp_extract(line, '`([A-Za-z][A-Za-z0-9_.-]{{2,}})`', 1), ''), {_HINT}, nullif(regexp_extract(line, '\\b([A-Z][A-Za-z0-9_]{{2,}})\\b', 1), ''), 'Doc') AS subject FROM s WHERE NOT head)
 {" UNION ALL ".join(f"SELECT doc_id, CAST(line_no AS INT) AS line_no, subject || '.{a}' AS subject_key, 'documented_{n}' AS predicate, left(trim(regexp_replace(line, '\\s+', ' ', 'g')), 180) AS value, CASE WHEN section IS NULL THEN 'Doc' ELSE 'Doc > ' || section END AS section_path FROM x WHERE regexp_matches(line, {_RX(p)}, 'i')" for a, n, p in X.ASPECTS)}""",
@@ -124,7 +124,7 @@ v AS (SELECT subject_key, concept, value, CAST(sum(w) AS BIGINT) AS weight, coun
 SELECT subject_key, concept, arg_max(value, (weight, n, value)) AS majority, max(weight) AS weight, count(*) AS n_values FROM v GROUP BY subject_key, concept HAVING count(*) > 1""",
     "role_conflicts": _WITH + f""", c AS (SELECT *, source_type = 'metamodel' AS ex, {S.contains_any('lower(normalized_value)', X.NEGATIVE)} AS ng, {S.contains_any('lower(normalized_value)', X.POSITIVE)} AS ps FROM claims),
 g AS (SELECT subject_key, count(DISTINCT source_id) AS n_sources, count(*) FILTER (WHERE NOT ex AND ng) AS negative, count(*) FILTER (WHERE ex OR (NOT ng AND ps)) AS positive FROM c GROUP BY 1) SELECT * FROM g WHERE n_sources >= 2 AND negative > 0 AND positive > 0""",
-    "documentation_gaps": _WITH + """, u AS (SELECT *, split_part(subject_key, '.', 1) AS root FROM claims WHERE record_ord % 53 = 0 AND source_authority <> 'historical' AND assertion_status <> 'secondary_only'), docs AS (SELECT * FROM u WHERE source_type <> 'github_file'),
+    "documentation_gaps": _WITH + """, k AS (SELECT * REPLACE (source_id || '.' || predicate || '.' || normalized_value AS subject_key) FROM claims), u AS (SELECT *, split_part(subject_key, '.', 1) AS root FROM k WHERE source_authority <> 'historical' AND assertion_status <> 'secondary_only'), docs AS (SELECT * FROM u WHERE source_type <> 'github_file'),
 code AS (SELECT *, root IN (SELECT root FROM docs) AS known FROM u WHERE source_type = 'github_file' AND subject_key NOT IN (SELECT subject_key FROM docs)),
 g AS (SELECT CASE WHEN known AND subject_key <> root THEN subject_key ELSE root END AS scope, count(*) AS n_claims, CASE WHEN bool_or(regexp_matches(predicate, 'policy|approval')) THEN 'policy' WHEN bool_or(regexp_matches(predicate, 'lifecycle|review_status')) THEN 'lifecycle' WHEN bool_or(starts_with(subject_key, 'BSM.phase') OR starts_with(subject_key, 'BSM.process')) THEN 'process' ELSE 'entity' END AS gap_type, bool_or(known) AS root_documented FROM code GROUP BY 1)
 SELECT * FROM g WHERE n_claims >= CASE WHEN contains(scope, '.') AND root_documented THEN 1 ELSE 2 END""",
