@@ -171,7 +171,8 @@ def _examples(n: int = N_EXAMPLES) -> list[tuple[str, int]]:
         o, e = rng.choice(["()", "[]", "{}"])
         s = rng.choice(["", " "])
         end = rng.choice(["com", "org", "net", "de", "fr", "io", "edu"]) if good else rng.choice(["1", "22", "x", "7"])
-        return f"{a}.{d(2)}{s}{o}at{e}{s}{b}{s}{rng.choice([f'{o}dot{e}', '.'])}{s}{end}" if good else f"{a} {o}at{e} {c}.{end}"
+        local = rng.choice([a, f"{a}.{d(2)}", f"{a}_{c}"])
+        return f"{local}{s}{o}at{e}{s}{b}{s}{rng.choice([f'{o}dot{e}', '.'])}{s}{end}" if good else f"{local}{s}{o}at{e}{s}{c}.{end}"
 
     out = []
     for i in range(n):
@@ -246,7 +247,7 @@ PRECISION = 0.98
 @functools.lru_cache(maxsize=1)
 def _fitted(rows: tuple) -> tuple[Trees, tuple[float, float], tuple[float, ...]]:
     """Trees, their calibration (probability = sigmoid(a * score + b)) and each kind's threshold of probability, the
-    lowest that keeps PRECISION on the examples held out from the trees."""
+    lowest of at least one half that keeps PRECISION on the examples held out from the trees."""
     data = np.array(rows)
     x, y, fold = data[:, 2:], data[:, 1], data[:, 0]
     trees = Trees().fit(x[fold != 0], y[fold != 0])
@@ -263,7 +264,7 @@ def _fitted(rows: tuple) -> tuple[Trees, tuple[float, float], tuple[float, ...]]
     for kind in range(len(KINDS)):
         mine = x[fold == 0][:, 0] == kind
         good = [t for t in np.unique(p[mine]) if truth[mine & (p >= t)].mean() >= PRECISION]
-        limits.append(float(min(good)) if good else 2.0)
+        limits.append(max(0.5, float(min(good))) if good else 2.0)
     return trees, (float(a), float(b)), tuple(limits)
 
 
