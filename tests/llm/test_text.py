@@ -79,7 +79,7 @@ def test_pii_trees_match_their_columns(spark):
 
 def test_licenses(spark):
     mit = next(t for n, t in licenses.TEMPLATES if n == "MIT")
-    texts = [None, "", "x", "hello\nReleased under the MIT License.\nbye", mit, "intro\n\n" + mit.replace(". ", ".\n") + "\n \nmore words here", mit.upper().replace("SOFTWARE", "PROGRAM", 1), "This is not about licences at all", "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License", mit + " word" * 400]
+    texts = [None, "", "x", "hello\nReleased under the MIT License.\nbye", mit, "intro\n\n" + mit.replace(". ", ".\n") + "\n \nmore words here", mit.upper().replace("SOFTWARE", "PROGRAM", 1), "This is not about licences at all", "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License", mit + "".join(f" word{i}" for i in range(400))]
     docs = spark.createDataFrame([*enumerate(texts), (3, texts[3]), (None, texts[3])], "doc_id long, text string").withColumn("license", F.lit("clash"))
     got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
     assert [got[i].license for i in range(10)] == [None, None, None, "MIT", "MIT", "MIT", "MIT", None, "Apache-2.0", None]
@@ -127,4 +127,4 @@ def test_mixing(spark):
     n = many.count()
     assert abs(n - 60 * 4000) < 6000 and {r["source"] for r in many.select("source").distinct().collect()} == {"b"}
     assert mixing.mix_sources(docs.limit(0), {"b": 1.0}).count() == 0
-    assert mixing.mix_sources(docs, {"none": 1.0}).count() == 0
+    assert abs(mixing.mix_sources(docs, {"none": 1.0}).count() - 4000) < 300  # a weight without documents is ignored
