@@ -172,7 +172,7 @@ SELECT finding_id, segment_id, score, CAST(row_number() OVER (PARTITION BY findi
     "graph_best_paths": f"""WITH RECURSIVE {_EDGES_SQL}, arc AS (SELECT src, dst, max(greatest({G.FLOOR}, confidence * CASE relation {' '.join(f"WHEN '{k}' THEN {v}" for k, v in G.STRENGTH.items())} ELSE 0.5 END)::DOUBLE) AS s FROM edge GROUP BY ALL),
 r(seed, node, score, hops) AS (SELECT x, x, 1.0::DOUBLE, 0 FROM (SELECT unnest([0, 70, 140])::BIGINT AS x) UNION ALL SELECT seed, dst, score * s, hops + 1 FROM r JOIN arc ON r.node = arc.src WHERE hops < 3)
 SELECT seed, node, round(score, 9) AS score, hops FROM r QUALIFY row_number() OVER (PARTITION BY seed, node ORDER BY round(score, 12) DESC, hops) = 1""",
-    "graph_closure": f"WITH RECURSIVE {_EDGES_SQL}, e AS (SELECT DISTINCT src, dst FROM edge), r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT DISTINCT src, dst FROM r",
+    "graph_closure": f"WITH RECURSIVE {_EDGES_SQL}, e AS (SELECT DISTINCT src, dst FROM edge), r(src, dst, n) AS (SELECT src, dst, 1 FROM e UNION SELECT r.src, e.dst, n + 1 FROM r JOIN e ON r.dst = e.src WHERE n < 6) SELECT DISTINCT src, dst FROM r",
     "graph_edge_merge": f"WITH {_EDGES_SQL} SELECT src, dst, max(confidence) AS strength, bool_or(write_relevant) AS write_relevant, ['none', 'truth_only', 'delta_only', 'both'][bit_or(CASE mode WHEN 'truth_only' THEN 1 WHEN 'delta_only' THEN 2 WHEN 'both' THEN 3 ELSE 0 END) + 1] AS mode FROM edge GROUP BY ALL",
     "scope_groups": f"WITH RECURSIVE {A.CLAIMS_SQL}, m AS (SELECT DISTINCT subject_key || ':' || normalized_value || ':' || title || ':' || line AS k, source_id FROM claims), r(key) AS (SELECT 's7' UNION SELECT b.source_id FROM r JOIN m a ON a.source_id = r.key JOIN m b USING (k)) SELECT key FROM r",
 }
