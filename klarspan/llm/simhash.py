@@ -293,30 +293,43 @@ def simhash_dedup(docs: DataFrame, size: int = 4, radius: int = 4, first_bits: i
 LANES = 8
 #: A signature's slices, each a fingerprint of its own, and their bits.
 TABLES, WIDTH = 12, 40
-#: Standard deviations around a similarity's expected distance within which a signature leaves a pair in doubt.
+#: Standard deviations over a similarity's expected distance up to which a pair that met in a slice is tested at once;
+#: the exact round judges the others.
 SLACK = 2.6
 #: Texts in doubt whose keys are broadcast; more meet in a shuffled join.
 MOST_KEYS = 200_000
 
 
-def signature(text: bytes, size: int = 5) -> np.ndarray:
-    """LANES fingerprints of the text, each by another hash of its shingles."""
+def shingle_hashes(text: bytes, size: int) -> np.ndarray:
+    """The text's distinct shingles as sorted 64-bit hashes; fewer words than ``size`` are one shingle."""
     words = text.lower().split()
+    parts = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64))
+
+
+def signature(text: bytes, size: int = 5) -> np.ndarray:
+    """LANES fingerprints of the text, each by another hash of its distinct shingles."""
+    return _signed(shingle_hashes(text, size))
+
+
+def _signed(hashes: np.ndarray) -> np.ndarray:
     out = np.zeros(LANES, np.uint64)
-    if not words:
-        return out
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else [b" ".join(words)]
-    n = max(1, len(words) - size + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
     for lane in range(LANES):
         counts = np.zeros(2048, np.int64)
-        for at in range(0, n, 1_000_000):
+        for at in range(0, len(hashes), 1_000_000):
             mixed = C.mix(hashes[at : at + 1_000_000] + np.uint64((lane * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
             counts += np.bincount((mixed.view(np.uint8).reshape(-1, 8) + _LANES).ravel(), minlength=2048)
-        out[lane] = np.packbits(2 * (counts.reshape(8, 256) @ _BITS).ravel() > n, bitorder="little").view("<u8")[0]
+        out[lane] = np.packbits(2 * (counts.reshape(8, 256) @ _BITS).ravel() > len(hashes), bitorder="little").view("<u8")[0]
     return out
 
 
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    """64 * LANES bits, each whether an odd number of the hashes falls on it. Two sets' parities differ in at most as
+    many bits as the sets in members."""
+    odd = np.bincount((hashes & np.uint64(64 * LANES - 1)).astype(np.int64), minlength=64 * LANES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8").astype(np.uint64)
+
+
 def expected_bits(similarity: float, slack: float, bits: int = 64 * LANES) -> int:
     """Bits in which signatures of texts of a Jaccard similarity differ, plus slack standard deviations."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
@@ -352,23 +365,16 @@ def _shingle_sets(texts: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = []
-            for x in b["text"]:
-                words = x.as_buffer().to_pybytes().lower().split()
-                parts = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else [b" ".join(words)]
-                rows.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64)).view(np.int64))
+            rows = [shingle_hashes(x.as_buffer().to_pybytes(), size).view(np.int64) for x in b["text"]]
             yield pa.RecordBatch.from_arrays([b["text_md5"], pa.array(rows, pa.list_(pa.int64()))], ["text_md5", "shingles"])
 
     return texts.select("text_md5", "text").mapInArrow(run, "text_md5 string, shingles array<long>")
 
 
 def similar_links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of at least the similarity: signatures that differ clearly less or more than expected decide
-    alone, the others' texts are compared by the Jaccard similarity of their shingles."""
-    most, least = expected_bits(similarity, SLACK), expected_bits(similarity, -SLACK)
-    pairs = C.written(pairs.where(F.col("bits") <= most), "pairs")
-    doubt = pairs.where(F.col("bits") >= least).select("a", "b")
-    ends = doubt.select(F.col("a").alias("node")).union(doubt.select(F.col("b").alias("node"))).distinct()
+    """The pairs (a, b) whose texts have at least the Jaccard similarity of distinct shingles."""
+    pairs = C.written(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     keys = C.written(nodes.select("node", "text_md5").join(ends, "node"), "keys")
     wanted = keys.select("text_md5").distinct()
     of_texts = texts.join(F.broadcast(wanted) if keys.count() <= MOST_KEYS else wanted, "text_md5", "left_semi")
@@ -377,25 +383,157 @@ def similar_links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: in
     shingles = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     alike = both >= similarity * (F.size("of_a") + F.size("of_b") - both)
-    return pairs.where(F.col("bits") < least).select("a", "b").union(doubt.join(shingles("a"), "a").join(shingles("b"), "b").where(alike).select("a", "b"))
+    return pairs.join(shingles("a"), "a").join(shingles("b"), "b").where(alike).select("a", "b")
+
+
+# The exact round: pairs that no slice brought together
+
+#: Texts whose shingles are counted for the order of shingles, in expectation, and the most counts that are kept. They
+#: bear on the cost alone: prefixes find every pair under any order.
+SAMPLE, MOST_COMMON = 20_000, 200_000
+#: Rows of whole shingles handled at once in a task.
+GROUPED = 200_000
+
+
+def common_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, of shingles that several texts of a sample have, and how many."""
+    every = max(1, texts.count() // SAMPLE)
+    sample = texts.where(F.pmod(F.xxhash64("text_md5"), F.lit(every)) == 0).dropDuplicates(["text_md5"])
+    counts = _shingle_sets(sample, size).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n >= 3")
+    rows = counts.orderBy(F.desc("n"), "s").limit(MOST_COMMON).collect()
+    hashes = np.array([r["s"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.array([r["n"] for r in rows], np.int64)[order]
+
+
+def prefix_of(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The set's first hashes, rare ones first. Two sets of at least the similarity have one of these in common."""
+    known, counts = common
+    n = len(hashes)
+    count = np.zeros(n, np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        count = np.where(known[at] == hashes, counts[at], 0)
+    # a little less than the bound, so that rounding never shortens the prefix
+    return hashes[np.argsort(count, kind="stable")[: n - int(np.ceil(similarity * n - 1e-6)) + 1]]
+
+
+def _whole_groups(batches, names: list[str]):
+    """The batches' columns as arrays (lists of longs as matrices), cut where the sorted ``shingle`` changes."""
+    held: list[list[np.ndarray]] = []
+    n = 0
+
+    def column(c):
+        if pa.types.is_list(c.type):
+            return c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
+        return c.to_numpy(zero_copy_only=False)
+
+    for b in batches:
+        held.append([column(b[x]) for x in names])
+        n += b.num_rows
+        if n >= GROUPED and held[-1][0][-1] != held[0][0][0]:
+            columns = [np.concatenate(x) for x in zip(*held)]
+            cut = np.searchsorted(columns[0], columns[0][-1])
+            if cut:
+                yield [x[:cut] for x in columns]
+            held = [[x[cut:] for x in columns]]
+            n = len(held[0][0])
+    if n:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+_SHARED = "shingle long, node long, comp long, n int, pos int"
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """Rows of the shingles that nodes of several components have."""
+
+    def run(batches):
+        for columns in _whole_groups(batches, ["shingle", "node", "comp", "n", "pos"]):
+            shingle, comp = columns[0], columns[2]
+            edge = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+            mixed = np.minimum.reduceat(comp, edge) != np.maximum.reduceat(comp, edge)
+            keep = np.repeat(mixed, np.diff(np.append(edge, len(shingle))))
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["shingle", "node", "comp", "n", "pos"])
+
+    return rows.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, _SHARED)
+
+
+def _candidates(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle of their prefixes and may have the similarity, as far
+    as their sizes, the shared shingle's places and the parities tell."""
+    ratio = similarity / (1 + similarity)  # of the common shingles to both sizes' sum
+
+    def run(batches):
+        for shingle, n, node, comp, pos, parity in _whole_groups(batches, ["shingle", "n", "node", "comp", "pos", "parity"]):
+            parity = np.ascontiguousarray(parity).view(np.uint64)
+            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            found, total = [], 0
+            left, d = np.arange(len(shingle)), 0
+            while True:
+                d += 1
+                left = left[left + d < len(shingle)]
+                # sizes rise within a shingle: a row too small for the one d further is too small for all beyond
+                left = left[(shingle[left + d] == shingle[left]) & (n[left] >= similarity * n[left + d] - 1e-6)]
+                if not len(left):
+                    break
+                a = left[comp[left] != comp[left + d]]
+                need = ratio * (n[a] + n[a + d]) - 1e-6
+                a = a[np.minimum(n[a] - pos[a], n[a + d] - pos[a + d]) >= need]
+                unlike = np.bitwise_count(parity[a] ^ parity[a + d]).sum(axis=1, dtype=np.int64)
+                a = a[unlike <= (1 - 2 * ratio) * (n[a] + n[a + d]) + 1e-6]
+                if len(a):
+                    found.append(np.stack([np.minimum(node[a], node[a + d]), np.maximum(node[a], node[a + d])]))
+                    total += len(a)
+                if total > GROUPED:
+                    found, total = [np.unique(np.concatenate(found, axis=1), axis=1)], 0
+            if found:
+                pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    return rows.repartition("shingle").sortWithinPartitions("shingle", "n").mapInArrow(run, "a long, b long").distinct()
+
+
+def missed_pairs(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes (node, n, prefix, parity) that may have the similarity and that the roots (node, root) do
+    not join yet. Every such pair of at least the similarity is among them."""
+    of = nodes.select("node", "n", "prefix").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+    rows = of.select("node", "comp", "n", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "node", "comp", "n", "pos")
+    apart = C.written(_apart(rows), "apart")
+    return _candidates(apart.join(nodes.select("node", "parity"), "node"), similarity)
 
 
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents, all columns, but of each group of near copies only the one of the smallest id (null ids last,
-    then the smallest md5 of text); of repeated rows one stays."""
+    then the smallest md5 of text); of repeated rows one stays. Texts of the same distinct shingles are one node; slices
+    of signatures bring most near copies together, prefixes of shingles all others, and every link is confirmed."""
     texts = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), F.coalesce("text", F.lit("")).alias("text"))
+    common = common_shingles(texts, size)
+    longs = pa.list_(pa.int64())
 
     def run(batches):
         for b in batches:
-            sigs = [signature(x.as_buffer().to_pybytes(), size) for x in b["text"]]
-            flat = pa.array(np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_md5"], pa.ListArray.from_arrays(np.arange(0, LANES * len(sigs) + 1, LANES, dtype=np.int32), flat)], ["doc_id", "text_md5", "sig"])
-
-    prints = C.written(texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text_md5 string, sig array<long>"), "signatures")
+            node, n, sig, parity, prefix = [], [], [], [], []
+            for x in b["text"]:
+                own = shingle_hashes(x.as_buffer().to_pybytes(), size)
+                node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                n.append(len(own))
+                sig.append(_signed(own).view(np.int64))
+                parity.append(_parity(own).view(np.int64))
+                prefix.append(prefix_of(own, common, similarity).view(np.int64))
+            columns = [b["doc_id"], b["text_md5"], pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), *(pa.array(x, longs) for x in (sig, parity, prefix))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_md5", "node", "n", "sig", "parity", "prefix"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    prints = C.written(texts.mapInArrow(run, f"doc_id {kind}, text_md5 string, node long, n int, sig array<long>, parity array<long>, prefix array<long>"), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")
-    nodes = C.written(prints.groupBy(F.xxhash64("sig").alias("node")).agg(F.first("sig").alias("sig"), F.min(order).alias("first")), "nodes")
-    nodes_of = nodes.select("node", "sig", "first.text_md5")
-    roots = connected(similar_links(near_pairs(nodes_of.select("node", "sig")), nodes_of, texts, size, similarity))
+    of_set = [F.first(c).alias(c) for c in ("n", "sig", "parity", "prefix")]
+    nodes = C.written(prints.groupBy("node").agg(*of_set, F.min(order).alias("first")), "nodes")
+    keys = nodes.select("node", "first.text_md5")
+    met = near_pairs(nodes.select("node", "sig")).where(F.col("bits") <= expected_bits(similarity, SLACK)).select("a", "b")
+    links = C.written(similar_links(met, keys, texts, size, similarity), "met")
+    missed = similar_links(missed_pairs(nodes, connected(links), similarity), keys, texts, size, similarity)
+    roots = connected(links.union(missed))
     linked = nodes.select("node", "first").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     winners = C.written(linked.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("won_id"), F.col("first.text_md5").alias("won_md5")), "winners")
     marked = docs.withColumn("simhash_md5", F.md5(F.coalesce("text", F.lit(""))))
