@@ -78,7 +78,8 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
     docs = docs.select("doc_id", "text")
     sets = _template_sets(templates)
     known = np.unique(np.concatenate([g for _, g in sets])) if sets else np.zeros(0, np.uint64)
-    ratio = threshold / (2 - threshold)
+    # a little less than the bound, so that rounding never refuses a tie; the exact Dice decides
+    ratio = threshold / (2 - threshold) * (1 - 1e-9)
     least = min((ratio * len(g) for _, g in sets), default=np.inf)  # hits that any match must have
 
     def matches(grams: np.ndarray):

@@ -88,6 +88,14 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_licenses_at_the_threshold(spark):
+    body = [f"w{i}" for i in range(13)]  # 12 bigrams
+    texts = ["Released under the MIT License by Acme", "Released under the MIT License by Acme Inc", " ".join([*body, *(f"x{i}" for i in range(6))]), " ".join(body[:9]), " ".join(body[:8])]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.license, r.dice) for r in licenses.scan_licenses(docs, (*licenses.TEMPLATES, ("own", " ".join(body)))).collect()}
+    assert got == {0: ("MIT", 0.8), 1: (None, None), 2: ("own", 0.8), 3: ("own", 0.8), 4: (None, None)}
+
+
 def test_language(spark):
     rows = []
     samples = {"en": "the house and the water over there with thing", "de": "das schöne haus und der fluss über nicht straße", "fr": "la maison été où garçon être les élèves dans"}
