@@ -5,6 +5,7 @@ that spark.checkpoint.dir names, so a lost executor costs a round at most."""
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import DataFrame
@@ -54,11 +55,11 @@ def best_paths(edges: DataFrame, seeds: DataFrame, depth: int = 4) -> DataFrame:
     return best
 
 
-def closure(edges: DataFrame, depth: int = 8) -> DataFrame:
-    """(src, dst): all pairs connected by at most ``depth`` steps."""
+def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(src, dst): all pairs connected by any number of steps, or by at most ``depth``."""
     arcs = kept(edges.select("src", "dst").distinct())
     seen = frontier = arcs
-    for _ in range(depth - 1):
+    for _ in itertools.count() if depth is None else range(depth - 1):
         new = frontier.select("src", F.col("dst").alias("mid")).join(arcs.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct().join(seen, ["src", "dst"], "left_anti")
         frontier = kept(new)
         if frontier.isEmpty():

@@ -68,11 +68,11 @@ def resolved_calls(symbols: DataFrame) -> DataFrame:
     return best.select(key("name").alias("src"), key("dst_name").alias("dst")).distinct()
 
 
-def reachable_calls(symbols: DataFrame, depth: int = 8) -> DataFrame:
+def reachable_calls(symbols: DataFrame, depth: int | None = None) -> DataFrame:
     return closure(resolved_calls(symbols), depth)
 
 
-def transitive_bases(symbols: DataFrame, depth: int = 8) -> DataFrame:
+def transitive_bases(symbols: DataFrame, depth: int | None = None) -> DataFrame:
     """(src, dst): every class with all classes it descends from, by last names within a file."""
     bases = symbols.where("kind = 'base'").select(F.concat_ws(":", "source_id", F.substring_index("name", ".", -1)).alias("src"), F.concat_ws(":", "source_id", F.substring_index("target", ".", -1)).alias("dst"))
     return closure(bases, depth)

@@ -48,3 +48,11 @@ def test_tables_diagrams_and_lists(spark):
     conf = "write:\n  allow_list:\n    - Node: X\n  other: 1"
     assert [r.path for r in P.allow_list(spark.createDataFrame([("c", conf)], "doc_id string, text string")).orderBy("line_no").collect()] == ["write.allow_list", "write.allow_list.Node"]
     assert spark.range(1).select(P.missing_fields(F.array(F.lit("a")), F.array(F.lit("a"), F.lit("b"))).alias("m")).first()["m"] == ["b"]
+
+
+def test_closures_of_long_chains(spark):
+    code = "class C0: pass\n" + "".join(f"class C{i}(C{i - 1}): pass\n" for i in range(1, 11)) + "def f0(): ...\n" + "".join(f"def f{i}():\n    f{i - 1}()\n" for i in range(1, 11))
+    symbols = P.python_symbols(spark.createDataFrame([("m.py", code)], "source_id string, text string"))
+    want = lambda x: {(f"m.py:{x}{a}", f"m.py:{x}{b}") for a in range(11) for b in range(a)}
+    assert {(r.src, r.dst) for r in P.transitive_bases(symbols).collect()} == want("C")
+    assert {(r.src, r.dst) for r in P.reachable_calls(symbols).collect()} == want("f")
