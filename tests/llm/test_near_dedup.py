@@ -41,3 +41,21 @@ def test_dense_group_of_unlike_copies(spark):
             own[at] = f"n{n}k{k}"
         texts.append(" ".join(own))
     check(spark, texts)
+
+
+def test_repeated_shingles_count_once(spark):
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    line = words("line", 14)
+    texts = [" ".join(words("a", 150) + line * k) for k in (1, 20)]  # the same line once and many times
+    texts += [" ".join(words(f"own{n}x", 100) + line * 40) for n in range(12)]  # unlike texts that repeat one line
+    check(spark, texts)
+
+
+def test_short_copies(spark):
+    rng = np.random.default_rng(7)
+    texts = []
+    for n in range(150):
+        size = (8, 10, 16)[n % 3]  # 4, 6 and 12 shingles
+        base = [f"s{n}w{i}" for i in range(size)]
+        texts += [" ".join(base), " ".join([*base, *(f"t{n}w{i}" for i in range((1, 1, 3)[n % 3]))])]
+    check(spark, [texts[i] for i in rng.permutation(len(texts))])
