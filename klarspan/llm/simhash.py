@@ -29,7 +29,7 @@ STEP = 8
 #: Fingerprints of one prefix that a task expands; larger prefixes are dealt again by STEP more bits.
 MOST_ROWS = 1_000_000
 #: Which links are given.
-FOREST, MIDDLE = "forest", "middle"
+FOREST, BEST = "forest", "best"
 #: Fingerprints dealt at once in a task.
 DEAL = 50_000
 #: Variants expanded at once in a task.
@@ -146,25 +146,11 @@ def _dealt_again(rows: DataFrame, old: int, new: int, most: int) -> DataFrame:
     return rows.mapInArrow(run, DEALT)
 
 
-def _middle(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A variant halfway between fingerprints at most four bits apart: the smaller one with the upper half of the
-    differing bits, rounded up, flipped."""
-    out, left = np.minimum(a, b), a ^ b
-    for step in (1, 3):
-        top = left.copy()
-        for shift in (1, 2, 4, 8, 16, 32):
-            top |= top >> np.uint64(shift)
-        top ^= top >> np.uint64(1)
-        out = np.where(np.bitwise_count(a ^ b) >= step, out ^ top, out)
-        left = left ^ top
-    return out
-
-
 def _shared(prefix: np.ndarray, fp: np.ndarray, bits: int, masks: list[np.ndarray], how: str) -> tuple[np.ndarray, np.ndarray]:
     """Links that the variants of some whole prefixes show. In each variant's group, every fingerprint is linked to the
     one that shares most variants overall, the hub; of these links,
     FOREST: a forest that connects as much as all of them;
-    MIDDLE: all of them, each in the one prefix that holds the pair's middle."""
+    BEST: one for each fingerprint, with the neighbour that shares most variants overall."""
     fp, name = np.unique(fp, return_inverse=True)  # a fingerprint may stand under several prefixes
     left = len(masks) - 1 - np.bitwise_count(_above(fp[name], bits) ^ prefix).astype(np.int64)
     low = np.uint64((1 << (64 - bits)) - 1)
@@ -196,11 +182,10 @@ def _shared(prefix: np.ndarray, fp: np.ndarray, bits: int, masks: list[np.ndarra
         label = C.components(owner, other, len(fp))
         node = np.flatnonzero(label != np.arange(len(fp)))
         return fp[node], fp[label[node]]
-    pair = np.unique((owner * len(fp) + other)[owner != other])
-    own, hub = pair // len(fp), pair % len(fp)
-    middle = _middle(fp[own], fp[hub])
-    here = twice[np.minimum(np.searchsorted(twice, middle), len(twice) - 1)] == middle
-    return fp[own[here]], fp[hub[here]]
+    best = np.full(len(fp), len(fp), np.int64)
+    np.minimum.at(best, owner, first[variant])
+    node = np.flatnonzero(best < rank)
+    return fp[node], fp[by_rank[best[node]]]
 
 
 def _links(rows: DataFrame, bits: int, most: int, width: int, how: str) -> DataFrame:
@@ -259,7 +244,7 @@ def ball_links(prints: DataFrame, radius: int = 4, width: int = 64, how: str = F
     most = radius // 2
     n = prints.count()
     balls = lambda b: sum(map(len, _flips(b, 0, most)))
-    bits = first_bits or next(b for b in range(8, width + 1, STEP) if n * balls(b) <= (1 << b) * most_rows * 2 // 3 or b + STEP > width)
+    bits = first_bits or next(b for b in range(6, width + 1, STEP) if n * balls(b) <= (1 << b) * most_rows * 2 // 3 or b + STEP > width)
     rows = _dealt_first(prints, bits, most)
     found = []
     while True:
@@ -290,14 +275,17 @@ def simhash_dedup(docs: DataFrame, size: int = 4, radius: int = 4, first_bits: i
 
 # Near copies of a given similarity, which one fingerprint's few bits would miss
 
-LANES = 8
-#: A signature's slices, each a fingerprint of its own, and their bits.
-TABLES, WIDTH = 12, 40
-#: Standard deviations over a similarity's expected distance up to which a pair that met in a slice is tested at once;
+#: A signature's fingerprints, each by another hash of the shingles, and how many of their bits are a table's key.
+TABLES, WIDTH = 8, 48
+#: Standard deviations over a similarity's expected distance up to which a pair that met in a table is tested at once;
 #: the exact round judges the others.
 SLACK = 2.6
-#: Texts in doubt whose keys are broadcast; more meet in a shuffled join.
+#: Keys of texts that are broadcast; more meet in a shuffled join.
 MOST_KEYS = 200_000
+#: Words of a set's parity.
+PARITY = 2
+_SIGNED = [f"s{i}" for i in range(TABLES)]
+_PARITY = [f"p{i}" for i in range(PARITY)]
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -307,14 +295,19 @@ def shingle_hashes(text: bytes, size: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64))
 
 
+def node_of(hashes: np.ndarray) -> int:
+    """An even 64-bit name of a set."""
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) & ~1
+
+
 def signature(text: bytes, size: int = 5) -> np.ndarray:
-    """LANES fingerprints of the text, each by another hash of its distinct shingles."""
+    """TABLES fingerprints of the text, each by another hash of its distinct shingles."""
     return _signed(shingle_hashes(text, size))
 
 
 def _signed(hashes: np.ndarray) -> np.ndarray:
-    out = np.zeros(LANES, np.uint64)
-    for lane in range(LANES):
+    out = np.zeros(TABLES, np.uint64)
+    for lane in range(TABLES):
         counts = np.zeros(2048, np.int64)
         for at in range(0, len(hashes), 1_000_000):
             mixed = C.mix(hashes[at : at + 1_000_000] + np.uint64((lane * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
@@ -324,69 +317,56 @@ def _signed(hashes: np.ndarray) -> np.ndarray:
 
 
 def _parity(hashes: np.ndarray) -> np.ndarray:
-    """64 * LANES bits, each whether an odd number of the hashes falls on it. Two sets' parities differ in at most as
+    """64 * PARITY bits, each whether an odd number of the hashes falls on it. Two sets' parities differ in at most as
     many bits as the sets in members."""
-    odd = np.bincount((hashes & np.uint64(64 * LANES - 1)).astype(np.int64), minlength=64 * LANES) & 1
+    odd = np.bincount((hashes & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8").astype(np.uint64)
 
 
-def expected_bits(similarity: float, slack: float, bits: int = 64 * LANES) -> int:
+def expected_bits(similarity: float, slack: float, bits: int = 64 * TABLES) -> int:
     """Bits in which signatures of texts of a Jaccard similarity differ, plus slack standard deviations."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     return int(bits * share + slack * np.sqrt(bits * share * (1 - share)))
 
 
-def near_pairs(signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows (node, sig) that meet in a slice of their signatures, with the bits in which the whole
-    signatures differ. Each slice is dealt by ball hashing (radius 4)."""
-    words = [F.get("sig", i) for i in range(LANES)]
+def near_pairs(nodes: DataFrame, most_bits: int) -> DataFrame:
+    """Pairs (a, b) of nodes (node, s0, s1, ...) whose signatures differ in at most ``most_bits`` bits, of those that meet
+    in a table: each table is dealt by ball hashing (radius 4), and a fingerprint is paired with its best neighbour."""
     mask = F.lit(-1 << (64 - WIDTH)).cast("long")
-
-    def slice_(t: int):
-        word, off = divmod(t * WIDTH, 64)
-        high = F.shiftleft(words[word], off) if off else words[word]
-        value = high.bitwiseOR(F.shiftrightunsigned(words[word + 1], 64 - off)) if off + WIDTH > 64 else high
-        return value.bitwiseAND(mask).bitwiseOR(F.lit(t).cast("long"))  # the slice's number fills low bits, which never flip
-
-    prints = signed.select("node", F.explode(F.array(*map(slice_, range(TABLES)))).alias("fp"))
-    firsts = C.written(prints.groupBy("fp").agg(F.min("node").alias("node")), "slices")
-    balls = ball_links(firsts, 4, WIDTH, MIDDLE)
+    keys = [F.col(c).bitwiseAND(mask).bitwiseOR(F.lit(t).cast("long")) for t, c in enumerate(_SIGNED)]  # the table's number never flips
+    prints = nodes.select("node", F.explode(F.array(*keys)).alias("fp"))
+    firsts = C.written(prints.groupBy("fp").agg(F.min("node").alias("node")), "tables")
+    balls = ball_links(firsts, 4, WIDTH, BEST)
     of = lambda c: firsts.select(F.col("fp").alias(c), F.col("node").alias(f"{c}_node"))
     near = balls.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     same = prints.join(firsts.withColumnRenamed("node", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
-    pairs = near.union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sig = lambda c: signed.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
-    unlike = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    return pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", unlike.alias("bits"))
-
-
-def _shingle_sets(texts: DataFrame, size: int) -> DataFrame:
-    """(text_md5, shingles): the distinct shingles of each text as 64-bit hashes."""
-
-    def run(batches):
-        for b in batches:
-            rows = [shingle_hashes(x.as_buffer().to_pybytes(), size).view(np.int64) for x in b["text"]]
-            yield pa.RecordBatch.from_arrays([b["text_md5"], pa.array(rows, pa.list_(pa.int64()))], ["text_md5", "shingles"])
-
-    return texts.select("text_md5", "text").mapInArrow(run, "text_md5 string, shingles array<long>")
+    pairs = near.union(same).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sig = lambda c: nodes.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}{c}") for x in _SIGNED))
+    unlike = sum((F.bit_count(F.col(f"{x}a").bitwiseXOR(F.col(f"{x}b"))) for x in _SIGNED), F.lit(0))
+    return pairs.join(sig("a"), "a").join(sig("b"), "b").where(unlike <= most_bits).select("a", "b")
 
 
 def similar_links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts have at least the Jaccard similarity of distinct shingles."""
     pairs = C.written(pairs, "pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    keys = C.written(nodes.select("node", "text_md5").join(ends, "node"), "keys")
-    wanted = keys.select("text_md5").distinct()
-    of_texts = texts.join(F.broadcast(wanted) if keys.count() <= MOST_KEYS else wanted, "text_md5", "left_semi")
-    sets = _shingle_sets(of_texts, size).dropDuplicates(["text_md5"]).join(keys, "text_md5").select("node", "shingles")
-    sets = C.written(sets, "sets")
-    shingles = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}"))
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    alike = both >= similarity * (F.size("of_a") + F.size("of_b") - both)
-    return pairs.join(shingles("a"), "a").join(shingles("b"), "b").where(alike).select("a", "b")
+    keys = C.written(nodes.select("node", "own").join(ends, "node"), "keys")
+    of_texts = texts.join(F.broadcast(keys) if keys.count() <= MOST_KEYS else keys, "own").select("node", "text").dropDuplicates(["node"])
+    of = lambda c: of_texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
 
+    def run(batches):
+        for batch in batches:
+            alike = []
+            for x, y in zip(batch["text_a"], batch["text_b"]):
+                a, b = (shingle_hashes(t.as_buffer().to_pybytes(), size) for t in (x, y))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                alike.append(both >= similarity * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(alike)), batch["b"].filter(pa.array(alike))], ["a", "b"])
+
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
-# The exact round: pairs that no slice brought together
+
+# The exact round: pairs that no table brought together
 
 #: Texts whose shingles are counted for the order of shingles, in expectation, and the most counts that are kept. They
 #: bear on the cost alone: prefixes find every pair under any order.
@@ -398,38 +378,41 @@ GROUPED = 200_000
 def common_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, of shingles that several texts of a sample have, and how many."""
     every = max(1, texts.count() // SAMPLE)
-    sample = texts.where(F.pmod(F.xxhash64("text_md5"), F.lit(every)) == 0).dropDuplicates(["text_md5"])
-    counts = _shingle_sets(sample, size).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n >= 3")
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text")
+
+    def run(batches):
+        for b in batches:
+            found = [shingle_hashes(x.as_buffer().to_pybytes(), size) for x in b["text"]]
+            unlike = {node_of(x): x for x in found}.values()  # copies in one batch count once
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *unlike]).view(np.int64))], ["s"])
+
+    counts = sample.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n >= 3")
     rows = counts.orderBy(F.desc("n"), "s").limit(MOST_COMMON).collect()
     hashes = np.array([r["s"] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], np.array([r["n"] for r in rows], np.int64)[order]
 
 
-def prefix_of(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The set's first hashes, rare ones first. Two sets of at least the similarity have one of these in common."""
+def prefix_of(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, int]:
+    """The set's first hashes, rare ones first, and how many of them are early. The first hash that two sets of at least
+    the similarity share is among these of both sets, and among the early ones of the smaller set."""
     known, counts = common
     n = len(hashes)
     count = np.zeros(n, np.int64)
     if len(known):
         at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
         count = np.where(known[at] == hashes, counts[at], 0)
-    # a little less than the bound, so that rounding never shortens the prefix
-    return hashes[np.argsort(count, kind="stable")[: n - int(np.ceil(similarity * n - 1e-6)) + 1]]
+    # a little less than the bounds, so that rounding never shortens the prefix
+    first = lambda share: n - int(np.ceil(share * n - 1e-6)) + 1
+    return hashes[np.argsort(count, kind="stable")[: first(similarity)]], first(2 * similarity / (1 + similarity))
 
 
 def _whole_groups(batches, names: list[str]):
-    """The batches' columns as arrays (lists of longs as matrices), cut where the sorted ``shingle`` changes."""
+    """The batches' columns as arrays, cut where the sorted ``shingle`` (the first of them) changes."""
     held: list[list[np.ndarray]] = []
     n = 0
-
-    def column(c):
-        if pa.types.is_list(c.type):
-            return c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
-        return c.to_numpy(zero_copy_only=False)
-
     for b in batches:
-        held.append([column(b[x]) for x in names])
+        held.append([b[x].to_numpy(zero_copy_only=False) for x in names])
         n += b.num_rows
         if n >= GROUPED and held[-1][0][-1] != held[0][0][0]:
             columns = [np.concatenate(x) for x in zip(*held)]
@@ -442,34 +425,55 @@ def _whole_groups(batches, names: list[str]):
         yield [np.concatenate(x) for x in zip(*held)]
 
 
-_SHARED = "shingle long, node long, comp long, n int, pos int"
+def _edges(sorted_: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
 
 
-def _apart(rows: DataFrame) -> DataFrame:
-    """Rows of the shingles that nodes of several components have."""
+def _shared_shingles(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], size: int, similarity: float) -> DataFrame:
+    """(shingle, node, early) of the prefixes' shingles that several nodes have and that are early in one of them."""
+    columns = ["shingle", "tagged"]  # a node's name is even; its last bit says whether the shingle is early
 
-    def run(batches):
-        for columns in _whole_groups(batches, ["shingle", "node", "comp", "n", "pos"]):
-            shingle, comp = columns[0], columns[2]
-            edge = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
-            mixed = np.minimum.reduceat(comp, edge) != np.maximum.reduceat(comp, edge)
-            keep = np.repeat(mixed, np.diff(np.append(edge, len(shingle))))
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["shingle", "node", "comp", "n", "pos"])
-
-    return rows.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, _SHARED)
+    def prefixes(batches):
+        for b in batches:
+            found = {}
+            for x in b["text"]:
+                own = shingle_hashes(x.as_buffer().to_pybytes(), size)
+                node = node_of(own)
+                if node not in found:
+                    found[node] = prefix_of(own, common, similarity)
+            shingle = np.concatenate([np.zeros(0, np.uint64), *(p for p, _ in found.values())])
+            tagged = np.concatenate([np.zeros(0, np.uint64), *((np.arange(len(p)) < early).astype(np.uint64) | np.uint64(node) for node, (p, early) in found.items())])
+            yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(tagged.view(np.int64))], columns)
+
+    def shared(batches):
+        for shingle, tagged in _whole_groups(batches, columns):
+            order = np.lexsort((tagged, shingle))
+            shingle, tagged = shingle[order], tagged[order]
+            new = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (tagged[1:] != tagged[:-1])])  # copies that other tasks sent
+            shingle, tagged = shingle[new], tagged[new]
+            edge = _edges(shingle)
+            n = np.diff(np.append(edge, len(shingle)))
+            keep = np.repeat((n > 1) & (np.add.reduceat(tagged & 1, edge) > 0), n)
+            shingle, tagged = shingle[keep], tagged[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(tagged & ~1), pa.array((tagged & 1).astype(bool))], ["shingle", "node", "early"])
+
+    rows = texts.select("text").mapInArrow(prefixes, "shingle long, tagged long")
+    return rows.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(shared, "shingle long, node long, early boolean")
 
 
 def _candidates(rows: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of different components that share a shingle of their prefixes and may have the similarity, as far
-    as their sizes, the shared shingle's places and the parities tell."""
-    ratio = similarity / (1 + similarity)  # of the common shingles to both sizes' sum
+    as their sizes and parities tell."""
+    spare = 1 - 2 * similarity / (1 + similarity)  # of both sizes' sum, members that only one set has
+    columns = ["shingle", "n", "node", "comp", "early", *_PARITY]
 
     def run(batches):
-        for shingle, n, node, comp, pos, parity in _whole_groups(batches, ["shingle", "n", "node", "comp", "pos", "parity"]):
-            parity = np.ascontiguousarray(parity).view(np.uint64)
-            n, pos = n.astype(np.int64), pos.astype(np.int64)
-            found, total = [], 0
-            left, d = np.arange(len(shingle)), 0
+        for shingle, n, node, comp, early, *parity in _whole_groups(batches, columns):
+            n, parity = n.astype(np.int64), np.stack(parity, 1).view(np.uint64)
+            edge = _edges(shingle)
+            mixed = np.minimum.reduceat(comp, edge) != np.maximum.reduceat(comp, edge)
+            left = np.flatnonzero(np.repeat(mixed, np.diff(np.append(edge, len(shingle)))) & early.astype(bool))
+            found, total, d = [], 0, 0
             while True:
                 d += 1
                 left = left[left + d < len(shingle)]
@@ -478,10 +482,8 @@ def _candidates(rows: DataFrame, similarity: float) -> DataFrame:
                 if not len(left):
                     break
                 a = left[comp[left] != comp[left + d]]
-                need = ratio * (n[a] + n[a + d]) - 1e-6
-                a = a[np.minimum(n[a] - pos[a], n[a + d] - pos[a + d]) >= need]
                 unlike = np.bitwise_count(parity[a] ^ parity[a + d]).sum(axis=1, dtype=np.int64)
-                a = a[unlike <= (1 - 2 * ratio) * (n[a] + n[a + d]) + 1e-6]
+                a = a[unlike <= spare * (n[a] + n[a + d]) + 1e-6]
                 if len(a):
                     found.append(np.stack([np.minimum(node[a], node[a + d]), np.maximum(node[a], node[a + d])]))
                     total += len(a)
@@ -491,51 +493,62 @@ def _candidates(rows: DataFrame, similarity: float) -> DataFrame:
                 pairs = np.unique(np.concatenate(found, axis=1), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    return rows.repartition("shingle").sortWithinPartitions("shingle", "n").mapInArrow(run, "a long, b long").distinct()
+    # equal sizes in one order everywhere, so that a pair has the same smaller set under all its shingles
+    return rows.select(*columns).repartition("shingle").sortWithinPartitions("shingle", "n", "node").mapInArrow(run, "a long, b long").distinct()
+
 
+def missed_pairs(texts: DataFrame, nodes: DataFrame, roots: DataFrame, common: tuple[np.ndarray, np.ndarray], size: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes that may have the similarity and that the roots (node, root) do not join yet. Every such pair
+    of at least the similarity is among them."""
+    of = nodes.select("node", "n", *_PARITY).join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    return _candidates(_shared_shingles(texts, common, size, similarity).join(of, "node"), similarity)
 
-def missed_pairs(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes (node, n, prefix, parity) that may have the similarity and that the roots (node, root) do
-    not join yet. Every such pair of at least the similarity is among them."""
-    of = nodes.select("node", "n", "prefix").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
-    rows = of.select("node", "comp", "n", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "node", "comp", "n", "pos")
-    apart = C.written(_apart(rows), "apart")
-    return _candidates(apart.join(nodes.select("node", "parity"), "node"), similarity)
+
+def _own(doc_id, text_md5):
+    """A row's name: rows of one id and text share it."""
+    return F.md5(F.concat_ws("|", F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("")), text_md5))
+
+
+def _by_own(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    return docs.join(F.broadcast(keys) if keys.count() <= MOST_KEYS else keys, "own", how)
 
 
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents, all columns, but of each group of near copies only the one of the smallest id (null ids last,
-    then the smallest md5 of text); of repeated rows one stays. Texts of the same distinct shingles are one node; slices
-    of signatures bring most near copies together, prefixes of shingles all others, and every link is confirmed."""
-    texts = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), F.coalesce("text", F.lit("")).alias("text"))
-    common = common_shingles(texts, size)
-    longs = pa.list_(pa.int64())
+    then the smallest md5 of text); of repeated rows one stays. Texts of the same distinct shingles are one node; ball
+    hashing of signatures brings most near copies together, prefixes of shingles all others, and every link is
+    confirmed. Null text counts as empty, and empty texts are copies of one another."""
+    row = F.struct(*docs.columns).alias("row")  # so that no column's name clashes
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    rows = docs.select(_own(docs["doc_id"], F.md5(text)).alias("own"), row)
+    texts = docs.select(_own(docs["doc_id"], F.md5(text)).alias("own"), text.alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    numbers = ["node", *_SIGNED, *_PARITY]
 
     def run(batches):
         for b in batches:
-            node, n, sig, parity, prefix = [], [], [], [], []
+            n, out = [], []
             for x in b["text"]:
                 own = shingle_hashes(x.as_buffer().to_pybytes(), size)
-                node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 n.append(len(own))
-                sig.append(_signed(own).view(np.int64))
-                parity.append(_parity(own).view(np.int64))
-                prefix.append(prefix_of(own, common, similarity).view(np.int64))
-            columns = [b["doc_id"], b["text_md5"], pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), *(pa.array(x, longs) for x in (sig, parity, prefix))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_md5", "node", "n", "sig", "parity", "prefix"])
-
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    prints = C.written(texts.mapInArrow(run, f"doc_id {kind}, text_md5 string, node long, n int, sig array<long>, parity array<long>, prefix array<long>"), "signatures")
+                out.append(np.concatenate([np.array([node_of(own)], np.uint64), _signed(own), _parity(own)]))
+            table = np.array(out, np.uint64).reshape(len(out), len(numbers)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_md5"], pa.array(n, pa.int32()), *(pa.array(np.ascontiguousarray(c)) for c in table.T)], ["doc_id", "text_md5", "n", *numbers])
+
+    signed = docs.select("doc_id", F.md5(text).alias("text_md5"), text.alias("text")).mapInArrow(run, f"doc_id {kind}, text_md5 string, n int, " + ", ".join(f"{c} long" for c in numbers))
+    prints = C.written(signed.groupBy("doc_id", "text_md5", "node").agg(F.count("*").alias("n_rows"), *(F.first(c).alias(c) for c in ("n", *numbers[1:]))), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")
-    of_set = [F.first(c).alias(c) for c in ("n", "sig", "parity", "prefix")]
-    nodes = C.written(prints.groupBy("node").agg(*of_set, F.min(order).alias("first")), "nodes")
-    keys = nodes.select("node", "first.text_md5")
-    met = near_pairs(nodes.select("node", "sig")).where(F.col("bits") <= expected_bits(similarity, SLACK)).select("a", "b")
-    links = C.written(similar_links(met, keys, texts, size, similarity), "met")
-    missed = similar_links(missed_pairs(nodes, connected(links), similarity), keys, texts, size, similarity)
-    roots = connected(links.union(missed))
-    linked = nodes.select("node", "first").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
-    winners = C.written(linked.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("won_id"), F.col("first.text_md5").alias("won_md5")), "winners")
-    marked = docs.withColumn("simhash_md5", F.md5(F.coalesce("text", F.lit(""))))
-    kept = marked.join(winners, marked["doc_id"].eqNullSafe(winners["won_id"]) & (marked["simhash_md5"] == winners["won_md5"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "simhash_md5"]).drop("simhash_md5")
+    nodes = prints.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", *numbers[1:])), F.min(order).alias("first"))
+    nodes = C.written(nodes.withColumn("own", _own(F.col("first.doc_id"), F.col("first.text_md5"))), "nodes")
+    met = C.written(similar_links(near_pairs(nodes, expected_bits(similarity, SLACK)), nodes, texts, size, similarity), "met")
+    missed = similar_links(missed_pairs(texts, nodes, connected(met), common_shingles(texts, size), size, similarity), nodes, texts, size, similarity)
+    roots = connected(met.union(missed))
+    rooted = nodes.select("node", "first").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
+    winners = rooted.groupBy("root").agg(F.min("first").alias("won"))
+    winner_of = rooted.join(winners, "root").select("node", _own(F.col("won.doc_id"), F.col("won.text_md5")).alias("won"))
+    judged = C.written(prints.select("node", "n_rows", _own(F.col("doc_id"), F.col("text_md5")).alias("own")).join(winner_of, "node"), "judged")
+    kept = _by_own(rows, judged.where("own <> won").select("own"), "left_anti")
+    again = judged.where("own = won AND n_rows > 1").select("own")
+    if not again.isEmpty():
+        kept = _by_own(kept, again, "left_anti").union(_by_own(kept, again, "left_semi").dropDuplicates(["own"]))
+    return kept.select("row.*")

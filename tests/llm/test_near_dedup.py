@@ -59,3 +59,30 @@ def test_short_copies(spark):
         base = [f"s{n}w{i}" for i in range(size)]
         texts += [" ".join(base), " ".join([*base, *(f"t{n}w{i}" for i in range((1, 1, 3)[n % 3]))])]
     check(spark, [texts[i] for i in rng.permutation(len(texts))])
+
+
+def test_chains_and_base_with_remote_copies(spark):
+    """A chain whose ends are unlike, and copies that are like their base but hardly like one another."""
+    rng = np.random.default_rng(11)
+    own = [f"c{i}" for i in range(120)]
+    texts = []
+    for n in range(60):
+        own = list(own)
+        own[int(rng.integers(0, 120))] = f"n{n}"
+        texts.append(" ".join(own))
+    base = [f"b{i}" for i in range(200)]
+    texts.append(" ".join(base))
+    for n in range(200):
+        own = list(base)
+        for k, at in enumerate(rng.choice(200, 4, replace=False)):
+            own[at] = f"m{n}k{k}"
+        texts.append(" ".join(own))
+    check(spark, texts)
+
+
+def test_clashing_columns_nulls_and_repeated_rows(spark):
+    rows = [(1, "a b c d e f g", "x"), (1, "a b c d e f g", "x"), (2, "A b c d e f g", "y"), (None, "a b c d e f g", "z"), (None, None, "n"), (7, "", "e"), (8, "p q r s t u", "k")]
+    docs = spark.createDataFrame([(*r, 5, r[1], "o") for r in rows], "doc_id long, text string, simhash_md5 string, node int, row string, own string")
+    got = keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r.simhash_md5, r.node, r.row, r.own) for r in got.collect()) == [(1, "a b c d e f g", "x", 5, "a b c d e f g", "o"), (7, "", "e", 5, "", "o"), (8, "p q r s t u", "k", 5, "p q r s t u", "o")]
