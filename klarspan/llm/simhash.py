@@ -283,7 +283,7 @@ SLACK = 2.6
 #: Keys of texts that are broadcast; more meet in a shuffled join.
 MOST_KEYS = 200_000
 #: Words of a set's parity.
-PARITY = 2
+PARITY = 8
 _SIGNED = [f"s{i}" for i in range(TABLES)]
 _PARITY = [f"p{i}" for i in range(PARITY)]
 
@@ -331,12 +331,12 @@ def expected_bits(similarity: float, slack: float, bits: int = 64 * TABLES) -> i
 
 def near_pairs(nodes: DataFrame, most_bits: int) -> DataFrame:
     """Pairs (a, b) of nodes (node, s0, s1, ...) whose signatures differ in at most ``most_bits`` bits, of those that meet
-    in a table: each table is dealt by ball hashing (radius 4), and a fingerprint is paired with its best neighbour."""
+    in a table: each table is dealt by ball hashing (radius 4), and a fingerprint is paired with one neighbour."""
     mask = F.lit(-1 << (64 - WIDTH)).cast("long")
     keys = [F.col(c).bitwiseAND(mask).bitwiseOR(F.lit(t).cast("long")) for t, c in enumerate(_SIGNED)]  # the table's number never flips
     prints = nodes.select("node", F.explode(F.array(*keys)).alias("fp"))
     firsts = C.written(prints.groupBy("fp").agg(F.min("node").alias("node")), "tables")
-    balls = ball_links(firsts, 4, WIDTH, BEST)
+    balls = ball_links(firsts, 4, WIDTH, BEST).groupBy("a").agg(F.min("b").alias("b"))  # tasks that hold one fingerprint agree
     of = lambda c: firsts.select(F.col("fp").alias(c), F.col("node").alias(f"{c}_node"))
     near = balls.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     same = prints.join(firsts.withColumnRenamed("node", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
