@@ -40,19 +40,49 @@ def stored_value(line: Column) -> Column:
 
 def sectioned_lines(docs: DataFrame) -> DataFrame:
     """Non-empty lines of documents (doc_id, title, text) with number and section path. Headings are folded into a
-    stack: a heading of level n keeps the first n - 1 above it."""
-    start = F.struct(F.array().cast("array<string>").alias("stack"), F.array().cast("array<struct<line:string,no:int,section:string>>").alias("out"), F.lit(0).alias("no"))
-
-    def step(s: Column, line: Column) -> Column:
-        marks = F.regexp_extract(line, r"^\s{0,3}(#{1,6})\s+\S", 1)
-        title = F.trim(F.regexp_extract(line, r"^\s{0,3}#{1,6}\s+(.+?)\s*$", 1))
-        stack = F.when(marks != "", F.concat(F.slice(s["stack"], 1, F.greatest(F.length(marks) - 1, F.lit(0))), F.array(title))).otherwise(s["stack"])
-        row = F.struct(F.trim(line).alias("line"), (s["no"] + 1).alias("no"), F.array_join(stack, " > ").alias("section"))
-        out = F.when((marks == "") & (F.trim(line) != ""), F.concat(s["out"], F.array(row))).otherwise(s["out"])
-        return F.struct(stack.alias("stack"), out.alias("out"), (s["no"] + 1).alias("no"))
-
-    rows = F.aggregate(F.split(F.coalesce("text", F.lit("")), r"\r?\n"), start, step, lambda s: s["out"])
-    return docs.select("doc_id", "title", F.explode(rows).alias("r")).select("doc_id", "title", F.col("r.line").alias("line"), F.col("r.no").alias("line_no"), F.concat_ws(" > ", "title", F.nullif(F.col("r.section"), F.lit(""))).alias("section_path"))
+    stack: a heading of level n keeps the first n - 1 above it. Only headings are folded; the lines between two of them
+    are a slice of the text."""
+    heading = r"^\s{0,3}(#{1,6})\s+(\S.*?)\s*$"
+    parts = F.split(F.coalesce("text", F.lit("")), r"\r?\n")
+    numbered = F.transform("parts", lambda x, i: F.struct(F.length(F.regexp_extract(x, heading, 1)).alias("level"), F.regexp_extract(x, heading, 2).alias("title"), (i + 1).alias("no")))
+    section = "array<struct<no:int,section:string>>"
+    start = F.struct(F.array().cast("array<string>").alias("stack"), F.array(F.struct(F.lit(0).alias("no"), F.lit("").alias("section"))).cast(section).alias("out"))
+
+    def step(s: Column, h: Column) -> Column:
+        stack = F.concat(F.slice(s["stack"], 1, h["level"] - 1), F.array(h["title"]))
+        return F.struct(stack.alias("stack"), F.concat(s["out"], F.array(F.struct(h["no"].alias("no"), F.array_join(stack, " > ").alias("section")))).alias("out"))
+
+    rows = docs.select("doc_id", "title", parts.alias("parts")).withColumn("heads", F.filter(numbered, lambda h: h["level"] > 0)).withColumn("sections", F.aggregate("heads", start, step, lambda s: s["out"]))
+    until = lambda i: F.coalesce(F.get("sections", i + 1)["no"], F.size("parts") + 1)
+    cut = F.transform("sections", lambda s, i: F.struct(s["no"].alias("no"), s["section"].alias("section"), F.slice("parts", s["no"] + 1, until(i) - s["no"] - 1).alias("lines")))
+    each = rows.select("doc_id", "title", F.explode(cut).alias("s")).select("doc_id", "title", F.col("s.no").alias("no"), F.col("s.section").alias("section"), F.posexplode("s.lines").alias("at", "raw"))
+    return each.where(F.trim("raw") != "").select("doc_id", "title", F.trim("raw").alias("line"), (F.col("no") + F.col("at") + 1).alias("line_no"), F.concat_ws(" > ", "title", F.nullif("section", F.lit(""))).alias("section_path"))
+
+
+def code_claims(docs: DataFrame) -> DataFrame:
+    """Claims of each non-empty line of code (doc_id, title, text): what it reads, writes, keeps or guards."""
+    rows = docs.select("doc_id", "title", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r?\n")).alias("at", "raw")).where(F.trim("raw") != "")
+    return line_claims(rows.select("doc_id", "title", F.trim("raw").alias("line"), (F.col("at") + 1).alias("line_no"), F.col("title").alias("section_path")), "implemented", F.col("title"))
+
+
+def model_entities(docs: DataFrame, entities) -> DataFrame:
+    """Claims that a model export (doc_id, title, text) names an entity, at the line where it first does."""
+    body = F.coalesce("text", F.lit(""))
+    at = lambda e: F.size(F.split(F.substring_index(body, e, 1), "\n"))
+    found = F.array_compact(F.array(*(F.when(F.contains(body, F.lit(e)), F.struct(F.lit(e).alias("entity"), at(e).alias("line_no"))) for e in entities)))
+    out = docs.select("doc_id", F.explode(found).alias("x"))
+    return out.select("doc_id", F.col("x.line_no").alias("line_no"), F.concat(F.col("x.entity"), F.lit(".role")).alias("subject_key"), F.lit("metamodel_entity_exists").alias("predicate"), F.concat(F.col("x.entity"), F.lit(" is defined as a metaclass")).alias("value"), F.concat(F.lit("metamodel_export:"), F.col("x.line_no")).alias("section_path"))
+
+
+def extract_claims(docs: DataFrame, entities=()) -> DataFrame:
+    """Claims of documents (doc_id, source_type, title, text) by what they are: code, prose or a model export; each claim
+    (subject, predicate, value, document) once, at its first line. Tickets give none."""
+    code = code_claims(docs.where("source_type = 'github_file'"))
+    prose = line_claims(sectioned_lines(docs.where("source_type IN ('confluence_page', 'local_doc')")), "documented", F.col("title"))
+    every = code.union(prose)
+    if entities:
+        every = every.union(model_entities(docs.where("source_type = 'metamodel'"), entities))
+    return every.groupBy("doc_id", "subject_key", "predicate", "value").agg(F.min_by(F.struct("line_no", "section_path"), "line_no").alias("first")).select("doc_id", "subject_key", "predicate", "value", "first.line_no", "first.section_path")
 
 
 def line_claims(lines: DataFrame, prefix: str, fallback: Column) -> DataFrame:

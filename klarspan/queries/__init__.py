@@ -1,7 +1,7 @@
 """The registered queries of the engine and their SQL, by family."""
 
-from klarspan.queries import claims, code, plane, relations, states, texts
+from klarspan.queries import claims, code, plane, records, relations, states, texts
 
-FAMILIES = (claims, relations, plane, texts, states, code)
+FAMILIES = (claims, relations, plane, texts, states, code, records)
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLES = {name: text for family in FAMILIES for name, text in family.ORACLES.items()}
