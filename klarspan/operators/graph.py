@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: How strongly a relation passes a cause on.
-STRENGTH = {"propagates": 0.9, "depends": 0.8, "references": 0.6, "contains": 0.7}
-BACKWARD, FLOOR = 0.88, 0.35
+STRENGTH = {"derived_from_truth": 1.0, "governs": 0.96, "contains": 0.88, "belongs_to": 0.86, "implements": 0.82, "documents": 0.8, "references": 0.66}
+OTHER, BACKWARD, FLOOR = 0.55, 0.88, 0.35
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:
 def best_paths(edges: DataFrame, seeds: DataFrame, depth: int = 4) -> DataFrame:
     """(seed, node, score, hops, path): the best product of edge strengths from each seed within ``depth`` steps; of
     equal scores the shorter path, then the smaller text. Rounds are synchronous: each relaxes all nodes at once."""
-    strength = F.greatest(F.lit(FLOOR), F.col("confidence") * F.coalesce(*(F.when(F.col("relation") == k, F.lit(v)) for k, v in STRENGTH.items()), F.lit(0.5)))
+    strength = F.col("confidence") * F.coalesce(*(F.when(F.col("relation") == k, F.lit(v)) for k, v in STRENGTH.items()), F.lit(OTHER))
     arcs = edges.select("src", "dst", strength.alias("s")).groupBy("src", "dst").agg(F.max("s").alias("s"))
     best = kept(seeds.select(F.col("node").alias("seed"), "node", F.lit(1.0).alias("score"), F.lit(0).alias("hops"), F.col("node").cast("string").alias("path")))
     order = F.struct(F.round(F.col("score"), 12).alias("score"), (-F.col("hops")).alias("short"))
@@ -88,12 +88,13 @@ def merge_edges(edges: DataFrame) -> DataFrame:
 
 
 def depths(tree: DataFrame, most: int = 20) -> DataFrame:
-    """(node, depth) of a parent table (node, parent): levels up to the root; a missing parent is one level, a cycle
-    stops at ``most`` + 1."""
-    spark = tree.sparkSession
-    tree.select("node", "parent").createOrReplaceTempView("klarspan_tree")
-    return spark.sql(f"""
-WITH RECURSIVE up(node, parent, level) AS (
-  SELECT node, parent, 0 FROM klarspan_tree
-  UNION ALL SELECT up.node, t.parent, up.level + 1 FROM up LEFT JOIN klarspan_tree t ON up.parent = t.node WHERE up.parent IS NOT NULL AND up.level <= {most})
-SELECT node, max(level) AS depth FROM up GROUP BY node""")
+    """(node, depth) of a parent table (node, parent; a node once): levels up to the root; a missing parent is one level,
+    a cycle stops at ``most`` + 1. Each round doubles the levels that a node sees, so that a few joins do."""
+    up = F.col("parent")
+    seen = kept(tree.where("node IS NOT NULL").groupBy("node").agg(F.min("parent").alias("parent")).select("node", up.alias("top"), up.isNotNull().cast("int").alias("depth")))
+    while not seen.where(F.col("top").isNotNull() & (F.col("depth") <= most)).isEmpty():
+        above = seen.select(F.col("node").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"))
+        open_ = seen.where("top IS NOT NULL").join(above, "top", "left")
+        ended = seen.where("top IS NULL").select("node", "top", "depth")
+        seen = kept(ended.union(open_.select("node", F.col("next").alias("top"), F.least(F.lit(2 * most), F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))))
+    return seen.select("node", F.least(F.lit(most + 1), F.col("depth")).alias("depth"))

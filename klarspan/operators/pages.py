@@ -7,16 +7,37 @@ from pyspark.sql import functions as F
 
 from klarspan.operators.graph import depths
 
-# Words that tell concept pages from process pages.
-CONCEPT = ("overview", "concept", "architecture", "the", "of", "een", "ea")
-PROCESS = ("how", "guide", "process", "step", "er", "th", "ou")
+# Words of titles that tell technical pages from those on the subject.
+TECHNICAL = (
+    "api", "code", "deployment", "docker", "pipeline", "cicd", "ci/cd",
+    "architektur", "architecture", "schema", "migration", "config",
+    "endpoint", "swagger", "openapi", "terraform", "helm", "kubernetes",
+    "git", "repository", "branch", "build", "test", "unit", "e2e",
+    "backend", "frontend", "service", "microservice", "database", "db",
+    "redis", "neo4j", "postgres", "sql", "cypher", "query",
+    "debugging", "troubleshooting", "monitoring", "logging", "log",
+    "devops", "infrastructure", "infra", "server", "cluster",
+    "cython", "pydantic", "fastapi", "react", "vite", "typescript",
+)
+SUBJECT = (
+    "anforderung", "requirement", "prozess", "process", "workflow",
+    "geschäft", "business", "kunde", "customer", "benutzer", "user",
+    "anleitung", "guide", "handbuch", "manual", "tutorial",
+    "faq", "hilfe", "help", "support", "bedienung", "nutzung",
+    "konzept", "concept", "strategie", "strategy", "roadmap",
+    "rollen", "role", "berechtigung", "permission", "governance",
+    "bsm", "metamodell", "metamodel", "audit", "compliance",
+    "dokumentation", "doku", "übersicht", "overview", "zusammenfassung",
+    "entscheidung", "decision", "richtlinie", "policy", "vorgabe",
+    "onboarding", "schulung", "training", "einführung",
+)
 
 
 def title_class(title: Column) -> Column:
     low = F.lower(title)
     count = lambda words: F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)))
-    a, b = count(CONCEPT), count(PROCESS)
-    return F.when((a > 0) & (b > 0), "mixed").when(a > b, "concept").when(b > a, "process").otherwise("unclear")
+    a, b = count(TECHNICAL), count(SUBJECT)
+    return F.when((a > 0) & (b > 0), "mixed").when(a > b, "technical").when(b > a, "subject").otherwise("unclear")
 
 
 def page_issues(pages: DataFrame) -> DataFrame:

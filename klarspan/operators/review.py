@@ -10,7 +10,7 @@ from klarspan.functions import scoring, text
 # Weights and signals of the fast review.
 SOURCE_POINTS = {"confluence_page": 4, "metamodel": 5, "local_doc": 4, "github_file": 3, "jira_ticket": 2}
 DELTA_POINTS = {"added": 4, "changed": 3, "unchanged": 0}
-TERMS = ("policy", "approval", "write", "phase", "status", "process", "contract", "tion", "ing")
+TERMS = ("approval", "review", "write", "read", "policy", "status", "phase", "question", "required", "must", "workflow", "owner", "schnittstelle", "prozess")
 OBSOLETE, GAP = ("deprecated", "obsolete", "veraltet", "legacy"), ("todo", "tbd", "offen", "unclear", "missing")
 MOST_SECTIONS, PER_DOCUMENT, MOST_PAIRS, LEAST_BODY, LEAST_SCORE = 48, 6, 14, 60, 3
 

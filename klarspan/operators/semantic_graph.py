@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from klarspan.functions import semantics
-from klarspan.operators.graph import BACKWARD, kept
+from klarspan.operators.graph import BACKWARD, FLOOR, kept
 
 # Relation, edge type, direction (1 along, -1 against), strength in hundredths, mode.
 EDGE_RULES = (
@@ -41,7 +41,7 @@ def causal_edges(relations_: DataFrame) -> DataFrame:
     return joined.select(F.when(along, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(along, F.col("dst")).otherwise(F.col("src")).alias("dst"), "edge_type", "mode", F.round(F.col("confidence") * F.col("points") / 100, 6).alias("strength"))
 
 
-def truth_frames(edges: DataFrame, depth: int = 3) -> DataFrame:
+def truth_frames(edges: DataFrame, depth: int = 5) -> DataFrame:
     """(truth, node, depth): what each truth reaches over edges that carry truths."""
     arcs = edges.where("mode IN ('truth_only', 'both')").select("src", "dst").distinct()
     frontier = kept(arcs.where("src LIKE 'truth:%'").select(F.col("src").alias("truth"), F.col("dst").alias("node"), F.lit(1).alias("depth")))
@@ -53,9 +53,11 @@ def truth_frames(edges: DataFrame, depth: int = 3) -> DataFrame:
     return seen
 
 
-def attributed(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
-    """(seed, node, score): the best score of a cause within ``depth`` steps; steps against an edge count less."""
-    arcs = edges.select("src", "dst", F.col("strength").alias("s")).union(edges.select("dst", "src", F.col("strength") * BACKWARD)).groupBy("src", "dst").agg(F.max("s").alias("s"))
+def attributed(edges: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:
+    """(seed, node, score): the best score of a cause within ``depth`` steps; steps against an edge count less. An
+    edge counts FLOOR at least."""
+    s = F.greatest(F.lit(FLOOR), F.col("strength"))
+    arcs = edges.select("src", "dst", s.alias("s")).union(edges.select("dst", "src", s * BACKWARD)).groupBy("src", "dst").agg(F.max("s").alias("s"))
     arcs = kept(arcs)
     best = kept(seeds.select(F.col("node").alias("seed"), "node", F.lit(1.0).alias("score")))
     for _ in range(depth):

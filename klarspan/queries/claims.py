@@ -66,7 +66,7 @@ def claim_scalars(spark, d):
 
 def claim_filters(spark, d):
     c = A.claims(spark, d)
-    return c.groupBy("source_type").agg(F.count("*").alias("n"), F.count_if(C.is_primary()).alias("n_primary"), F.count_if(C.counts_as_target()).alias("n_target"), F.count_if(F.col("assertion_status") != "secondary_only").alias("n_comparable"), F.count_if(F.length(F.trim("matched_text")) > 20).alias("n_embeddable"))
+    return c.groupBy("source_type").agg(F.count("*").alias("n"), F.count_if(C.is_primary()).alias("n_primary"), F.count_if(C.counts_as_target()).alias("n_target"), F.count_if(F.col("assertion_status") != "secondary_only").alias("n_comparable"), F.count_if(F.length(F.trim("matched_text")) > 10).alias("n_embeddable"))
 
 
 def claim_groups(spark, d):
@@ -178,7 +178,7 @@ ORACLES = {
     "consensus_confidence": _CONSENSUS + "SELECT count(*) AS aspects, count(*) FILTER (WHERE kind = 'clear') AS clear, round(100.0::DOUBLE * count(*) FILTER (WHERE kind = 'clear') / count(*), 1) AS percent FROM consensus",
     "claim_dedup": _WITH + "x AS (SELECT min(record_ord) AS record_ord, fingerprint, any_value(subject_key) AS subject_key FROM claims GROUP BY fingerprint) SELECT * FROM x",
     "claim_scalars": _TAGGED + f"x AS (SELECT record_ord, n AS normal, {_SCOPE} AS scope, array_to_string(t, '|') AS tags, {S.bucket('t', 'n')} AS bucket, CAST({S.weight(S.DESCRIPTOR)} AS INT) AS weight FROM tagged) SELECT * FROM x",
-    "claim_filters": _WITH + f"x AS (SELECT source_type, count(*) AS n, count(*) FILTER (WHERE {S.PRIMARY}) AS n_primary, count(*) FILTER (WHERE source_authority <> 'historical' AND assertion_status <> 'secondary_only') AS n_target, count(*) FILTER (WHERE assertion_status <> 'secondary_only') AS n_comparable, count(*) FILTER (WHERE length(trim(matched_text)) > 20) AS n_embeddable FROM claims GROUP BY 1) SELECT * FROM x",
+    "claim_filters": _WITH + f"x AS (SELECT source_type, count(*) AS n, count(*) FILTER (WHERE {S.PRIMARY}) AS n_primary, count(*) FILTER (WHERE source_authority <> 'historical' AND assertion_status <> 'secondary_only') AS n_target, count(*) FILTER (WHERE assertion_status <> 'secondary_only') AS n_comparable, count(*) FILTER (WHERE length(trim(matched_text)) > 10) AS n_embeddable FROM claims GROUP BY 1) SELECT * FROM x",
     "claim_groups": _TAGGED + "x AS (SELECT subject_key, count(*) AS n, array_to_string(list(normalized_value ORDER BY record_ord)[1:3], '|') AS evidence FROM first GROUP BY 1) SELECT * FROM x",
     "claim_delta": _DELTA + " SELECT record_ord, delta_status, delta_change_type FROM delta",
     "impacted_scopes": _DELTA + f" SELECT DISTINCT {_SCOPE} AS scope_key FROM delta WHERE delta_status = 'added' OR delta_change_type = 'semantic' UNION SELECT {_SCOPE} FROM truths WHERE {S.EXPLICIT} AND pending_delta_recalculation",

@@ -32,8 +32,8 @@ def code_symbols(spark, d):
 
 
 def code_reachable(spark, d):
-    """Functions reachable over at most three calls."""
-    return P.reachable_calls(P.python_symbols(_code(spark, d)), 3)
+    """Functions reachable over any number of calls."""
+    return P.reachable_calls(P.python_symbols(_code(spark, d)))
 
 
 def graph_query_relations(spark, d):
@@ -64,7 +64,7 @@ _LEFT, _RIGHT = _L.format("p_brand"), _L.format("split_part(p_type, ' ', 1)")
 ORACLES = {
     "code_calls": f"WITH {_CALL} SELECT * FROM c",
     "code_symbols": f"SELECT 'm' || (p_partkey % {_FILES}) AS source_id, kind, count(*) AS n FROM part, (VALUES ('function'), ('call')) k(kind) GROUP BY ALL",
-    "code_reachable": f"WITH RECURSIVE {_CALL}, r(src, dst, n) AS (SELECT src, dst, 1 FROM c UNION SELECT r.src, c.dst, n + 1 FROM r JOIN c ON r.dst = c.src WHERE n < 3) SELECT DISTINCT src, dst FROM r",
+    "code_reachable": f"WITH RECURSIVE {_CALL}, r(src, dst) AS (SELECT src, dst FROM c UNION SELECT r.src, c.dst FROM r JOIN c ON r.dst = c.src) SELECT src, dst FROM r",
     "graph_query_relations": f"SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN {_LEFT} ELSE {_RIGHT} END AS src, CASE WHEN p_size % 2 = 0 THEN 'MADE_OF' ELSE 'PART_OF' END AS type, CASE WHEN p_size % 2 = 0 THEN {_RIGHT} ELSE {_LEFT} END AS dst FROM part",
     "table_cells": f"WITH l AS (SELECT p_partkey % {_FILES} AS doc_id, CAST(2 + row_number() OVER (PARTITION BY p_partkey % {_FILES} ORDER BY p_partkey) AS INT) AS line_no, p_brand, p_size FROM part) SELECT doc_id, line_no, 'brand' AS header, trim(p_brand) AS cell FROM l UNION ALL SELECT doc_id, line_no, 'size', CAST(p_size AS VARCHAR) FROM l",
     "diagram_arrows": "SELECT 'n' || (p_partkey % 9) AS src, 'n' || (p_partkey % 5) AS dst, count(*) AS n FROM part WHERE p_partkey % 7 <> 0 GROUP BY ALL",

@@ -69,8 +69,8 @@ def action_lanes(spark, d):
 
 
 def cache_retention(spark, d):
-    e = A.table(spark, d, "events").select(F.col("event_id").alias("row_id"), F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("source_id"), F.col("ts").alias("cached_at"))
-    return P.retained(e, 3, 2).select("row_id", "source_id", "place")
+    e = A.table(spark, d, "events").select(F.col("event_id").alias("row_id"), F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("source_id"), (F.col("ts") + F.expr("INTERVAL 1 DAY") * (F.col("event_id") % 60)).alias("cached_at"))
+    return P.retained(e, 3).select("row_id", "source_id", "place")
 
 
 def latest_event(spark, d):
@@ -129,9 +129,12 @@ def review_cards(spark, d):
     return V.cards(s, V.candidates(s))
 
 
+TITLE_STARTS = ("", "API guide ", "Overview ", "", "Deployment ", "Process ", "")
+
+
 def _pages(spark, d):
     k = F.col("doc_id")
-    return A.table(spark, d, "documents").select(k.alias("node"), F.when(k > 0, (k / 5).cast("long")).alias("parent"), F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1).alias("title"))
+    return A.table(spark, d, "documents").select(k.alias("node"), F.when(k > 0, (k / 5).cast("long")).alias("parent"), F.concat(A.pick(TITLE_STARTS, k), F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1)).alias("title"))
 
 
 def page_issues(spark, d):
@@ -191,12 +194,12 @@ _PAIRS = _SECTIONS + """, p AS (SELECT l.section_id AS ls, r.section_id AS rs, l
 b AS (SELECT *, row_number() OVER (PARTITION BY ls ORDER BY score DESC, rs) AS place FROM p WHERE score >= 3 QUALIFY place <= 2),
 once AS (SELECT least(ls, rs) AS left_id, greatest(ls, rs) AS right_id, max(score) AS score, max(overlap) AS overlap, min((-lp, ls, place)) AS turn FROM b GROUP BY 1, 2),
 pair AS (SELECT left_id, right_id, score, overlap FROM once ORDER BY turn LIMIT 14)"""
-_TITLE = "(CASE WHEN a > 0 AND b > 0 THEN 'mixed' WHEN a > b THEN 'concept' WHEN b > a THEN 'process' ELSE 'unclear' END)"
-_PAGES = f"""WITH RECURSIVE page AS (SELECT doc_id AS node, CASE WHEN doc_id > 0 THEN doc_id // 5 END AS parent, string_split(coalesce(text, ''), chr(10))[1] AS title FROM documents),
+_TITLE = "(CASE WHEN a > 0 AND b > 0 THEN 'mixed' WHEN a > b THEN 'technical' WHEN b > a THEN 'subject' ELSE 'unclear' END)"
+_PAGES = f"""WITH RECURSIVE page AS (SELECT doc_id AS node, CASE WHEN doc_id > 0 THEN doc_id // 5 END AS parent, {A._pick_sql(TITLE_STARTS, 'doc_id')} || string_split(coalesce(text, ''), chr(10))[1] AS title FROM documents),
 up(node, parent, level) AS (SELECT node, parent, 0 FROM page UNION ALL SELECT up.node, t.parent, level + 1 FROM up LEFT JOIN page t ON up.parent = t.node WHERE up.parent IS NOT NULL AND level <= 20),
 deep AS (SELECT node, max(level) AS depth FROM up GROUP BY node),
 kid AS (SELECT parent AS node, count(*) AS children FROM page GROUP BY 1),
-c AS (SELECT page.*, depth, coalesce(children, 0) AS children, {" + ".join(f"CAST(contains(lower(title), '{w}') AS INT)" for w in G.CONCEPT)} AS a, {" + ".join(f"CAST(contains(lower(title), '{w}') AS INT)" for w in G.PROCESS)} AS b, count(*) OVER (PARTITION BY lower(trim(title))) AS same FROM page JOIN deep USING (node) LEFT JOIN kid USING (node)),
+c AS (SELECT page.*, depth, coalesce(children, 0) AS children, {" + ".join(f"CAST(contains(lower(title), '{w}') AS INT)" for w in G.TECHNICAL)} AS a, {" + ".join(f"CAST(contains(lower(title), '{w}') AS INT)" for w in G.SUBJECT)} AS b, count(*) OVER (PARTITION BY lower(trim(title))) AS same FROM page JOIN deep USING (node) LEFT JOIN kid USING (node)),
 i AS (SELECT node, depth, children, {_TITLE} AS class, list_filter([CASE WHEN depth > 4 THEN 'deep' END, CASE WHEN length(title) > 80 THEN 'long' END, CASE WHEN length(title) < 4 THEN 'short' END, CASE WHEN regexp_matches(title, '__|---') THEN 'runs' END, CASE WHEN children > 12 THEN 'fat' END, CASE WHEN {_TITLE} = 'mixed' THEN 'mixed' END, CASE WHEN {_TITLE} = 'unclear' THEN 'unclear' END, CASE WHEN same > 1 THEN 'duplicate' END], lambda x: x IS NOT NULL) AS issues FROM c)"""
 _KINDS = ("deep", "long", "short", "fat", "mixed", "unclear", "duplicate")
 _PART_NAME = "p_name || ' ' || p_brand || ' ' || p_type"
@@ -215,7 +218,7 @@ SELECT fact_key, summary, primary_package, array_to_string({_first_distinct('ps'
 SELECT fact_key, CASE WHEN st IS NULL THEN 'new' WHEN st IN ('open', 'confirmed') THEN 'continued' ELSE 'reopened' END AS mode, CASE WHEN st IN ('open', 'confirmed') THEN st ELSE 'open' END AS status, CAST(coalesce(greatest(runs + 1, oc + 1), 1) AS BIGINT) AS occurrences FROM (SELECT DISTINCT fact_key FROM e) LEFT JOIN b USING (fact_key)""",
     "fact_registry": _ENTRIES + " SELECT fact_key, arg_max(status, run) AS status, arg_max(mode, run) AS mode, count(DISTINCT run) AS runs, max(run) AS last_run FROM l GROUP BY 1",
     "action_lanes": f"WITH {A.CLAIMS_SQL}, g AS (SELECT subject_key, bool_or(source_type IN ('confluence_page', 'local_doc')) AS doc, bool_or(source_type = 'github_file') AS code, bool_or(source_type = 'metamodel') AS model FROM claims GROUP BY 1) SELECT subject_key, CASE WHEN doc AND code THEN 'both' WHEN model THEN 'artifact' WHEN doc THEN 'document' ELSE 'code' END AS lane FROM g",
-    "cache_retention": "WITH e AS (SELECT event_id AS row_id, 'u' || (user_id % 40) AS source_id, ts, CAST(row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts DESC, event_id DESC) AS INT) AS place FROM events) SELECT row_id, source_id, place FROM e WHERE place <= 3 OR ts >= (SELECT max(ts) FROM events) - INTERVAL 2 DAY",
+    "cache_retention": "WITH ev AS (SELECT event_id, user_id, ts + INTERVAL 1 DAY * (event_id % 60) AS ts FROM events), e AS (SELECT event_id AS row_id, 'u' || (user_id % 40) AS source_id, ts, CAST(row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts DESC, event_id DESC) AS INT) AS place FROM ev) SELECT row_id, source_id, place FROM e WHERE place <= 3 OR ts >= (SELECT max(ts) FROM ev) - INTERVAL 30 DAY",
     "latest_event": "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     "source_set_hash": f"WITH {A.CLAIMS_SQL} SELECT source_type, left(sha256(string_agg(claim_id || ':' || fingerprint, '|' ORDER BY claim_id || ':' || fingerprint)), 32) AS set_hash, count(*) AS n FROM claims GROUP BY 1",
     "schema_registry": f"""WITH t AS (SELECT {A._pick_sql(("Node:", "Relationship:", "History:"), "p_partkey")} || upper(substr(p_brand, 1, 8)) || (p_partkey % 20) AS schema_key, {A._pick_sql(("unconfirmed", "observed_only", "confirmed", "unconfirmed"), "p_size")} AS status, p_partkey % 300 AS claim FROM part)

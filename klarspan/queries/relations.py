@@ -48,18 +48,18 @@ def finding_root_causes(spark, d):
 
 
 def similar_pairs(spark, d):
-    e = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), A.pick(A.SOURCES, F.col("label")).alias("source"), F.concat(F.lit("V"), (F.col("vec_id") % 7).cast("string")).alias("value"), F.col("embedding").alias("vector"))
-    return R.similar_pairs(e, 0.30, 0.40).select("left_id", "right_id", F.round("cosine", 6).alias("cosine"), "severity")
+    e = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), A.pick(A.SOURCES, F.col("label")).alias("source"), F.concat(F.lit("V"), (F.col("vec_id") % 7).cast("string")).alias("value"), F.transform(F.col("embedding").cast("array<double>"), lambda x: x + 0.15).alias("vector"))  # shifted, so that pairs reach the thresholds
+    return R.similar_pairs(e).select("left_id", "right_id", F.round("cosine", 6).alias("cosine"), "severity")
 
 
 def _parts(spark, d):
     p = A.table(spark, d, "part")
     key = F.col("p_partkey")
-    return p.select(key.alias("segment_id"), F.concat(F.lit("s"), (key % 50).cast("string")).alias("source_id"), F.concat(F.lit("a"), (key % 97).cast("string")).alias("anchor"), F.concat(F.lit("Top > "), A.pick(("Flow", "Notes", "Other", "More", "Last", "Extra"), key)).alias("section_path"), (1 + key % 8 * 5).cast("int").alias("line_start"), (2 + key % 8 * 5).cast("int").alias("line_end"), text.keywords(F.concat_ws(" ", "p_name", "p_type", "p_brand", F.lit("low write read high")), 5).alias("words"))
+    return p.select(key.alias("segment_id"), F.concat(F.lit("s"), (key % 50).cast("string")).alias("source_id"), F.concat(F.lit("a"), (key % 97).cast("string")).alias("anchor"), F.concat(F.lit("Top > "), A.pick(("Flow", "Notes", "Other", "Rules", "Last", "Extra"), key), F.lit(" > "), (key % 200).cast("string")).alias("section_path"), (1 + key % 8 * 5).cast("int").alias("line_start"), (2 + key % 8 * 5).cast("int").alias("line_end"), text.keywords(F.concat_ws(" ", "p_name", "p_type", "p_brand", F.lit("low write read high")), 5).alias("words"))
 
 
 def _few_claims(spark, d):
-    return A.claims(spark, d).select("claim_id", "source_id", F.concat(F.lit("a"), (F.col("record_ord") % 211).cast("string")).alias("anchor"), F.concat("section_path", F.lit("!")).alias("section_path"), "line", text.keywords("matched_text", 8).alias("words"))
+    return A.claims(spark, d).select("claim_id", "source_id", F.concat(F.lit("a"), (F.col("record_ord") % 211).cast("string")).alias("anchor"), F.concat_ws(" > ", "section_path", (F.col("record_ord") % 200).cast("string")).alias("section_path"), "line", text.keywords("matched_text", 8).alias("words"))
 
 
 _WORDS_SQL = "list_filter(regexp_extract_all(lower({}), '[a-z0-9_]{{3,}}'), lambda w: w NOT IN (" + ", ".join(map(S.quoted, text.STOPWORDS)) + "))"
@@ -71,8 +71,8 @@ def _first_distinct(words: str, n: int) -> str:
 
 
 _PARTS_SQL = f"""parts0 AS (SELECT p_partkey AS k, {_WORDS_SQL.format("p_name || ' ' || p_type || ' ' || p_brand || ' low write read high'")} AS ws FROM part),
-parts AS (SELECT k AS segment_id, 's' || (k % 50) AS source_id, 'a' || (k % 97) AS anchor, 'Top > ' || {A._pick_sql(("Flow", "Notes", "Other", "More", "Last", "Extra"), "k")} AS section_path, 1 + k % 8 * 5 AS line_start, 2 + k % 8 * 5 AS line_end, {_first_distinct("ws", 5)} AS words FROM parts0)"""
-_FEW_SQL = f"""few0 AS (SELECT claim_id, source_id, 'a' || (record_ord % 211) AS anchor, section_path || '!' AS section_path, line, {_WORDS_SQL.format("matched_text")} AS ws FROM claims),
+parts AS (SELECT k AS segment_id, 's' || (k % 50) AS source_id, 'a' || (k % 97) AS anchor, 'Top > ' || {A._pick_sql(("Flow", "Notes", "Other", "Rules", "Last", "Extra"), "k")} || ' > ' || (k % 200) AS section_path, 1 + k % 8 * 5 AS line_start, 2 + k % 8 * 5 AS line_end, {_first_distinct("ws", 5)} AS words FROM parts0)"""
+_FEW_SQL = f"""few0 AS (SELECT claim_id, source_id, 'a' || (record_ord % 211) AS anchor, section_path || ' > ' || (record_ord % 200) AS section_path, line, {_WORDS_SQL.format("matched_text")} AS ws FROM claims),
 few AS (SELECT * EXCLUDE (ws), {_first_distinct("ws", 8)} AS words FROM few0)"""
 
 
@@ -98,16 +98,16 @@ def snippets(spark, d):
     f = _findings(spark, d).withColumn("words", text.keywords("matched_text", 8)).withColumn("budget", T.snippet_budget(F.col("bucket"), F.col("severity")))
     p = _parts(spark, d).withColumnRenamed("words", "p_words")
     c = f.select("finding_ord", "source_id", "words", "budget", "confidence").join(p, "source_id")
-    c = c.select(F.col("finding_ord").alias("finding_id"), "segment_id", "budget", (F.col("segment_id") % 11 == F.col("finding_ord") % 11).alias("direct"), text.keyword_overlap(F.col("words"), F.col("p_words")).alias("overlap"), F.lit(0.0).alias("lexical"), (F.col("confidence") - 0.9).alias("cosine"))
+    c = c.select(F.col("finding_ord").alias("finding_id"), "segment_id", "budget", (F.col("anchor") == F.concat(F.lit("a"), (F.col("finding_ord") % 211).cast("string"))).alias("direct"), text.keyword_overlap(F.col("words"), F.col("p_words")).alias("overlap"), F.lit(0.0).alias("lexical"), (F.col("confidence") - 0.9).alias("cosine"))
     return T.snippets(T.hybrid(c)).select("finding_id", "segment_id", "score", "place")
 
 
 def _edges(spark, d):
     p, k = A.table(spark, d, "part"), F.col("p_partkey")
-    return p.select((k % 211).alias("src"), ((k * 13 + F.col("p_size")) % 211).alias("dst"), A.pick(("both", "truth_only", "none", "delta_only"), F.col("p_size")).alias("mode"), A.pick(("propagates", "depends", "references", "contains", "other"), k).alias("relation"), (F.lit(40) + F.col("p_size")).cast("double").alias("c100")).withColumn("confidence", F.col("c100") / 100).withColumn("strength", F.col("confidence")).withColumn("write_relevant", F.col("src") % 3 == 0)
+    return p.select((k % 211).alias("src"), ((k * 13 + F.col("p_size")) % 211).alias("dst"), A.pick(("both", "truth_only", "none", "delta_only"), F.col("p_size")).alias("mode"), A.pick(("governs", "documents", "references", "contains", "other"), k).alias("relation"), (F.lit(40) + F.col("p_size")).cast("double").alias("c100")).withColumn("confidence", F.col("c100") / 100).withColumn("strength", F.col("confidence")).withColumn("write_relevant", F.col("src") % 3 == 0)
 
 
-_EDGES_SQL = f"""edge AS (SELECT p_partkey % 211 AS src, (p_partkey * 13 + p_size) % 211 AS dst, {A._pick_sql(("both", "truth_only", "none", "delta_only"), "p_size")} AS mode, {A._pick_sql(("propagates", "depends", "references", "contains", "other"), "p_partkey")} AS relation, (40 + p_size)::DOUBLE / 100 AS confidence, (p_partkey % 211) % 3 = 0 AS write_relevant FROM part)"""
+_EDGES_SQL = f"""edge AS (SELECT p_partkey % 211 AS src, (p_partkey * 13 + p_size) % 211 AS dst, {A._pick_sql(("both", "truth_only", "none", "delta_only"), "p_size")} AS mode, {A._pick_sql(("governs", "documents", "references", "contains", "other"), "p_partkey")} AS relation, (40 + p_size)::DOUBLE / 100 AS confidence, (p_partkey % 211) % 3 = 0 AS write_relevant FROM part)"""
 
 
 def _seeds(spark):
@@ -115,15 +115,15 @@ def _seeds(spark):
 
 
 def graph_expand(spark, d):
-    return G.expand(_edges(spark, d), _seeds(spark), 3)
+    return G.expand(_edges(spark, d), _seeds(spark))
 
 
 def graph_best_paths(spark, d):
-    return G.best_paths(_edges(spark, d), _seeds(spark), 3).select("seed", "node", F.round("score", 9).alias("score"), "hops")
+    return G.best_paths(_edges(spark, d), _seeds(spark)).select("seed", "node", F.round("score", 9).alias("score"), "hops")
 
 
 def graph_closure(spark, d):
-    return G.closure(_edges(spark, d), 6)
+    return G.closure(_edges(spark, d))
 
 
 def graph_edge_merge(spark, d):
@@ -150,9 +150,9 @@ ORACLES = {
   CASE WHEN l.object_key = r.object_key THEN CASE WHEN l.category = r.category THEN 4 WHEN l.priority <> r.priority THEN 3 ELSE 6 END ELSE 9 END) AS rule FROM ranked l JOIN ranked r ON l.finding_ord < r.finding_ord)
 SELECT CASE WHEN swapped AND rule IN (2, 3) THEN r ELSE l END AS from_ord, CASE WHEN swapped AND rule IN (2, 3) THEN l ELSE r END AS to_ord, ['duplicates', 'depends_on', 'depends_on', 'supports', 'supports', 'gap_hint'][rule] AS relation_type, [0.92, 0.86, 0.82, 0.84, 0.72, 0.72][rule]::DOUBLE AS score FROM p WHERE rule < 9""",
     "finding_root_causes": FINDINGS_SQL + f" SELECT finding_ord, bucket, priority, {S.lookup('severity', scoring.SEVERITY, 9)} AS rank, CAST(category IN ({', '.join(map(S.quoted, scoring.SUPPORTING))}) AS INT) AS penalty FROM ranked",
-    "similar_pairs": f"""WITH v AS (SELECT vec_id, {A._pick_sql(A.SOURCES, "label")} AS source, 'v' || (vec_id % 7) AS value, embedding::DOUBLE[] AS e FROM embeddings),
+    "similar_pairs": f"""WITH v AS (SELECT vec_id, {A._pick_sql(A.SOURCES, "label")} AS source, 'v' || (vec_id % 7) AS value, [x::DOUBLE + 0.15 FOR x IN embedding] AS e FROM embeddings),
 p AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id < b.vec_id AND a.source <> b.source AND a.value <> b.value)
-SELECT left_id, right_id, round(c, 6) AS cosine, CASE WHEN c >= 0.40 THEN 'high' ELSE 'medium' END AS severity FROM p WHERE c >= 0.30""",
+SELECT left_id, right_id, round(c, 6) AS cosine, CASE WHEN c >= 0.85 THEN 'high' ELSE 'medium' END AS severity FROM p WHERE c >= 0.70""",
     "claim_segment_links": f"""WITH RECURSIVE {A.CLAIMS_SQL}, {_PARTS_SQL}, {_FEW_SQL},
 direct AS (SELECT claim_id, segment_id, CASE WHEN f.anchor = p.anchor THEN 1.0::DOUBLE ELSE 0.96::DOUBLE END AS score FROM few f JOIN parts p USING (source_id) WHERE f.anchor = p.anchor OR line BETWEEN line_start AND line_end OR f.section_path = p.section_path),
 loose AS (SELECT claim_id, segment_id, len(list_intersect(f.words, p.words)) / len(f.words) AS o FROM few f JOIN parts p USING (source_id) WHERE claim_id NOT IN (SELECT claim_id FROM direct) AND list_has_any(f.words, p.words)
@@ -166,13 +166,13 @@ s AS (SELECT query_id, segment_id, round(sum(greatest(1e-6, ln((ns - df + 0.5::D
 SELECT query_id, segment_id, b AS bm25 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY b DESC, segment_id) <= 10""",
     "snippets": FINDINGS_SQL
     + f""", {_PARTS_SQL}, fw AS (SELECT *, {_WORDS_SQL.format("matched_text")} AS ws FROM findings), fd AS (SELECT *, {_first_distinct("ws", 8)} AS fwords, CASE WHEN severity IN ('critical', 'high') AND bucket IN ('truth', 'write_contract', 'policy') THEN 5 WHEN severity IN ('critical', 'high') THEN 4 ELSE 3 END AS budget FROM fw),
-s AS (SELECT finding_ord AS finding_id, segment_id, budget, round(1.2::DOUBLE * CAST(segment_id % 11 = finding_ord % 11 AS INT) + CASE WHEN len(fwords) > 0 AND len(p.words) > 0 THEN len(list_intersect(fwords, p.words)) / len(fwords) ELSE 0 END + greatest(0.0, confidence - 0.9::DOUBLE), 6) AS score FROM fd JOIN parts p USING (source_id))
+s AS (SELECT finding_ord AS finding_id, segment_id, budget, round(1.2::DOUBLE * CAST(anchor = 'a' || (finding_ord % 211) AS INT) + CASE WHEN len(fwords) > 0 AND len(p.words) > 0 THEN len(list_intersect(fwords, p.words)) / len(fwords) ELSE 0 END + greatest(0.0, confidence - 0.9::DOUBLE), 6) AS score FROM fd JOIN parts p USING (source_id))
 SELECT finding_id, segment_id, score, CAST(row_number() OVER (PARTITION BY finding_id ORDER BY score DESC, segment_id) AS INT) AS place, FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY score DESC, segment_id) <= budget""",
-    "graph_expand": f"WITH RECURSIVE {_EDGES_SQL}, r(node, depth) AS (SELECT unnest([0, 70, 140])::BIGINT, 0 UNION SELECT e.dst, depth + 1 FROM r JOIN edge e ON r.node = e.src WHERE depth < 3 AND mode <> 'none') SELECT node, min(depth) AS depth FROM r GROUP BY node",
-    "graph_best_paths": f"""WITH RECURSIVE {_EDGES_SQL}, arc AS (SELECT src, dst, max(greatest({G.FLOOR}, confidence * CASE relation {' '.join(f"WHEN '{k}' THEN {v}" for k, v in G.STRENGTH.items())} ELSE 0.5 END)::DOUBLE) AS s FROM edge GROUP BY ALL),
-r(seed, node, score, hops) AS (SELECT x, x, 1.0::DOUBLE, 0 FROM (SELECT unnest([0, 70, 140])::BIGINT AS x) UNION ALL SELECT seed, dst, score * s, hops + 1 FROM r JOIN arc ON r.node = arc.src WHERE hops < 3)
+    "graph_expand": f"WITH RECURSIVE {_EDGES_SQL}, r(node, depth) AS (SELECT unnest([0, 70, 140])::BIGINT, 0 UNION SELECT e.dst, depth + 1 FROM r JOIN edge e ON r.node = e.src WHERE depth < 5 AND mode <> 'none') SELECT node, min(depth) AS depth FROM r GROUP BY node",
+    "graph_best_paths": f"""WITH RECURSIVE {_EDGES_SQL}, arc AS (SELECT src, dst, max((confidence * CASE relation {' '.join(f"WHEN '{k}' THEN {v}" for k, v in G.STRENGTH.items())} ELSE {G.OTHER} END)::DOUBLE) AS s FROM edge GROUP BY ALL),
+r(seed, node, score, hops) AS (SELECT x, x, 1.0::DOUBLE, 0 FROM (SELECT unnest([0, 70, 140])::BIGINT AS x) UNION ALL SELECT seed, dst, score * s, hops + 1 FROM r JOIN arc ON r.node = arc.src WHERE hops < 4)
 SELECT seed, node, round(score, 9) AS score, hops FROM r QUALIFY row_number() OVER (PARTITION BY seed, node ORDER BY round(score, 12) DESC, hops) = 1""",
-    "graph_closure": f"WITH RECURSIVE {_EDGES_SQL}, e AS (SELECT DISTINCT src, dst FROM edge), r(src, dst, n) AS (SELECT src, dst, 1 FROM e UNION SELECT r.src, e.dst, n + 1 FROM r JOIN e ON r.dst = e.src WHERE n < 6) SELECT DISTINCT src, dst FROM r",
+    "graph_closure": f"WITH RECURSIVE {_EDGES_SQL}, e AS (SELECT DISTINCT src, dst FROM edge), r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst FROM r",
     "graph_edge_merge": f"WITH {_EDGES_SQL} SELECT src, dst, max(confidence) AS strength, bool_or(write_relevant) AS write_relevant, ['none', 'truth_only', 'delta_only', 'both'][bit_or(CASE mode WHEN 'truth_only' THEN 1 WHEN 'delta_only' THEN 2 WHEN 'both' THEN 3 ELSE 0 END) + 1] AS mode FROM edge GROUP BY ALL",
     "scope_groups": f"WITH RECURSIVE {A.CLAIMS_SQL}, m AS (SELECT DISTINCT subject_key || ':' || normalized_value || ':' || title || ':' || line AS k, source_id FROM claims), r(key) AS (SELECT 's7' UNION SELECT b.source_id FROM r JOIN m a ON a.source_id = r.key JOIN m b USING (k)) SELECT key FROM r",
 }

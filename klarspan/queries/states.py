@@ -171,8 +171,8 @@ SELECT request_id, CASE WHEN decided IS NULL THEN 'pending' WHEN decided = rejec
 SELECT variant_id, primary_id FROM j QUALIFY row_number() OVER (PARTITION BY variant_id ORDER BY o DESC, pre DESC, is_doc DESC, primary_id) = 1""",
     "semantic_relations": _REL + " SELECT * FROM rel",
     "causal_edges": _EDGE + " SELECT * FROM edge",
-    "truth_frames": _EDGE + ", r(truth, node, depth) AS (SELECT src, dst, 1 FROM edge WHERE mode IN ('truth_only', 'both') AND src LIKE 'truth:%' UNION SELECT truth, e.dst, depth + 1 FROM r JOIN edge e ON r.node = e.src WHERE depth < 3 AND mode IN ('truth_only', 'both')) SELECT truth, node, min(depth) AS depth FROM r GROUP BY ALL",
-    "causal_attribution": _EDGE + ", arc AS (SELECT src, dst, max(s) AS s FROM (SELECT src, dst, strength AS s FROM edge UNION ALL SELECT dst, src, strength * 0.88::DOUBLE FROM edge) GROUP BY ALL), r(seed, node, score, n) AS (SELECT 'subject:' || subject_key, 'subject:' || subject_key, 1.0::DOUBLE, 0 FROM truths WHERE truth_ord IN (1, 3, 4) UNION ALL SELECT seed, arc.dst, score * s, n + 1 FROM r JOIN arc ON r.node = arc.src WHERE n < 2) SELECT seed, node, round(max(score), 6) AS score FROM r WHERE node <> seed GROUP BY ALL",
+    "truth_frames": _EDGE + ", r(truth, node, depth) AS (SELECT src, dst, 1 FROM edge WHERE mode IN ('truth_only', 'both') AND src LIKE 'truth:%' UNION SELECT truth, e.dst, depth + 1 FROM r JOIN edge e ON r.node = e.src WHERE depth < 5 AND mode IN ('truth_only', 'both')) SELECT truth, node, min(depth) AS depth FROM r GROUP BY ALL",
+    "causal_attribution": _EDGE + ", arc AS (SELECT src, dst, max(s) AS s FROM (SELECT src, dst, greatest(0.35::DOUBLE, strength) AS s FROM edge UNION ALL SELECT dst, src, greatest(0.35::DOUBLE, strength) * 0.88::DOUBLE FROM edge) GROUP BY ALL), r0 AS (SELECT 'subject:' || subject_key AS seed, 'subject:' || subject_key AS node, 1.0::DOUBLE AS score FROM truths WHERE truth_ord IN (1, 3, 4)), " + ", ".join(f"r{i + 1} AS (SELECT seed, node, max(score) AS score FROM (SELECT * FROM r{i} UNION ALL SELECT seed, arc.dst, score * s FROM r{i} JOIN arc ON r{i}.node = arc.src) GROUP BY ALL)" for i in range(5)) + " SELECT seed, node, round(score, 6) AS score FROM r5 WHERE node <> seed",
     "schema_validation": f"""WITH t AS (SELECT p_partkey % 500 AS claim, upper(split_part(p_type, ' ', 1)) AS name, {A._pick_sql(('Node', 'Relationship'), 'p_partkey')} AS kind FROM part), c AS (SELECT DISTINCT upper(split_part(p_type, ' ', 1)) AS name, {A._pick_sql(('Node', 'Relationship'), 'p_partkey // 3')} AS kind FROM part WHERE p_partkey % 3 = 0 AND upper(split_part(p_type, ' ', 1)) < 'P'),
 s AS (SELECT claim, CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.name = t.name AND c.kind = t.kind) THEN 'confirmed' WHEN t.name IN (SELECT name FROM c) THEN 'observed_only' ELSE 'unconfirmed' END AS status FROM t), g AS (SELECT claim, {", ".join(f"count(*) FILTER (WHERE status = '{x}') AS {x}" for x in ("confirmed", "observed_only", "unconfirmed"))}, count(*) AS n FROM s GROUP BY 1)
 SELECT claim, confirmed, observed_only, unconfirmed, CASE WHEN confirmed = n THEN 'confirmed' WHEN unconfirmed = n THEN 'unconfirmed' WHEN observed_only = n THEN 'observed_only' WHEN unconfirmed > 0 THEN 'partly_unconfirmed' ELSE 'mixed' END AS verdict FROM g""",
