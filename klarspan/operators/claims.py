@@ -40,12 +40,18 @@ def descriptor() -> Column:
 
 
 def voted(claims: DataFrame) -> DataFrame:
-    """Claims that vote, with their consensus bucket and weight in hundredths."""
+    """Claims that vote, with their trimmed value and weight in hundredths."""
     votes = claims.where((F.coalesce("assertion_status", F.lit("asserted")) != "secondary_only") & (F.trim("normalized_value") != ""))
-    votes = votes.withColumn("value", F.trim("normalized_value"))
-    return votes.withColumn("bucket", semantics.consensus_bucket(F.col("subject_key"), F.col("predicate"), F.col("value"))).withColumn(
-        "weight", scoring.entry_weight(F.col("source_type"), descriptor(), F.col("source_authority"), F.col("assertion_status")).cast("long")
+    return votes.withColumn("value", F.trim("normalized_value")).withColumn("weight", scoring.entry_weight(F.col("source_type"), descriptor(), F.col("source_authority"), F.col("assertion_status")).cast("long"))
+
+
+def voted_values(votes: DataFrame) -> DataFrame:
+    """The distinct values of each aspect with their votes and bucket: buckets are made once a value, not once a claim."""
+    values = votes.groupBy("subject_key", "predicate", "value").agg(
+        F.sum("weight").alias("weight"), F.count("*").alias("votes"), F.min("record_ord").alias("first_ord"),
+        F.bool_or(F.col("source_type").isin("confluence_page", "local_doc", "metamodel") & counts_as_target()).alias("has_doc"), F.bool_or(F.col("source_type").isin(*CODE)).alias("has_code"),
     )
+    return values.withColumn("bucket", semantics.consensus_bucket(F.col("subject_key"), F.col("predicate"), F.col("value")))
 
 
 def truth_targets(aspects: DataFrame, truths: DataFrame) -> DataFrame:
@@ -59,13 +65,10 @@ def truth_targets(aspects: DataFrame, truths: DataFrame) -> DataFrame:
     return found.groupBy("subject_key", "predicate").agg(F.min_by("truth_value", order).alias("truth_value"))
 
 
-def consensus(claims: DataFrame, truths: DataFrame, votes: DataFrame | None = None) -> DataFrame:
+def consensus(claims: DataFrame, truths: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """One row for each aspect (subject, predicate) of at least two votes: winner, share, and who covers it."""
-    votes = voted(claims) if votes is None else votes
-    buckets = votes.groupBy("subject_key", "predicate", "bucket").agg(
-        F.sum("weight").alias("weight"), F.count("*").alias("votes"), F.min_by("value", "record_ord").alias("shown"),
-        F.bool_or(F.col("source_type").isin("confluence_page", "local_doc", "metamodel") & counts_as_target()).alias("has_doc"), F.bool_or(F.col("source_type").isin(*CODE)).alias("has_code"),
-    )
+    values = voted_values(voted(claims)) if values is None else values
+    buckets = values.groupBy("subject_key", "predicate", "bucket").agg(F.sum("weight").alias("weight"), F.sum("votes").alias("votes"), F.min_by("value", "first_ord").alias("shown"), F.bool_or("has_doc").alias("has_doc"), F.bool_or("has_code").alias("has_code"))
     best = F.max_by(F.struct("bucket", "weight", "shown"), F.struct("weight", "votes", "bucket"))
     aspects = buckets.groupBy("subject_key", "predicate").agg(best.alias("best"), F.sum("weight").alias("total"), F.sum("votes").alias("votes"), F.count("*").alias("n_buckets"), F.bool_or("has_doc").alias("has_doc"), F.bool_or("has_code").alias("has_code"))
     aspects = aspects.where("votes >= 2").join(truth_targets(aspects, truths), ["subject_key", "predicate"], "left")
@@ -80,9 +83,11 @@ def consensus(claims: DataFrame, truths: DataFrame, votes: DataFrame | None = No
 
 def deviations(claims: DataFrame, truths: DataFrame) -> DataFrame:
     """Sources that contradict a clear target: one row for each aspect and source."""
-    votes = kept(voted(claims).select("subject_key", "predicate", "bucket", "weight", "value", "record_ord", "source_type", "source_id", "source_authority", "assertion_status"))
-    targets = consensus(claims, truths, votes).where("kind = 'clear'").select("subject_key", "predicate", "target", "truth_fixed", "shown")
-    off = votes.join(targets, ["subject_key", "predicate"]).where("bucket <> target")
+    votes = voted(claims)
+    values = kept(voted_values(votes))
+    targets = consensus(claims, truths, values).where("kind = 'clear'").select("subject_key", "predicate", "target", "truth_fixed", "shown")
+    off = values.join(targets, ["subject_key", "predicate"]).where("bucket <> target").select("subject_key", "predicate", "value", "truth_fixed", "shown")
+    off = votes.select("subject_key", "predicate", "value", "source_type", "source_id").join(off, ["subject_key", "predicate", "value"])
     return off.groupBy("subject_key", "predicate", "source_type", "source_id").agg(
         F.first("shown").alias("target_value"), F.array_join(F.array_sort(F.collect_set("value")), "|").alias("deviating"), F.when(F.first("truth_fixed"), "critical").otherwise("high").alias("severity"), F.count("*").alias("n_claims")
     )
@@ -90,7 +95,7 @@ def deviations(claims: DataFrame, truths: DataFrame) -> DataFrame:
 
 def top_buckets(claims: DataFrame, n: int = 2) -> DataFrame:
     """The n heaviest buckets of each aspect."""
-    buckets = voted(claims).groupBy("subject_key", "predicate", "bucket").agg(F.sum("weight").alias("weight"), F.count("*").alias("votes"))
+    buckets = voted_values(voted(claims)).groupBy("subject_key", "predicate", "bucket").agg(F.sum("weight").alias("weight"), F.sum("votes").alias("votes"))
     place = F.row_number().over(Window.partitionBy("subject_key", "predicate").orderBy(F.desc("weight"), F.desc("votes"), "bucket"))
     return buckets.withColumn("place", place).where(F.col("place") <= n)
 
@@ -108,15 +113,16 @@ def claim_delta(current: DataFrame, previous: DataFrame) -> DataFrame:
     identity = ["source_type", "source_id", "subject_key", "predicate"]
     before = previous.groupBy(*identity).agg(F.collect_set("normalized_value").alias("_values"))
     exact = previous.select("fingerprint").distinct().withColumn("_exact", F.lit(True))
-    joined = current.join(exact, "fingerprint", "left").join(before, identity, "left")
+    joined = current.join(exact, "fingerprint", "left")
     tags = lambda v: semantics.signature(F.col("subject_key"), F.col("predicate"), v)
     # signatures of the values before are made once for each distinct (aspect, value), not for each claim
     before_tags = before.withColumn("_tagged", F.transform("_values", lambda v: F.struct(v.alias("v"), tags(v).alias("t")))).select(*identity, "_tagged")
-    joined = joined.drop("_values").join(before_tags, identity, "left").withColumn("_tags", tags(F.col("normalized_value")))
-    aligned = F.exists("_tagged", lambda b: semantics.values_aligned(F.col("_tags"), b["t"], F.col("normalized_value"), b["v"]))
+    joined = joined.join(before_tags, identity, "left")
+    # the claim's own signature stands inside the case, so that exact and new claims never need it
+    aligned = semantics.let(tags(F.col("normalized_value")), lambda own: F.exists("_tagged", lambda b: semantics.values_aligned(own, b["t"], F.col("normalized_value"), b["v"])))
     status = F.when(F.col("_exact"), "unchanged").when(F.col("_tagged").isNull(), "added").otherwise("changed")
     change = F.when(F.col("_exact"), "exact").when(F.col("_tagged").isNull(), "new_identity").when(aligned, "textual_only").otherwise("semantic")
-    return joined.withColumn("delta_status", status).withColumn("delta_change_type", change).drop("_exact", "_tagged", "_tags")
+    return joined.withColumn("delta_status", status).withColumn("delta_change_type", change).drop("_exact", "_tagged")
 
 
 def impacted_scopes(delta: DataFrame, truths: DataFrame) -> DataFrame:

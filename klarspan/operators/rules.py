@@ -29,7 +29,8 @@ def is_process(subject: Column) -> Column:
 def value_classes(claims: DataFrame) -> DataFrame:
     """One row a subject: for each source class its number of claims and its distinct (value, predicate) pairs in order."""
     part = claims.where(is_primary()).groupBy("subject_key", "source_type", "normalized_value", "predicate").agg(F.min("record_ord").alias("ord"), F.count("*").alias("n"))
-    entry = F.struct("ord", F.col("normalized_value").alias("v"), F.col("predicate").alias("p"))
+    part = part.withColumn("t", semantics.signature(F.col("subject_key"), F.col("predicate"), F.col("normalized_value")))  # once for each distinct claim
+    entry = F.struct("ord", F.col("normalized_value").alias("v"), F.col("predicate").alias("p"), "t")
     own = lambda *kinds: F.col("source_type").isin(*kinds)
     aggs = []
     for name, kinds in {"wiki": ("confluence_page",), "local": ("local_doc",), "doc": ("confluence_page", "local_doc"), "model": ("metamodel",), "code": ("github_file",)}.items():
@@ -38,7 +39,7 @@ def value_classes(claims: DataFrame) -> DataFrame:
 
 
 def _tags(side: Column, predicate: Column) -> Column:
-    return F.transform(side, lambda e: semantics.signature(F.col("subject_key"), predicate, e["v"]))
+    return F.transform(side, lambda e: F.when(e["p"] == predicate, e["t"]).otherwise(semantics.signature(F.col("subject_key"), predicate, e["v"])))
 
 
 def sides_conflict(left: Column, right: Column) -> Column:
@@ -51,10 +52,9 @@ def sides_conflict(left: Column, right: Column) -> Column:
 
 def inner_conflict(side: Column) -> Column:
     """Whether two of the side's values conflict, seen with the earlier one's predicate."""
-    own = F.transform(side, lambda e: F.struct(e["ord"].alias("ord"), e["v"].alias("v"), e["p"].alias("p"), semantics.signature(F.col("subject_key"), e["p"], e["v"]).alias("t")))
     seen = lambda a, b: F.when(a["p"] == b["p"], b["t"]).otherwise(semantics.signature(F.col("subject_key"), a["p"], b["v"]))
     pair = lambda a, b: semantics.signatures_conflict(F.array(a["t"]), F.array(seen(a, b)), F.array(a["v"]), F.array(b["v"]))
-    return F.exists(own, lambda a: F.exists(own, lambda b: (a["ord"] < b["ord"]) & (a["v"] != b["v"]) & pair(a, b)))
+    return F.exists(side, lambda a: F.exists(side, lambda b: (a["ord"] < b["ord"]) & (a["v"] != b["v"]) & pair(a, b)))
 
 
 def findings(claims: DataFrame) -> DataFrame:

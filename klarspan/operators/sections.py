@@ -10,6 +10,10 @@ from klarspan.functions import text
 CODE_BLOCK = r"^(class\s+\w+|async\s+def\s+\w+|def\s+\w+|interface\s+\w+|function\s+\w+|const\s+\w+\s*=)"
 
 
+def _stripped(x: Column) -> Column:
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
 def _inner(tokens: Column) -> Column:
     """All runs of neighbouring tokens, as joined paths: what overlap looks for, so that it becomes an equi join."""
     n = F.size(tokens)
@@ -45,14 +49,14 @@ def regeneration(claims: DataFrame, changed: DataFrame, removed: DataFrame) -> D
 def review_parts(docs: DataFrame, least: int = 900) -> DataFrame:
     """Sections of texts (doc_id, source_type, title, text) for a review: code by its classes and functions, other texts by
     headings; without either, paragraphs gathered up to ``least`` characters, under the title."""
-    body = F.trim(F.coalesce("text", F.lit("")))
+    body = _stripped(F.coalesce("text", F.lit("")))
     pieces = lambda pattern: F.split(body, rf"(?m)(?={pattern})")
     code = (F.col("source_type") == "github_file") & body.rlike(f"(?m){CODE_BLOCK}")
     headed = body.rlike(r"(?m)^#{1,6}\s+.+$")
-    code_parts = F.transform(F.filter(pieces(CODE_BLOCK), lambda p: p.rlike(CODE_BLOCK)), lambda p: F.struct(F.regexp_extract(p, CODE_BLOCK, 1).alias("heading"), F.trim(p).alias("body")))
-    cut = lambda p: F.struct(F.trim(F.regexp_replace(F.regexp_extract(p, r"^(#{1,6}\s+[^\n]+)", 1), "^#+", "")).alias("heading"), F.trim(F.regexp_replace(p, r"^#{1,6}\s+[^\n]+", "")).alias("body"))
+    code_parts = F.transform(F.filter(pieces(CODE_BLOCK), lambda p: p.rlike(CODE_BLOCK)), lambda p: F.struct(F.regexp_extract(p, CODE_BLOCK, 1).alias("heading"), _stripped(p).alias("body")))
+    cut = lambda p: F.struct(_stripped(F.regexp_replace(F.regexp_extract(p, r"^(#{1,6}\s+[^\n]+)", 1), "^#+", "")).alias("heading"), _stripped(F.regexp_replace(p, r"^#{1,6}\s+[^\n]+", "")).alias("body"))
     heading_parts = F.filter(F.transform(F.filter(pieces(r"^#{1,6}\s+.+$"), lambda p: p.rlike(r"^#{1,6}\s+.+")), cut), lambda s: s["body"] != "")
-    paragraphs = F.filter(F.transform(F.split(body, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(body, r"\n\s*\n"), lambda p: _stripped(p)), lambda p: p != "")
     own = docs.select("doc_id", "title", code.alias("is_code"), code_parts.alias("code"), headed.alias("is_headed"), heading_parts.alias("headings"), paragraphs.alias("paragraphs"))
     marked = own.select("doc_id", F.when(F.col("is_code"), F.col("code")).when(F.col("is_headed") & (F.size("headings") > 0), F.col("headings")).alias("parts"), "title", "paragraphs")
     direct = marked.where("parts IS NOT NULL").select("doc_id", F.posexplode("parts").alias("ordinal", "p")).select("doc_id", "ordinal", "p.heading", "p.body")
