@@ -1,6 +1,8 @@
 """License scans: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-Units of a document are its lines, its paragraphs (between blank lines) and its whole text. A unit and a template have
+Units of a document are its lines, its sentences (up to `.`, `!` or `?` before white space), runs of up to RUN
+neighbouring paragraphs (between blank lines; those without words do not count) and its whole text, so that a licence of
+several paragraphs is found between code or prose. A unit and a template have
 sets of bigrams of normalised words (A-Z lower-cased, runs of ASCII letters, digits and non-ASCII characters). At
 threshold t, a template of a bigrams can only match units of t/(2-t)*a to (2-t)/t*a bigrams; units outside every
 template's bounds, or with too few bigrams that any template has, are never compared.
@@ -18,6 +20,8 @@ from pyspark.sql import DataFrame
 from klarspan.llm import common as C
 
 THRESHOLD = 0.8
+#: Neighbouring paragraphs that are compared as one unit, at most.
+RUN = 6
 
 # Wordings of public licences and of the notices that refer to them.
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
@@ -54,6 +58,8 @@ TEMPLATES = (
 )
 
 _SEPARATOR = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+_STOP = np.zeros(256, bool)
+_STOP[[ord(c) for c in ".!?"]] = True
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _NEXT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -96,29 +102,38 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
         total = np.concatenate([[0], np.cumsum(hit)])
         newline = np.flatnonzero(raw == 10)
         line = lambda at: np.searchsorted(newline, at)
+        doc = doc.astype(np.int64)
         first_line, second_line = line(begin), line(second)
         # a line break followed by white space up to another one ends a paragraph
         text = np.flatnonzero(~C.SPACE[raw])
         between = np.searchsorted(text, newline)
         blank = newline[1:][between[1:] == between[:-1]] if len(newline) > 1 else newline[:0]
-        first_part, second_part = np.searchsorted(blank, begin), np.searchsorted(blank, second)
+        stop = np.flatnonzero(_STOP[raw[:-1]] & C.SPACE[raw[1:]]) if len(raw) else newline
         found: list[dict] = [{} for _ in range(len(offsets) - 1)]
         units = [0] * (len(offsets) - 1)
-        for a, b in ((first_line, second_line), (first_part, second_part), (np.zeros(len(grams), np.int64),) * 2):
-            inside = np.flatnonzero(a == b)
-            if not len(inside):
+
+        def runs():
+            """Units as the first and last place of their bigrams."""
+            whole = doc << 32
+            kinds = ((whole | first_line, whole | second_line, 1), (whole | np.searchsorted(stop, begin), whole | np.searchsorted(stop, second), 1), (whole | np.searchsorted(blank, begin), whole | np.searchsorted(blank, second), RUN), (whole, whole, 1))
+            for a, b, most in kinds:
+                parts = np.unique(np.concatenate([a, b]))  # those with words, numbered in order
+                a, b, of = np.searchsorted(parts, a), np.searchsorted(parts, b), parts >> 32
+                for n in range(1, min(most, len(of)) + 1):
+                    first = np.flatnonzero(of[n - 1 :] == of[: len(of) - n + 1])
+                    lo, hi = np.searchsorted(a, first), np.searchsorted(b, first + n - 1, "right")
+                    likely = np.flatnonzero((hi > lo) & (total[hi] - total[lo] >= least))
+                    yield from zip(lo[likely].tolist(), hi[likely].tolist())
+
+        for lo, hi in runs():
+            own = np.unique(grams[lo:hi])
+            if total[hi] - total[lo] < ratio * len(own):
                 continue
-            edge = np.flatnonzero(np.concatenate([[True], (a[inside][1:] != a[inside][:-1]) | (doc[inside][1:] != doc[inside][:-1]), [True]]))
-            hits = np.add.reduceat(hit[inside].astype(np.int64), edge[:-1])
-            for u in np.flatnonzero(hits >= least):
-                own = np.unique(grams[inside[edge[u] : edge[u + 1]]])
-                if hits[u] < ratio * len(own):
-                    continue
-                d, any_match = int(doc[inside[edge[u]]]), False
-                for name, dice in matches(own):
-                    any_match = True
-                    found[d][name] = max(dice, found[d].get(name, 0.0))
-                units[d] += any_match
+            d, any_match = int(doc[lo]), False
+            for name, dice in matches(own):
+                any_match = True
+                found[d][name] = max(dice, found[d].get(name, 0.0))
+            units[d] += any_match
         out = []
         for names, n in zip(found, units):
             best = min(names, key=lambda x: (-names[x], x), default=None)
@@ -147,9 +162,11 @@ twords AS (SELECT row_number() OVER () AS t, name, {_WORDS.format("body")} AS w
 tgram AS (SELECT DISTINCT t, name, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS g FROM twords),
 tsize AS (SELECT t, count(*) AS a FROM tgram GROUP BY t),
 doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+para AS (SELECT r, list_filter(regexp_split_to_array(text, '\\n[\\x20\\x09-\\x0D]*\\n'), lambda x: regexp_matches(x, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]')) AS p FROM doc),
 unit AS (SELECT row_number() OVER () AS u, r, body FROM (
   SELECT r, unnest(string_split(text, chr(10))) AS body FROM doc
-  UNION ALL SELECT r, unnest(regexp_split_to_array(text, '\\n[\\x20\\x09-\\x0D]*\\n')) AS body FROM doc
+  UNION ALL SELECT r, unnest(regexp_split_to_array(text, '[.!?][\\x20\\x09-\\x0D]+')) AS body FROM doc
+  UNION ALL SELECT r, array_to_string(p[i:i + n - 1], ' ') AS body FROM para, range(1, {RUN + 1}) AS s(n), unnest(range(1, len(p) - n + 2)) AS t(i)
   UNION ALL SELECT r, text AS body FROM doc)),
 uwords AS (SELECT u, r, {_WORDS.format("body")} AS w FROM unit),
 ugram AS (SELECT DISTINCT u, r, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS g FROM uwords),
