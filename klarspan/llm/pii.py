@@ -1,8 +1,8 @@
 """PII by candidate gradient boosting, with DataFrame functions alone.
 
 Base spans are the written patterns' matches that pass their checks; they always stay. Beside them, high-recall
-generators propose spans in other forms (numbers that the base patterns swallow in longer runs, national phone numbers,
-spelled-out addresses). Boosted trees score each proposal by features of its format and of the words around it; a
+generators propose spans in other forms: numbers that the base patterns swallow in longer runs, cards in any groups,
+national phone numbers, shortened IPv6, and addresses with `at` and `dot` in brackets or in words. Boosted trees score each proposal by features of its format and of the words around it; a
 proposal is kept if its calibrated probability reaches its kind's threshold and it overlaps no base span and no better
 proposal. The trees are fitted here, on labelled sentences made from a fixed seed (N_EXAMPLES of them), and are
 compiled to SQL expressions.
@@ -29,29 +29,35 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_DOT = r"[(\[{]dot[)\]}]"
 PROPOSED = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+-]{1,64}\x20?[(\[{]at[)\]}]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[(\[{]dot[)\]}])\x20?[A-Za-z0-9-]{1,63}){1,5}",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\])[0-9]{1,3}){3}|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4})(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){3}(?:[\x20-]?[0-9]{1,3})?(?![0-9])",
-    "phone": r"(?<![0-9+])(?:\([0-9]{3}\)|[0-9]{3})[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    # local[at]host.tld with any brackets, or `local at host dot tld` in words
+    "email": r"(?i)(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+-]{1,64}(?:\x20?[(\[{]at[)\]}]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|" + _DOT + r")\x20?[A-Za-z0-9-]{1,63}){1,5}|\x20at\x20[A-Za-z0-9-]{1,63}(?:(?:\x20dot\x20|\x20?" + _DOT + r"\x20?)[A-Za-z0-9-]{1,63}){1,5})",
+    # dots in brackets, eight groups of hexadecimal digits, or fewer with one `::`
+    "ip": r"(?<![0-9A-Za-z:])(?:[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\])[0-9]{1,3}){3}|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]{0,35}::)(?=:{0,2}[0-9A-Fa-f])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7})(?![0-9A-Za-z:])",
+    # 13 to 19 digits in any groups
+    "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])",
+    # 3-3-4, or a leading zero (national, or 00 and a country's code) and seven to sixteen digits in any groups
+    "phone": r"(?<![0-9+])(?:\([0-9]{3}\)|[0-9]{3})[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9])|(?<![0-9+.,])(?:\(0[0-9]{1,4}\)|0[0-9]{1,4})(?:[\x20./-]{0,2}[0-9]){5,11}(?![0-9])",
 }
 #: A text without any of these cannot match; looked for before the pattern is tried.
-_NEEDS = {("base", "email"): ("@",), ("base", "phone"): ("+",), ("proposed", "email"): ("at)", "at]", "at}"), ("proposed", "ip"): ("[.]", "(.)", "[dot]", ":")}
+_NEEDS = {("base", "email"): ("@",), ("base", "phone"): ("+",), ("proposed", "email"): ("at)", "at]", "at}", " dot ", "dot)", "dot]", "dot}"), ("proposed", "ip"): ("[.]", "(.)", "[dot]", ":")}
 #: Words near a span; fixed values.
 CUES = {
-    "cue_email": "mail|contact|write|reach|address",
-    "cue_ip": "ip|host|server|address|client|node",
-    "cue_card": "card|visa|master|amex|credit|debit|pay|paid|charge",
-    "cue_phone": "phone|tel|call|fax|mobile|cell|dial|contact",
-    "cue_other": "order|invoice|version|isbn|sku|part|serial|tracking|batch|model|ticket|release|build|item",
+    "cue_email": "mail|contact|write|reach|address|schreib|adresse|correo|courriel",
+    "cue_ip": "ip|host|server|address|client|node|gateway|dns",
+    "cue_card": "card|visa|master|amex|credit|debit|pay|paid|charge|karte|carte|tarjeta",
+    "cue_phone": "phone|tel|call|fax|mobil|cell|dial|contact|handy|ruf|appel|llam|portable|sms|whatsapp",
+    "cue_other": "order|invoice|version|isbn|sku|part|serial|tracking|batch|model|ticket|release|build|item|date|datum|born|page|ratio|id|bestell|rechnung|commande|factura|kunde",
 }
-FEATURES = ("kind", "length", "n_digits", "luhn", "n_separators", "lead", "same", "octets", "tld", "left_joined", "right_joined", *CUES)
+FEATURES = ("kind", "length", "n_digits", "luhn", "n_separators", "lead", "same", "octets", "tld", "date", "groups", "left_joined", "right_joined", *CUES)
 CONTEXT = 24
-N_EXAMPLES = 2400
+N_EXAMPLES = 4800
 _SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
 def _needed(text: Column, key: tuple[str, str]) -> Column:
+    text = F.lower(text) if key == ("proposed", "email") else text
     parts = [F.contains(text, F.lit(x)) for x in _NEEDS.get(key, ())]
     return functools.reduce(lambda a, b: a | b, parts) if parts else F.lit(True)
 
@@ -119,6 +125,8 @@ def _features(text: Column, p: Column) -> Column:
         "same": flag(F.length(F.translate(digits, "0123456789", "")) + F.size(F.array_distinct(F.split(digits, ""))) <= 2),
         "octets": flag(_octets(plain) | F.contains(value, F.lit(":"))),
         "tld": F.length(F.regexp_extract(value, "[A-Za-z]*$", 0)).cast("double"),
+        "date": flag(value.rlike(r"^[0-9]{1,2}[\x20./-]{1,2}[0-9]{1,2}[\x20./-]{1,2}(?:[0-9]{2}|[0-9]{4})$")),
+        "groups": F.size(F.split(value, "[^0-9A-Za-z]+")).cast("double"),
         "left_joined": flag(F.substring(text, start, F.lit(1)).rlike(r"[\p{L}0-9#$._/-]") & (start > 0)),
         "right_joined": flag(F.substring(text, end + 1, F.lit(1)).rlike(r"[\p{L}0-9#%_/-]")),
     } | {name: flag(before.rlike(rf"\b(?:{words})") | after.rlike(rf"^\W*(?:{words})")) for name, words in CUES.items()}
@@ -149,30 +157,48 @@ def _examples(n: int = N_EXAMPLES) -> list[tuple[str, int]]:
         return str(-total % 10)
 
     def card(good: bool) -> str:
-        x = rng.choice("3456") + d(14)
+        groups = rng.choice([(4, 4, 4, 4), (4, 4, 4, 4), (4, 6, 5), (4, 3, 3, 3), (4, 4, 4, 4, 3)])
+        x = rng.choice("3456") + d(sum(groups) - 2)
         last = check_digit(x)
         x += last if good else str((int(last) + rng.randint(1, 9)) % 10)
-        sep = rng.choice(["", "", " ", "-"])
-        x = sep.join(x[i : i + 4] for i in (0, 4, 8, 12))
-        return f"{x} {x}" if rng.random() < 0.2 else x
-
-    def make(kind: str, good: bool) -> str:
-        if kind == "card":
-            return card(good)
-        if kind == "phone":
-            a = d(3, 2) if good or rng.random() < 0.5 else d(3)
-            return rng.choice([f"({a}) {d(3, 2)}-{d(4)}", f"{a}-{d(3, 2)}-{d(4)}", f"{a}.{d(3, 2)}.{d(4)}"]) if good else rng.choice([f"{a}-{d(3)}-{d(4)}", f"{a} {d(3)} {d(4)}"])
-        if kind == "ip":
-            if good and rng.random() < 0.3:
-                return ":".join(f"{rng.randint(0, 65535):x}" for _ in range(8))
-            dot = rng.choice(["[.]", "(.)", "[dot]"])
-            return dot.join(str(rng.randint(0, 255 if good else 999) if i or good else rng.randint(256, 999)) for i in range(4))
+        sep, at, parts = rng.choice(["", "", " ", "-"]), 0, []
+        for g in groups:
+            parts.append(x[at : at + g])
+            at += g
+        x = sep.join(parts)
+        return f"{x} {x}" if rng.random() < 0.2 and len(x) < 17 else x
+
+    def phone(good: bool) -> str:
+        if not good:
+            return rng.choice([f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)} {d(3)} {d(4)}", f"0{d(1, 1)}.{rng.choice(['0', '1'])}{d(1)}.20{d(2)}", f"0{d(1, 1)}/0{d(1, 1)}/19{d(2)}", f"000{d(6)}", f"00{d(8)}", f"0{d(9, 1)}", f"0{d(2, 1)}-{d(5)}"])
+        pairs = " ".join([f"0{rng.randint(1, 9)}", *(d(2) for _ in range(4))])
+        return rng.choice([f"({d(3, 2)}) {d(3, 2)}-{d(4)}", f"{d(3, 2)}-{d(3, 2)}-{d(4)}", f"{d(3, 2)}.{d(3, 2)}.{d(4)}", f"0{d(2, 2)} {d(7, 1)}", f"0{d(3, 1)}/{d(6, 1)}", f"0{d(3, 1)} {d(3, 1)} {d(4)}", pairs, pairs.replace(" ", "."), f"00{d(2, 3)} {d(2, 1)} {d(7, 1)}", f"(0{d(2, 2)}) {d(3, 1)} {d(4)}", f"0{d(3, 1)}-{d(7, 1)}", f"0{d(10, 1)}"])
+
+    def ip(good: bool) -> str:
+        group = lambda: f"{rng.randint(0, 65535):x}"
+        if rng.random() < 0.5:
+            if not good:
+                return rng.choice([f"{d(1)}::{d(1)}", f"{d(2)}::{d(2)}", f"{d(1)}::"])
+            if rng.random() < 0.4:
+                return ":".join(group() for _ in range(8))
+            left = [f"{rng.choice(['2001', 'fe80', '2a02', 'fd00', group()])}", *(group() for _ in range(rng.randint(0, 2)))]
+            return ":".join(left) + "::" + ":".join(group() for _ in range(rng.randint(1, 4))) if rng.random() < 0.9 else f"::{group()}:{group()}"
+        dot = rng.choice(["[.]", "(.)", "[dot]"])
+        return dot.join(str(rng.randint(0, 255 if good else 999) if i or good else rng.randint(256, 999)) for i in range(4))
+
+    def email(good: bool) -> str:
         a, b, c = rng.sample(words, 3)
+        local = rng.choice([a, f"{a}.{d(2)}", f"{a}_{c}", f"{a}.{c}"])
+        end = rng.choice(["com", "org", "net", "de", "fr", "io", "edu", "es"]) if good else rng.choice(["1", "22", "x", "7"])
         o, e = rng.choice(["()", "[]", "{}"])
         s = rng.choice(["", " "])
-        end = rng.choice(["com", "org", "net", "de", "fr", "io", "edu"]) if good else rng.choice(["1", "22", "x", "7"])
-        local = rng.choice([a, f"{a}.{d(2)}", f"{a}_{c}"])
-        return f"{local}{s}{o}at{e}{s}{b}{s}{rng.choice([f'{o}dot{e}', '.'])}{s}{end}" if good else f"{local}{s}{o}at{e}{s}{c}.{end}"
+        if rng.random() < 0.4:
+            made = f"{local} at {b} dot {end}" if good or rng.random() < 0.7 else f"{a} at {b} dot {c} dot {end}"
+        else:
+            made = f"{local}{s}{o}at{e}{s}{b}{s}{rng.choice([f'{o}dot{e}', '.'])}{s}{end}" if good else f"{local}{s}{o}at{e}{s}{c}.{end}"
+        return made.upper() if rng.random() < 0.2 else made
+
+    make = lambda kind, good: {"card": card, "phone": phone, "ip": ip, "email": email}[kind](good)
 
     out = []
     for i in range(n):
@@ -317,7 +343,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """The documents, all columns, each span of their text replaced by its kind in angle brackets; null stays null.
     Overlapping spans become one, named by the first."""
-    df = with_spans(docs)
+    df = with_spans(docs.select(F.struct(*docs.columns).alias("row"), "text"))  # so that no column's name clashes
     by_start = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     text, tags = F.col("text"), F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -328,4 +354,5 @@ def redact(docs: DataFrame) -> DataFrame:
 
     done = F.aggregate("pii_by_start", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
     df = df.withColumn("pii_by_start", by_start)
-    return df.withColumn("text", F.when(F.size("pii_by_start") > 0, done).otherwise(text)).drop("pii_base", "pii_spans", "pii_by_start")
+    new = F.when(F.size("pii_by_start") > 0, done).otherwise(text)
+    return df.select(*(new.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))

@@ -136,3 +136,48 @@ def test_mixing(spark):
     assert abs(n - 60 * 4000) < 6000 and {r["source"] for r in many.select("source").distinct().collect()} == {"b"}
     assert mixing.mix_sources(docs.limit(0), {"b": 1.0}).count() == 0
     assert abs(mixing.mix_sources(docs, {"none": 1.0}).count() - 4000) < 300  # a weight without documents is ignored
+
+
+#: Texts as people write them, none of which the examples' makers can give: what the added spans should be, by kind.
+WRITTEN = [
+    ("Sie erreichen Frau Lenz unter 030 1234567 oder per Fax 030/7654321.", {"phone": 2}),
+    ("Appelez-nous au 06 12 34 56 78 avant midi.", {"phone": 1}),
+    ("Tel.: (0221) 998 4410, Handy 0171-5558812", {"phone": 2}),
+    ("From abroad dial 0049 89 4455667.", {"phone": 1}),
+    ("Call me on 415-555-2671 or text (212) 555-0187!", {"phone": 2}),
+    ("write to jane.doe at example dot org please", {"email": 1}),
+    ("my mail is SUPPORT [AT] ACME [DOT] COM", {"email": 1}),
+    ("contact: li.wei(at)uni-koeln.de", {"email": 1}),
+    ("The server 2001:db8::8a2e:370:7334 did not answer, gateway fe80::1 did.", {"ip": 2}),
+    ("blocked host 185[.]220[.]101[.]4 again", {"ip": 1}),
+    ("paid with amex 3782 822463 10005 yesterday", {"card": 1}),
+    ("He arrived on 03.04.2021 and left on 05/06/1999.", {}),
+    ("The ratio was 0.123456789 and the order 00012345678.", {}),
+    ("std::vector and a::b are C++; see chapter 3::4", {}),
+    ("invoice 4532 1143 8765 3211 0, batch 000123456", {}),
+    ("We meet at noon. Look at dot plots at home.", {}),
+    ("Version 10.2.3 build 0099-12345 of item 012-34567", {}),
+]
+
+
+def test_pii_on_texts_as_people_write_them(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(WRITTEN)], "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.find_pii(docs).collect()}
+    hit = extra = wanted = 0
+    for i, (text, kinds) in enumerate(WRITTEN):
+        base = sum((found[i].n_email, found[i].n_ip, found[i].n_card, found[i].n_phone))
+        spans = [s.split(":")[0] for s in found[i].spans.split(",") if s]
+        n = sum(min(spans.count(k), v) for k, v in kinds.items())
+        wanted, hit, extra = wanted + sum(kinds.values()), hit + n, extra + len(spans) - n - (base if not kinds else 0)
+    print(f"recall {hit}/{wanted}, false {extra}")
+    assert hit >= 0.8 * wanted and extra <= 0.15 * hit
+
+
+def test_licence_of_several_paragraphs_between_other_text(spark):
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT")
+    grant, rest = mit.split("The above copyright", 1)
+    notice, disclaimer = rest.split("THE SOFTWARE IS", 1)
+    code = "\n\n".join("def f%d(x): return x * %d" % (i, i) for i in range(40))
+    texts = [f"{code}\n\n{grant}\n\nThe above copyright{notice}\n\n \n---\n\nTHE SOFTWARE IS{disclaimer}\n\n{code}", "Some words first. This project is licensed under the MIT License. And more words follow here", f"{code}\n\n{grant}\n\n{code}"]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    assert [got[i].license for i in range(3)] == ["MIT", "MIT", None] and got[0].dice > 0.95
