@@ -43,10 +43,12 @@ def _uniform(*parts):
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float], seed: int = 0, size: float = 1.0) -> DataFrame:
-    """The documents, all columns, each as often as drawn, shuffled; mix_copy (from 1) numbers a document's copies."""
+    """The documents, all columns, each as often as drawn, shuffled; mix_copy (from 1) numbers a document's copies
+    and takes the place of a column of that name."""
     rate = C.written(rates(docs, weights, size).select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate")), "rates")  # so that its size is known when the join is planned
-    rated = docs.join(rate, docs["source"].eqNullSafe(F.col("mix_source")), "left")  # Spark broadcasts the rates where they are measured small
-    key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    whole = docs.select(F.struct(*docs.columns).alias("row"))  # so that no column's name clashes
+    rated = whole.join(rate, whole["row.source"].eqNullSafe(F.col("mix_source")), "left")  # Spark broadcasts the rates where they are measured small
+    key = F.coalesce(F.col("row.doc_id").cast("string"), F.md5(F.coalesce("row.text", F.lit(""))))
     parts = F.greatest(F.lit(1), F.ceil(F.col("mix_rate") / PART)).cast("int")
     mean = F.col("mix_rate") / parts
 
@@ -59,7 +61,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], seed: int = 0, size:
     drawn = F.aggregate(F.transform(F.sequence(F.lit(1), parts), draw), F.lit(0), lambda a, b: a + b)
     copies = rated.withColumn("mix_count", drawn).where("mix_count > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_count"))))
     order = F.xxhash64(F.lit(seed), key, F.col("mix_copy"))
-    return copies.withColumn("mix_order", order).repartition(F.col("mix_order")).sortWithinPartitions("mix_order").drop("mix_source", "mix_rate", "mix_count", "mix_order")
+    return copies.withColumn("mix_order", order).repartition(F.col("mix_order")).sortWithinPartitions("mix_order").select(*(F.col(f"row.`{c}`") for c in docs.columns if c != "mix_copy"), "mix_copy")
 
 
 def oracle(weights: dict[str, float], seed: int = 0, size: float = 1.0) -> str:
