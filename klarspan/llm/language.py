@@ -5,9 +5,9 @@ both. A sample of labelled texts serves as Nystroem landmarks; one-versus-rest k
 their space, and batches of texts are scored as products of their presence matrix with the landmarks' n-grams and the
 fitted coefficients. Texts are read whole; A-Z is lower-cased.
 
-Bounds, all parameters: PER_LANGUAGE expected sample texts and LANDMARKS expected landmarks for each language (chosen by
-a hash of the row, not by order), GRAMS n-grams kept of the landmarks, LANGUAGES languages. Languages with fewer texts give
-all they have. Beyond LANGUAGES languages, those with the most labelled texts are learned.
+Bounds, all parameters: PER_LANGUAGE expected sample texts and LANDMARKS expected landmarks for each language, in all at
+most SAMPLED texts and MARKED landmarks (chosen by a hash of the row, not by order), GRAMS n-grams kept of the landmarks.
+Languages with fewer texts give all they have. Every labelled language is learned; many languages get fewer texts each.
 
 Null text, text without a letter, and every text if nothing is labelled: `und` with score 0. A null id is not held out.
 Repeated rows each give a row.
@@ -25,7 +25,10 @@ from pyspark.sql import types as T
 
 from klarspan.llm import common as C
 
-PER_LANGUAGE, LANDMARKS, GRAMS, LANGUAGES = 1500, 48, 8192, 200
+PER_LANGUAGE, LANDMARKS, GRAMS = 1500, 48, 8192
+SAMPLED, MARKED = 200_000, 4_000
+#: Texts whose presence matrix is held at once in a task.
+TEXTS = 512
 #: Ridge, and the softmax's steepness.
 RIDGE, STEEP = 1e-2, 4.0
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint32)
@@ -71,6 +74,13 @@ def presence(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray, width: int
     return m[:, :width]
 
 
+def _pieces(offsets: np.ndarray):
+    """Ranges of texts whose bytes and whose rows of a matrix fit a task."""
+    for lo, hi in C.chunks(offsets, 1 << 20):
+        for at in range(lo, hi, TEXTS):
+            yield at, min(at + TEXTS, hi)
+
+
 def normalised(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt(np.maximum(1, m.sum(axis=1, keepdims=True)))
 
@@ -79,16 +89,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, grams: int = GRAMS, languages: int = LANGUAGES, ridge: float = RIDGE) -> Model | None:
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, grams: int = GRAMS, sampled: int = SAMPLED, marked: int = MARKED, ridge: float = RIDGE) -> Model | None:
     """A model of (doc_id, text, lang), from samples (doc_id only spreads the sample over copies); None if nothing is labelled."""
     labelled = labelled.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     names = sorted(counts)
     if not names:
         return None
-    share = F.lit(0.0)
-    for name in names:
-        share = F.when(F.col("lang") == name, F.lit(1.0 / counts[name])).otherwise(share)
+    per_language, landmarks = (max(1, min(a, b // len(names))) for a, b in ((per_language, sampled), (landmarks, marked)))
+    share = F.element_at(F.create_map(*(F.lit(x) for name in names for x in (name, 1.0 / counts[name]))), F.col("lang"))
     at = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
     sample = labelled.where(at < share * per_language)
 
@@ -121,7 +130,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int =
         table = model.table()
         for b in batches:
             raw, offsets = C.buffer_of(b["text"])
-            rows = [normalised(presence(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], table, len(kept))) @ own.T for lo, hi in C.chunks(offsets, 1 << 20)]
+            rows = [normalised(presence(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], table, len(kept))) @ own.T for lo, hi in _pieces(offsets)]
             yield pa.RecordBatch.from_arrays([b["lang"], pa.array([r.astype("<f4").tobytes() for part in rows for r in part], pa.binary())], ["lang", "k"])
 
     rows = sorted(sample.mapInArrow(kernel, "lang string, k binary").collect())  # of the bounded sample, in an order that repeats
@@ -153,7 +162,7 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
         for b in batches:
             raw, offsets = C.buffer_of(b["text"])
             best, score = [], []
-            for lo, hi in C.chunks(offsets, 1 << 20):
+            for lo, hi in _pieces(offsets):
                 x = normalised(presence(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], table, width)) @ model.weights + model.bias
                 p = np.exp(steep * (x - x.max(axis=1, keepdims=True)).astype(np.float64))
                 best.append(names[x.argmax(axis=1)])

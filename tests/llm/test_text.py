@@ -181,3 +181,33 @@ def test_licence_of_several_paragraphs_between_other_text(spark):
     texts = [f"{code}\n\n{grant}\n\nThe above copyright{notice}\n\n \n---\n\nTHE SOFTWARE IS{disclaimer}\n\n{code}", "Some words first. This project is licensed under the MIT License. And more words follow here", f"{code}\n\n{grant}\n\n{code}"]
     got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
     assert [got[i].license for i in range(3)] == ["MIT", "MIT", None] and got[0].dice > 0.95
+
+
+def test_language_against_dense_ridge(spark):
+    """With every text a landmark, the model is the ridge regression on all n-grams' presence, computed here with sets."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    kinds = {"aa": "banana abba cab", "bb": "lorem dolor ipsum", "cc": "über straße öl", "dd": "zig zag zoo"}
+    rows = [(i, " ".join(rng.choice(kinds[k].split()) for _ in range(rng.randint(1, 9))), k) for i, k in enumerate(sorted(kinds) * 12)]
+    rows += [(900 + i, t, None) for i, t in enumerate(["", None, "123", "banana lorem", "Zig ZAG " * 4000, "straße"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, landmarks=1000)
+    assert model.languages == sorted(kinds)
+    gram_set = lambda t: {g[i : i + n] for g in [t.encode().lower()] for n in (1, 2, 3) for i in range(len(g) - n + 1)}
+    labelled = [(gram_set(t), k) for _, t, k in rows if k]
+    every = sorted(set().union(*(g for g, _ in labelled)))
+    vector = lambda grams: np.array([g in grams for g in every], float) / np.sqrt(max(1, sum(g in grams for g in every)))
+    x = np.hstack([np.array([vector(g) for g, _ in labelled]), np.ones((len(labelled), 1))])
+    y = np.array([[2.0 * (k == name) - 1 for name in sorted(kinds)] for _, k in labelled])
+    w = np.linalg.solve(x.T @ x + language.RIDGE * len(labelled) / 4 * 0.01 * np.eye(x.shape[1]), x.T @ y)  # all languages alike
+    got = {r.doc_id: r for r in language.predict(docs, model).collect()}
+    for i, t, _ in rows:
+        if not t or not any(c.isalpha() for c in t):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        s = np.append(vector(gram_set(t)), 1) @ w
+        p = np.exp(language.STEEP * (s - s.max()))
+        assert got[i].lang_pred == sorted(kinds)[int(s.argmax())] and abs(got[i].score - 1 / p.sum()) < 2e-3
