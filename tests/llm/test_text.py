@@ -211,3 +211,14 @@ def test_language_against_dense_ridge(spark):
         s = np.append(vector(gram_set(t)), 1) @ w
         p = np.exp(language.STEEP * (s - s.max()))
         assert got[i].lang_pred == sorted(kinds)[int(s.argmax())] and abs(got[i].score - 1 / p.sum()) < 2e-3
+
+
+def test_columns_of_any_name_are_kept(spark):
+    rows = [(1, "mail a@b.org now", "s", "p", 7, "r", 3), (2, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, pii_text string, mix_count int, row string, mix_copy int")
+    out = pii.redact(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[0]) == [(1, "mail <EMAIL> now", "s", "p", 7, "r", 3), rows[1]]
+    mixed = mixing.mix_sources(docs, {}, size=3.0)
+    assert mixed.columns == docs.columns and {(r.pii_text, r.mix_count, r.row) for r in mixed.collect()} <= {("p", 7, "r"), (None, None, None)}
+    assert {r.mix_copy for r in mixed.collect()} <= set(range(1, 30))
