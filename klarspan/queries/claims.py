@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from klarspan import adapters as A
@@ -70,8 +71,10 @@ def claim_filters(spark, d):
 
 
 def claim_groups(spark, d):
-    c = _first(spark, d).groupBy("subject_key").agg(F.array_sort(F.collect_list(F.struct("record_ord", "normalized_value"))).alias("all"), F.count("*").alias("n"))
-    return c.select("subject_key", "n", F.array_join(F.transform(F.slice("all", 1, 3), lambda x: x["normalized_value"]), "|").alias("evidence"))
+    c = _first(spark, d).select("subject_key", "record_ord", "normalized_value")
+    first = c.withColumn("place", F.row_number().over(Window.partitionBy("subject_key").orderBy("record_ord"))).where("place <= 3")
+    shown = first.groupBy("subject_key").agg(F.array_sort(F.collect_list(F.struct("place", "normalized_value"))).alias("all"))  # three at most
+    return c.groupBy("subject_key").agg(F.count("*").alias("n")).join(shown, "subject_key").select("subject_key", "n", F.array_join(F.transform("all", lambda x: x["normalized_value"]), "|").alias("evidence"))
 
 
 def claim_delta(spark, d):

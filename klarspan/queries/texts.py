@@ -45,7 +45,7 @@ def _events(spark, d):
 
 
 def near_lines(spark, d):
-    return X.near_lines(_events(spark, d)).distinct()
+    return X.near_lines(_events(spark, d).select("source_id", "kind", "line").distinct()).distinct()
 
 
 def sequence_risks(spark, d):
