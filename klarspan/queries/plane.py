@@ -9,6 +9,7 @@ from klarspan.functions import scoring, semantics, text
 from klarspan.operators import packages as P
 from klarspan.operators import pages as G
 from klarspan.operators import review as V
+from klarspan.operators import sections as E
 from klarspan.queries import sql as S
 from klarspan.queries.relations import FINDINGS_SQL, _findings, _first_distinct
 
@@ -111,8 +112,11 @@ def severity_histogram(spark, d):
 
 
 def _docs(spark, d):
+    """Documents of all kinds: each line a paragraph; every third has a heading, the code a function."""
     k = F.col("doc_id")
-    return A.table(spark, d, "documents").select("doc_id", A.pick(A.SOURCES, k).alias("source_type"), A.pick(("added", "changed", "unchanged"), k).alias("delta_status"), "text")
+    t = A.table(spark, d, "documents").select("doc_id", A.pick(A.SOURCES, k).alias("source_type"), A.pick(A.TITLES, k).alias("title"), A.pick(("added", "changed", "unchanged"), k).alias("delta_status"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n\n")).alias("text"))
+    lead = F.when(k % 3 == 0, F.concat(F.lit("## 1. Intro "), "title", F.lit("\n"))).when(F.col("source_type") == "github_file", "def read_it(x):\n").otherwise("")
+    return t.withColumn("text", F.concat(lead, "text"))
 
 
 def review_sections(spark, d):
@@ -185,14 +189,23 @@ _SCOPE = S.scope("object_key")
 _ENTRIES = FINDINGS_SQL + f""", e AS (SELECT object_key || ':' || category AS fact_key, CAST(finding_ord // 25 % 4 AS INT) AS run, {A._pick_sql(("open", "resolved", "confirmed", "superseded"), "finding_ord // 25")} AS status, {A._pick_sql(("new", "continued", "reopened"), "finding_ord // 25")} AS mode, 1 + finding_ord % 3 AS occurrences, finding_ord FROM findings),
 l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY fact_key, run ORDER BY finding_ord DESC) = 1)"""
 _FIRST = [FINDINGS_SQL + f", base AS (SELECT finding_ord, bucket FROM ranked ORDER BY {_ORDER} LIMIT 12), more AS (SELECT finding_ord FROM ranked WHERE finding_ord NOT IN (SELECT finding_ord FROM base) AND (truth OR ({_CORE} AND ({_RANK} <= 1 OR bucket NOT IN (SELECT bucket FROM base WHERE {_CORE})))) ORDER BY CASE WHEN truth THEN 0 ELSE 1 END, priority, {_RANK}, CASE WHEN delta THEN 0 ELSE 1 END, -confidence, object_key, title, finding_ord LIMIT 12) SELECT finding_ord, true AS base FROM base UNION ALL SELECT finding_ord, false FROM more"]
-_SECTIONS = f"""WITH doc AS (SELECT doc_id, {A._pick_sql(A.SOURCES, "doc_id")} AS source_type, {A._pick_sql(("added", "changed", "unchanged"), "doc_id")} AS delta_status, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '')[1:6] AS ls FROM documents),
-row AS (SELECT doc_id, source_type, delta_status, unnest(range(0, len(ls))) AS i, unnest(ls) AS body FROM doc),
-sec0 AS (SELECT *, left(sha1(doc_id || '|' || i || '|' || source_type), 16) AS section_id, list_filter(regexp_extract_all(lower(body), '[a-z0-9_]{{4,}}'), lambda w: w NOT IN ({", ".join(map(S.quoted, text.STOPWORDS))})) AS ws,
-  {S.lookup('source_type', V.SOURCE_POINTS, 1)} + {S.lookup('delta_status', V.DELTA_POINTS, 2)} + {" + ".join(f"CAST(contains(lower(body), '{t}') AS INT)" for t in V.TERMS)} AS priority FROM row WHERE length(body) >= 60),
-sec AS (SELECT *, list_distinct(ws) AS tokens FROM sec0 ORDER BY priority DESC, section_id LIMIT 48)"""
-_PAIRS = _SECTIONS + """, p AS (SELECT l.section_id AS ls, r.section_id AS rs, l.priority AS lp, len(list_intersect(l.tokens, r.tokens)) AS overlap, 2 * len(list_intersect(l.tokens, r.tokens)) + CASE WHEN l.delta_status <> 'unchanged' OR r.delta_status <> 'unchanged' THEN 2 ELSE 0 END AS score FROM sec l JOIN sec r ON l.section_id <> r.section_id AND l.doc_id <> r.doc_id AND list_has_any(l.tokens, r.tokens)),
+_CODE, _HEADING = E.CODE_BLOCK.replace("^", "", 1), r"#{1,6}[ \t]+[^\n]+"
+_CLEAN = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_PARTS = rf"""WITH doc0 AS (SELECT doc_id, {A._pick_sql(A.SOURCES, "doc_id")} AS source_type, {A._pick_sql(A.TITLES, "doc_id")} AS title, {A._pick_sql(("added", "changed", "unchanged"), "doc_id")} AS delta_status, replace(coalesce(text, ''), chr(10), chr(10) || chr(10)) AS t FROM documents),
+doc AS (SELECT * EXCLUDE (t), {_CLEAN.format("CASE WHEN doc_id % 3 = 0 THEN '## 1. Intro ' || title || chr(10) || t WHEN source_type = 'github_file' THEN 'def read_it(x):' || chr(10) || t ELSE t END")} AS t FROM doc0),
+cut AS (SELECT *, CASE WHEN source_type = 'github_file' THEN string_split(regexp_replace(t, '(?m)^({_CODE[1:-1]})', chr(1) || '\1', 'g'), chr(1))[2:] ELSE [] END AS code, string_split(regexp_replace(t, '(?m)^({_HEADING})', chr(1) || '\1', 'g'), chr(1))[2:] AS heads FROM doc),
+headed AS (SELECT *, list_filter([{{'h': {_CLEAN.format("ltrim(regexp_extract(x, '^[^\\n]+'), '#')")}, 'b': {_CLEAN.format("regexp_replace(x, '^[^\\n]+', '')")}}} FOR x IN heads], lambda s: s.b <> '') AS hs, list_filter([{_CLEAN.format("x")} FOR x IN regexp_split_to_array(t, '\n\s*\n')], lambda x: x <> '') AS ps FROM cut),
+folded AS (SELECT *, list_reduce([{{'done': []::VARCHAR[], 'held': x, 'n': length(x)}} FOR x IN ps], lambda a, b: CASE WHEN a.n >= 900 THEN {{'done': list_append(a.done, a.held), 'held': b.held, 'n': b.n}} ELSE {{'done': a.done, 'held': a.held || chr(10) || chr(10) || b.held, 'n': a.n + b.n}} END, {{'done': []::VARCHAR[], 'held': '', 'n': 0::BIGINT}}) AS f FROM headed),
+part0 AS (SELECT doc_id, source_type, title, delta_status, CASE WHEN len(code) > 0 THEN [{{'h': regexp_extract(x, '^({_CODE[1:-1]})'), 'b': x}} FOR x IN code] WHEN len(hs) > 0 THEN hs ELSE [{{'h': title, 'b': x}} FOR x IN list_append(f.done, f.held)] END AS parts FROM folded),
+part AS (SELECT * EXCLUDE (parts), unnest(range(0, len(parts))) AS i, unnest(parts) AS p FROM part0)"""
+_topics = lambda x: f"list_distinct(list_filter(regexp_extract_all(lower({x}), '[a-z0-9_]{{4,}}'), lambda w: w NOT IN ({', '.join(map(S.quoted, text.STOPWORDS))})))"
+_SECTIONS = _PARTS + f""", row AS (SELECT * EXCLUDE (p), p.h AS heading, trim(regexp_replace(p.b, '\\s+', ' ', 'g')) AS body FROM part),
+sec AS (SELECT *, left(sha1(doc_id || '|' || i || '|' || heading), 16) AS section_id, {_topics("title || chr(10) || heading || chr(10) || body")} AS tokens, {_topics("heading")} AS hts,
+  {S.lookup('source_type', V.SOURCE_POINTS, 1)} + {S.lookup('delta_status', V.DELTA_POINTS, 2)} + {" + ".join(f"CAST(contains(lower(heading || chr(10) || body), '{t}') AS INT)" for t in V.TERMS)} AS priority FROM row WHERE length(body) >= 60 ORDER BY priority DESC, section_id LIMIT 48)"""
+_PAIRS = _SECTIONS + """, p AS (SELECT l.section_id AS ls, r.section_id AS rs, l.priority AS lp, len(list_intersect(l.tokens, r.tokens)) AS overlap, 2 * len(list_intersect(l.tokens, r.tokens)) + 3 * len(list_intersect(l.hts, r.hts)) + CASE WHEN l.delta_status <> 'unchanged' OR r.delta_status <> 'unchanged' THEN 2 ELSE 0 END AS score FROM sec l JOIN sec r ON l.section_id <> r.section_id AND l.doc_id <> r.doc_id AND list_has_any(l.tokens, r.tokens)),
 b AS (SELECT *, row_number() OVER (PARTITION BY ls ORDER BY score DESC, rs) AS place FROM p WHERE score >= 3 QUALIFY place <= 2),
-once AS (SELECT least(ls, rs) AS left_id, greatest(ls, rs) AS right_id, max(score) AS score, max(overlap) AS overlap, min((-lp, ls, place)) AS turn FROM b GROUP BY 1, 2),
+once AS (SELECT least(ls, rs) AS left_id, greatest(ls, rs) AS right_id, max(score) AS score, max(overlap) AS overlap, min((-lp, ls, place)) AS turn FROM b GROUP BY 1, 2
+  UNION ALL SELECT section_id, NULL, priority, 0, (-priority, section_id, 1) FROM sec WHERE priority >= 8 AND section_id NOT IN (SELECT ls FROM b)),
 pair AS (SELECT left_id, right_id, score, overlap FROM once ORDER BY turn LIMIT 14)"""
 _TITLE = "(CASE WHEN a > 0 AND b > 0 THEN 'mixed' WHEN a > b THEN 'technical' WHEN b > a THEN 'subject' ELSE 'unclear' END)"
 _PAGES = f"""WITH RECURSIVE page AS (SELECT doc_id AS node, CASE WHEN doc_id > 0 THEN doc_id // 5 END AS parent, {A._pick_sql(TITLE_STARTS, 'doc_id')} || string_split(coalesce(text, ''), chr(10))[1] AS title FROM documents),
@@ -234,9 +247,9 @@ SELECT *, CAST(CASE grade WHEN 'definite' THEN 0.95 WHEN 'assertion' THEN 0.85 W
     "severity_histogram": FINDINGS_SQL + " SELECT severity, count(*) AS n, count(DISTINCT category) AS categories FROM findings GROUP BY 1",
     "review_sections": _SECTIONS + " SELECT section_id, doc_id, priority, CAST(len(tokens) AS INT) AS n_tokens FROM sec",
     "review_candidates": _PAIRS + " SELECT left_id, right_id, CAST(score AS BIGINT) AS score, CAST(overlap AS BIGINT) AS overlap FROM pair",
-    "review_cards": _PAIRS + rf""", b2 AS (SELECT pair.*, lower(x.body) AS lb, lower(y.body) AS rb FROM pair JOIN sec x ON left_id = x.section_id JOIN sec y ON right_id = y.section_id),
-k AS (SELECT left_id, right_id, CAST(score AS BIGINT) AS score, CASE WHEN overlap < 2 THEN NULL WHEN {S.contains_any("(lb || chr(10) || rb)", V.OBSOLETE)} THEN 'obsolete' WHEN {S.contains_any("(lb || chr(10) || rb)", V.GAP)} THEN 'gap' WHEN regexp_matches(lb, '(^|[^a-z])(not|no|kein|nicht|never)([^a-z]|$)') <> regexp_matches(rb, '(^|[^a-z])(not|no|kein|nicht|never)([^a-z]|$)') THEN 'error' ELSE 'misunderstanding' END AS deviation_type FROM b2)
-SELECT *, CAST(CASE WHEN deviation_type = 'misunderstanding' THEN 0.58 ELSE 0.68 END AS DOUBLE) AS confidence FROM k WHERE deviation_type IS NOT NULL""",
+    "review_cards": _PAIRS + rf""", b2 AS (SELECT pair.*, lower(x.body) AS lb, lower(y.body) AS rb FROM pair JOIN sec x ON left_id = x.section_id LEFT JOIN sec y ON right_id = y.section_id),
+k AS (SELECT left_id, right_id, CAST(score AS BIGINT) AS score, CASE WHEN right_id IS NULL THEN 'gap' WHEN overlap < 2 THEN NULL WHEN {S.contains_any("(lb || chr(10) || rb)", V.OBSOLETE)} THEN 'obsolete' WHEN {S.contains_any("(lb || chr(10) || rb)", V.GAP)} THEN 'gap' WHEN regexp_matches(lb, '(^|[^a-z])(not|no|kein|nicht|never)([^a-z]|$)') <> regexp_matches(rb, '(^|[^a-z])(not|no|kein|nicht|never)([^a-z]|$)') THEN 'error' ELSE 'misunderstanding' END AS deviation_type FROM b2)
+SELECT *, CAST(CASE WHEN right_id IS NULL THEN 0.62 WHEN deviation_type = 'misunderstanding' THEN 0.58 ELSE 0.68 END AS DOUBLE) AS confidence FROM k WHERE deviation_type IS NOT NULL""",
     "page_issues": _PAGES + " SELECT node, depth, children, class, array_to_string(issues, '|') AS issues FROM i",
     "page_key_figures": _PAGES + f""", k AS (SELECT count(*) AS pages, {", ".join(f"count(*) FILTER (WHERE list_contains(issues, '{x}')) AS {x}" for x in _KINDS)}, round(avg(depth), 1) AS avg_depth, max(depth) AS max_depth FROM i)
 SELECT *, greatest(0, least(100, 100 - 8 * deep - 10 * fat - 15 * duplicate - 5 * mixed - 3 * unclear)) AS structure, greatest(0, least(100, 100 - 8 * long - 5 * short - 6 * mixed)) AS readability FROM k""",
