@@ -30,6 +30,18 @@ def test_contamination_against_brute_force(spark, docs, rows):
     assert clean.count() == sum(w[-1] == "False" for w in want)
 
 
+def test_items_with_one_template(spark):
+    """Many items, some of them repeated, share their first words; documents show different sets of them."""
+    template = " ".join(f"t{i}" for i in range(12))
+    items = [(i % 150, f"{template} own{i % 150} " + " ".join(f"w{i % 150}x{j}" for j in range(10))) for i in range(300)]
+    rows = [(i, f"a b {template} own{i} " + " ".join(f"w{i}x{j}" for j in range(10 if i % 2 else 3))) for i in range(20)] + [(i, "a clean text") for i in range(20, 40)]
+    want = brute.plain(brute.windows(rows, items))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for most in (10**6, 0):
+        got = contamination(docs, bench, most_windows=most).collect()
+        assert brute.plain((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == want
+
+
 def test_contamination_of_nothing(spark, docs, rows):
     none = spark.createDataFrame([], "item_id long, text string")
     assert contamination(docs, none).where("contaminated").count() == 0
