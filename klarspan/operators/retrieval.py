@@ -70,6 +70,20 @@ def bm25(posted: DataFrame, queries: DataFrame, n_segments: int, limit: int = 10
     return scored.withColumn("place", place).where(F.col("place") <= limit).withColumn("lexical_score", F.round(1 / (1 + F.abs("bm25")), 6))
 
 
+def met(findings: DataFrame, segments_: DataFrame, most: int = 5) -> DataFrame:
+    """finding_id, segment_id, direct, overlap: a finding (finding_id, source_id, anchor, words) and the segments of its
+    source that have its anchor or a word in common. Of segments that are alike in anchor and words only the first
+    ``most`` can be among a finding's best ``most``; the others meet nothing."""
+    alike = Window.partitionBy("source_id", "anchor", "words").orderBy("segment_id")
+    first = segments_.select("source_id", "segment_id", "anchor", F.array_sort(F.array_distinct("words")).alias("words")).withColumn("nr", F.row_number().over(alike)).where(F.col("nr") <= most)
+    asked = findings.select("finding_id", "source_id", F.explode(F.array_distinct("words")).alias("word"))
+    shared = asked.join(first.select("source_id", "segment_id", F.explode("words").alias("word")), ["source_id", "word"]).select("finding_id", "segment_id", F.lit(1).alias("word"), F.lit(False).alias("direct"))
+    direct = findings.join(first, ["source_id", "anchor"]).select("finding_id", "segment_id", F.lit(0).alias("word"), F.lit(True).alias("direct"))
+    every = shared.union(direct).groupBy("finding_id", "segment_id").agg(F.sum("word").alias("shared"), F.bool_or("direct").alias("direct"))
+    sizes = findings.select("finding_id", F.greatest(F.lit(1), F.size(F.array_distinct("words"))).alias("n"))
+    return every.join(sizes, "finding_id").select("finding_id", "segment_id", "direct", (F.col("shared") / F.col("n")).alias("overlap"))
+
+
 def hybrid(candidates: DataFrame) -> DataFrame:
     """Score of (direct boolean, lexical, overlap, cosine) candidates: direct matches count most."""
     score = 1.2 * F.col("direct").cast("int") + 1.1 * F.coalesce("lexical", F.lit(0.0)) + F.col("overlap") + F.greatest(F.lit(0.0), F.coalesce("cosine", F.lit(0.0)))

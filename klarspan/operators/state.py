@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from klarspan.functions.text import common_prefix
+
 EXPLICIT = "truth_status = 'active' AND source_kind IN ('user_specification', 'user_acceptance')"
 
 
@@ -69,9 +71,9 @@ def comment_statements(comments: DataFrame, most: int = 4) -> DataFrame:
 
 def baselines(variants: DataFrame, primaries: DataFrame) -> DataFrame:
     """For each variant path (subject_key, variant_id, path) the primary one that shares most elements, then the longest
-    prefix, then documents first, then by name."""
-    both = variants.join(primaries.select("subject_key", F.col("source_id").alias("primary_id"), F.col("path").alias("primary_path"), "is_doc"), "subject_key")
-    from klarspan.functions.text import common_prefix
-
-    order = Window.partitionBy("variant_id").orderBy(F.desc(F.size(F.array_intersect("path", "primary_path"))), F.desc(common_prefix(F.col("path"), F.col("primary_path"))), F.desc("is_doc"), "primary_id")
-    return both.withColumn("place", F.row_number().over(order)).where("place = 1").select("variant_id", "primary_id")
+    prefix, then documents first, then by name. Distinct paths of a subject meet, each primary one under its first name."""
+    own = variants.select("subject_key", "path").distinct()
+    first = primaries.groupBy("subject_key", F.col("path").alias("primary_path")).agg(F.min(F.struct((~F.col("is_doc")).alias("later"), F.col("source_id").alias("name"))).alias("first"))
+    rank = F.struct((-F.size(F.array_intersect("path", "primary_path"))).alias("shared"), (-common_prefix(F.col("path"), F.col("primary_path"))).alias("prefix"), "first.later", "first.name")
+    best = own.join(first, "subject_key").groupBy("subject_key", "path").agg(F.min(rank).alias("rank"))
+    return variants.join(best, ["subject_key", "path"]).groupBy("variant_id").agg(F.min("rank").getField("name").alias("primary_id"))

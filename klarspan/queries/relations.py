@@ -94,12 +94,11 @@ def full_text_search(spark, d):
 
 
 def snippets(spark, d):
-    """The best parts as snippets for each finding: direct matches, words and confidence together."""
-    f = _findings(spark, d).withColumn("words", text.keywords("matched_text", 8)).withColumn("budget", T.snippet_budget(F.col("bucket"), F.col("severity")))
-    p = _parts(spark, d).withColumnRenamed("words", "p_words")
-    c = f.select("finding_ord", "source_id", "words", "budget", "confidence").join(p, "source_id")
-    c = c.select(F.col("finding_ord").alias("finding_id"), "segment_id", "budget", (F.col("anchor") == F.concat(F.lit("a"), (F.col("finding_ord") % 211).cast("string"))).alias("direct"), text.keyword_overlap(F.col("words"), F.col("p_words")).alias("overlap"), F.lit(0.0).alias("lexical"), (F.col("confidence") - 0.9).alias("cosine"))
-    return T.snippets(T.hybrid(c)).select("finding_id", "segment_id", "score", "place")
+    """The best parts as snippets for each finding, of those that it names or shares words with: direct matches, words and
+    confidence together."""
+    f = _findings(spark, d).select(F.col("finding_ord").alias("finding_id"), "source_id", F.concat(F.lit("a"), (F.col("finding_ord") % 211).cast("string")).alias("anchor"), text.keywords("matched_text", 8).alias("words"), T.snippet_budget(F.col("bucket"), F.col("severity")).alias("budget"), (F.col("confidence") - 0.9).alias("cosine"))
+    found = T.met(f, _parts(spark, d)).join(f.select("finding_id", "budget", "cosine"), "finding_id").withColumn("lexical", F.lit(0.0))
+    return T.snippets(T.hybrid(found)).select("finding_id", "segment_id", "score", "place")
 
 
 def _edges(spark, d):
@@ -166,7 +165,7 @@ s AS (SELECT query_id, segment_id, round(sum(greatest(1e-6, ln((ns - df + 0.5::D
 SELECT query_id, segment_id, b AS bm25 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY b DESC, segment_id) <= 10""",
     "snippets": FINDINGS_SQL
     + f""", {_PARTS_SQL}, fw AS (SELECT *, {_WORDS_SQL.format("matched_text")} AS ws FROM findings), fd AS (SELECT *, {_first_distinct("ws", 8)} AS fwords, CASE WHEN severity IN ('critical', 'high') AND bucket IN ('truth', 'write_contract', 'policy') THEN 5 WHEN severity IN ('critical', 'high') THEN 4 ELSE 3 END AS budget FROM fw),
-s AS (SELECT finding_ord AS finding_id, segment_id, budget, round(1.2::DOUBLE * CAST(anchor = 'a' || (finding_ord % 211) AS INT) + CASE WHEN len(fwords) > 0 AND len(p.words) > 0 THEN len(list_intersect(fwords, p.words)) / len(fwords) ELSE 0 END + greatest(0.0, confidence - 0.9::DOUBLE), 6) AS score FROM fd JOIN parts p USING (source_id))
+s AS (SELECT finding_ord AS finding_id, segment_id, budget, round(1.2::DOUBLE * CAST(anchor = 'a' || (finding_ord % 211) AS INT) + CASE WHEN len(fwords) > 0 AND len(p.words) > 0 THEN len(list_intersect(fwords, p.words)) / len(fwords) ELSE 0 END + greatest(0.0, confidence - 0.9::DOUBLE), 6) AS score FROM fd JOIN parts p USING (source_id) WHERE anchor = 'a' || (finding_ord % 211) OR list_has_any(fwords, p.words))
 SELECT finding_id, segment_id, score, CAST(row_number() OVER (PARTITION BY finding_id ORDER BY score DESC, segment_id) AS INT) AS place, FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY score DESC, segment_id) <= budget""",
     "graph_expand": f"WITH RECURSIVE {_EDGES_SQL}, r(node, depth) AS (SELECT unnest([0, 70, 140])::BIGINT, 0 UNION SELECT e.dst, depth + 1 FROM r JOIN edge e ON r.node = e.src WHERE depth < 5 AND mode <> 'none') SELECT node, min(depth) AS depth FROM r GROUP BY node",
     "graph_best_paths": f"""WITH RECURSIVE {_EDGES_SQL}, arc AS (SELECT src, dst, max((confidence * CASE relation {' '.join(f"WHEN '{k}' THEN {v}" for k, v in G.STRENGTH.items())} ELSE {G.OTHER} END)::DOUBLE) AS s FROM edge GROUP BY ALL),
