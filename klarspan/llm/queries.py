@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from klarspan.llm import decontaminate as decontamination
-from klarspan.llm import licenses, mixing, topk, url_filter
+from klarspan.llm import infill, licenses, mixing, packing, periods, topk, url_filter
 from klarspan.llm.language import identify
 from klarspan.llm.pii import find_pii
 from klarspan.llm.simhash import simhash_dedup
@@ -65,9 +65,32 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_table(spark, sf_dir, "documents"), size=4, radius=4)
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=1024, end_id=2)
+    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), size=1024)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(periods.planted(_table(spark, sf_dir, "documents")), least=6, exponent=4)
+    best = periods.longest(F.col("runs"))
+    line = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"), F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill.fill_in_middle(_table(spark, sf_dir, "documents"), seed=1, percent=90, suffix_first=20)
+    restored = infill.restore(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_top_k, op3_substring_dedup, op4_language_id, op5_pii, op6_suffix_array_dedup, op7_decontaminate, op8_url_filter, op9_mix_sources, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_top_k, op3_substring_dedup, op4_language_id, op5_pii, op6_suffix_array_dedup, op7_decontaminate, op8_url_filter, op9_mix_sources, op10_simhash_dedup, op11_best_fit_packing, op12_periodic_runs, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.ORACLE, "op2_top_k": topk.ORACLE, "op7_decontaminate": decontamination.ORACLE, "op8_url_filter": url_filter.ORACLE, "op9_mix_sources": mixing.oracle(WEIGHTS, seed=20)}
+    return {"op1_license_scan": licenses.ORACLE, "op2_top_k": topk.ORACLE, "op7_decontaminate": decontamination.ORACLE, "op8_url_filter": url_filter.ORACLE, "op9_mix_sources": mixing.oracle(WEIGHTS, seed=20), "op13_fill_in_middle": infill.oracle(seed=1, percent=90, suffix_first=20)}

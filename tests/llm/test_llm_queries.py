@@ -5,13 +5,13 @@ import pytest
 
 import __spark_entry__ as entry
 
-ORACLES = ("op1_license_scan", "op2_top_k", "op7_decontaminate", "op8_url_filter", "op9_mix_sources")
+ORACLES = ("op1_license_scan", "op2_top_k", "op7_decontaminate", "op8_url_filter", "op9_mix_sources", "op13_fill_in_middle")
 
 
 def test_all_are_registered():
     names = entry.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
 
 
