@@ -89,12 +89,11 @@ def _cut(n: pa.Array, ends: pa.Array, low: pa.Array, high: pa.Array) -> pa.Array
     return pa.StructArray.from_arrays([pa.array([x[i] for x in out], pa.int32()) for i in (0, 1)], ["prefix", "until"])
 
 
-def _index(keyed: DataFrame, *more: Column) -> DataFrame:
-    """key, text, n, ends: one row for each distinct text, its content compared within the group of its key."""
+def _texts(keyed: DataFrame, *more: Column) -> DataFrame:
+    """key, text: one row for each distinct text, its contents compared within the group of its key."""
     grouped = keyed.groupBy("key").agg(F.collect_set("text").alias("texts"), *more)
-    rest = [c for c in grouped.columns if c != "texts"]
     one = F.when(F.size("texts") == 1, F.get("texts", F.lit(0))).otherwise(F.raise_error(F.lit("two texts of one SHA-256")).cast("string"))
-    return grouped.select(*rest, one.alias("text")).withColumn("list", _boundaries("text"))
+    return grouped.select(*(c for c in grouped.columns if c != "texts"), one.alias("text"))
 
 
 def fill_in_middle(docs: DataFrame, seed: int = 1, percent: int = 90, suffix_first: int = 20) -> DataFrame:
@@ -103,16 +102,17 @@ def fill_in_middle(docs: DataFrame, seed: int = 1, percent: int = 90, suffix_fir
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
     hashed = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long").alias(f"h{i + 1}") for i in range(4)]
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("key"))
+    keyed = docs.select("doc_id", text.alias("text"), F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b"")).alias("key"))  # never null, so that no join adds a filter and the texts' exchange is used twice
     most = max(LEAST_HOT, docs.count() // MOST_HOT)
     hot = keyed.groupBy("key").agg(F.count("*").alias("copies")).where(F.col("copies") > most)
     hot = C.written(hot.select("key", F.ceil(F.col("copies") / most).cast("int").alias("shares")), "hot-texts")
     flagged = keyed.join(F.broadcast(hot), "key", "left")  # at most MOST_HOT rows, as each has over a MOST_HOT-th of all rows
 
     few, many = flagged.where("shares IS NULL"), flagged.where("shares IS NOT NULL")
-    parted = few.select("doc_id", "key").join(_index(few), "key")
+    texts = _texts(few)  # dealt by key once; the boundary lists, not the texts, are dealt to the documents
+    parted = few.select("doc_id", "key").join(texts.select("key", _boundaries("text").alias("list")), "key").join(texts, "key")
     share = F.pmod(F.monotonically_increasing_id(), F.col("shares")).cast("int")
-    copies = _index(many, F.first("shares").alias("shares")).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    copies = _texts(many, F.first("shares").alias("shares")).withColumn("list", _boundaries("text")).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
     parted = parted.unionByName(many.select("doc_id", "key", share.alias("share")).join(copies, ["key", "share"]).drop("share"))
 
     n = F.col("list.n")
