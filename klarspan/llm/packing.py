@@ -14,8 +14,10 @@ and text play no part.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,71 +33,127 @@ ROUNDS = 3
 #: Partitions of the first round at least, where each then has LEAST_PIECES.
 LEAST_PARTITIONS = 16
 LEAST_PIECES = 1_000
-#: Distinct strings whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Bytes of text encoded at once, and distinct strings whose ids a worker remembers.
+TEXT_BYTES = 1_000_000
+REMEMBERED = 800_000
+#: Strings that the tokenizer gets as one text.
+JOINED = 1_000
 
 
-def _strings(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of strings that a byte-level tokenizer with the common pattern encodes one by one as it does the
-    whole text: a text is cut before a space or line feed that follows a visible character, as tokens there begin with
-    white space, and behind a single line feed before a visible character. Texts are cut from each other."""
+def _kinds() -> np.ndarray:
+    """Of each byte: 0 beyond ASCII, a control or white space, 1 letter, 2 digit, 3 apostrophe, 4 other visible character."""
+    kind = np.zeros(256, np.uint8)
+    kind[0x21:0x7F] = 4
+    kind[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+    kind[0x30:0x3A] = 2
+    kind[0x27] = 3
+    return kind
+
+
+KIND = _kinds()
+
+
+def _strings(raw: np.ndarray, offsets: np.ndarray, special: list[bytes]) -> np.ndarray:
+    """Starts of strings that a byte-level tokenizer with the common pattern encodes one by one as it does the whole text.
+    A token holds letters, digits, other visible characters or white space only, but for a space before it and for an
+    apostrophe before letters. So a text can be cut before a space or line feed that follows a visible character, behind
+    a single line feed, and in ASCII where the kind of visible characters changes, but not behind an apostrophe, nor
+    inside the special tokens. Texts are cut from each other."""
     n = len(raw)
-    visible = (raw > 0x20) & (raw != 0x7F)
+    kind = KIND[raw]
+    visible = (kind > 0) | (raw >= 0x80)
     if n > 1:  # the last bytes of white space beyond ASCII
         a, b = raw[:-1], raw[1:]
         visible[1:] &= ~((a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0x80) & ((b <= 0x8A) & (b >= 0x80) | (b == 0xA8) | (b == 0xA9) | (b == 0xAF)) | (a == 0x81) & (b == 0x9F) | (a == 0x9A) & (b == 0x80))
     cut = np.zeros(n + 1, bool)
     cut[1:n] = ((raw[1:] == 0x20) | (raw[1:] == 0x0A)) & visible[:-1]
-    ascii_next = (raw > 0x20) & (raw < 0x7F)
-    cut[2:n] |= (raw[1:-1] == 0x0A) & visible[:-2] & ascii_next[2:]
+    cut[2:n] |= (raw[1:-1] == 0x0A) & visible[:-2] & (kind[2:] > 0)
+    before, after = kind[:-1], kind[1:]
+    plain = np.where(after == 3, 4, after)  # an apostrophe is as other characters to what stands before it
+    cut[1:n] |= (before > 0) & (before != 3) & (plain > 0) & (before != plain)
+    cut[1:n] |= (before == 3) & (after == 2)
+    whole = raw.tobytes() if special else b""
+    for token in special:
+        at = whole.find(token)
+        while at >= 0:
+            cut[at + 1 : at + len(token)] = False
+            at = whole.find(token, at + 1)
     cut[offsets] = True
-    cut[n] = False
-    starts = np.flatnonzero(cut)
-    return starts, np.append(starts[1:], n)
+    return np.flatnonzero(cut[:n])
 
 
 class Encoder:
-    """Token ids of many texts at once: each distinct string between two cuts is encoded once."""
+    """Token ids of many texts at once: each distinct string between two cuts is encoded once and remembered."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def _ids(self, strings: list[bytes]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [s for s in strings if s not in self.known]
-        for s, e in zip(new, self.tokenizer.encode_batch([s.decode() for s in new], add_special_tokens=False)):
-            self.known[s] = np.array(e.ids, np.uint32)
-        return [self.known[s] for s in strings]
+        added = {i: t.content.encode() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = list(added.values())
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes[i] = len(added[i]) if i in added else len(token)  # a byte-level token has a character for each byte
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.pool, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _encoded(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Remember new strings. Those that begin with a space before and end with a visible character can be cut apart
+        again, so they are encoded many at once; the bytes of the tokens tell which are whose."""
+        apart = [len(s) > 1 and s[0] == 0x20 and KIND[s[1]] > 0 and KIND[s[-1]] > 0 for s in new]
+        joined = [s for s, x in zip(new, apart) if x]
+        single = [s for s, x in zip(new, apart) if not x]
+        ids = [np.array(x, np.uint32) for x in self._encoded([b"".join(joined[k : k + JOINED]) for k in range(0, len(joined), JOINED)])]
+        pool = np.concatenate([np.zeros(0, np.uint32), *ids])
+        ends = np.searchsorted(np.cumsum(self.bytes[pool]), np.cumsum([len(s) for s in joined])) + 1 if joined else np.zeros(0, np.int64)
+        alone = self._encoded(single)
+        self.known.update(zip(joined + single, range(len(self.known), len(self.known) + len(new))))
+        self.length = np.concatenate([self.length, np.diff(ends, prepend=0), np.array([len(x) for x in alone], np.int64)])
+        self.pool = np.concatenate([self.pool, pool, np.fromiter(chain.from_iterable(alone), np.uint32)])
 
     def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids begin (one more entry than texts)."""
-        starts, ends = _strings(raw, offsets) if len(raw) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        size = ends - starts
-        key = C.word_hashes(raw, starts, ends)
-        _, example, group = np.unique(key, return_index=True, return_inverse=True)
-        # equal hashes are compared byte by byte with their group's example
-        other = starts[example][group]
-        unlike = size != size[example][group]
-        flat = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        differs = raw[np.repeat(starts, size) + flat] != raw[np.minimum(np.repeat(other, size) + flat, len(raw) - 1)]
-        if differs.any():
-            unlike |= np.add.reduceat(differs, np.cumsum(size) - size) > 0
-        if unlike.any():
-            odd = np.flatnonzero(unlike)
-            group[odd] = len(example) + np.arange(len(odd))
-            example = np.concatenate([example, odd])
-        ids = self._ids([raw[a:b].tobytes() for a, b in zip(starts[example].tolist(), ends[example].tolist())])
-        length = np.array([len(x) for x in ids], np.int64)
-        pool = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        begin = np.cumsum(length) - length
-        mine = length[group]
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        starts = _strings(raw, offsets, self.special)
+        size = np.diff(starts, append=len(raw))
+        group = np.empty(len(starts), np.int64)
+        # strings of up to seven bytes are told apart by their bytes and length, longer ones by a hash that is compared
+        near, far = np.flatnonzero(size < 8), np.flatnonzero(size >= 8)
+        eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([raw, np.zeros(8, np.uint8)]), 8)
+        value = eight[starts[near]].view("<u8").ravel() & ((np.uint64(1) << (size[near].astype(np.uint64) << np.uint64(3))) - np.uint64(1))
+        _, first, group[near] = np.unique(value | size[near].astype(np.uint64) << np.uint64(56), return_index=True, return_inverse=True)
+        example = [near[first]]
+        if len(far):
+            at, length = len(first), size[far]
+            _, first, inverse = np.unique(C.word_hashes(raw, starts[far], starts[far] + length), return_index=True, return_inverse=True)
+            other = far[first][inverse]
+            flat = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+            differs = raw[np.repeat(starts[far], length) + flat] != raw[np.minimum(np.repeat(starts[other], length) + flat, len(raw) - 1)]
+            odd = np.flatnonzero((size[other] != length) | (np.add.reduceat(differs, np.cumsum(length) - length) > 0))
+            inverse[odd] = len(first) + np.arange(len(odd))
+            group[far] = at + inverse
+            example += [far[first], far[odd]]
+        chosen, data = np.concatenate(example), raw.tobytes()
+        strings = [data[a:b] for a, b in zip(starts[chosen].tolist(), (starts + size)[chosen].tolist())]
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        if new := list({s for s in strings if s not in self.known}):
+            self._learn(new)
+        number = np.fromiter(map(self.known.__getitem__, strings), np.int64, len(strings))[group]
+        begin = np.cumsum(self.length) - self.length
+        mine = self.length[number]
         after = np.cumsum(mine)
-        out = pool[np.repeat(begin[group] - (after - mine), mine) + np.arange(after[-1] if len(after) else 0)]
-        return out, np.concatenate([[0], after])[np.searchsorted(starts, offsets)] if len(starts) else np.zeros(len(offsets), np.int64)
+        out = self.pool[np.repeat(begin[number] - (after - mine), mine) + np.arange(after[-1])]
+        return out, np.concatenate([[0], after])[np.searchsorted(starts, offsets)]
 
 
 def token_pieces(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2) -> DataFrame:
@@ -107,7 +165,7 @@ def token_pieces(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2)
         encoder = Encoder(path)
         for batch in batches:
             raw, offsets = C.buffer_of(batch.column(1))
-            for lo, hi in C.chunks(offsets):
+            for lo, hi in C.chunks(offsets, TEXT_BYTES):
                 ids, at = encoder(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 ids = np.insert(ids, at[1:], end_id).astype("<u4")
                 at = at + np.arange(len(at))
