@@ -56,6 +56,129 @@ def python_symbols(files: DataFrame) -> DataFrame:
     return files.select("source_id", "text").mapInPandas(parse, SYMBOLS)
 
 
+FACTS = "source_id string, module string, kind string, scope string, name string, target string, line int"
+#: Bases whose classes are interfaces, and wrappers of a type that stand for what they hold.
+INTERFACES = ("Protocol", "typing.Protocol", "ABC", "abc.ABC")
+WRAPPERS = ("Optional", "typing.Optional", "Annotated", "typing.Annotated")
+
+
+def module_of(path: Column) -> Column:
+    """The dotted module of a file's path: without a leading src, its suffix and __init__."""
+    bare = F.regexp_replace(F.regexp_replace(F.translate(path, "\\", "/"), r"\.py$", ""), r"^(\./)*(src/)?", "")
+    parts = F.filter(F.split(F.regexp_replace(bare, r"(^|/)__init__$", ""), "/"), lambda p: ~p.isin("", ".", ".."))
+    return F.coalesce(F.nullif(F.array_join(F.transform(parts, lambda p: F.regexp_replace(p, "[^A-Za-z0-9_]", "_")), "."), F.lit("")), F.lit("module"))
+
+
+def chain_of(node) -> str:
+    """A dotted chain of names; a call in it ends in brackets."""
+    import ast
+
+    if isinstance(node, ast.Await):
+        return chain_of(node.value)
+    if isinstance(node, ast.Name):
+        return node.id
+    if isinstance(node, ast.Attribute):
+        return (inner := chain_of(node.value)) and f"{inner}.{node.attr}"
+    return (inner := chain_of(node.func)) and f"{inner}()" if isinstance(node, ast.Call) else ""
+
+
+def type_of(node) -> str:
+    """The class that an annotation names: of an optional one its content, of a union its first member but None."""
+    import ast
+
+    if isinstance(node, ast.Constant) and isinstance(node.value, str):
+        try:
+            return type_of(ast.parse(node.value, mode="eval").body)
+        except SyntaxError:
+            return ""
+    if isinstance(node, ast.BinOp) and isinstance(node.op, ast.BitOr):
+        return type_of(node.left) or type_of(node.right)
+    if isinstance(node, ast.Subscript):
+        inner = node.slice.elts[0] if isinstance(node.slice, ast.Tuple) and node.slice.elts else node.slice
+        return type_of(inner) if chain_of(node.value) in WRAPPERS else ""
+    return chain_of(node) if isinstance(node, (ast.Name, ast.Attribute)) else ""
+
+
+def _function_facts(node, symbol: str, cls: str) -> list[tuple]:
+    """What a function says: result type, typed parameters, assignments, attributes it sets, contexts and calls."""
+    import ast
+
+    args = [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]
+    types = {a.arg: t for a in args if (t := type_of(a.annotation))}
+    out = [("function", cls, symbol, "", node.lineno), ("returns", "", symbol, type_of(node.returns), node.lineno)]
+    out += [("decorator", "", symbol, chain_of(d).removesuffix("()"), node.lineno) for d in node.decorator_list]
+    out += [("local", symbol, name, f"{t}()", node.lineno) for name, t in types.items()]
+    for inner in ast.walk(node):
+        if isinstance(inner, ast.Call) and (chain := chain_of(inner.func)):
+            out.append(("call", symbol, cls, chain, inner.lineno))
+        elif isinstance(inner, (ast.Assign, ast.AnnAssign)):
+            value = chain_of(inner.value) if inner.value is not None else ""
+            annotated = type_of(inner.annotation) if isinstance(inner, ast.AnnAssign) else ""
+            for to in inner.targets if isinstance(inner, ast.Assign) else [inner.target]:
+                bound = f"{annotated}()" if annotated else f"{types[value]}()" if value in types else value
+                if isinstance(to, ast.Name) and bound:
+                    out.append(("local", symbol, to.id, bound, inner.lineno))
+                elif isinstance(to, ast.Attribute) and chain_of(to.value) == "self" and bound and cls:
+                    out.append(("attribute", cls, to.attr, bound, inner.lineno))
+        elif isinstance(inner, (ast.With, ast.AsyncWith)):
+            for item in inner.items:
+                chain = chain_of(item.context_expr)
+                if chain:
+                    out.append(("context", symbol, cls, chain.removesuffix("()"), inner.lineno))
+                if chain and isinstance(item.optional_vars, ast.Name):
+                    out.append(("local", symbol, item.optional_vars.id, chain, inner.lineno))
+    return out
+
+
+def file_facts(module: str, text: str, is_package: bool = False) -> list[tuple]:
+    """(kind, scope, name, target, line) of a Python file: what later joins resolve across files. In a package's own file,
+    relative imports begin with the package."""
+    import ast
+
+    try:
+        todo = [(node, module, "") for node in ast.parse(text or "").body]
+    except (SyntaxError, ValueError, RecursionError):
+        return [("error", "", "", "", 0)]
+    out, package = [], module.split(".") + ["__init__"] * is_package
+    while todo:
+        node, scope, cls = todo.pop()
+        if isinstance(node, ast.ClassDef):
+            own = f"{scope}.{node.name}"
+            out.append(("class", cls, own, "", node.lineno))
+            bases = [chain_of(b) for b in node.bases]
+            out += [("base", "", own, b, i) for i, b in enumerate(bases) if b and b not in INTERFACES]
+            abstract = any(chain_of(d).endswith("abstractmethod") for f in node.body for d in getattr(f, "decorator_list", ()))
+            if abstract or any(b in INTERFACES for b in bases) or node.name.endswith(("Protocol", "Interface")):
+                out.append(("interface", "", own, "", node.lineno))
+            out += [("attribute", own, f.target.id, f"{t}()", f.lineno) for f in node.body if isinstance(f, ast.AnnAssign) and isinstance(f.target, ast.Name) and (t := type_of(f.annotation))]
+            todo += [(child, own, own) for child in node.body]
+        elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            out += _function_facts(node, f"{scope}.{node.name}", cls)
+        elif isinstance(node, ast.Import):
+            out += [("import", "", a.asname or a.name.split(".")[0], a.name if a.asname else a.name.split(".")[0], node.lineno) for a in node.names]
+        elif isinstance(node, ast.ImportFrom):
+            above = package[: max(0, len(package) - node.level)] if node.level else []
+            start = ".".join([*above, *filter(None, [node.module])])
+            out += [("import", "", a.asname or a.name, f"{start}.{a.name}".lstrip("."), node.lineno) for a in node.names if a.name != "*"]
+        elif isinstance(node, (ast.If, ast.Try)):
+            todo += [(child, scope, cls) for child in ast.iter_child_nodes(node) if isinstance(child, ast.stmt)]
+    return out
+
+
+def repo_facts(files: DataFrame) -> DataFrame:
+    """Facts of a repository's Python files (source_id, path, text), one row each: classes with bases and typed
+    attributes, functions with result types, local variables, contexts, decorators and calls, and imports, all by full
+    names. Names inside the facts are not resolved yet; files that do not parse give a row of kind `error`."""
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(source, module, *fact) for source, module, text, package in zip(frame["source_id"], frame["module"], frame["text"], frame["package"]) for fact in file_facts(module, text, package)]
+            yield pd.DataFrame(rows, columns=["source_id", "module", "kind", "scope", "name", "target", "line"])
+
+    path = F.coalesce("path", F.lit(""))
+    return files.select("source_id", module_of(path).alias("module"), F.coalesce("text", F.lit("")).alias("text"), path.rlike(r"(^|[/\\\\])__init__\.py$").alias("package")).mapInPandas(parse, FACTS)
+
+
 def resolved_calls(symbols: DataFrame) -> DataFrame:
     """(src, dst): calls between functions. A bare or `self.` name resolves within its file, first to a method of the
     caller's class, else to any function of that last name in the file."""
