@@ -34,23 +34,9 @@ def supported_risks(risks: DataFrame, support: DataFrame) -> DataFrame:
     return risks.join(index, ["source_id", "subject_key"], "left").select("risk_id", F.coalesce("n_support", F.lit(0)).alias("n_support"), F.coalesce("n_predicates", F.lit(0)).alias("n_predicates"), "function_name")
 
 
-#: Kinds of asynchronous gaps: (kind, words of the path, words of the function), the first that fits. A rule table of a
-#: corpus is passed by its user; this one names common places of code.
-GAPS = (
-    ("manual_answer", (), ("manual_answer", "save_answer")),
-    ("reaggregation", ("reaggregation",), ("reaggregate", "consolidate")),
-    ("connector_ingestion", ("connector",), ("ingest_stream", "connector_sync")),
-    ("upload", ("upload",), ("upload_files",)),
-    ("storage_reconcile", ("storage",), ("reconcile",)),
-    ("recovery", ("recovery",), ("recover",)),
-    ("phase_execution", ("phase_execution",), ("enqueue_phase",)),
-    ("run_start", ("orchestration",), ("start_run",)),
-    ("worker_failure", ("worker",), ("propagate_failure",)),
-)
-
-
-def gap_kinds(records: DataFrame, rules=GAPS) -> DataFrame:
-    """record_id and kind of each record (path, function_name): the first rule whose words its path or function has."""
+def gap_kinds(records: DataFrame, rules) -> DataFrame:
+    """record_id and kind of each record (path, function_name): the first of the user's rules (kind, words of the path,
+    words of the function) of which its path or function has a word, else `generic`."""
     kind = F.lit("generic")
     has = lambda c, words: [F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(w)) for w in words]
     for name, paths, functions in reversed(rules):
@@ -61,7 +47,7 @@ def gap_kinds(records: DataFrame, rules=GAPS) -> DataFrame:
     return records.withColumn("kind", kind)
 
 
-def risk_findings(records: DataFrame, grouped=("manual_answer", "connector_ingestion", "phase_execution")) -> DataFrame:
+def risk_findings(records: DataFrame, grouped) -> DataFrame:
     """Findings of risks (predicate, source_id, subject_key, kind): kinds that are grouped make one finding over all their
     sources, others one for each predicate, source and subject."""
     key = F.when(F.col("kind").isin(*grouped), F.concat_ws("|", "predicate", "kind")).otherwise(F.concat_ws("|", "predicate", "source_id", "subject_key"))

@@ -16,18 +16,19 @@ REVIEW_STATUS = r"(?i)\b(review status|review-status|in review|draft|approved|re
 APPROVAL = r"(?i)\b(approval|approve|freigabe|guarded|allowlist|review-only|without approval|ohne freigabe)\b"
 SCOPE = r"(?i)\b(tenant|global|project scoped|project-specific|global read)\b"
 ASPECTS = (("read_path", "read", READ), ("write_path", "write", WRITE), ("lifecycle", "lifecycle", LIFECYCLE), ("policy", "policy", POLICY), ("review_status", "review_status", REVIEW_STATUS), ("approval_policy", "approval_policy", APPROVAL), ("scope_policy", "scope_policy", SCOPE))
-HINTS = (("statement", "Statement"), ("question", "BSM_Question"), ("phase", "BSM_Phase"), ("document", "Document"), ("prompt", "Prompt"), ("metaclass", "MetaClass"))
+HINTS = (("statement", "Statement"), ("question", "BSM_Question"), ("phase", "BSM_Phase"), ("chunk", "Chunk"), ("document", "Document"), ("inputsource", "InputSource"), ("input source", "InputSource"), ("prompt", "Prompt"), ("metaclass", "MetaClass"), ("confluence", "ConfluencePage"), ("page", "ConfluencePage"))
 CONCEPT_PREFIXES = ("puml_", "documented_", "code_", "yaml_", "metamodel_")
 RECORD_WEIGHT = {"explicit_truth": 50, "confirmed_decision": 40, "ssot": 35, "governed": 28, "working_doc": 20, "implementation": 12, "runtime_observation": 9, "historical": 5, "heuristic": 4}
 POSITIVE = ("pflicht", "zentral", "required", "mandatory", "eigenstaendig", "exists", "definiert")
 NEGATIVE = ("entfaellt", "kein", "nicht", "no ", "removed", "deprecated", "soll nicht")
 
 
-def subject_of(line: Column, fallback: Column) -> Column:
-    """A back-quoted name, else a hinted object, else the first capitalised name, else the fallback."""
+def subject_of(line: Column, fallback: Column, hints=HINTS) -> Column:
+    """A back-quoted name, else a hinted object (a corpus's own words go into ``hints``), else the first capitalised name,
+    else the fallback."""
     quoted = F.nullif(F.regexp_extract(line, r"`([A-Za-z][A-Za-z0-9_.-]{2,})`", 1), F.lit(""))
     hinted = F.lit(None).cast("string")
-    for word, name in reversed(HINTS):
+    for word, name in reversed(hints):
         hinted = F.when(F.contains(F.lower(line), F.lit(word)), name).otherwise(hinted)
     named = F.nullif(F.regexp_extract(line, r"\b([A-Z][A-Za-z0-9_]{2,})\b", 1), F.lit(""))
     return F.coalesce(quoted, hinted, named, fallback)

@@ -17,9 +17,14 @@ OTHER, BACKWARD, FLOOR = 0.55, 0.88, 0.35
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` as a written table of the shared folder."""
+    """``df`` as a written table of the folder that all executors share (spark.checkpoint.dir). Where that is unset, only a
+    session without executors of its own may use its warehouse folder."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if (spark.conf.get("spark.master", None) or "").split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     path = f"{folder.rstrip('/')}/klarspan/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

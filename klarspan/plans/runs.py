@@ -58,5 +58,5 @@ def delta_run(claims: DataFrame, previous: DataFrame, previous_findings: DataFra
 
 def fast_run(docs: DataFrame) -> DataFrame:
     """Review cards of the most important sections of documents (doc_id, source_type, delta_status, text)."""
-    chosen = V.prioritised(V.sections(docs))
+    chosen = kept(V.prioritised(V.sections(docs)))
     return V.cards(chosen, V.candidates(chosen))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from klarspan import adapters as A
 from klarspan.functions import scoring, semantics, text
+from klarspan.operators.graph import kept
 from klarspan.operators import packages as P
 from klarspan.operators import pages as G
 from klarspan.operators import review as V
@@ -125,11 +126,11 @@ def review_sections(spark, d):
 
 
 def review_candidates(spark, d):
-    return V.candidates(V.prioritised(V.sections(_docs(spark, d))))
+    return V.candidates(kept(V.prioritised(V.sections(_docs(spark, d)))))
 
 
 def review_cards(spark, d):
-    s = V.prioritised(V.sections(_docs(spark, d)))
+    s = kept(V.prioritised(V.sections(_docs(spark, d))))
     return V.cards(s, V.candidates(s))
 
 

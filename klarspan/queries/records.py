@@ -65,13 +65,16 @@ def supported_risks(spark, d):
     return H.supported_risks(c.where("predicate = 'lifecycle_state'").withColumn("risk_id", _k()), support)
 
 
-GAP_PATHS = ("src/connector/read.py", "src/upload.py", "app/orchestration.py", "app/main.py", "jobs/worker.py")
-GAP_FUNCTIONS = ("run", "save_answer", "reaggregate_all", "recover", "enqueue_phase", "", "start_run_now")
+#: Kinds of places in a shop's code: its stock, its invoices, its mails.
+GAP_RULES = (("stock", ("inventory",), ("reserve", "restock")), ("billing", ("invoice", "ledger"), ("charge",)), ("mail", ("mailer",), ("notify",)), ("import", ("feeds",), ()))
+GAP_GROUPED = ("stock", "import")
+GAP_PATHS = ("shop/inventory.py", "shop/invoice/api.py", "shop/mailer.py", "shop/main.py", "feeds/csv.py")
+GAP_FUNCTIONS = ("run", "reserve_item", "charge_card", "notify_all", "", "restock", "close")
 
 
 def _gaps(spark, d):
     e, k = A.table(spark, d, "events"), F.col("event_id")
-    return H.gap_kinds(e.select(k.alias("record_id"), F.concat(F.lit("risk"), (k % 3).cast("string")).alias("predicate"), F.concat(F.lit("s"), (F.col("user_id") % 30).cast("string")).alias("source_id"), F.concat(F.lit("k"), (k % 8).cast("string")).alias("subject_key"), A.pick(GAP_PATHS, k).alias("path"), A.pick(GAP_FUNCTIONS, k).alias("function_name")))
+    return H.gap_kinds(e.select(k.alias("record_id"), F.concat(F.lit("risk"), (k % 3).cast("string")).alias("predicate"), F.concat(F.lit("s"), (F.col("user_id") % 30).cast("string")).alias("source_id"), F.concat(F.lit("k"), (k % 8).cast("string")).alias("subject_key"), A.pick(GAP_PATHS, k).alias("path"), A.pick(GAP_FUNCTIONS, k).alias("function_name")), GAP_RULES)
 
 
 def gap_kinds(spark, d):
@@ -79,7 +82,7 @@ def gap_kinds(spark, d):
 
 
 def risk_findings(spark, d):
-    return H.risk_findings(_gaps(spark, d))
+    return H.risk_findings(_gaps(spark, d), GAP_GROUPED)
 
 
 ACTIONS = ("accept", "reject", "specify", "other", "accept")
@@ -293,7 +296,7 @@ _FOCUS = "CASE WHEN contains(v, ']: ') AND contains(v, '[') THEN substr(v, instr
 _STRENGTH = "(" + " + ".join(f"CASE WHEN contains(lower(translate(normalized_value || ' ' || subject_key || ' ' || predicate || ' ' || path_hint, '_-', '  ')), '{w}') THEN {n} ELSE 0 END" for words, n in ((N.STRONGER, 2), (N.WEAKER, -2), (("primary",), 1), (("secondary",), -1)) for w in words) + ")"
 _PATHS_SQL = _W + f", r AS (SELECT subject_key, normalized_value, source_id, regexp_extract(path_hint, '([a-z_]+)[.]?[a-z]*$', 1) AS family, {_STRENGTH} AS strength FROM claims), g AS (SELECT subject_key, family, greatest(0, max(strength)) AS strength, count(*) AS n, count(DISTINCT source_id) AS n_sources FROM r GROUP BY ALL)"
 _GAPS_SQL = f"""WITH e AS (SELECT event_id AS record_id, 'risk' || (event_id % 3) AS predicate, 's' || (user_id % 30) AS source_id, 'k' || (event_id % 8) AS subject_key, {A._pick_sql(GAP_PATHS, 'event_id')} AS path, {A._pick_sql(GAP_FUNCTIONS, 'event_id')} AS fn FROM events),
-k AS (SELECT *, {_cases([(n, " OR ".join([*(f"contains(path, '{w}')" for w in p), *(f"contains(fn, '{w}')" for w in f)])) for n, p, f in H.GAPS], "'generic'")} AS kind FROM e)"""
+k AS (SELECT *, {_cases([(n, " OR ".join([*(f"contains(path, '{w}')" for w in p), *(f"contains(fn, '{w}')" for w in f)])) for n, p, f in GAP_RULES], "'generic'")} AS kind FROM e)"""
 _DECISIONS_SQL = f"""WITH dec0 AS (SELECT 'p' || (user_id % 200) AS package, event_id AS ord, {A._pick_sql(ACTIONS, 'event_id')} AS action, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'why' END AS comment FROM events),
 dec AS (SELECT * FROM dec0 WHERE action <> 'other' AND (action <> 'specify' OR comment <> '')), mem AS (SELECT DISTINCT 'p' || (p_partkey % 230) AS package, 'f' || (p_partkey % 500) AS fact_key FROM part),
 fact AS (SELECT 'f' || p_partkey AS fact_key, {A._pick_sql(('open', 'confirmed', 'open'), 'p_partkey')} AS status FROM part WHERE p_partkey <= 600)"""
@@ -333,7 +336,7 @@ SELECT subject_key, family, strength, top AS primary_strength, n_unlike, {_any("
     "architecture_observations": _W + " SELECT subject_key, count(DISTINCT source_id) AS n_sources, arg_min(predicate, record_ord) AS predicate, count(*) AS n FROM claims WHERE predicate IN ('write_contract', 'read_contract') GROUP BY 1 HAVING count(DISTINCT source_id) > 1",
     "supported_risks": _W + ", c AS (SELECT record_ord, source_id, predicate, split_part(subject_key, '.', 1) AS root FROM claims), i AS (SELECT source_id, root, count(*) AS n, count(DISTINCT predicate) AS np, min('fn' || (record_ord % 9)) AS fn FROM c WHERE predicate <> 'lifecycle_state' GROUP BY ALL) SELECT record_ord AS risk_id, coalesce(n, 0) AS n_support, coalesce(np, 0) AS n_predicates, fn AS function_name FROM c LEFT JOIN i USING (source_id, root) WHERE predicate = 'lifecycle_state'",
     "gap_kinds": _GAPS_SQL + " SELECT record_id, kind FROM k",
-    "risk_findings": _GAPS_SQL + " SELECT CASE WHEN kind IN ('manual_answer', 'connector_ingestion', 'phase_execution') THEN predicate || '|' || kind ELSE predicate || '|' || source_id || '|' || subject_key END AS finding_key, count(*) AS n, count(DISTINCT source_id) AS n_sources, count(DISTINCT subject_key) AS n_subjects, min(kind) AS kind FROM k GROUP BY 1",
+    "risk_findings": _GAPS_SQL + " SELECT CASE WHEN kind IN ('stock', 'import') THEN predicate || '|' || kind ELSE predicate || '|' || source_id || '|' || subject_key END AS finding_key, count(*) AS n, count(DISTINCT source_id) AS n_sources, count(DISTINCT subject_key) AS n_subjects, min(kind) AS kind FROM k GROUP BY 1",
     "package_states": _DECISIONS_SQL + ", l AS (SELECT package, arg_max(action, ord) AS action, count(*) AS n FROM dec GROUP BY 1) SELECT package, CASE action WHEN 'accept' THEN 'accepted' WHEN 'reject' THEN 'rejected' WHEN 'specify' THEN 'specified' ELSE 'open' END AS state, coalesce(n, 0) AS n_decisions FROM (SELECT DISTINCT package FROM mem) LEFT JOIN l USING (package)",
     "synced_facts": _DECISIONS_SQL + ", l AS (SELECT fact_key, arg_max(action, ord) AS action FROM dec JOIN mem USING (package) GROUP BY 1) SELECT fact_key, CASE action WHEN 'accept' THEN 'confirmed' WHEN 'specify' THEN 'confirmed' WHEN 'reject' THEN 'superseded' ELSE status END AS status, CASE WHEN action IS NOT NULL THEN 'package_decision' END AS status_source FROM fact LEFT JOIN l USING (fact_key)",
     "synced_packages": _DECISIONS_SQL + " SELECT package, count(*) FILTER (WHERE status = 'open') AS n_open, count(*) AS n_facts, count(*) FILTER (WHERE status = 'open') = 0 AS done FROM mem JOIN fact USING (fact_key) GROUP BY 1",
