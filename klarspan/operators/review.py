@@ -18,18 +18,20 @@ MOST_SECTIONS, MOST_PAIRS, LEAST_BODY, LEAST_SCORE, LEAST_ALONE = 48, 14, 60, 3,
 
 def sections(docs: DataFrame) -> DataFrame:
     """Sections of whole documents (doc_id, source_type, title, text, delta_status), see ``review_parts``, with bodies of
-    at least 60 characters, their topic words (those of the heading apart too) and priority."""
+    at least 60 characters, and their priority."""
     rows = review_parts(docs).join(docs.select("doc_id", "source_type", "title", "delta_status"), "doc_id")
     rows = rows.withColumn("body", F.trim(F.regexp_replace("body", r"\s+", " "))).where(F.length("body") >= LEAST_BODY)
-    low = F.lower(F.concat_ws("\n", "heading", "body"))
+    rows = rows.withColumn("low", F.lower(F.concat_ws("\n", "heading", "body")))
     points = scoring.lookup(F.col("source_type"), SOURCE_POINTS, 1) + scoring.lookup(F.col("delta_status"), DELTA_POINTS, 2)
     for term in TERMS:
-        points = points + F.contains(low, F.lit(term)).cast("int")
-    return rows.select(text.section_id(F.col("doc_id").cast("string"), F.col("ordinal"), F.col("heading")).alias("section_id"), "doc_id", "source_type", "delta_status", points.alias("priority"), text.topic_tokens(F.concat_ws("\n", "title", "heading", "body")).alias("tokens"), text.topic_tokens(F.col("heading")).alias("heading_tokens"), "body")
+        points = points + F.contains("low", F.lit(term)).cast("int")
+    return rows.select(text.section_id(F.col("doc_id").cast("string"), F.col("ordinal"), F.col("heading")).alias("section_id"), "doc_id", "source_type", "delta_status", points.alias("priority"), "title", "heading", "body")
 
 
 def prioritised(sections_: DataFrame, most: int = MOST_SECTIONS) -> DataFrame:
-    return sections_.orderBy(F.desc("priority"), "section_id").limit(most)
+    """The first sections by priority, with their topic words (those of the heading apart too)."""
+    first = sections_.orderBy(F.desc("priority"), "section_id").limit(most)
+    return first.withColumns({"tokens": text.topic_tokens(F.concat_ws("\n", "title", "heading", "body")), "heading_tokens": text.topic_tokens(F.col("heading"))}).drop("title", "heading")
 
 
 def candidates(chosen: DataFrame, most: int = MOST_PAIRS) -> DataFrame:

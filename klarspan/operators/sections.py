@@ -11,7 +11,7 @@ CODE_BLOCK = r"^(class\s+\w+|async\s+def\s+\w+|def\s+\w+|interface\s+\w+|functio
 
 
 def _stripped(x: Column) -> Column:
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.trim(x, F.lit(" \t\n\x0b\f\r"))
 
 
 def _inner(tokens: Column) -> Column:
@@ -49,37 +49,31 @@ def regeneration(claims: DataFrame, changed: DataFrame, removed: DataFrame) -> D
 def review_parts(docs: DataFrame, least: int = 900) -> DataFrame:
     """Sections of texts (doc_id, source_type, title, text) for a review: code by its classes and functions, other texts by
     headings; without either, paragraphs gathered up to ``least`` characters, under the title."""
-    body = _stripped(F.coalesce("text", F.lit("")))
+    docs = docs.select("doc_id", "source_type", "title", _stripped(F.coalesce("text", F.lit(""))).alias("body"))
+    body = F.col("body")
     pieces = lambda pattern: F.split(body, rf"(?m)(?={pattern})")
     code = (F.col("source_type") == "github_file") & body.rlike(f"(?m){CODE_BLOCK}")
     headed = body.rlike(r"(?m)^#{1,6}\s+.+$")
     code_parts = F.transform(F.filter(pieces(CODE_BLOCK), lambda p: p.rlike(CODE_BLOCK)), lambda p: F.struct(F.regexp_extract(p, CODE_BLOCK, 1).alias("heading"), _stripped(p).alias("body")))
     cut = lambda p: F.struct(_stripped(F.regexp_replace(F.regexp_extract(p, r"^(#{1,6}\s+[^\n]+)", 1), "^#+", "")).alias("heading"), _stripped(F.regexp_replace(p, r"^#{1,6}\s+[^\n]+", "")).alias("body"))
     heading_parts = F.filter(F.transform(F.filter(pieces(r"^#{1,6}\s+.+$"), lambda p: p.rlike(r"^#{1,6}\s+.+")), cut), lambda s: s["body"] != "")
-    paragraphs = F.filter(F.transform(F.split(body, r"\n\s*\n"), lambda p: _stripped(p)), lambda p: p != "")
-    own = docs.select("doc_id", "title", code.alias("is_code"), code_parts.alias("code"), headed.alias("is_headed"), heading_parts.alias("headings"), paragraphs.alias("paragraphs"))
-    marked = own.select("doc_id", F.when(F.col("is_code"), F.col("code")).when(F.col("is_headed") & (F.size("headings") > 0), F.col("headings")).alias("parts"), "title", "paragraphs")
-    direct = marked.where("parts IS NOT NULL").select("doc_id", F.posexplode("parts").alias("ordinal", "p")).select("doc_id", "ordinal", "p.heading", "p.body")
-    # paragraphs: how many characters stand before each since the last cut decides; sums over a window per document
-    each = marked.where("parts IS NULL").select("doc_id", "title", F.posexplode("paragraphs").alias("at", "paragraph"))
-    return direct.union(_gathered(each, least))
+    own = docs.select("doc_id", "title", "body", F.when(code, code_parts).when(headed, heading_parts).alias("found"))
+    paragraphs = F.filter(F.transform(F.split("body", r"\n\s*\n"), lambda p: _stripped(p)), lambda p: p != "")
+    gathered = F.transform(_gathered(paragraphs, least), lambda p: F.struct(F.col("title").alias("heading"), p.alias("body")))
+    parts = F.when(F.size("found") > 0, F.col("found")).otherwise(gathered)
+    return own.select("doc_id", F.posexplode(parts).alias("ordinal", "p")).select("doc_id", "ordinal", "p.heading", "p.body")
 
 
-def _gathered(paragraphs: DataFrame, least: int) -> DataFrame:
-    """Paragraphs (doc_id, title, at, paragraph) joined until they reach ``least`` characters."""
-    rows = F.array_sort(F.collect_list(F.struct("at", "paragraph")))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("group"), F.array().cast("array<int>").alias("groups"))
+def _gathered(paragraphs: Column, least: int) -> Column:
+    """Paragraphs joined until they reach ``least`` characters."""
+    start = F.struct(F.lit("").alias("open"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
 
     def step(s: Column, p: Column) -> Column:
-        n = s["n"] + F.length(p["paragraph"])
+        n, joined = s["n"] + F.length(p), F.when(s["open"] == "", p).otherwise(F.concat(s["open"], F.lit("\n\n"), p))
         full = n >= least
-        return F.struct(F.when(full, 0).otherwise(n).alias("n"), F.when(full, s["group"] + 1).otherwise(s["group"]).alias("group"), F.concat(s["groups"], F.array(s["group"])).alias("groups"))
+        return F.struct(F.when(full, "").otherwise(joined).alias("open"), F.when(full, 0).otherwise(n).alias("n"), F.when(full, F.concat(s["out"], F.array(joined))).otherwise(s["out"]).alias("out"))
 
-    by_doc = paragraphs.groupBy("doc_id", "title").agg(rows.alias("r"))
-    numbered = by_doc.select("doc_id", "title", "r", F.aggregate("r", start, step, lambda s: s["groups"]).alias("groups"))
-    each = numbered.select("doc_id", "title", F.inline(F.arrays_zip(F.transform("r", lambda x: x["at"]).alias("at"), F.transform("r", lambda x: x["paragraph"]).alias("paragraph"), F.col("groups").alias("ordinal"))))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "paragraph"))), lambda x: x["paragraph"]), "\n\n")
-    return each.groupBy("doc_id", "ordinal", "title").agg(joined.alias("body")).select("doc_id", "ordinal", F.col("title").alias("heading"), "body")
+    return F.aggregate(paragraphs, start, step, lambda s: F.when(s["open"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(s["open"]))))
 
 
 def fast_selection(docs: DataFrame, signals, path_words=(".puml", "metamodel_export.json", "current_dump.json", "ssot", "status", "scope", "run", "pipeline")) -> DataFrame:
