@@ -184,5 +184,8 @@ def identify(docs: DataFrame, **bounds) -> DataFrame:
 def reject_unknown(docs: DataFrame, **bounds) -> DataFrame:
     """The documents, all columns, without those whose language cannot be told (`und`)."""
     model = fit(docs.where(~held_out(F.col("doc_id"))), **bounds)
-    told = predict(docs, model, keep=tuple(docs.columns), out=("language_told", "language_score"))
-    return told.where("language_told <> 'und'").select(*(F.col(f"`{c}`") for c in docs.columns)) if model else told.select(*docs.columns)
+    name = "language_told"
+    while any(c.lower().startswith(name) for c in docs.columns):  # no input column has this name
+        name += "_"
+    told = predict(docs, model, keep=tuple(docs.columns), out=(name, f"{name}_score"))
+    return told.where(F.col(name) != "und").select(*(F.col(f"`{c}`") for c in docs.columns)) if model else told.select(*docs.columns)

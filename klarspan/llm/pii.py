@@ -83,36 +83,78 @@ def _valid(kind: str, x: Column) -> Column:
     return {"email": F.lit(True), "ip": _octets(x), "card": (n >= 16) & (n <= 19) & luhn(_digits(x)), "phone": (n >= 8) & (n <= 15)}[kind]
 
 
-def _spans(found: Column, pieces: Column, kind: int) -> Column:
-    """Matches with their places: the text between matches tells where each one starts."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+#: Elements that a fold handles at once, and characters of a block of text: folds and cuts cost this much at most for
+#: each element, so that the work grows with the text.
+FOLD = 256
+BLOCK = 256
 
-    def step(s: Column, i: Column) -> Column:
-        begin = s["at"] + F.length(F.get(pieces, i))
-        end = begin + F.length(F.get(found, i))
-        one = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), F.get(found, i).alias("value"))
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda s: s["out"])).otherwise(F.array().cast(_SPAN))
+def _chunks(values: Column) -> Column:
+    """An array in chunks of FOLD elements. To be a column of its own: inside a function of each element, Spark would
+    compute it again."""
+    return F.transform(F.when(F.size(values) > 0, F.sequence(F.lit(0), F.floor((F.size(values) - 1) / FOLD).cast("int"))).otherwise(F.array().cast("array<int>")), lambda c: F.slice(values, c * FOLD + 1, FOLD))
+
+
+def _running(chunks: Column, kind: str) -> Column:
+    """Running sums or maxima of the integers in chunks, as one array."""
+    join = {"sum": lambda a, b: a + b, "max": F.greatest}[kind]
+
+    def fold(values: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(values, start, lambda s, x: F.struct(join(s["at"], x).alias("at"), F.concat(s["out"], F.array(join(s["at"], x))).alias("out")), lambda s: s["out"])
+
+    whole = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: join(a, x)))
+    before = F.concat(F.array(F.lit(0)), fold(whole, F.lit(0)))
+    return F.flatten(F.zip_with(chunks, F.slice(before, 1, F.size(chunks)), fold))
+
+
+def _blocks(text: Column) -> Column:
+    """A text in blocks of BLOCK code points, for ``_cut``."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """The text from ``start`` to before ``end``, without reading what stands before it."""
+    first = F.floor(start / BLOCK).cast("int")
+    part = F.array_join(F.slice(blocks, first + 1, F.floor(end / BLOCK).cast("int") - first + 1), "")
+    return F.when(end > start, F.substring(part, start - first * BLOCK + 1, end - start)).otherwise("")
 
 
 def _matches(df: DataFrame, which: str, patterns: dict[str, str]) -> DataFrame:
-    """Adds ``pii_<which>_<kind>`` columns with the matches of ``pii_text``."""
+    """Adds ``pii_<which>_<kind>`` columns with the matches of ``pii_text``. The text between matches tells where each one
+    starts."""
     text = F.col("pii_text")
     names = [f"pii_{which}_{k}" for k in patterns]
-    found = {f"{n}_m": F.when(_needed(text, (which, k)), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>")) for n, (k, p) in zip(names, patterns.items())}
+    empty = F.array().cast("array<string>")
+    found = {f"{n}_m": F.when(_needed(text, (which, k)), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(empty) for n, (k, p) in zip(names, patterns.items())}
     df = df.withColumns(found)
-    df = df.withColumns({f"{n}_p": F.when(F.size(f"{n}_m") > 0, F.split(text, p, -1)) for n, p in zip(names, patterns.values())})
-    df = df.withColumns({n: _spans(F.col(f"{n}_m"), F.col(f"{n}_p"), KINDS.index(k)) for n, k in zip(names, patterns)})
-    return df.drop(*(f"{n}_{x}" for n in names for x in "mp"))
-
-
-def _features(text: Column, p: Column) -> Column:
+    df = df.withColumns({f"{n}_p": F.when(F.size(f"{n}_m") > 0, F.slice(F.split(text, p, -1), 1, F.size(f"{n}_m"))).otherwise(empty) for n, p in zip(names, patterns.values())})
+    df = df.withColumns({f"{n}_l": F.zip_with(f"{n}_p", f"{n}_m", lambda p, m: F.length(p) + F.length(m)) for n in names})
+    df = df.withColumns({f"{n}_c": _chunks(F.col(f"{n}_l")) for n in names})
+    one = lambda kind: lambda m, end: F.struct(F.lit(kind).alias("kind"), (end - F.length(m)).alias("start"), end.alias("end"), m.alias("value"))
+    df = df.withColumns({n: F.zip_with(f"{n}_m", _running(F.col(f"{n}_c"), "sum"), one(KINDS.index(k))) for n, k in zip(names, patterns)})
+    return df.drop(*(f"{n}_{x}" for n in names for x in "mplc"))
+
+
+def _clusters(df: DataFrame, spans: str, out: str) -> DataFrame:
+    """Adds ``out``: the spans of a column, sorted by start, in groups whose members overlap each other in a chain. Functions
+    of elements use no array but those of several uses, since Spark moves an array used once into them."""
+    df = df.withColumn("pii_e", F.transform(spans, lambda x: x["end"]))
+    df = df.withColumn("pii_c", _chunks(F.col("pii_e")))
+    before = F.concat(F.array(F.lit(-1)), _running(F.col("pii_c"), "max"))  # the greatest end of those that stand before
+    begins = F.zip_with(spans, F.slice(before, 1, F.size(spans)), lambda x, m: x["start"] >= m)
+    df = df.withColumn("pii_i", F.array_compact(F.transform(begins, lambda b, i: F.when(b, i))))
+    until = F.concat(F.slice("pii_i", 2, F.size("pii_i")), F.array(F.size(spans)))
+    df = df.withColumn("pii_r", F.when(F.size("pii_i") > 0, F.zip_with("pii_i", until, lambda a, b: F.struct(a.alias("a"), b.alias("b")))).otherwise(F.array().cast("array<struct<a:int,b:int>>")))
+    return df.withColumn(out, F.transform("pii_r", lambda x: F.slice(spans, x["a"] + 1, x["b"] - x["a"]))).drop("pii_e", "pii_c", "pii_i", "pii_r")
+
+
+def _features(blocks: Column, p: Column) -> Column:
     """The features of a proposal, beside its span."""
     start, end, value = p["start"], p["end"], p["value"]
     digits = _digits(value)
-    before = F.lower(F.substring(text, F.greatest(F.lit(1), start + 1 - CONTEXT), F.least(F.lit(CONTEXT), start)))
-    after = F.lower(F.substring(text, end + 1, F.lit(CONTEXT)))
+    before = F.lower(_cut(blocks, F.greatest(F.lit(0), start - CONTEXT), start))
+    after = F.lower(_cut(blocks, end, end + CONTEXT))
     flag = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
     plain = F.regexp_replace(value, r"\[\.\]|\(\.\)|\[dot\]", ".")
     cols = {
@@ -127,8 +169,8 @@ def _features(text: Column, p: Column) -> Column:
         "tld": F.length(F.regexp_extract(value, "[A-Za-z]*$", 0)).cast("double"),
         "date": flag(value.rlike(r"^[0-9]{1,2}[\x20./-]{1,2}[0-9]{1,2}[\x20./-]{1,2}(?:[0-9]{2}|[0-9]{4})$")),
         "groups": F.size(F.split(value, "[^0-9A-Za-z]+")).cast("double"),
-        "left_joined": flag(F.substring(text, start, F.lit(1)).rlike(r"[\p{L}0-9#$._/-]") & (start > 0)),
-        "right_joined": flag(F.substring(text, end + 1, F.lit(1)).rlike(r"[\p{L}0-9#%_/-]")),
+        "left_joined": flag(F.right(before, F.lit(1)).rlike(r"[\p{L}0-9#$._/-]") & (start > 0)),
+        "right_joined": flag(F.left(after, F.lit(1)).rlike(r"[\p{L}0-9#%_/-]")),
     } | {name: flag(before.rlike(rf"\b(?:{words})") | after.rlike(rf"^\W*(?:{words})")) for name, words in CUES.items()}
     return F.struct(start.alias("start"), end.alias("end"), F.struct(*(cols[f].alias(f) for f in FEATURES)).alias("x"))
 
@@ -138,7 +180,8 @@ def _proposals(df: DataFrame) -> DataFrame:
     df = _matches(df, "proposed", PROPOSED)
     names = [f"pii_proposed_{k}" for k in PROPOSED]
     every = F.concat(*names)
-    return df.withColumn("pii_proposed", F.transform(every, lambda p: _features(F.col("pii_text"), p))).drop(*names)
+    df = df.withColumn("pii_every", every).withColumn("pii_blocks", F.when(F.size("pii_every") > 0, _blocks(F.col("pii_text"))))
+    return df.withColumn("pii_proposed", F.transform("pii_every", lambda p: _features(F.col("pii_blocks"), p))).drop(*names, "pii_every", "pii_blocks")
 
 
 # The model
@@ -270,7 +313,6 @@ class Trees:
 PRECISION = 0.98
 
 
-@functools.lru_cache(maxsize=1)
 def _fitted(rows: tuple) -> tuple[Trees, tuple[float, float], tuple[float, ...]]:
     """Trees, their calibration (probability = sigmoid(a * score + b)) and each kind's threshold of probability, the
     lowest of at least one half that keeps PRECISION on the examples held out from the trees."""
@@ -294,12 +336,18 @@ def _fitted(rows: tuple) -> tuple[Trees, tuple[float, float], tuple[float, ...]]
     return trees, (float(a), float(b)), tuple(limits)
 
 
+_MODEL: list = []
+
+
 def model(spark: SparkSession):
-    """The fitted trees; their examples pass through the same generators and features as documents."""
-    rows = json.dumps([{"fold": i // 8 % 4, "text": t, "y": y} for i, (t, y) in enumerate(_examples())])
-    texts = spark.range(1).select(F.explode(F.from_json(F.lit(rows), "array<struct<fold:int,text:string,y:int>>")).alias("e")).select("e.fold", "e.y", F.col("e.text").alias("pii_text"))
-    found = _proposals(texts).select("fold", "y", F.explode("pii_proposed").alias("p")).select("fold", "y", *(F.col(f"p.x.{f}") for f in FEATURES))
-    return _fitted(tuple(sorted(tuple(map(float, r)) for r in found.collect())))  # of N_EXAMPLES sentences
+    """The fitted trees; their examples pass through the same generators and features as documents, once a driver."""
+    if not _MODEL:
+        rows = json.dumps([{"fold": i // 8 % 4, "text": t, "y": y} for i, (t, y) in enumerate(_examples())])
+        texts = spark.range(1).select(F.explode(F.from_json(F.lit(rows), "array<struct<fold:int,text:string,y:int>>")).alias("e")).select("e.fold", "e.y", F.col("e.text").alias("pii_text"))
+        # no explode: Spark would filter by the array's size first, and for that compute all its steps many times over
+        found = _proposals(texts).select("fold", "y", F.transform("pii_proposed", lambda p: F.array(*(p["x"][f] for f in FEATURES))).alias("x")).collect()
+        _MODEL.append(_fitted(tuple(sorted((float(r.fold), float(r.y), *x) for r in found for x in r.x))))  # of N_EXAMPLES sentences
+    return _MODEL[0]
 
 
 # The operator
@@ -317,12 +365,17 @@ def with_spans(docs: DataFrame) -> DataFrame:
     limit = F.array(*(F.lit(t) for t in limits))
 
     def scored(p: Column) -> Column:
-        return F.struct((1 / (1 + F.exp(-(F.lit(a) * trees.column(p["x"]) + F.lit(b))))).alias("p"), (-p["start"]).alias("first"), p["start"].alias("start"), p["end"].alias("end"), p["x"]["kind"].cast("int").alias("kind"))
+        return F.struct((1 / (1 + F.exp(-(F.lit(a) * trees.column(p["x"]) + F.lit(b))))).alias("p"), p["start"].alias("start"), p["end"].alias("end"), p["x"]["kind"].cast("int").alias("kind"))
 
-    df = df.withColumn("pii_scored", F.reverse(F.array_sort(F.filter(F.transform("pii_proposed", scored), lambda s: s["p"] >= F.get(limit, s["kind"])))))
+    df = df.withColumn("pii_scored", F.filter(F.transform("pii_proposed", scored), lambda s: s["p"] >= F.get(limit, s["kind"])))
+    # base spans first, then proposals by probability, each if it is clear of what was taken; only within a group of overlaps
+    base = F.transform("pii_base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(2.0).alias("p")))
+    df = df.withColumn("pii_sorted", F.array_sort(F.concat(base, F.transform("pii_scored", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["p"].alias("p"))))))
+    df = _clusters(df, "pii_sorted", "pii_groups")
     clear = lambda spans, s: ~F.exists(spans, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
-    chosen = F.aggregate("pii_scored", F.col("pii_base"), lambda out, s: F.when(clear(out, s), F.concat(out, F.array(slim(s)))).otherwise(out))
-    return df.withColumn("pii_spans", F.array_sort(chosen)).drop("pii_text", "pii_proposed", "pii_scored")
+    best = lambda g: F.reverse(F.array_sort(F.transform(F.filter(g, lambda s: s["p"] < 2.0), lambda s: F.struct(s["p"].alias("p"), (-s["start"]).alias("first"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
+    taken = lambda g: F.aggregate(best(g), F.transform(F.filter(g, lambda s: s["p"] == 2.0), slim), lambda out, s: F.when(clear(out, s), F.concat(out, F.array(slim(s)))).otherwise(out))
+    return df.withColumn("pii_spans", F.array_sort(F.flatten(F.transform("pii_groups", taken)))).drop("pii_text", "pii_proposed", "pii_scored", "pii_sorted", "pii_groups")
 
 
 def _keep(kind: str):
@@ -345,14 +398,12 @@ def redact(docs: DataFrame) -> DataFrame:
     Overlapping spans become one, named by the first."""
     df = with_spans(docs.select(F.struct(*docs.columns).alias("row"), "text"))  # so that no column's name clashes
     by_start = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    text, tags = F.col("text"), F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        more = F.array(F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.get(tags, x["kind"]))
-        return F.when(x["start"] >= s["at"], F.struct(x["end"].alias("at"), F.concat(s["out"], more).alias("out"))).otherwise(F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out")))
-
-    done = F.aggregate("pii_by_start", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-    df = df.withColumn("pii_by_start", by_start)
-    new = F.when(F.size("pii_by_start") > 0, done).otherwise(text)
+    df = _clusters(df.withColumn("pii_by_start", by_start), "pii_by_start", "pii_groups")
+    whole = F.transform("pii_groups", lambda g: F.struct(g[0]["start"].alias("start"), F.array_max(F.transform(g, lambda s: s["end"])).alias("end"), g[0]["kind"].alias("kind")))
+    df = df.withColumn("pii_whole", whole).withColumn("pii_blocks", F.when(F.size("pii_whole") > 0, _blocks(F.col("text"))))
+    df = df.withColumn("pii_from", F.concat(F.array(F.lit(0)), F.transform("pii_whole", lambda s: s["end"])))
+    tags = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
+    parts = F.zip_with("pii_whole", F.slice("pii_from", 1, F.size("pii_whole")), lambda s, at: F.concat(_cut(F.col("pii_blocks"), at, s["start"]), F.get(tags, s["kind"])))
+    rest = _cut(F.col("pii_blocks"), F.element_at("pii_from", -1), F.length("text"))
+    new = F.when(F.size("pii_whole") > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(F.col("text"))
     return df.select(*(new.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))

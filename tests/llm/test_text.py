@@ -1,3 +1,5 @@
+import hashlib
+
 import brute
 import pytest
 from pyspark.sql import functions as F
@@ -234,3 +236,20 @@ def test_columns_of_any_name_are_kept(spark):
     mixed = mixing.mix_sources(docs, {}, size=3.0)
     assert mixed.columns == docs.columns and {(r.pii_text, r.mix_count, r.row) for r in mixed.collect()} <= {("p", 7, "r"), (None, None, None)}
     assert {r.mix_copy for r in mixed.collect()} <= set(range(1, 30))
+
+
+def test_pii_of_long_texts_of_spans(spark):
+    text = "call 212-555-0123 or a@b.co " * 36_000
+    docs = spark.createDataFrame([(1, text), (2, "1-" * 500_000), (3, None), (4, "")], "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.find_pii(docs).collect()}
+    assert len(text) > 1_000_000 and found[1].n_email == 36_000 and found[1].spans.count("phone:") == 36_000
+    assert found[1].base_sha256 == hashlib.sha256(",".join(f"email:{28 * i + 21}:{28 * i + 27}" for i in range(36_000)).encode()).hexdigest()
+    out = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert out[1] == "call <PHONE> or <EMAIL> " * 36_000 and out[3] is None and out[4] == ""
+
+
+def test_language_stage_keeps_columns_of_its_own_names(spark):
+    rows = [(i, f"the quick brown fox number {i}", "en", "a", i) for i in range(40)] + [(90, "12 34", "en", "b", 1), (91, None, None, "b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, language_told string, language_told_score int")
+    out = language.reject_unknown(docs)
+    assert out.columns == docs.columns and sorted(r.language_told_score for r in out.collect()) == list(range(40))
