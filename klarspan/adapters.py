@@ -79,6 +79,17 @@ def truths(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(LITERAL_TRUTHS), TRUTH_COLUMNS)
 
 
+def event_truths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truths stated by events: the last event of a user states one on a subject of that user's nation."""
+    e, u = table(spark, sf_dir, "events"), F.col("user_id")
+    last = e.groupBy("user_id").agg(F.max("event_id").alias("k"), F.count("*").alias("n"))
+    k = F.col("k")
+    nation = table(spark, sf_dir, "nation").select((F.col("n_nationkey")).alias("nk"), F.upper(F.regexp_replace("n_name", " ", "_")).alias("named"))
+    rows = last.join(F.broadcast(nation), u % 25 == F.col("nk"))  # 25 nations
+    subject = F.concat("named", F.lit("_"), (k % 3).cast("string"), F.lit("."), pick(FACETS, k))
+    return rows.select(k.cast("int").alias("truth_ord"), F.concat(F.lit("t"), u.cast("string")).alias("canonical_key"), subject.alias("subject_key"), pick(PREDICATES, k).alias("predicate"), pick(VALUES[0], k).alias("normalized_value"), pick(("active", "active", "superseded", "active", "rejected"), k).alias("truth_status"), pick(("user_specification", "user_acceptance", "system_inference"), u).alias("source_kind"), (F.col("n") % 7 == 0).alias("pending_delta_recalculation"))
+
+
 def _list(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
@@ -104,3 +115,7 @@ claims AS (SELECT * EXCLUDE (o_orderpriority, o_orderstatus), o_orderpriority ||
 previous0 AS (SELECT * REPLACE (CASE WHEN record_ord % 5 = 0 THEN 'draft' WHEN record_ord % 13 = 0 THEN 'no approval' ELSE normalized_value END AS normalized_value) FROM claims WHERE record_ord % 7 <> 0),
 previous AS (SELECT * REPLACE (md5(subject_key || '|' || predicate || '|' || normalized_value || '|' || source_id) AS fingerprint) FROM previous0),
 truths(truth_ord, canonical_key, subject_key, predicate, normalized_value, truth_status, source_kind, pending_delta_recalculation) AS (VALUES {", ".join(str(t) for t in LITERAL_TRUTHS)})"""
+
+EVENT_TRUTHS_SQL = f"""event_last AS (SELECT user_id, max(event_id) AS k, count(*) AS n FROM events GROUP BY 1),
+event_truths AS (SELECT CAST(k AS INT) AS truth_ord, 't' || user_id AS canonical_key, upper(replace(n_name, ' ', '_')) || '_' || (k % 3) || '.' || {_pick_sql(FACETS, "k")} AS subject_key, {_pick_sql(PREDICATES, "k")} AS predicate, {_pick_sql(VALUES[0], "k")} AS normalized_value,
+  {_pick_sql(("active", "active", "superseded", "active", "rejected"), "k")} AS truth_status, {_pick_sql(("user_specification", "user_acceptance", "system_inference"), "user_id")} AS source_kind, n % 7 = 0 AS pending_delta_recalculation FROM event_last JOIN nation ON user_id % 25 = n_nationkey)"""

@@ -115,11 +115,10 @@ def synced_packages(spark, d):
     return D.synced_packages(_members(spark, d), _facts(spark, d))
 
 
-CONFIRMED = (("t1", "read only"), ("t2", "read only"), ("t3", "approval required"), ("t9", "x"))
-
-
 def truth_confirm_conflicts(spark, d):
-    return D.truth_conflicts(A.truths(spark), spark.createDataFrame(list(CONFIRMED), "canonical_key string, new_value string"))
+    """Truths of events against what the first event of each user would have confirmed."""
+    first = A.table(spark, d, "events").groupBy("user_id").agg(F.min("event_id").alias("k"))
+    return D.truth_conflicts(A.event_truths(spark, d), first.select(F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("canonical_key"), A.pick(A.VALUES[0], F.col("k")).alias("new_value")))
 
 
 KINDS = ("open", "answer", "capture", "answer", "confirm", "capture", "dismiss", "answer", "supersede", "capture", "answer")
@@ -340,7 +339,7 @@ SELECT subject_key, family, strength, top AS primary_strength, n_unlike, {_any("
     "package_states": _DECISIONS_SQL + ", l AS (SELECT package, arg_max(action, ord) AS action, count(*) AS n FROM dec GROUP BY 1) SELECT package, CASE action WHEN 'accept' THEN 'accepted' WHEN 'reject' THEN 'rejected' WHEN 'specify' THEN 'specified' ELSE 'open' END AS state, coalesce(n, 0) AS n_decisions FROM (SELECT DISTINCT package FROM mem) LEFT JOIN l USING (package)",
     "synced_facts": _DECISIONS_SQL + ", l AS (SELECT fact_key, arg_max(action, ord) AS action FROM dec JOIN mem USING (package) GROUP BY 1) SELECT fact_key, CASE action WHEN 'accept' THEN 'confirmed' WHEN 'specify' THEN 'confirmed' WHEN 'reject' THEN 'superseded' ELSE status END AS status, CASE WHEN action IS NOT NULL THEN 'package_decision' END AS status_source FROM fact LEFT JOIN l USING (fact_key)",
     "synced_packages": _DECISIONS_SQL + " SELECT package, count(*) FILTER (WHERE status = 'open') AS n_open, count(*) AS n_facts, count(*) FILTER (WHERE status = 'open') = 0 AS done FROM mem JOIN fact USING (fact_key) GROUP BY 1",
-    "truth_confirm_conflicts": _W + f", n(canonical_key, new_value) AS (VALUES {', '.join(map(str, CONFIRMED))}) SELECT truth_ord, canonical_key, normalized_value, new_value, normalized_value <> new_value AS differs FROM truths JOIN n USING (canonical_key) WHERE truth_status = 'active'",
+    "truth_confirm_conflicts": f"WITH {A.EVENT_TRUTHS_SQL}, n AS (SELECT 't' || user_id AS canonical_key, {A._pick_sql(A.VALUES[0], 'min(event_id)')} AS new_value FROM events GROUP BY user_id) SELECT truth_ord, canonical_key, normalized_value, new_value, normalized_value <> new_value AS differs FROM event_truths JOIN n USING (canonical_key) WHERE truth_status = 'active'",
     "clarifications": f"""WITH e AS (SELECT user_id % 300 AS thread_id, event_id AS ord, {A._pick_sql(KINDS, 'event_id')} AS kind FROM events WHERE user_id % 4 <> 0 OR event_id % 11 IN (0, 1, 2, 3)), g AS (SELECT thread_id, arg_min(kind, ord) FILTER (WHERE kind IN ('confirm', 'supersede', 'dismiss')) AS closed, count(*) FILTER (WHERE kind = 'answer') AS answers, count(*) FILTER (WHERE kind = 'capture') AS captured FROM e GROUP BY 1)
 SELECT thread_id, CASE WHEN closed IS NOT NULL THEN closed WHEN answers > 0 THEN 'answered' ELSE 'open' END AS state, answers, least(captured, 10) AS messages, CASE WHEN captured > 0 THEN 0.8::DOUBLE END AS confidence FROM g""",
     "ticket_payloads": FINDINGS_SQL + """, f AS (SELECT source_id AS package, finding_ord, title, severity, object_key, row_number() OVER (PARTITION BY source_id ORDER BY finding_ord) AS nr FROM findings QUALIFY nr <= 4), o AS (SELECT package, object_key, min(nr) AS pos FROM f GROUP BY ALL)

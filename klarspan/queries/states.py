@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from klarspan import adapters as A
 from klarspan.functions import semantics
 from klarspan.operators import semantic_graph as G
+from klarspan.operators.graph import kept
 from klarspan.operators import state as Z
 from klarspan.queries import sql as S
 
 
 def inherited_truths(spark, d):
-    return Z.inherited_truths(A.truths(spark), "run2")
+    return Z.inherited_truths(A.event_truths(spark, d), "run2")
 
 
 def derived_truths(spark, d):
@@ -45,11 +46,50 @@ def next_run(spark, d):
     return Z.next_in_queue(o, "1998-01-01 00:00:00").select("run_id", "status")
 
 
-CHECKS = (("gold", True, True), ("live_read", True, False), ("alerts", False, False), ("writeback", True, True), ("delta", True, False))
-
-
 def go_live_gate(spark, d):
-    return Z.gate(spark.createDataFrame(list(CHECKS), "name string, required boolean, ok boolean"))
+    """Checks of a run's events, one a type: values must stay under a bound on average; clicks and views only advise."""
+    e = A.table(spark, d, "events").groupBy(F.col("event_type").alias("name")).agg((F.sum((F.col("value") * 100).cast("long")) < F.count("*") * 5000).alias("ok"))
+    return Z.gate(e.withColumn("required", ~F.col("name").isin("click", "view")))
+
+
+def _graph(spark, d):
+    """Nodes and relations of claims: subjects in scopes, policies over what is written, sources, and events' truths."""
+    c = A.claims(spark, d).select("subject_key", "source_id", "source_type", "confidence")
+    subject, scope, source = F.concat(F.lit("subject:"), "subject_key"), F.concat(F.lit("scope:"), semantics.scope_key(F.col("subject_key"))), F.concat(F.lit("source:"), "source_id")
+    row = lambda a, b, kind, n: F.struct(a.alias("src"), b.alias("dst"), kind.alias("relation"), n.alias("confidence"))
+    one, kind = F.lit(1.0), F.when(F.col("source_type") == "github_file", "implements").otherwise("documents")
+    rows = c.select(F.inline(F.array(row(scope, subject, F.lit("contains"), one), row(subject, scope, F.lit("belongs_to"), one), row(source, subject, kind, F.col("confidence")))))
+    policy = c.where(F.endswith("subject_key", F.lit(".policy"))).select("subject_key").distinct()
+    written = F.regexp_replace("subject_key", "policy$", "write_path")
+    governs = policy.select(row(subject, F.concat(F.lit("subject:"), written), F.lit("governs"), F.lit(0.9)).alias("r")).select("r.*")
+    truth = A.event_truths(spark, d).where("truth_status = 'active'").select(row(F.concat(F.lit("truth:"), "canonical_key"), subject, F.lit("derived_from_truth"), one).alias("r")).select("r.*")
+    keys = c.select("subject_key").distinct()
+    node = lambda name, key, s: F.struct(name.alias("node"), key.alias("canonical_key"), s.alias("scope_key"))
+    own = semantics.scope_key(F.col("subject_key"))
+    nodes = keys.select(F.inline(F.array(node(subject, F.col("subject_key"), own), node(scope, own, own)))).union(c.select(source.alias("node"), F.col("source_id").alias("canonical_key"), F.lit("").alias("scope_key")))
+    nodes = nodes.union(A.event_truths(spark, d).where("truth_status = 'active'").select(F.concat(F.lit("truth:"), "canonical_key").alias("node"), "canonical_key", own.alias("scope_key"))).dropDuplicates(["node"])
+    nodes = nodes.withColumn("decision_relevant", F.contains("node", F.lit("policy")) | F.startswith("node", F.lit("truth:"))).withColumn("write_relevant", F.contains("node", F.lit("write_path")))
+    return rows.union(governs).union(truth).groupBy("src", "dst", "relation").agg(F.max("confidence").alias("confidence")), nodes
+
+
+def typed_edges(spark, d):
+    """Causal edges of the whole rule table: type, mode, strength, blocking and whether they carry truths."""
+    return G.typed_edges(*_graph(spark, d))
+
+
+def causal_expand(spark, d):
+    """Scopes that a change of one nation's and all its parts, or a pending truth, touches within five steps."""
+    relations, nodes = (kept(x) for x in _graph(spark, d))
+    seeds = nodes.where("node LIKE 'scope:NATION_1%'").select("scope_key")
+    bound = A.event_truths(spark, d).where("truth_status = 'active' AND pending_delta_recalculation").select(F.concat(F.lit("subject:"), "subject_key").alias("node"))
+    return G.causal_expand(G.typed_edges(relations, nodes), nodes, seeds, bound)
+
+
+def finding_context(spark, d):
+    """What stands around the subject of each finding: parents, parts, siblings, policies, code and documents."""
+    relations, nodes = (kept(x) for x in _graph(spark, d))
+    o = A.claims(spark, d).select(F.col("record_ord").alias("finding_ord"), F.concat(F.lit("subject:"), "subject_key").alias("node"))
+    return G.finding_context(o, relations, nodes)
 
 
 def comment_statements(spark, d):
@@ -146,7 +186,7 @@ def coverage_summary(spark, d):
     return c.groupBy("source_type").agg(F.count_distinct("source_id").alias("sources"), F.count_distinct("subject_key").alias("subjects"), F.count("*").alias("claims"), F.round(F.avg("confidence"), 6).alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (inherited_truths, derived_truths, replaced_claims, rehydrated_claims, impacted_packages, approval_states, next_run, go_live_gate, comment_statements, path_baselines, semantic_relations, causal_edges, truth_frames, causal_attribution, schema_validation, model_claims, dashboard, cross_references, completed_facts, uncached_vectors, usage_totals, coverage_summary)}
+QUERIES = {f.__name__: f for f in (typed_edges, causal_expand, finding_context, inherited_truths, derived_truths, replaced_claims, rehydrated_claims, impacted_packages, approval_states, next_run, go_live_gate, comment_statements, path_baselines, semantic_relations, causal_edges, truth_frames, causal_attribution, schema_validation, model_claims, dashboard, cross_references, completed_facts, uncached_vectors, usage_totals, coverage_summary)}
 _W = f"WITH RECURSIVE {A.CLAIMS_SQL}"
 _SCOPE = S.scope("subject_key")
 _REL = _W + f""", rel0 AS (SELECT 'subject:' || subject_key AS src, 'scope:' || {_SCOPE} AS dst, 'belongs_to' AS relation, 1.0::DOUBLE AS confidence FROM claims
@@ -155,8 +195,29 @@ _REL = _W + f""", rel0 AS (SELECT 'subject:' || subject_key AS src, 'scope:' ||
 _EDGE = _REL + f""", rule(relation, edge_type, way, points, mode) AS (VALUES {", ".join(str(r) for r in G.EDGE_RULES)}), edge AS (SELECT CASE WHEN way = 1 THEN src ELSE dst END AS src, CASE WHEN way = 1 THEN dst ELSE src END AS dst, edge_type, mode, round(confidence * points / 100, 6) AS strength FROM rel JOIN rule USING (relation))"""
 _SLUG = S.slug
 _PP = "p AS (SELECT 'k' || (p_partkey % 40) AS subject_key, p_partkey AS id, ['s' || (p_partkey % 4), 's' || (p_partkey * 3 % 5), 's' || (p_partkey * 7 % 6)] AS path FROM part)"
+_SCOPE = "CASE WHEN subject_key LIKE 'BSM.phase.%' THEN array_to_string(string_split(subject_key, '.')[1:3], '.') WHEN subject_key LIKE 'BSM.process%' THEN 'BSM.process' ELSE split_part(subject_key, '.', 1) END"
+_GRAPH = f"""WITH RECURSIVE {A.CLAIMS_SQL}, {A.EVENT_TRUTHS_SQL},
+cs AS (SELECT *, {_SCOPE} AS scope FROM claims), act AS (SELECT *, {_SCOPE} AS scope FROM event_truths WHERE truth_status = 'active'),
+rel0 AS (SELECT 'scope:' || scope AS src, 'subject:' || subject_key AS dst, 'contains' AS relation, 1.0::DOUBLE AS confidence FROM cs UNION ALL SELECT 'subject:' || subject_key, 'scope:' || scope, 'belongs_to', 1.0 FROM cs
+  UNION ALL SELECT 'source:' || source_id, 'subject:' || subject_key, CASE WHEN source_type = 'github_file' THEN 'implements' ELSE 'documents' END, confidence FROM cs
+  UNION ALL SELECT DISTINCT 'subject:' || subject_key, 'subject:' || regexp_replace(subject_key, 'policy$', 'write_path'), 'governs', 0.9 FROM cs WHERE subject_key LIKE '%.policy' UNION ALL SELECT 'truth:' || canonical_key, 'subject:' || subject_key, 'derived_from_truth', 1.0 FROM act),
+rel AS (SELECT src, dst, relation, max(confidence) AS confidence FROM rel0 GROUP BY ALL),
+node0 AS (SELECT 'subject:' || subject_key AS node, subject_key AS canonical_key, scope AS scope_key FROM cs UNION SELECT 'scope:' || scope, scope, scope FROM cs UNION SELECT 'source:' || source_id, source_id, '' FROM cs UNION SELECT 'truth:' || canonical_key, canonical_key, scope FROM act),
+nodes AS (SELECT *, contains(node, 'policy') OR node LIKE 'truth:%' AS dec, contains(node, 'write_path') AS wr FROM node0),
+rules(relation, edge_type, way, mode, less, blocking, carries, written) AS (VALUES {', '.join(str(r) for r in G.RELATION_RULES)}),
+edges AS (SELECT CASE WHEN way = 1 THEN src ELSE dst END AS src, CASE WHEN way = 1 THEN dst ELSE src END AS dst, edge_type, mode, round(CASE WHEN less > 0 THEN greatest(0.4, confidence - less) ELSE confidence END, 6)::DOUBLE AS strength, blocking, CASE carries WHEN 'always' THEN true WHEN 'source' THEN a.dec WHEN 'target' THEN b.dec ELSE false END AS truth_relevant
+  FROM rel JOIN rules USING (relation) JOIN nodes a ON a.node = src JOIN nodes b ON b.node = dst WHERE NOT written OR b.wr)"""
 ORACLES = {
-    "inherited_truths": _W + " SELECT left(sha256('run2|' || canonical_key), 16) AS truth_id, canonical_key, subject_key, predicate, normalized_value, pending_delta_recalculation AS retrigger, false AS pending FROM truths WHERE truth_status = 'active'",
+    "typed_edges": _GRAPH + " SELECT * FROM edges",
+    "causal_expand": _GRAPH + f""", seeds AS (SELECT DISTINCT scope_key FROM nodes WHERE node LIKE 'scope:NATION_1%'), start AS (SELECT DISTINCT node FROM nodes JOIN seeds s ON nodes.scope_key <> '' AND (nodes.scope_key = s.scope_key OR starts_with(nodes.scope_key, s.scope_key || '.') OR starts_with(s.scope_key, nodes.scope_key || '.')) UNION SELECT node FROM nodes WHERE node IN (SELECT 'subject:' || subject_key FROM act WHERE pending_delta_recalculation)),
+arcs AS (SELECT DISTINCT src, dst FROM edges WHERE mode <> 'none' AND (mode <> 'truth_only' OR truth_relevant)),
+walk AS (SELECT node, 0 AS depth FROM start UNION SELECT dst, depth + 1 FROM walk JOIN arcs ON src = node WHERE depth < 5), seen AS (SELECT node, min(depth) AS depth FROM walk GROUP BY 1),
+hit AS (SELECT scope_key, depth FROM seen JOIN nodes USING (node) UNION ALL SELECT {_SCOPE.replace('subject_key', 'canonical_key')}, depth FROM seen JOIN nodes USING (node) UNION ALL SELECT scope_key, 0 FROM seeds) SELECT scope_key, CAST(min(depth) AS INT) AS depth FROM hit WHERE scope_key <> '' GROUP BY 1""",
+    "finding_context": _GRAPH + """, near AS (SELECT src AS node, dst AS far, CASE relation WHEN 'belongs_to' THEN 'parent' ELSE 'part' END AS kind FROM rel WHERE relation IN ('belongs_to', 'contains') UNION SELECT dst, src, CASE relation WHEN 'governs' THEN 'governed_by' WHEN 'implements' THEN 'implemented_by' ELSE 'documented_by' END FROM rel WHERE relation IN ('governs', 'implements', 'documents')),
+alln AS (SELECT * FROM near UNION SELECT p.node, q.far, CASE q.kind WHEN 'part' THEN 'sibling' ELSE 'parent_governed_by' END FROM near p JOIN near q ON p.kind = 'parent' AND q.kind IN ('part', 'governed_by') AND q.node = p.far AND p.node <> q.far),
+lab AS (SELECT DISTINCT alln.node, kind, canonical_key FROM alln JOIN nodes ON nodes.node = far WHERE alln.node IN (SELECT 'subject:' || subject_key FROM cs)), agg AS (SELECT node, kind, count(*) AS n, array_to_string(list(canonical_key ORDER BY canonical_key)[1:5], '|') AS examples FROM lab GROUP BY ALL)
+SELECT record_ord AS finding_ord, kind, n, examples FROM cs JOIN agg ON agg.node = 'subject:' || subject_key""",
+    "inherited_truths": f"WITH {A.EVENT_TRUTHS_SQL} SELECT left(sha256('run2|' || canonical_key), 16) AS truth_id, canonical_key, subject_key, predicate, normalized_value, pending_delta_recalculation AS retrigger, false AS pending FROM event_truths WHERE truth_status = 'active'",
     "derived_truths": _W + ", a AS (SELECT subject_key, predicate, normalized_value, source_kind FROM truths WHERE truth_status = 'active' AND truth_ord <> 4) SELECT * FROM a UNION ALL SELECT subject_key, predicate, arg_min(normalized_value, record_ord), 'system_inference' FROM claims WHERE subject_key = 'BSM.process' AND predicate = 'phase_count' AND NOT EXISTS (SELECT 1 FROM a WHERE a.subject_key = 'BSM.process' AND a.predicate = 'phase_count') GROUP BY 1, 2",
     "replaced_claims": _W + ", ch AS (SELECT fingerprint, arg_max('new ' || claim_id, record_ord) AS nv FROM claims WHERE source_authority = 'confirmed_decision' GROUP BY 1) SELECT record_ord, coalesce(nv, normalized_value) AS normalized_value FROM claims LEFT JOIN ch USING (fingerprint)",
     "rehydrated_claims": _W + ", c AS (SELECT record_ord, source_type, source_id || ':' || subject_key AS source_id, assertion_status <> 'excluded' AS good FROM claims) SELECT record_ord, source_id FROM c WHERE source_id IN (SELECT source_id FROM c WHERE source_type = 'github_file') AND source_id NOT IN (SELECT source_id FROM c WHERE NOT good)",
@@ -165,7 +226,7 @@ ORACLES = {
 g AS (SELECT request_id, {", ".join(f"min(ord) FILTER (WHERE action = '{a}') AS {a}" for a in ("requested", "approved", "rejected", "cancelled", "executed"))} FROM e GROUP BY 1), s AS (SELECT *, least(approved, rejected, cancelled) AS decided FROM g WHERE requested IS NOT NULL)
 SELECT request_id, CASE WHEN decided IS NULL THEN 'pending' WHEN decided = rejected THEN 'rejected' WHEN decided = cancelled THEN 'cancelled' WHEN executed > approved THEN 'executed' ELSE 'approved' END AS state FROM s""",
     "next_run": f"WITH r AS (SELECT o_orderkey AS run_id, {A._pick_sql(('running', 'completed', 'running'), 'o_orderkey')} AS status, o_orderdate FROM orders) SELECT run_id, status FROM r WHERE status = 'running' AND o_orderdate + INTERVAL 30 DAY < TIMESTAMP '1998-01-01' ORDER BY o_orderdate, run_id LIMIT 1",
-    "go_live_gate": f"WITH c(name, required, ok) AS (VALUES {', '.join(str(c) for c in CHECKS)}) SELECT count(*) FILTER (WHERE required AND NOT ok) = 0 AS ready, coalesce(string_agg(name, '|' ORDER BY name) FILTER (WHERE required AND NOT ok), '') AS blocking FROM c",
+    "go_live_gate": "WITH c AS (SELECT event_type AS name, event_type NOT IN ('click', 'view') AS required, sum(CAST(trunc(value * 100) AS BIGINT)) < count(*) * 5000 AS ok FROM events GROUP BY 1) SELECT count(*) FILTER (WHERE required AND NOT ok) = 0 AS ready, coalesce(string_agg(name, '|' ORDER BY name) FILTER (WHERE required AND NOT ok), '') AS blocking FROM c",
     "comment_statements": "WITH p AS (SELECT conv_id || ':' || turn AS comment_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[.!?;\\n]'), lambda x: trim(x)), lambda x: x <> '')[1:4] AS s FROM conversations) SELECT comment_id, CAST(unnest(range(0, len(s))) AS INT) AS ordinal, unnest(s) AS statement FROM p",
     "path_baselines": f"""WITH {_PP}, j AS (SELECT v.id AS variant_id, q.id AS primary_id, len(list_intersect(v.path, q.path)) AS o, CASE WHEN v.path[1] <> q.path[1] THEN 0 WHEN v.path[2] <> q.path[2] THEN 1 WHEN v.path[3] <> q.path[3] THEN 2 ELSE 3 END AS pre, q.id % 2 = 0 AS is_doc FROM p v JOIN p q USING (subject_key) WHERE v.id % 3 = 0 AND q.id % 3 <> 0)
 SELECT variant_id, primary_id FROM j QUALIFY row_number() OVER (PARTITION BY variant_id ORDER BY o DESC, pre DESC, is_doc DESC, primary_id) = 1""",
