@@ -9,6 +9,7 @@ from klarspan.operators import domain as D
 from klarspan.operators import fragments as G
 from klarspan.operators import metadata as N
 from klarspan.operators import variants as V
+from klarspan.plans import runs
 
 _PLAIN = D.Vocabulary(("Order", "Lineitem", "Customer", "Source"), ("OPEN", "SHIPPED", "CLOSED"), "Source", "Order")
 VOCABULARY = D.Vocabulary(
@@ -127,8 +128,14 @@ def legacy_path_gaps(spark, d):
     return V.legacy_path_gaps(_path_records(spark, d))
 
 
+def document_run(spark, d):
+    """Documents to findings: claims of all documents, compared, and their findings counted."""
+    found = runs.document_run(_documents(spark, d), A.event_truths(spark, d), VOCABULARY).findings
+    return found.groupBy("category", "severity").agg(F.count("*").alias("n"), F.count_distinct("object_key").alias("n_objects"))
+
+
 FAMILIES = ("role", "status", "decision", "initial", "hierarchy", "scope", "chain", "path", "allowlist")
-QUERIES = {f.__name__: f for f in (*map(_family, FAMILIES), domain_records, diagram_context, table_headers, query_fragments, query_steps, query_paths, path_roles, path_comparisons, legacy_path_gaps)}
+QUERIES = {f.__name__: f for f in (*map(_family, FAMILIES), domain_records, diagram_context, table_headers, query_fragments, query_steps, query_paths, path_roles, path_comparisons, legacy_path_gaps, document_run)}
 
 # The same in SQL
 
