@@ -8,7 +8,9 @@ from klarspan import adapters as A
 from klarspan.functions import text
 from klarspan.operators import claims as C
 from klarspan.operators import extraction as X
+from klarspan.operators import index as I
 from klarspan.operators import retrieval as T
+from klarspan.operators.graph import kept
 from klarspan.plans import runs
 from klarspan.queries import sql as S
 from klarspan.sources import readers
@@ -105,7 +107,38 @@ def conversation_keywords(spark, d):
     return t.select("conv_id", "turn", F.array_join(text.keywords(F.col("text"), 6), "|").alias("words"))
 
 
-QUERIES = {f.__name__: f for f in (document_claims, domain_value_conflicts, role_conflicts, documentation_gaps, near_lines, sequence_risks, page_text, page_blocks, page_section_delta, text_segments, label_summary, phases_with_questions, deep_run, delta_run, event_windows, conversation_keywords)}
+INDEX_FIELDS = {"title": "role", "content": "text"}
+
+
+def _turns(spark, d, before=False):
+    """Turns as segments of their conversations; before, some had another text, some were missing, some were there."""
+    t, conv = A.table(spark, d, "conversations"), F.col("conv_id")
+    if before:
+        more = t.where(conv % 13 == 0).withColumn("turn", F.col("turn") + 1000)
+        t = t.where(conv % 11 != 0).withColumn("text", F.when(conv % 7 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" formerly"))).otherwise(F.col("text"))).unionByName(more)
+    return t.select(F.concat_ws(":", conv.cast("string"), F.col("turn").cast("string")).alias("segment_id"), conv.cast("string").alias("source_id"), F.md5(F.coalesce("text", F.lit(""))).alias("segment_hash"), "role", "text")
+
+
+def _index(spark, d):
+    before, now = _turns(spark, d, True), kept(_turns(spark, d))
+    delta = kept(I.segment_delta(now, before))
+    return now, delta, I.update(I.build(before, INDEX_FIELDS), delta, now, INDEX_FIELDS)
+
+
+def index_delta(spark, d):
+    """What changed among segments, and the maintained index's postings of each kind."""
+    _, delta, index = _index(spark, d)
+    sums = index.groupBy("segment_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("tf"))
+    return delta.join(sums, "segment_id", "left").groupBy("status").agg(F.count("*").alias("n_segments"), F.coalesce(F.sum("terms"), F.lit(0)).alias("n_terms"), F.coalesce(F.sum("tf"), F.lit(0.0)).alias("weight"))
+
+
+def index_search(spark, d):
+    """The best turns for each benchmark text, from the maintained index."""
+    now, _, index = _index(spark, d)
+    return I.search(index, A.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), now.count()).select("query_id", "segment_id", "bm25")
+
+
+QUERIES = {f.__name__: f for f in (document_claims, domain_value_conflicts, role_conflicts, documentation_gaps, near_lines, sequence_risks, page_text, page_blocks, page_section_delta, text_segments, label_summary, phases_with_questions, deep_run, delta_run, event_windows, conversation_keywords, index_delta, index_search)}
 _WITH = f"WITH {A.CLAIMS_SQL}"
 _RX = lambda p: S.quoted(p.replace("(?i)", ""))
 _CONCEPT = "predicate"
@@ -114,7 +147,16 @@ for _p in X.CONCEPT_PREFIXES:
 _HINT = "CASE " + " ".join(f"WHEN contains(lower(line), '{w}') THEN '{n}'" for w, n in X.HINTS) + " END"
 _EVENTS = f"e AS (SELECT 'f' || (user_id % 60) AS source_id, 'fn' || (event_id % 9) AS func, CAST(event_id % 900 AS INT) AS line, {A._pick_sql(('entity', 'write', 'persist', 'enqueue', 'call'), 'event_id // 7')} AS kind FROM events)"
 _WORDS = "list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]{3,}'), lambda w: w NOT IN (" + ", ".join(map(S.quoted, text.STOPWORDS)) + "))"
+_INDEX = f"""WITH seg AS (SELECT conv_id || ':' || turn AS segment_id, * FROM conversations), was AS (SELECT conv_id || ':' || turn AS segment_id, conv_id FROM conversations WHERE conv_id % 11 <> 0 UNION ALL SELECT conv_id || ':' || (turn + 1000), conv_id FROM conversations WHERE conv_id % 13 = 0),
+term AS (SELECT segment_id, unnest(regexp_extract_all(lower(role), '[a-z0-9_]{{2,}}')) AS term, 4.0::DOUBLE AS w FROM seg UNION ALL SELECT segment_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]{{2,}}')), 1.0::DOUBLE FROM seg),
+posted AS (SELECT segment_id, term, sum(w) AS tf, count(*) AS n FROM term GROUP BY ALL)"""
 ORACLES = {
+    "index_delta": _INDEX + """, d AS (SELECT coalesce(s.segment_id, w.segment_id) AS segment_id, CASE WHEN w.conv_id IS NULL THEN 'added' WHEN s.conv_id IS NULL THEN 'removed' WHEN s.conv_id % 7 = 0 THEN 'changed' ELSE 'unchanged' END AS status FROM seg s FULL JOIN was w ON s.segment_id = w.segment_id),
+p AS (SELECT segment_id, count(*) AS terms, sum(tf) AS tf FROM posted GROUP BY 1) SELECT status, count(*) AS n_segments, CAST(coalesce(sum(terms), 0) AS BIGINT) AS n_terms, coalesce(sum(tf), 0.0) AS weight FROM d LEFT JOIN p USING (segment_id) GROUP BY 1""",
+    "index_search": _INDEX + f""", q0 AS (SELECT item_id AS query_id, {_WORDS} AS ws FROM benchmark), q AS (SELECT query_id, unnest(list_filter(ws, lambda w, i: list_position(ws, w) = i)[1:8]) AS term FROM q0),
+len AS (SELECT segment_id, sum(n) AS len FROM posted GROUP BY 1), tot AS (SELECT sum(len) AS al, (SELECT count(*) FROM seg) AS ns FROM len), df AS (SELECT term, count(*) AS df FROM posted GROUP BY 1),
+s AS (SELECT query_id, segment_id, round(sum(greatest(1e-6, ln((ns - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len * ns / al))), 6) AS b FROM q JOIN posted USING (term) JOIN df USING (term) JOIN len USING (segment_id), tot GROUP BY query_id, segment_id)
+SELECT query_id, segment_id, b AS bm25 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY b DESC, segment_id) <= 8""",
     "document_claims": _WITH + f""", l AS (SELECT source_id AS doc_id, record_ord, title, record_ord % 100 = 0 AS head, row_number() OVER (PARTITION BY source_id ORDER BY record_ord) AS line_no, '`' || split_part(subject_key, '.', 1) || '` ' || matched_text AS line FROM claims),
 s AS (SELECT *, last_value(CASE WHEN head THEN title END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS section FROM l),
 x AS (SELECT *, coalesce(nullif(regexp_extract(line, '`([A-Za-z][A-Za-z0-9_.-]{{2,}})`', 1), ''), {_HINT}, nullif(regexp_extract(line, '\\b([A-Z][A-Za-z0-9_]{{2,}})\\b', 1), ''), 'Doc') AS subject FROM s WHERE NOT head)

@@ -37,7 +37,7 @@ def test_against_sql(spark, sf_dir, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_gives_rows(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() >= 0
+    assert QUERIES[name](spark, sf_dir).count() > 0
 
 
 def test_registry(spark):
