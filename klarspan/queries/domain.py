@@ -213,7 +213,7 @@ SELECT predicate, said AS assertion_status, source_authority, operator, CASE WHE
 l(n, block, pre, said, alt, hop) AS (VALUES (4, 'note', 'note right of Order', 'Order may be OPEN', 'k3', NULL), (6, '', '', 'Order --> Lineitem : SUPPORTS', '', 'Order -[:SUPPORTS]-> Lineitem'), (7, '', 'legend', 'Customer starts as OPEN', '', NULL), (10, 'legend', 'legend', 'all CLOSED', 'k8', NULL), (12, '', '', '}', '', NULL))
 SELECT k AS doc_id, CAST(n AS INT) AS line_no, CASE WHEN pre <> '' THEN part || ' ' || pre || ' ' ELSE '' END || CASE WHEN alt = 'k3' AND k % 3 <> 0 THEN 'nothing here' WHEN alt = 'k8' AND k % 8 >= 4 THEN 'none' ELSE said END AS line, 'legacy:' || n || CASE WHEN block <> '' THEN ':' || block ELSE '' END AS section_path, part AS partition, block, hop FROM c, l""",
     "table_headers": "SELECT c_custkey AS doc_id, CAST(n AS INT) AS line_no, headers, cells FROM customer, (VALUES (7, NULL, 'Order/open/shipped'), (9, 'entity/initial/status', 'Order/open/shipped'), (11, NULL, 'Lineitem/shipped')) t(n, headers, cells) WHERE c_custkey % 4 = 0",
-    "query_fragments": "SELECT 'q' || p_partkey AS source_id, CAST(n AS INT) AS line, CAST(e AS INT) AS end_line, CAST(l AS INT) AS length FROM part, (VALUES (1, 1, 1, 20), (1, 3, 6, 97), (1, 7, 7, 69), (0, 3, 4, 59)) f(py, n, e, l) WHERE (p_partkey % 4 <> 0) = (py = 1)",
+    "query_fragments": "SELECT 'q' || p_partkey AS source_id, CAST(n AS INT) AS line, CAST(e AS INT) AS end_line, CAST(l AS INT) AS length FROM part, (VALUES (1, 1, 1, 20), (1, 3, 6, 97), (1, 7, 7, 67), (0, 3, 4, 59)) f(py, n, e, l) WHERE (p_partkey % 4 <> 0) = (py = 1)",
     "query_steps": """WITH e AS (SELECT 'q' || p_partkey AS source_id, CAST(n AS INT) AS line, src, type, CASE WHEN dst = 'Source' THEN dst || (p_partkey % 3) ELSE dst END AS dst FROM part, (VALUES (1, 3, 'Order', 'DERIVED_FROM', 'Source'), (1, 3, 'Order', 'SUPPORTS', 'Element'), (1, 7, 'Part', 'PART_OF', 'Brand'), (1, 7, 'Maker', 'MADE_BY', 'Brand'), (0, 3, 'Order', 'HAS', 'Line'), (0, 3, 'Line', 'OF', 'Part')) f(py, n, src, type, dst) WHERE (p_partkey % 4 <> 0) = (py = 1)),
 a AS (SELECT *, src || ' -[:' || type || ']-> ' || dst AS arrow, src IN ('Order', 'Element') OR dst IN ('Order', 'Element') AS on_chain FROM e)
 SELECT source_id, line, 'GraphWrite.' || type AS subject_key, 'code_graph_relation' AS predicate, arrow AS value FROM a UNION SELECT source_id, line, 'EvidenceChain.step.' || src || '.' || type || '.' || dst, 'code_evidence_chain_step', arrow FROM a WHERE on_chain UNION SELECT source_id, line, 'EvidenceChain.direction', 'code_evidence_chain_direction', CASE WHEN type = 'DERIVED_FROM' THEN 'against' ELSE 'along' END FROM a WHERE on_chain""",
