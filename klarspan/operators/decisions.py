@@ -74,3 +74,34 @@ def patched(pages: DataFrame) -> DataFrame:
     inside = F.concat(F.left("html", end), F.col("insertion"), F.substr("html", end + 1))
     out = F.when(F.contains("html", F.col("marker")), F.col("html")).when(at > 0, inside).otherwise(F.concat("html", "insertion"))
     return pages.withColumn("patched", out).withColumn("mode", F.when(F.contains("html", F.col("marker")), "present").when(at > 0, "inserted").otherwise("appended"))
+
+
+def dialog_truths(truths: DataFrame, events: DataFrame) -> DataFrame:
+    """What confirmations and replacements of a dialog make of truths.
+
+    ``truths`` (canonical_key, normalized_value, truth_status) are those before it, ``events`` (ord, thread_id, kind,
+    canonical_key, value) its steps; kinds other than confirm and supersede, and steps without a key, change no truth. A key
+    has a truth from the start, or from its first confirmation on. Confirming makes a truth where there is none, else it is a
+    conflict; superseding replaces the truth there is, else it is rejected. One row a step, with its outcome, and for steps
+    that made a truth whether it still stands. Steps of equal ``ord`` count as one moment."""
+    steps = events.where(F.col("kind").isin("confirm", "supersede") & F.col("canonical_key").isNotNull())
+    before = truths.where("truth_status = 'active'").select("canonical_key").distinct().withColumn("held", F.lit(True))
+    first = steps.groupBy("canonical_key").agg(F.min(F.when(F.col("kind") == "confirm", F.col("ord"))).alias("first"))
+    held = F.coalesce(F.col("held"), F.lit(False)) | F.coalesce(F.col("first") < F.col("ord"), F.lit(False))
+    outcome = F.when(F.col("kind") == "confirm", F.when(held, "conflict").otherwise("created")).otherwise(F.when(held, "superseded").otherwise("rejected"))
+    told = steps.join(before, "canonical_key", "left").join(first, "canonical_key").withColumn("outcome", outcome)
+    made = F.col("outcome").isin("created", "superseded")
+    last = told.where(made).groupBy("canonical_key").agg(F.max("ord").alias("last"))
+    status = F.when(made, F.when(F.col("ord") == F.col("last"), "active").otherwise("superseded"))
+    return told.join(last, "canonical_key", "left").select("ord", "thread_id", "canonical_key", "kind", "value", "outcome", status.alias("truth_status"))
+
+
+def captured_indications(events: DataFrame) -> DataFrame:
+    """Claims (source_id, predicate, value, confidence, fingerprint) of captured messages (thread_id, ord, kind, content): what
+    the capture says, or, if it says nothing, the thread's latest answer before it; without either there is no claim."""
+    said = F.nullif(F.trim("content"), F.lit(""))
+    upto = Window.partitionBy("thread_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    rows = events.withColumn("said", said).withColumn("earlier", F.last(F.when(F.col("kind") == "answer", F.col("said")), True).over(upto))
+    rows = rows.where("kind = 'capture'").withColumn("value", F.coalesce("said", "earlier")).where("value IS NOT NULL")
+    source = F.concat_ws(":", F.lit("clarification"), F.col("thread_id").cast("string"))
+    return rows.select(source.alias("source_id"), "ord", F.lit("user_indication").alias("predicate"), "value", F.lit(CAPTURED).alias("confidence"), F.concat_ws(":", source, F.left("value", F.lit(50))).alias("fingerprint"))

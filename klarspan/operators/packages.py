@@ -88,6 +88,20 @@ def fact_registry(entries: DataFrame) -> DataFrame:
     return entries.groupBy("fact_key").agg(F.max_by("status", "run").alias("status"), F.max_by("mode", "run").alias("mode"), F.count_distinct("run").alias("runs"), F.max("run").alias("last_run"))
 
 
+def registry_summary(entries: DataFrame, first: int = 12) -> DataFrame:
+    """(section, key, n) over the entries (fact_key, run, status, mode) of all runs: totals of entries, facts, those seen in
+    several runs and those that were opened again, facts by their latest status, and the first facts, newest run first, with
+    how many runs saw them."""
+    facts = kept(fact_registry(entries))
+    row = lambda section, key, n: F.struct(F.lit(section).alias("section"), F.lit(key).alias("key"), n.cast("long").alias("n"))
+    totals = facts.agg(F.count("*").alias("facts"), F.count_if(F.col("runs") > 1).alias("recurring"), F.count_if(F.coalesce(F.col("mode") == "reopened", F.lit(False))).alias("reopened"))
+    totals = totals.select(F.inline(F.array(*(row("total", k, F.col(k)) for k in ("facts", "recurring", "reopened")))))
+    count = entries.agg(F.count("*").alias("n")).select(F.lit("total").alias("section"), F.lit("entries").alias("key"), "n")
+    status = facts.groupBy(F.col("status").alias("key")).agg(F.count("*").alias("n")).select(F.lit("status").alias("section"), "key", "n")
+    newest = facts.orderBy(F.desc("last_run"), "fact_key").limit(first).select(F.lit("latest").alias("section"), F.col("fact_key").cast("string").alias("key"), F.col("runs").alias("n"))
+    return totals.union(count).union(status).union(newest)
+
+
 def retained(cache: DataFrame, keep: int = 3, days: int = 30) -> DataFrame:
     """Rows (source_id, cached_at) that retention keeps: the newest of each source, and whatever is younger than days
     before the newest row of all."""
