@@ -17,6 +17,7 @@ WEAK_STATUS = ("deprecated", "secondary_only", "not_ssot")
 SEVERITY = {"critical": 0, "high": 1, "medium": 2, "low": 3}
 ROOT_CAUSE = {"truth": 0, "write_contract": 1, "policy": 2, "lifecycle": 3, "process": 4, "implementation": 5, "documentation": 6, "clarification": 7, "misc": 8}
 CORE = ("truth", "write_contract", "policy", "lifecycle", "process")
+CONFLICTS = ("contradiction", "policy_conflict")
 SUPPORTING = ("architecture_observation", "missing_definition", "missing_documentation", "traceability_gap", "ownership_gap", "low_confidence_review", "obsolete_documentation", "stale_source", "clarification_needed", "terminology_collision", "open_decision")
 DOCUMENTARY = ("architecture_observation", "missing_definition", "missing_documentation", "traceability_gap", "ownership_gap", "low_confidence_review", "obsolete_documentation", "stale_source", "terminology_collision")
 ACTION_LANES = ("both", "artifact", "document", "code")
@@ -70,3 +71,8 @@ def root_cause(object_key: Column, category: Column, text: Column, truth: Column
 
 def detail_penalty(category: Column) -> Column:
     return category.isin(*SUPPORTING).cast("int")
+
+
+def conflict_priority(category: Column) -> Column:
+    """0 for findings of a conflict, 2 for supporting details, 1 for all others."""
+    return F.when(category.isin(*CONFLICTS), 0).when(category.isin(*SUPPORTING), 2).otherwise(1)

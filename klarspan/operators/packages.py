@@ -14,7 +14,7 @@ BASE, HARD_CAP = 12, 24
 def ranked(findings: DataFrame) -> DataFrame:
     """Findings (finding_ord, bucket, severity, category, delta, object_key, title) with their place in the global order.
     Rows are dealt by ranges of the order; a row's place is its place in its range and the sizes of those before."""
-    order = [scoring.root_cause_priority(F.col("bucket")), scoring.severity_rank(F.col("severity")), scoring.detail_penalty(F.col("category")), F.when(F.col("delta"), 0).otherwise(1), F.col("object_key"), F.col("title"), F.col("finding_ord")]
+    order = [scoring.root_cause_priority(F.col("bucket")), scoring.conflict_priority(F.col("category")), scoring.severity_rank(F.col("severity")), scoring.detail_penalty(F.col("category")), F.when(F.col("delta"), 0).otherwise(1), F.col("object_key"), F.col("title"), F.col("finding_ord")]
     dealt = kept(findings.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each range
@@ -24,12 +24,12 @@ def ranked(findings: DataFrame) -> DataFrame:
 
 def top_findings(findings: DataFrame, n: int) -> DataFrame:
     """The first n findings of the global order, by partial top-n of each task."""
-    return findings.orderBy(scoring.root_cause_priority(F.col("bucket")), scoring.severity_rank(F.col("severity")), scoring.detail_penalty(F.col("category")), F.when(F.col("delta"), 0).otherwise(1), "object_key", "title", "finding_ord").limit(n)
+    return findings.orderBy(scoring.root_cause_priority(F.col("bucket")), scoring.conflict_priority(F.col("category")), scoring.severity_rank(F.col("severity")), scoring.detail_penalty(F.col("category")), F.when(F.col("delta"), 0).otherwise(1), "object_key", "title", "finding_ord").limit(n)
 
 
 def for_retrieval(findings: DataFrame, base: int = BASE, cap: int = HARD_CAP) -> DataFrame:
     """The base selection, and up to the cap those that enforce a truth, are severe core causes, or whose core bucket
-    the base lacks."""
+    the base lacks. (Severe core causes of groups that the base lacks are among the severe ones.)"""
     chosen = top_findings(findings, base).select("finding_ord", "bucket").withColumn("base", F.lit(True))
     core = F.col("bucket").isin(*scoring.CORE)
     buckets = chosen.where(core).select("bucket").distinct().withColumn("covered", F.lit(True))
@@ -47,7 +47,7 @@ def packages(findings: DataFrame) -> DataFrame:
     core = F.when(F.col("bucket").isin(*scoring.CORE), F.struct(rank.alias("p"), "bucket"))
     best = kept.groupBy("cluster").agg(F.min(core).alias("lead"))
     assigned = kept.join(best, "cluster").withColumn("assigned", F.when(F.col("lead").isNull() | F.col("bucket").isin(*scoring.CORE), F.col("bucket")).otherwise(F.col("lead.bucket")))
-    first = F.struct((F.col("bucket") != F.col("assigned")).alias("a"), (~F.col("truth")).alias("b"), scoring.detail_penalty(F.col("category")).alias("c"), scoring.severity_rank(F.col("severity")).alias("d"), "title", "finding_ord")
+    first = F.struct((F.col("bucket") != F.col("assigned")).alias("a"), (~F.col("truth")).alias("b"), scoring.conflict_priority(F.col("category")).alias("p"), scoring.detail_penalty(F.col("category")).alias("c"), scoring.severity_rank(F.col("severity")).alias("d"), "title", "finding_ord")
     out = assigned.groupBy("cluster", "assigned").agg(
         F.min(scoring.severity_rank(F.col("severity"))).alias("severity_rank"), F.count("*").alias("n_findings"), F.min_by("finding_ord", first).alias("primary_ord"), F.bool_or("delta").alias("rerender_required"), F.count_distinct("source_id").alias("n_sources")
     )

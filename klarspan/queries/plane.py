@@ -14,7 +14,8 @@ from klarspan.operators import sections as E
 from klarspan.queries import sql as S
 from klarspan.queries.relations import FINDINGS_SQL, _findings, _first_distinct
 
-_ORDER = f"priority, {S.lookup('severity', scoring.SEVERITY, 9)}, CAST(category IN ({', '.join(map(S.quoted, scoring.SUPPORTING))}) AS INT), CASE WHEN delta THEN 0 ELSE 1 END, object_key, title, finding_ord"
+_CONFLICT = f"CASE WHEN category IN ('contradiction', 'policy_conflict') THEN 0 WHEN category IN ({', '.join(map(S.quoted, scoring.SUPPORTING))}) THEN 2 ELSE 1 END"
+_ORDER = f"priority, {_CONFLICT}, {S.lookup('severity', scoring.SEVERITY, 9)}, CAST(category IN ({', '.join(map(S.quoted, scoring.SUPPORTING))}) AS INT), CASE WHEN delta THEN 0 ELSE 1 END, object_key, title, finding_ord"
 _RANK = S.lookup("severity", scoring.SEVERITY, 9)
 _PENALTY = f"CAST(category IN ({', '.join(map(S.quoted, scoring.SUPPORTING))}) AS INT)"
 _CORE = "bucket IN (" + ", ".join(map(S.quoted, scoring.CORE)) + ")"
@@ -150,6 +151,12 @@ def page_key_figures(spark, d):
     return G.key_figures(page_issues(spark, d))
 
 
+def page_scores(spark, d):
+    """Figures of the whole wiki: classes, issues, orphans, coverage and scores, with the nations as findings."""
+    pages = _pages(spark, d)
+    return G.scores(pages, G.page_issues(pages), A.table(spark, d, "nation"))
+
+
 def page_suggestions(spark, d):
     return G.suggestions(_pages(spark, d), page_issues(spark, d))
 
@@ -185,7 +192,7 @@ def vector_cosine(spark, d):
     return e.join(F.broadcast(first), how="cross").select("vec_id", F.round(text.cosine(F.col("embedding"), F.col("one")), 6).alias("cosine"))
 
 
-QUERIES = {f.__name__: f for f in (finding_order, findings_for_retrieval, decision_packages, dominant_category, atomic_facts, fact_history, fact_registry, action_lanes, cache_retention, latest_event, source_set_hash, schema_registry, gold_gate, answer_indications, operational_counts, severity_histogram, review_sections, review_candidates, review_cards, page_issues, page_key_figures, page_suggestions, text_functions, path_divergence, section_overlap, vector_cosine)}
+QUERIES = {f.__name__: f for f in (finding_order, findings_for_retrieval, decision_packages, dominant_category, atomic_facts, fact_history, fact_registry, action_lanes, cache_retention, latest_event, source_set_hash, schema_registry, gold_gate, answer_indications, operational_counts, severity_histogram, review_sections, review_candidates, review_cards, page_issues, page_key_figures, page_scores, page_suggestions, text_functions, path_divergence, section_overlap, vector_cosine)}
 _SCOPE = S.scope("object_key")
 _ENTRIES = FINDINGS_SQL + f""", e AS (SELECT object_key || ':' || category AS fact_key, CAST(finding_ord // 25 % 4 AS INT) AS run, {A._pick_sql(("open", "resolved", "confirmed", "superseded"), "finding_ord // 25")} AS status, {A._pick_sql(("new", "continued", "reopened"), "finding_ord // 25")} AS mode, 1 + finding_ord % 3 AS occurrences, finding_ord FROM findings),
 l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY fact_key, run ORDER BY finding_ord DESC) = 1)"""
@@ -221,9 +228,9 @@ _PW = "list_filter(regexp_extract_all(lower({}), '[a-z0-9_]{{3,}}'), lambda w: w
 ORACLES = {
     "finding_order": FINDINGS_SQL + f" SELECT finding_ord, CAST(row_number() OVER (ORDER BY {_ORDER}) AS INT) AS place FROM ranked",
     "findings_for_retrieval": _FIRST[0],
-    "decision_packages": FINDINGS_SQL + f""", f AS (SELECT *, {_SCOPE} AS cluster, {_RANK} AS sr, {_PENALTY} AS dp FROM ranked), lead AS (SELECT cluster, arg_min(bucket, priority) FILTER (WHERE {_CORE}) AS lb FROM f GROUP BY 1),
+    "decision_packages": FINDINGS_SQL + f""", f AS (SELECT *, {_SCOPE} AS cluster, {_RANK} AS sr, {_PENALTY} AS dp, {_CONFLICT} AS cp FROM ranked), lead AS (SELECT cluster, arg_min(bucket, priority) FILTER (WHERE {_CORE}) AS lb FROM f GROUP BY 1),
 a AS (SELECT f.*, CASE WHEN lb IS NULL OR {_CORE} THEN bucket ELSE lb END AS assigned FROM f JOIN lead USING (cluster)),
-g AS (SELECT cluster, assigned, min(sr) AS severity_rank, count(*) AS n_findings, arg_min(finding_ord, (bucket <> assigned, NOT truth, dp, sr, title, finding_ord)) AS primary_ord, bool_or(delta) AS rerender_required, count(DISTINCT source_id) AS n_sources FROM a GROUP BY ALL)
+g AS (SELECT cluster, assigned, min(sr) AS severity_rank, count(*) AS n_findings, arg_min(finding_ord, (bucket <> assigned, NOT truth, cp, dp, sr, title, finding_ord)) AS primary_ord, bool_or(delta) AS rerender_required, count(DISTINCT source_id) AS n_sources FROM a GROUP BY ALL)
 SELECT *, 10 * {S.lookup('assigned', scoring.ROOT_CAUSE, 99)} + severity_rank AS sort_key FROM g""",
     "dominant_category": FINDINGS_SQL + f", e AS (SELECT {_SCOPE} AS cluster, category, count(*) AS n, min({_RANK}) AS r FROM findings GROUP BY ALL) SELECT cluster, category FROM e QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY r, n DESC, category) = 1",
     "atomic_facts": FINDINGS_SQL + f""", p AS (SELECT object_key || ':' || category AS fact_key, finding_ord AS o, title, {_SCOPE} || '/' || bucket AS package, source_id FROM findings), g AS (SELECT fact_key, arg_min(title, o) AS summary, arg_min(package, o) AS primary_package, list(package ORDER BY o) AS ps, list(source_id ORDER BY o) AS ss, count(*) AS n_problems FROM p GROUP BY 1)
@@ -254,6 +261,10 @@ SELECT *, CAST(CASE WHEN right_id IS NULL THEN 0.62 WHEN deviation_type = 'misun
     "page_issues": _PAGES + " SELECT node, depth, children, class, array_to_string(issues, '|') AS issues FROM i",
     "page_key_figures": _PAGES + f""", k AS (SELECT count(*) AS pages, {", ".join(f"count(*) FILTER (WHERE list_contains(issues, '{x}')) AS {x}" for x in _KINDS)}, round(avg(depth), 1) AS avg_depth, max(depth) AS max_depth FROM i)
 SELECT *, greatest(0, least(100, 100 - 8 * deep - 10 * fat - 15 * duplicate - 5 * mixed - 3 * unclear)) AS structure, greatest(0, least(100, 100 - 8 * long - 5 * short - 6 * mixed)) AS readability FROM k""",
+    "page_scores": _PAGES + """, j AS (SELECT i.*, title, parent FROM i JOIN page USING (node)), n AS (SELECT count(*) AS f FROM nation),
+k AS (SELECT count(*) AS pages, count(*) FILTER (WHERE class = 'subject') AS subject, count(*) FILTER (WHERE class = 'technical') AS technical, count(*) FILTER (WHERE class = 'mixed') AS mixed, count(*) FILTER (WHERE class = 'unclear') AS unclear, count(*) FILTER (WHERE len(issues) > 0) AS with_issues, CAST(sum(len(issues)) AS BIGINT) AS issues, round(avg(depth), 1) AS avg_depth, max(depth) AS max_depth,
+  count(*) FILTER (WHERE parent IS NULL AND depth = 0 AND children = 0) AS orphans, count(*) FILTER (WHERE depth > 4) AS d, count(*) FILTER (WHERE children > 12) AS fat, count(*) FILTER (WHERE list_contains(issues, 'duplicate')) AS dup, count(*) FILTER (WHERE length(title) > 60) AS long, count(*) FILTER (WHERE length(title) < 8) AS short FROM j)
+SELECT pages, subject, technical, mixed, unclear, with_issues, issues, avg_depth, max_depth, orphans, CAST(round(100 * (subject + technical) / pages) AS BIGINT) AS coverage, greatest(0, least(100, 100 - 8 * d - 10 * fat - 15 * dup - 5 * mixed - 3 * unclear)) AS structure, greatest(0, least(100, 100 - 8 * long - 5 * short - 6 * mixed)) AS readability, CAST(least(100, round(20 * f / pages)) AS BIGINT) AS cross_references FROM k, n""",
     "page_suggestions": _PAGES + ", s AS (SELECT unnest(issues) AS kind, CAST(node AS VARCHAR) AS key FROM i) SELECT * FROM s WHERE kind IN ('deep', 'fat', 'mixed', 'unclear') UNION ALL SELECT 'duplicate', lower(trim(title)) FROM page GROUP BY 2 HAVING count(*) > 1",
     "text_functions": f"""WITH p AS (SELECT *, {_PART_NAME} AS n, {_PW.format(_PART_NAME)} AS w0, {_PW.format("p_type || ' ' || p_brand")} AS v0 FROM part), q AS (SELECT *, {_first_distinct('w0', 4)} AS w, {_first_distinct('v0', 4)} AS v FROM p)
 SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(n)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, CASE WHEN length(trim(n)) > 18 THEN rtrim(left(trim(n), 15)) || '...' ELSE trim(n) END AS short, 'sha256:' || sha256(n) AS hash, left(sha1(p_name || '|' || p_size || '|' || p_type), 16) AS section, array_to_string(w, '|') AS words, CASE WHEN len(w) > 0 AND len(v) > 0 THEN round(len(list_intersect(w, v)) / len(w), 6) ELSE 0.0 END AS overlap FROM q""",

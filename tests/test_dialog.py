@@ -5,6 +5,7 @@ import random
 from klarspan.operators import context as X
 from klarspan.operators import decisions as D
 from klarspan.operators import packages as P
+from klarspan.operators import pages as G
 from klarspan.operators import relations as R
 
 
@@ -65,3 +66,20 @@ def test_overviews(spark):
     pages = spark.createDataFrame([(i, "s" if i < 30 else None, None if i == 3 else f"t{i}", "x\n# Head\n" if i == 2 else None) for i in range(33)], "page_id long, space string, title string, text string")
     got = {(r.space, r.place): (r.n_pages, r.line) for r in X.wiki_map(pages).collect()}
     assert len(got) == 28 and got["s", 3] == (30, "t2: Head") and got["s", 4] == (30, "3") and got["default", 1] == (3, "t30")
+
+
+def test_scores_of_pages(spark):
+    pages = spark.createDataFrame([(1, None, "User guide"), (2, 1, "User guide"), (3, None, None), (4, None, "x")], "node long, parent long, title string")
+    none = spark.createDataFrame([], "n int")
+    got = G.scores(pages, G.page_issues(pages), pages.limit(3)).first()
+    assert (got.pages, got.subject, got.unclear, got.orphans, got.coverage, got.cross_references) == (4, 2, 2, 2, 50, 15)  # a page without a title is unclear
+    assert (got.structure, got.readability) == (100 - 2 * 15 - 2 * 3, 95)
+    empty = G.scores(pages.limit(0), G.page_issues(pages.limit(0)), none).first()
+    assert (empty.pages, empty.coverage, empty.issues, empty.avg_depth, empty.structure, empty.cross_references) == (0, 0, 0, 0.0, 100, 0)
+
+
+def test_conflicts_come_first(spark):
+    rows = [(1, "architecture_observation", "critical"), (2, "implementation_drift", "high"), (3, "contradiction", "low")]
+    findings = spark.createDataFrame([(o, "b", s, c, False, "k", "t") for o, c, s in rows], "finding_ord int, bucket string, severity string, category string, delta boolean, object_key string, title string")
+    assert [r.finding_ord for r in P.ranked(findings).orderBy("place").collect()] == [3, 2, 1]
+    assert [r.finding_ord for r in P.top_findings(findings, 2).collect()] == [3, 2]
