@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from itertools import chain
 
 import numpy as np
@@ -33,9 +33,9 @@ ROUNDS = 3
 #: Partitions of the first round at least, where each then has LEAST_PIECES.
 LEAST_PARTITIONS = 16
 LEAST_PIECES = 1_000
-#: Bytes of text encoded at once, and distinct strings whose ids a worker remembers.
+#: Bytes of text encoded at once, and distinct strings whose ids a worker remembers (some 90 bytes each).
 TEXT_BYTES = 1_000_000
-REMEMBERED = 800_000
+REMEMBERED = 1_500_000
 #: Strings that the tokenizer gets as one text.
 JOINED = 1_000
 
@@ -51,6 +51,8 @@ def _kinds() -> np.ndarray:
 
 
 KIND = _kinds()
+#: Masks of the first bytes of a little-endian number.
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def _strings(raw: np.ndarray, offsets: np.ndarray, special: list[bytes]) -> np.ndarray:
@@ -83,7 +85,10 @@ def _strings(raw: np.ndarray, offsets: np.ndarray, special: list[bytes]) -> np.n
 
 
 class Encoder:
-    """Token ids of many texts at once: each distinct string between two cuts is encoded once and remembered."""
+    """Token ids of many texts at once: each distinct string between two cuts is encoded once and remembered.
+
+    A string of up to 15 bytes is its own key, two numbers of its bytes and length; all keys of a chunk are looked up at
+    once in a table with open addressing. Longer strings are told apart by a hash that is compared, and a dictionary."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
@@ -99,74 +104,147 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.pool, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.known: dict[bytes, int] = {}  # numbers of long strings
+        self.count = 0
+        self.begin, self.pool = np.zeros(1, np.int64), np.zeros(0, np.uint32)  # string i has pool[begin[i] : begin[i + 1]]
+        self._table(1 << 16)
+
+    def _table(self, slots: int) -> None:
+        self.low, self.high = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.number = np.full(slots, -1, np.int32)
+
+    def _slots(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (C.mix(low ^ high * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(len(self.number) - 1)).astype(np.int64)
+
+    def _find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Numbers of short strings, or -1."""
+        at = self._slots(low, high)
+        found = self.number[at]
+        odd = np.flatnonzero((found >= 0) & ((self.low[at] != low) | (self.high[at] != high)))
+        at, low, high = at[odd], low[odd], high[odd]
+        while len(odd):
+            at = (at + 1) & (len(self.number) - 1)
+            found[odd] = number = self.number[at]
+            more = (number >= 0) & ((self.low[at] != low) | (self.high[at] != high))
+            odd, at, low, high = odd[more], at[more], low[more], high[more]
+        return found
+
+    def _insert(self, low: np.ndarray, high: np.ndarray, number: np.ndarray) -> None:
+        """Short strings that the table lacks, each once."""
+        if 2 * (self.count + len(low)) > len(self.number):
+            full = self.number >= 0
+            low, high, number = (np.concatenate(x) for x in ((self.low[full], low), (self.high[full], high), (self.number[full], number)))
+            self._table(1 << int(4 * max(self.count, len(low)) - 1).bit_length())
+        at = self._slots(low, high)
+        while len(at):
+            free = self.number[at] < 0
+            self.number[at[free]] = number[free]
+            done = self.number[at] == number
+            self.low[at[done]], self.high[at[done]] = low[done], high[done]
+            at, low, high, number = (at[~done] + 1) & (len(self.number) - 1), low[~done], high[~done], number[~done]
 
     def _encoded(self, texts: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Remember new strings. Those that begin with a space before and end with a visible character can be cut apart
-        again, so they are encoded many at once; the bytes of the tokens tell which are whose."""
-        apart = [len(s) > 1 and s[0] == 0x20 and KIND[s[1]] > 0 and KIND[s[-1]] > 0 for s in new]
+    def _learn(self, new: list[bytes]) -> np.ndarray:
+        """Numbers of new strings, whose ids are remembered. Those that begin with a space before and end with a visible
+        character can be cut apart again, so they are encoded many at once; the bytes of the tokens tell which are whose."""
+        apart = np.array([len(s) > 1 and s[0] == 0x20 and KIND[s[1]] > 0 and KIND[s[-1]] > 0 for s in new], bool)
         joined = [s for s, x in zip(new, apart) if x]
         single = [s for s, x in zip(new, apart) if not x]
         ids = [np.array(x, np.uint32) for x in self._encoded([b"".join(joined[k : k + JOINED]) for k in range(0, len(joined), JOINED)])]
         pool = np.concatenate([np.zeros(0, np.uint32), *ids])
         ends = np.searchsorted(np.cumsum(self.bytes[pool]), np.cumsum([len(s) for s in joined])) + 1 if joined else np.zeros(0, np.int64)
         alone = self._encoded(single)
-        self.known.update(zip(joined + single, range(len(self.known), len(self.known) + len(new))))
-        self.length = np.concatenate([self.length, np.diff(ends, prepend=0), np.array([len(x) for x in alone], np.int64)])
-        self.pool = np.concatenate([self.pool, pool, np.fromiter(chain.from_iterable(alone), np.uint32)])
+        ends = np.concatenate([ends, len(pool) + np.cumsum([len(x) for x in alone], dtype=np.int64)])
+        pool = np.concatenate([pool, np.fromiter(chain.from_iterable(alone), np.uint32)])
+        a, b, used = self.count, self.count + len(new), int(self.begin[self.count])
+        self.begin, self.pool = _room(self.begin, b + 1), _room(self.pool, used + len(pool))
+        self.begin[a + 1 : b + 1], self.pool[used : used + len(pool)], self.count = used + ends, pool, b
+        number = np.empty(len(new), np.int64)
+        number[np.concatenate([np.flatnonzero(apart), np.flatnonzero(~apart)])] = np.arange(a, b)
+        return number
+
+    def _near(self, data: bytes, eight: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of strings of up to 15 bytes."""
+        low = eight[starts] & FIRST_BYTES[np.minimum(size, 8)]
+        high = size.astype(np.uint64) << np.uint64(56)
+        long = np.flatnonzero(size > 8)
+        high[long] |= eight[starts[long] + 8] & FIRST_BYTES[size[long] - 8]
+        number = self._find(low, high)
+        lacks = np.flatnonzero(number < 0)
+        if len(lacks):
+            order = lacks[np.lexsort((low[lacks], high[lacks]))]
+            first = np.concatenate([[True], (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])])
+            chosen = order[first]
+            new = self._learn([data[a:b] for a, b in zip(starts[chosen].tolist(), (starts + size)[chosen].tolist())])
+            self._insert(low[chosen], high[chosen], new.astype(np.int32))
+            number[order] = new[np.cumsum(first) - 1]
+        return number
+
+    def _far(self, data: bytes, raw: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of longer strings."""
+        _, first, group = np.unique(C.word_hashes(raw, starts, starts + size), return_index=True, return_inverse=True)
+        other = first[group]
+        flat = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        differs = raw[np.repeat(starts, size) + flat] != raw[np.minimum(np.repeat(starts[other], size) + flat, len(raw) - 1)]
+        odd = np.flatnonzero((size[other] != size) | (np.add.reduceat(differs, np.cumsum(size) - size) > 0))
+        group[odd] = len(first) + np.arange(len(odd))
+        chosen = np.concatenate([first, odd])
+        strings = [data[a:b] for a, b in zip(starts[chosen].tolist(), (starts + size)[chosen].tolist())]
+        if new := list({s for s in strings if s not in self.known}):
+            self.known.update(zip(new, self._learn(new).tolist()))
+        return np.fromiter(map(self.known.__getitem__, strings), np.int64, len(strings))[group]
 
     def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids begin (one more entry than texts)."""
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        if self.count > REMEMBERED:
+            self.forget()
         starts = _strings(raw, offsets, self.special)
         size = np.diff(starts, append=len(raw))
-        group = np.empty(len(starts), np.int64)
-        # strings of up to seven bytes are told apart by their bytes and length, longer ones by a hash that is compared
-        near, far = np.flatnonzero(size < 8), np.flatnonzero(size >= 8)
-        eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([raw, np.zeros(8, np.uint8)]), 8)
-        value = eight[starts[near]].view("<u8").ravel() & ((np.uint64(1) << (size[near].astype(np.uint64) << np.uint64(3))) - np.uint64(1))
-        _, first, group[near] = np.unique(value | size[near].astype(np.uint64) << np.uint64(56), return_index=True, return_inverse=True)
-        example = [near[first]]
-        if len(far):
-            at, length = len(first), size[far]
-            _, first, inverse = np.unique(C.word_hashes(raw, starts[far], starts[far] + length), return_index=True, return_inverse=True)
-            other = far[first][inverse]
-            flat = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-            differs = raw[np.repeat(starts[far], length) + flat] != raw[np.minimum(np.repeat(starts[other], length) + flat, len(raw) - 1)]
-            odd = np.flatnonzero((size[other] != length) | (np.add.reduceat(differs, np.cumsum(length) - length) > 0))
-            inverse[odd] = len(first) + np.arange(len(odd))
-            group[far] = at + inverse
-            example += [far[first], far[odd]]
-        chosen, data = np.concatenate(example), raw.tobytes()
-        strings = [data[a:b] for a, b in zip(starts[chosen].tolist(), (starts + size)[chosen].tolist())]
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        if new := list({s for s in strings if s not in self.known}):
-            self._learn(new)
-        number = np.fromiter(map(self.known.__getitem__, strings), np.int64, len(strings))[group]
-        begin = np.cumsum(self.length) - self.length
-        mine = self.length[number]
+        padded = np.concatenate([raw, np.zeros(16, np.uint8)])
+        eight = np.ndarray(len(raw) + 8, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        number, data = np.empty(len(starts), np.int64), raw.tobytes()
+        far = size > 15
+        near = np.flatnonzero(~far)
+        number[near] = self._near(data, eight, starts[near], size[near])
+        if far.any():
+            number[far] = self._far(data, raw, starts[far], size[far])
+        begin = self.begin[number]
+        mine = self.begin[number + 1] - begin
         after = np.cumsum(mine)
-        out = self.pool[np.repeat(begin[number] - (after - mine), mine) + np.arange(after[-1])]
+        out = self.pool[np.repeat(begin - (after - mine), mine) + np.arange(after[-1])]
         return out, np.concatenate([[0], after])[np.searchsorted(starts, offsets)]
 
 
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """The array with room for n entries."""
+    return a if len(a) >= n else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str, changed: int) -> Encoder:
+    return Encoder(path)
+
+
+def encoder(path: str) -> Encoder:
+    """This worker's encoder, which keeps what it remembers from one task to the next."""
+    return _encoder(path, os.stat(path).st_mtime_ns)
+
+
 def token_pieces(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2) -> DataFrame:
     """doc_id, piece, start, length and ids (little-endian unsigned 32-bit numbers) of all documents' pieces. ``path`` is
     a tokenizer's file that the executors can read."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encode = encoder(path)
         for batch in batches:
             raw, offsets = C.buffer_of(batch.column(1))
             for lo, hi in C.chunks(offsets, TEXT_BYTES):
-                ids, at = encoder(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                ids, at = encode(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 ids = np.insert(ids, at[1:], end_id).astype("<u4")
                 at = at + np.arange(len(at))
                 n = np.diff(at)

@@ -176,6 +176,37 @@ def test_encoder_equals_the_tokenizer(tokenizer):
         assert ids[at[k] : at[k + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_encoder_is_kept_and_encodes_a_string_once(tokenizer, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    packing._encoder.cache_clear()
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abé\x00") * rng.randint(1, 20) + rng.choice(("", "x", "\x00")) for _ in range(50)) for _ in range(40)]
+    texts += [f" {'w' * k}{i}" for k in range(1, 20) for i in range(400)]
+    data = [t.encode() for t in texts]
+    raw, offsets = np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+    def encoded():
+        ids, at = packing.encoder(path)(raw, offsets)  # as each task of a worker does
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
+        return packing.encoder(path)
+
+    learned = []
+    monkeypatch.setattr(packing.Encoder, "_learn", lambda self, new, f=packing.Encoder._learn: (learned.extend(new), f(self, new))[1])
+    first = encoded()
+    n = len(learned)
+    assert n == len(set(learned)) == first.count > 1_000
+    assert encoded() is first and len(learned) == n
+    monkeypatch.setattr(packing, "REMEMBERED", 100)
+    assert encoded() is first and len(learned) == 2 * n and first.count == n
+    first.forget()
+    first._table(16)  # grows
+    encoded()
+    assert len(first.number) >= 2 * first.count - len(first.known) > 1_000
+    monkeypatch.setattr(packing.Encoder, "_slots", lambda self, low, high: np.zeros(len(low), np.int64))  # all keys meet
+    encoded()
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 12), min_size=1, max_size=8))
 def test_bound_holds_and_bins_fit(lengths):
