@@ -42,7 +42,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(_table(spark, sf_dir, "documents"), length=400).drop("spans")
+    return suffix_dedup(_table(spark, sf_dir, "documents"), length=400, passage=256).drop("spans", "repeated")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

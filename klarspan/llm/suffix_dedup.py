@@ -16,6 +16,10 @@ with one anchor make a slice of the text.
 An anchor with more than ``HOT_SLICES`` unlike slices would fill one task; the strings of such slices are dealt out by
 their own 128-bit hashes instead and counted, without loss.
 
+If shorter repeats are asked for (``passage``), anchors and slices are those of strings of ``passage`` bytes, and a slice
+reaches on to the end of its last string of ``length`` bytes or of its document. Its suffixes are sorted to ``passage``
+bytes, and those found repeated, with enough text behind them, once more to ``length``. Only the latter are removed.
+
 Null text counts as empty. Texts shorter than ``length`` lose nothing. Repeated rows count as separate documents.
 """
 
@@ -44,21 +48,21 @@ _SECOND_POWERS = C.Powers(0x165667B19E3779F9)
 
 
 class Slices:
-    """The slices of some documents: first and last start, anchor and two hashes, in the order of the text."""
+    """The slices of some documents, of the starts of strings of ``short`` bytes: first and last start, end of the bytes
+    that strings of ``length`` bytes from these starts reach, anchor and two hashes, in the order of the text."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, length: int):
-        self.raw, self.length = raw, length
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, short: int, length: int):
+        self.raw = raw
         self.value = C.BYTE_VALUE[raw]
-        n = len(raw) - length + 1
         none = np.zeros(0, np.int64)
-        self.first = self.last = self.anchor = none
+        self.first = self.last = self.end = self.anchor = none
         self.key = self.own = np.zeros(0, np.uint64)
-        starts = np.concatenate([np.arange(a, b - length + 1) for a, b in zip(offsets[:-1], offsets[1:]) if b - a >= length] or [none])
-        if n < 1 or not len(starts):
+        starts = np.concatenate([np.arange(a, b - short + 1) for a, b in zip(offsets[:-1], offsets[1:]) if b - a >= short] or [none])
+        if not len(starts):
             return
         at = np.arange(len(raw) - GRAM + 1)
         grams = C.mix(C.spans_hash(self.value, at, at + GRAM, _GRAM_POWERS))
-        width = length - GRAM + 1
+        width = short - GRAM + 1
         low = np.full(-(-(len(grams) + width) // width) * width, np.iinfo(np.uint64).max, np.uint64)
         low[: len(grams)] = (grams & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
         table = low.reshape(-1, width)
@@ -68,15 +72,16 @@ class Slices:
         new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)]))
         self.first, self.anchor = starts[new], anchor[new]
         self.last = starts[np.append(new[1:], len(starts)) - 1]
+        self.end = np.minimum(self.last + length, offsets[np.searchsorted(offsets, self.first, "right")])
         self.key = C.mix(grams[self.anchor])
-        whole = C.spans_hash(self.value, self.first, self.last + length, _SLICE_POWERS)
+        whole = C.spans_hash(self.value, self.first, self.end, _SLICE_POWERS)
         self.own = C.mix(C.mix(whole + (self.last - self.first).astype(np.uint64)) + (self.anchor - self.first).astype(np.uint64))
 
-    def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of all strings of some slices, and two hashes of each."""
-        n = self.last[which] - self.first[which] + 1
+    def strings(self, which: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of all strings of ``size`` bytes of some slices, and two hashes of each."""
+        n = np.maximum(np.minimum(self.last[which], self.end[which] - size) - self.first[which] + 1, 0)
         at = np.repeat(self.first[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return at, *(C.mix(C.spans_hash(self.value, at, at + self.length, p)) for p in (_SLICE_POWERS, _SECOND_POWERS))
+        return at, *(C.mix(C.spans_hash(self.value, at, at + size, p)) for p in (_SLICE_POWERS, _SECOND_POWERS))
 
 
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,10 +155,11 @@ def deep_shallow(data: np.ndarray, at: np.ndarray, group: np.ndarray, weight: np
 
 
 ANCHORS = "part int, block int, keys binary, owns binary, twice binary, hot int"
-SLICES = "part int, key long, own long, twice boolean, offset int, data binary"
+SLICES = "part int, key long, own long, twice boolean, offset int, starts int, data binary"
 FOUND = "block int, kind int, keys binary, owns binary, counts binary, spans binary"
-#: Kinds of rows in FOUND: slices to send, anchors that are hot, slices repeated throughout, slices with repeated starts, strings.
-SEND, HOT, ALL, SOME, STRINGS = range(5)
+#: Kinds of rows in FOUND: slices to send, anchors that are hot, slices repeated throughout, slices with starts of repeated
+#: strings of ``length`` bytes, the same of ``passage`` bytes, strings.
+SEND, HOT, ALL, SOME, SHORT, STRINGS = range(6)
 
 
 def _part(key: np.ndarray, parts: int) -> np.ndarray:
@@ -215,9 +221,22 @@ class _Told:
         return np.concatenate([np.zeros((0, 2), np.int32), *(_numbers(r["spans"], "<i4").reshape(-1, 2) for r in self.rows.get(kind, ()))])
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400, keep_text: bool = False, hot_slices: int = HOT_SLICES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of true."""
+    step = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def suffix_dedup(docs: DataFrame, length: int = 400, keep_text: bool = False, hot_slices: int = HOT_SLICES, block_bytes: int = BLOCK_BYTES, passage: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (lowercase hex of the remaining bytes),
-    spans ([start, end) in bytes) and, if asked for, kept_text (bytes cut inside a character drop out)."""
+    spans ([start, end) in bytes) and, if asked for, kept_text (bytes cut inside a character drop out).
+
+    With ``passage`` (from GRAM to ``length``) also n_repeated and repeated: bytes and runs covered by strings of
+    ``passage`` bytes that also start anywhere else. They are told, not removed."""
+    short = length if passage is None else passage
+    if not GRAM <= short <= length:
+        raise ValueError(f"strings have {GRAM} bytes at least, passages {length} at most")
+    sizes = sorted({short, length})
     docs = docs.select("doc_id", "text")
     n_bytes = C.text_bytes(docs)
     n_blocks, parts = max(8, -(-n_bytes // block_bytes)), max(8, -(-n_bytes // (2 * block_bytes)))
@@ -226,7 +245,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, keep_text: bool = False, ho
     def slices_of(table: pa.Table):
         raw, offsets = C.buffer_of(table["text"])
         for lo, hi in C.chunks(offsets, CHUNK):
-            yield lo, hi, Slices(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length)
+            yield lo, hi, Slices(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], short, length)
 
     def send_anchors(table: pa.Table) -> pa.Table:
         found = [(s.key, s.own) for _, _, s in slices_of(table)]
@@ -268,7 +287,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, keep_text: bool = False, ho
                 w = which[i]
                 if not sent[w]:
                     sent[w] = True
-                    out.append((int(_part(s.key[i : i + 1], parts)[0]), int(s.key[i : i + 1].view(np.int64)[0]), int(s.own[i : i + 1].view(np.int64)[0]), bool(twice[w]), int(s.anchor[i] - s.first[i]), s.raw[s.first[i] : s.last[i] + length].tobytes()))
+                    out.append((int(_part(s.key[i : i + 1], parts)[0]), int(s.key[i : i + 1].view(np.int64)[0]), int(s.own[i : i + 1].view(np.int64)[0]), bool(twice[w]), int(s.anchor[i] - s.first[i]), int(s.last[i] - s.first[i] + 1), s.raw[s.first[i] : s.end[i]].tobytes()))
         return _rows(out, SLICES)
 
     def sort_slices(slices: pa.Table, anchors: pa.Table) -> pa.Table:
@@ -282,39 +301,46 @@ def suffix_dedup(docs: DataFrame, length: int = 400, keep_text: bool = False, ho
             offset = slices["offset"].to_numpy().astype(np.int64)
             raw, at = C.buffer_of(slices["data"])
             raw = np.concatenate([raw, np.zeros(16, np.uint8)])
-            n = np.diff(at) - length + 1
-            spans, counts = [], np.zeros(len(n), np.int64)
+            n = slices["starts"].to_numpy().astype(np.int64)
+            spans, counts = {k: [] for k in sizes}, {k: np.zeros(len(n), np.int64) for k in sizes}
             lo = 0
             while lo < len(n):  # whole anchors, as many as fit
                 end = np.searchsorted(np.cumsum(n[lo:]), SUFFIXES) + lo
                 hi = int(np.searchsorted(keys, keys[min(end, len(n) - 1)]))
                 hi = hi if hi > lo else int(np.searchsorted(keys, keys[lo], "right"))
                 m = n[lo:hi]
-                repeated = np.zeros(m.sum(), bool)
+                repeated = {k: np.zeros(m.sum(), bool) for k in sizes}
                 which = np.repeat(np.arange(hi - lo), m)
                 inner = np.arange(len(which)) - np.repeat(np.cumsum(m) - m, m)
+                left = np.diff(at)[lo:hi][which] - inner  # bytes of the slice from the start
                 before = offset[lo:hi][which] - inner  # bytes from the start to the anchor: equal strings agree
-                for a in range(0, length, max(1, length * SUFFIXES // max(len(which), 1))) if len(which) > SUFFIXES else (0,):
-                    b = a + max(1, length * SUFFIXES // max(len(which), 1)) if len(which) > SUFFIXES else length
+                for a in range(0, short, max(1, short * SUFFIXES // max(len(which), 1))) if len(which) > SUFFIXES else (0,):
+                    b = a + max(1, short * SUFFIXES // max(len(which), 1)) if len(which) > SUFFIXES else short
                     mine = np.flatnonzero((before >= a) & (before < b))
-                    group = np.cumsum(np.concatenate([[0], keys[lo:hi][1:] != keys[lo:hi][:-1]]))[which[mine]] * length + before[mine]
+                    group = np.cumsum(np.concatenate([[0], keys[lo:hi][1:] != keys[lo:hi][:-1]]))[which] * short + before
                     base = int(at[lo])
-                    repeated[mine] = deep_shallow(raw[base : int(at[hi]) + 16], at[lo:hi][which[mine]] - base + inner[mine], group, weight[lo:hi][which[mine]], length)
-                step = np.diff(np.concatenate([[0], repeated.astype(np.int8), [0]]))
-                new = np.flatnonzero(np.concatenate([[False], (which[1:] != which[:-1]) & repeated[1:] & repeated[:-1]])) if len(which) else which
-                begin, stop = np.sort(np.concatenate([np.flatnonzero(step == 1), new])), np.sort(np.concatenate([np.flatnonzero(step == -1), new]))
-                of = which[begin] if len(begin) else begin
-                counts[lo:hi] = np.bincount(of, minlength=hi - lo)
-                spans.append(np.stack([inner[begin], inner[begin] + stop - begin], 1) if len(begin) else np.zeros((0, 2), np.int64))
+                    for size in sizes:  # what is repeated for more bytes is repeated for fewer
+                        mine = mine[left[mine] >= size]
+                        repeated[size][mine] = deep_shallow(raw[base : int(at[hi]) + 16], at[lo:hi][which[mine]] - base + inner[mine], group[mine], weight[lo:hi][which[mine]], size)
+                        mine = mine[repeated[size][mine]]
+                edge = np.append(np.flatnonzero(inner == 0), len(inner))
+                for size in sizes:
+                    begin, stop = _runs(repeated[size])
+                    cut = edge[1:-1][repeated[size][edge[1:-1]] & repeated[size][edge[1:-1] - 1]]  # runs end with their slice
+                    begin, stop = np.sort(np.concatenate([begin, cut])), np.sort(np.concatenate([stop, cut]))
+                    of = which[begin]
+                    counts[size][lo:hi] = np.bincount(of, minlength=hi - lo)
+                    spans[size].append(np.stack([inner[begin], inner[begin] + stop - begin], 1))
                 lo = hi
-            spans = np.concatenate(spans)
-            first = np.cumsum(counts) - counts
             mine = _found((key, own), (keys, owns))  # every block that holds the slice is told
-            hit = np.flatnonzero(mine >= 0)
-            hit = hit[counts[mine[hit]] > 0]
-            c = counts[mine[hit]]
-            rows = np.repeat(first[mine[hit]], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-            out += _per_block(block[hit], SOME, key[hit], own[hit], c, spans[rows])
+            for size in sizes:
+                count = counts[size]
+                first = np.cumsum(count) - count
+                hit = np.flatnonzero(mine >= 0)
+                hit = hit[count[mine[hit]] > 0]
+                c = count[mine[hit]]
+                rows = np.repeat(first[mine[hit]], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                out += _per_block(block[hit], SOME if size == length else SHORT, key[hit], own[hit], c, np.concatenate(spans[size])[rows])
         return _rows(out, FOUND)
 
     def send_strings(texts: pa.Table, found: pa.Table) -> pa.Table:
@@ -323,7 +349,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, keep_text: bool = False, ho
             return _rows([], ANCHORS)
         every = []
         for _, _, s in slices_of(texts):
-            every.append(s.strings(np.flatnonzero(_found((s.key, s.own), hot) >= 0))[1:])
+            every += [s.strings(np.flatnonzero(_found((s.key, s.own), hot) >= 0), size)[1:] for size in sizes]
         return _rows(_by_part(texts["block"][0].as_py(), *(np.concatenate(x) for x in zip(*every)), parts, 1), ANCHORS)
 
     def count_strings(table: pa.Table) -> pa.Table:
@@ -332,49 +358,61 @@ def suffix_dedup(docs: DataFrame, length: int = 400, keep_text: bool = False, ho
         return _rows(_per_block(block[hit], STRINGS, key[hit], own[hit]), FOUND)
 
     fields = [("doc_id", docs.schema["doc_id"].dataType.simpleString(), None), ("n_bytes", "long", pa.int64()), ("n_removed", "long", pa.int64()), ("n_spans", "long", pa.int64()), ("kept_sha256", "string", pa.string()), ("spans", "array<struct<start:long,end:long>>", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+    if passage is not None:
+        fields += [("n_repeated", *fields[2][1:]), ("repeated", *fields[5][1:])]
     if keep_text:
         fields.append(("kept_text", "string", pa.string()))
 
     def remove(texts: pa.Table, found: pa.Table) -> pa.Table:
         told = _Told(found)
-        every, some, hot, strings = (told.pairs(k) for k in (ALL, SOME, HOT, STRINGS))
-        counts, spans = told.twice(SOME).astype(np.int64), told.spans(SOME).astype(np.int64)
-        first_span = np.cumsum(counts) - counts
+        every, hot, strings = (told.pairs(k) for k in (ALL, HOT, STRINGS))
+        some = {}
+        for size, kind in ((short, SHORT), (length, SOME)):
+            counts = told.twice(kind).astype(np.int64)
+            some[size] = told.pairs(kind), counts, np.cumsum(counts) - counts, told.spans(kind).astype(np.int64)
         offsets = C.buffer_of(texts["text"])[1]
         cols = {n: [] for n, _, _ in fields[1:]}
-        for lo, hi, s in slices_of(texts):
+
+        def covered(s: Slices, size: int) -> np.ndarray:
+            """Which bytes stand in repeated strings of this size."""
+            pairs, counts, first_span, spans = some[size]
             edge = np.zeros(len(s.raw) + 1, np.int64)
-            mine = np.flatnonzero(_found((s.key, s.own), every) >= 0)
+            mine = np.flatnonzero((_found((s.key, s.own), every) >= 0) & (s.end - s.first >= size))
             np.add.at(edge, s.first[mine], 1)
-            np.add.at(edge, s.last[mine] + length, -1)
-            where = _found((s.key, s.own), some)
+            np.add.at(edge, np.minimum(s.last[mine] + size, s.end[mine]), -1)
+            where = _found((s.key, s.own), pairs)
             mine = np.flatnonzero(where >= 0)
             c = counts[where[mine]]
             rows = np.repeat(first_span[where[mine]], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
             begin = np.repeat(s.first[mine], c)
             np.add.at(edge, begin + spans[rows, 0], 1)
-            np.add.at(edge, begin + spans[rows, 1] - 1 + length, -1)
+            np.add.at(edge, begin + spans[rows, 1] - 1 + size, -1)
             if len(hot[0]):
-                at, a, b = s.strings(np.flatnonzero(_found((s.key, s.own), hot) >= 0))
+                at, a, b = s.strings(np.flatnonzero(_found((s.key, s.own), hot) >= 0), size)
                 at = at[_found((a, b), strings) >= 0]
                 np.add.at(edge, at, 1)
-                np.add.at(edge, at + length, -1)
-            gone = np.cumsum(edge[:-1]) > 0
+                np.add.at(edge, at + size, -1)
+            return np.cumsum(edge[:-1]) > 0
+
+        def runs_of(inside: np.ndarray) -> list[dict]:
+            return [{"start": int(x), "end": int(y)} for x, y in zip(*_runs(inside))] if inside.any() else []
+
+        for lo, hi, s in slices_of(texts):
+            gone = covered(s, length)
+            again = covered(s, short) if passage is not None else gone
             for i in range(lo, hi):
                 a, b = offsets[i] - offsets[lo], offsets[i + 1] - offsets[lo]
                 lost = gone[a:b]
-                runs = []
-                kept = s.raw[a:b]
-                if lost.any():
-                    step = np.flatnonzero(np.diff(np.concatenate([[False], lost, [False]]).astype(np.int8)))
-                    runs = [{"start": int(x), "end": int(y)} for x, y in zip(step[::2], step[1::2])]
-                    kept = kept[~lost]
-                kept = kept.tobytes()
+                runs = runs_of(lost)
+                kept = (s.raw[a:b][~lost] if runs else s.raw[a:b]).tobytes()
                 cols["n_bytes"].append(int(b - a))
                 cols["n_removed"].append(int(lost.sum()))
                 cols["n_spans"].append(len(runs))
                 cols["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                 cols["spans"].append(runs)
+                if passage is not None:
+                    cols["n_repeated"].append(int(again[a:b].sum()))
+                    cols["repeated"].append(runs_of(again[a:b]))
                 if keep_text:
                     cols["kept_text"].append(kept.decode(errors="ignore"))
         return pa.table([texts["doc_id"].combine_chunks() if texts.num_rows else texts["doc_id"], *(pa.array(cols[n], t) for n, _, t in fields[1:])], [n for n, _, _ in fields])

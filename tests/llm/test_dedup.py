@@ -3,6 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from klarspan.llm import common as C
 from klarspan.llm.components import connected
 from klarspan.llm.simhash import keep_one, signature, simhash_dedup
@@ -36,6 +37,26 @@ def test_suffix_against_brute_force(docs, rows, options):
         assert brute.plain((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute.plain(brute.suffix(rows, length))
 
 
+@pytest.mark.parametrize("options", [{}, {"hot_slices": 1, "block_bytes": 5000}, {"hot_slices": 0}])
+@pytest.mark.parametrize("length, passage", [(400, 256), (403, 60), (400, 400)])
+def test_suffix_passages_against_brute_force(docs, rows, options, length, passage):
+    got = suffix_dedup(docs, length, passage=passage, keep_text=True, **options).collect()
+    assert brute.plain((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute.plain(brute.suffix(rows, length))
+    assert brute.plain((r.doc_id, r.n_repeated, len(r.repeated)) for r in got) == brute.plain((i, n, runs) for i, _, n, runs, _ in brute.suffix(rows, passage))
+
+
+def test_query_tells_short_passages(spark, tmp_path):
+    """A passage of 55 words and under 400 bytes that stands in two documents is told, and not removed."""
+    rng = np.random.default_rng(6)
+    line = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, 5))) for _ in range(n))
+    passage = line(55)
+    assert 256 <= len(passage) < 390
+    rows = [(1, f"{line(80)} {passage} {line(70)}"), (2, f"{line(20)}\t{passage}\t{line(90)}"), (3, line(200)), (4, passage[:200]), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.n_repeated) for r in entry.queries()["op6_suffix_array_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: (0, len(passage)), 2: (0, len(passage)), 3: (0, 0), 4: (0, 0), 5: (0, 0)}
+
+
 def test_deep_shallow_against_dictionary():
     rng = np.random.default_rng(4)
     data = np.concatenate([np.tile(rng.integers(97, 99, 50), 30), rng.integers(97, 99, 500)]).astype(np.uint8)
