@@ -13,6 +13,7 @@ unless all are null; then the component's id is null. Repeated rows each give a
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -244,7 +245,7 @@ def ball_links(prints: DataFrame, radius: int = 4, width: int = 64, how: str = F
     most = radius // 2
     n = prints.count()
     balls = lambda b: sum(map(len, _flips(b, 0, most)))
-    bits = first_bits or next(b for b in range(6, width + 1, STEP) if n * balls(b) <= (1 << b) * most_rows * 2 // 3 or b + STEP > width)
+    bits = first_bits or next(b for b in range(6, width + 1) if n * balls(b) <= (1 << b) * most_rows * 2 // 3 or b + STEP > width)
     rows = _dealt_first(prints, bits, most)
     found = []
     while True:
@@ -280,6 +281,8 @@ TABLES, WIDTH = 8, 48
 #: Standard deviations over a similarity's expected distance up to which a pair that met in a table is tested at once;
 #: the exact round judges the others.
 SLACK = 2.6
+#: Keys of all tables that are dealt together; of more, some tables at a time, and one by one from eight times as many on.
+MOST_TOGETHER = 2_000_000
 #: Keys of texts that are broadcast; more meet in a shuffled join.
 MOST_KEYS = 200_000
 #: Words of a set's parity.
@@ -336,7 +339,13 @@ def near_pairs(nodes: DataFrame, most_bits: int) -> DataFrame:
     keys = [F.col(c).bitwiseAND(mask).bitwiseOR(F.lit(t).cast("long")) for t, c in enumerate(_SIGNED)]  # the table's number never flips
     prints = nodes.select("node", F.explode(F.array(*keys)).alias("fp"))
     firsts = C.written(prints.groupBy("fp").agg(F.min("node").alias("node")), "tables")
-    balls = ball_links(firsts, 4, WIDTH, BEST).groupBy("a").agg(F.min("b").alias("b"))  # tasks that hold one fingerprint agree
+    per = max(1, min(TABLES, TABLES * MOST_TOGETHER // max(1, firsts.count())))
+    table = F.col("fp").bitwiseAND(F.lit((1 << (64 - WIDTH)) - 1).cast("long"))
+    if per == TABLES:
+        found = ball_links(firsts, 4, WIDTH, BEST)
+    else:  # the copies that a round deals are released with it
+        found = reduce(DataFrame.union, [C.written(ball_links(firsts.where(table.between(t, t + per - 1)), 4, WIDTH, BEST), "balls") for t in range(0, TABLES, per)])
+    balls = found.groupBy("a").agg(F.min("b").alias("b"))  # tasks that hold one fingerprint agree
     of = lambda c: firsts.select(F.col("fp").alias(c), F.col("node").alias(f"{c}_node"))
     near = balls.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     same = prints.join(firsts.withColumnRenamed("node", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
@@ -346,12 +355,53 @@ def near_pairs(nodes: DataFrame, most_bits: int) -> DataFrame:
     return pairs.join(sig("a"), "a").join(sig("b"), "b").where(unlike <= most_bits).select("a", "b")
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """Like _parity, of as many bits as a power of two from twice the set's size on."""
+    bits = 1 << max(6, (2 * len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_similar(x: bytes, y: bytes, n: int, similarity: float) -> bool:
+    """Whether two sets of n members together, as far as their sketches tell, may have the similarity. The longer sketch is
+    folded to the shorter one's length, which gives the sketch of that length."""
+    a, b = (np.frombuffer(v, np.uint64) for v in (x, y))
+    words = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(v.reshape(-1, words), axis=0) for v in (a, b))
+    spare = 1 - 2 * similarity / (1 + similarity)
+    return int(np.bitwise_count(a ^ b).sum()) <= spare * n + 1e-6
+
+
+def likely_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) that may have the similarity as far as sketches tell; they are a small part of the texts, which so
+    need not meet for pairs that share a few shingles only."""
+    pairs = C.written(pairs, "candidates")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    keys = C.written(nodes.select("node", "own").join(ends, "node").select("own"), "ends")
+    n_keys = keys.count()
+    found = _by_own(texts, keys, "left_semi") if n_keys <= MOST_KEYS else _may_match(texts, keys, n_keys).where("_may")
+
+    def drawn(batches):
+        for b in batches:
+            own = [shingle_hashes(x.as_buffer().to_pybytes(), size) for x in b["text"]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(list(map(node_of, own)), np.uint64).view(np.int64)), pa.array([len(x) for x in own], pa.int32()), pa.array(list(map(sketch, own)), pa.binary())], ["node", "n", "sketch"])
+
+    def run(batches):
+        for b in batches:
+            alike = pa.array([may_be_similar(x.as_py(), y.as_py(), n.as_py(), similarity) for x, y, n in zip(b["sketch_a"], b["sketch_b"], b["n"])], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b["a"].filter(alike), b["b"].filter(alike)], ["a", "b"])
+
+    drawings = C.written(found.select("text").mapInArrow(drawn, "node long, n int, sketch binary").dropDuplicates(["node"]), "sketches")
+    of = lambda c: drawings.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+
+
 def similar_links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts have at least the Jaccard similarity of distinct shingles."""
     pairs = C.written(pairs, "pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     keys = C.written(nodes.select("node", "own").join(ends, "node"), "keys")
-    of_texts = texts.join(F.broadcast(keys) if keys.count() <= MOST_KEYS else keys, "own").select("node", "text").dropDuplicates(["node"])
+    of_texts = _by_own(texts, keys, "inner").select("node", "text").dropDuplicates(["node"])
     of = lambda c: of_texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
 
     def run(batches):
@@ -509,8 +559,26 @@ def _own(doc_id, text_md5):
     return F.md5(F.concat_ws("|", F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("")), text_md5))
 
 
+def _may_match(docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """The rows with ``_may``: true for all whose ``own`` is one of the n keys, and for one in sixteen others at most. The
+    keys are a broadcast bitmap of 16 to 32 bits each, in pieces of 4 kB."""
+    size = 1 << max(15, (16 * n - 1).bit_length())
+    at = F.pmod(F.xxhash64("own"), F.lit(size))
+    piece, place = F.floor(at / 32768).cast("long"), at % 32768
+    bits = keys.select(piece.alias("_piece"), place.alias("_place")).groupBy("_piece").agg(F.bitmap_construct_agg("_place").alias("_bits"))
+    byte = F.conv(F.hex(F.substr("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    may = F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1
+    return docs.withColumn("_piece", piece).join(F.broadcast(bits), "_piece", "left").withColumn("_may", F.coalesce(may, F.lit(False))).drop("_piece", "_bits")
+
+
 def _by_own(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    return docs.join(F.broadcast(keys) if keys.count() <= MOST_KEYS else keys, "own", how)
+    """Rows joined by ``own``. More than MOST_KEYS keys meet the rows in a shuffle, which only rows enter that may match."""
+    n = keys.count()
+    if n <= MOST_KEYS:
+        return docs.join(F.broadcast(keys), "own", how)
+    marked = _may_match(docs, keys, n)
+    met = marked.where("_may").drop("_may").join(keys, "own", how)
+    return marked.where("NOT _may").drop("_may").unionByName(met) if how == "left_anti" else met
 
 
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -541,7 +609,8 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
     nodes = prints.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", *numbers[1:])), F.min(order).alias("first"))
     nodes = C.written(nodes.withColumn("own", _own(F.col("first.doc_id"), F.col("first.text_md5"))), "nodes")
     met = C.written(similar_links(near_pairs(nodes, expected_bits(similarity, SLACK)), nodes, texts, size, similarity), "met")
-    missed = similar_links(missed_pairs(texts, nodes, connected(met), common_shingles(texts, size), size, similarity), nodes, texts, size, similarity)
+    likely = likely_pairs(missed_pairs(texts, nodes, connected(met), common_shingles(texts, size), size, similarity), nodes, texts, size, similarity)
+    missed = similar_links(likely, nodes, texts, size, similarity)
     roots = connected(met.union(missed))
     rooted = nodes.select("node", "first").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
     winners = rooted.groupBy("root").agg(F.min("first").alias("won"))
