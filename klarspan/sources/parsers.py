@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from klarspan.operators.extraction import config_claims
@@ -210,28 +210,27 @@ def graph_relations(text: Column) -> Column:
 
 
 def table_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, header, cell) of pipe tables: a line before a rule of dashes is the header of those below."""
+    """(doc_id, line_no, header, cell) of pipe tables: a line before a rule of dashes is the header of those below. Lines
+    are rows that look back to the last rule and the last line without a pipe, so that the work grows with the lines."""
     cells = lambda line: F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
-    start = F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("header"), F.array().cast("array<struct<no:int,header:array<string>,cells:array<string>>>").alias("out"), F.lit(0).alias("no"))
-
-    def step(s: Column, line: Column) -> Column:
-        piped = F.startswith(F.trim(line), F.lit("|"))
-        rule = piped & line.rlike(r"^[\s|:-]+$")
-        header = F.when(rule, cells(s["last"])).when(piped, s["header"]).otherwise(F.array().cast("array<string>"))
-        row = F.struct((s["no"] + 1).alias("no"), s["header"].alias("header"), cells(line).alias("cells"))
-        out = F.when(piped & ~rule & (F.size(s["header"]) > 0), F.concat(s["out"], F.array(row))).otherwise(s["out"])
-        return F.struct(line.alias("last"), header.alias("header"), out.alias("out"), (s["no"] + 1).alias("no"))
-
-    rows = F.aggregate(F.split(F.coalesce("text", F.lit("")), r"\r?\n"), start, step, lambda s: s["out"])
-    flat = docs.select("doc_id", F.explode(rows).alias("r")).select("doc_id", F.col("r.no").alias("line_no"), F.posexplode("r.cells").alias("i", "cell"), F.col("r.header").alias("h"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    split = texts.select("doc_id", F.sha2("text", 256).alias("digest"), F.split("text", r"\r?\n").alias("lines"))
+    above = F.concat(F.array(F.lit("")), F.slice("lines", 1, F.size("lines") - 1))
+    lines = split.select("doc_id", "digest", F.posexplode(F.arrays_zip("lines", above.alias("above"))).alias("no", "r")).select("doc_id", "digest", "no", F.col("r.lines").alias("line"), F.col("r.above").alias("above"))
+    piped = F.startswith(F.trim("line"), F.lit("|"))
+    marked = lines.withColumn("piped", piped).withColumn("rule", piped & F.col("line").rlike(r"^[\s|:-]+$"))
+    so_far = Window.partitionBy("doc_id", "digest").orderBy("no")  # rows of one id and text have the same lines, so they may share one
+    last_rule = F.max(F.when(F.col("rule"), F.struct("no", "above"))).over(so_far)
+    last_bare = F.max(F.when(~F.col("piped"), F.col("no"))).over(so_far)
+    seen = marked.select("doc_id", "no", "line", "piped", "rule", last_rule.alias("under"), last_bare.alias("bare"))
+    rows = seen.where(F.col("piped") & ~F.col("rule") & (F.col("under.no") > F.coalesce("bare", F.lit(-1))))
+    flat = rows.select("doc_id", (F.col("no") + 1).alias("line_no"), cells(F.col("under.above")).alias("h"), F.posexplode(cells(F.col("line"))).alias("i", "cell"))
     return flat.select("doc_id", "line_no", F.get("h", F.col("i")).alias("header"), "cell")
 
 
 def diagram_arrows(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, src, dst, label) of arrows in diagram text, outside notes and legends."""
     rows = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r?\n")).alias("no", "line"))
-    from pyspark.sql.window import Window
-
     line = F.trim("line")
     opens = line.rlike(r"(?i)^(note|legend)\b") & ~line.rlike(":")
     closes = line.rlike(r"(?i)^end ?(note|legend)")

@@ -56,3 +56,18 @@ def test_closures_of_long_chains(spark):
     want = lambda x: {(f"m.py:{x}{a}", f"m.py:{x}{b}") for a in range(11) for b in range(a)}
     assert {(r.src, r.dst) for r in P.transitive_bases(symbols).collect()} == want("C")
     assert {(r.src, r.dst) for r in P.reachable_calls(symbols).collect()} == want("f")
+
+
+def test_tables_of_many_lines(spark):
+    """Linear in the lines, repeated rows of one id and text included; tables end at a line without a pipe."""
+    n = 40_000
+    text = "| a | b |\n|---|---|\n" + "\n".join(f"| {i} | x |" for i in range(n))
+    odd = "|---|\n| 1 | 2 |\nplain\n| no | header |\r\n| h |\n| - |\n|  z  | more |\n|--|\n| w"
+    rows = [(1, text), (2, odd), (2, odd), (None, odd), (2, "| q |\n|-|\n| r |"), (3, ""), (4, None)]
+    got = P.table_rows(spark.createDataFrame(rows, "doc_id long, text string"))
+    large = got.where("doc_id = 1").agg(F.count("*").alias("n"), F.max("line_no").alias("last"), F.sum(F.when(F.col("header") == "a", F.col("cell").cast("long"))).alias("sum")).first()
+    assert tuple(large) == (2 * n, n + 2, n * (n - 1) // 2)
+    want = [(2, "", "1"), (2, None, "2"), (7, "h", "z"), (7, None, "more"), (9, "z", "w")]
+    own = lambda where: sorted([tuple(r) for r in got.where(where).select("line_no", "header", "cell").collect()], key=str)
+    assert own("doc_id = 2") == sorted([*want, *want, (3, "q", "r")], key=str)
+    assert own("doc_id IS NULL") == sorted(want, key=str)
