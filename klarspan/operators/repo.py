@@ -8,7 +8,9 @@ nearest ancestor's, or the only one among its descendants), or extends a module'
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from klarspan.operators.graph import kept
@@ -25,24 +27,11 @@ _LAST = lambda c: F.substring_index(c, ".", -1)
 _FRONT = lambda c: F.regexp_replace(c, r"\.?[^.]*$", "")
 
 
-def lineage(bases: DataFrame) -> DataFrame:
-    """(class, ancestor, depth, way) of bases (class, base, position): every class with itself and all classes it descends
-    from, nearest first; ``way`` orders those of one depth."""
-    arcs = kept(bases.select("class", "base", "position").distinct())
-    up = arcs.select(F.col("class").alias("ancestor"), F.col("base").alias("next"), "position")
-    seen = frontier = kept(arcs.groupBy("class", F.col("base").alias("ancestor")).agg(F.lit(1).alias("depth"), F.array(F.min("position")).alias("way")))
-    while not frontier.isEmpty():
-        new = frontier.join(up, "ancestor").select("class", F.col("next").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.concat("way", F.array("position")).alias("way"))
-        new = new.where("class <> ancestor").groupBy("class", "ancestor", "depth").agg(F.min("way").alias("way"))
-        frontier = kept(new.join(seen.select("class", "ancestor"), ["class", "ancestor"], "left_anti"))
-        seen = seen.union(frontier)
-    return seen
-
-
 class Repository:
     """The tables that resolution joins, each written once: what bare names mean in a module (``imports``, ``own``, ``only``),
-    what imported names stand for (``exports``), members with those a class inherits (``attributes``), the function that a
-    symbol calls (``callees``) and the class of the value that a called symbol gives (``results``)."""
+    what imported names stand for (``exports``), bases (``arcs``), the methods and attributes that classes define
+    (``methods``, ``attributes``) and the classes that functions return (``returns``). Inherited members are looked up for
+    the classes and names that are asked for, as those of all classes would be the square of a tree's depth."""
 
     def __init__(self, facts: DataFrame):
         self.facts = kept(facts)
@@ -58,20 +47,19 @@ class Repository:
         self.only = kept(names.where("n = 1").groupBy("head").agg(F.min_by("symbol", "later").alias("only")))
         self.exports = self.passed_on()
         bases = of("base").select(F.col("name").alias("class"), "module", "target", F.col("line").alias("position"))
-        self.lineage = kept(lineage(self.typed(bases).select("class", F.col("type").alias("base"), "position")))
-        defined = self.functions.where("class <> ''").select("class", _LAST(F.col("symbol")).alias("name"), F.col("symbol").alias("target"))
-        self.callees = self.called(kept(self.members(defined, True)))
-        returns = self.typed(of("returns").where("target <> ''").select(F.col("name").alias("callee"), "module", "target")).groupBy("callee").agg(F.min("type").alias("result"))
-        results = self.callees.join(returns, "callee").select("symbol", "result").join(self.classes.select("symbol"), "symbol", "left_anti")
-        self.results = kept(results.union(self.classes.select("symbol", F.col("symbol").alias("result"))))
+        self.arcs = kept(self.typed(bases).select("class", F.col("type").alias("base"), "position").distinct())
+        self.methods = kept(self.functions.where("class <> ''").select("class", _LAST(F.col("symbol")).alias("name"), F.col("symbol").alias("target")))
+        self.returns = kept(self.typed(of("returns").where("target <> ''").select(F.col("name").alias("callee"), "module", "target")).groupBy("callee").agg(F.min("type").alias("result")))
         bound = kept(of("attribute").select(F.col("scope").alias("class"), "name", "module", "target", "line", F.lit("").alias("scope")))
         self.attributes: DataFrame | None = None
-        own = None
         while True:  # an attribute may be bound to another one's attribute
             found = kept(self.walked(bound).where("type IS NOT NULL").groupBy("class", "name").agg(F.min_by("type", "line").alias("target")))
-            if own is not None and found.exceptAll(own).isEmpty():
+            if self.attributes is not None and found.exceptAll(self.attributes).isEmpty():
                 break
-            own, self.attributes = found, kept(self.members(found, False))
+            first, self.attributes = self.attributes is None, found
+            later = bound.select(F.explode(F.slice(F.split("target", r"\."), 2, 1_000_000)).alias("part")).select(F.regexp_replace("part", r"\(\)$", "").alias("name"))
+            if first and later.join(found.select("name").distinct(), "name", "left_semi").isEmpty():
+                break  # no binding names an attribute
 
     def passed_on(self) -> DataFrame:
         """(alias, symbol): names that a module only imports, with what they stand for, however often they were passed on.
@@ -99,29 +87,71 @@ class Repository:
         named = rooted.withColumn("type", F.concat(F.col("root"), F.substr("target", F.length("head") + 1))).drop("head", "root")
         return self.final(named, "type").join(self.classes.select(F.col("symbol").alias("type")), "type", "left_semi")
 
-    def members(self, defined: DataFrame, interfaces: bool) -> DataFrame:
-        """(class, name, target): the members of all classes, given those they define (class, name, target): their own, unless
-        it is an interface's method; the nearest ancestor's; the only one of their descendants; their own."""
-        ways = self.lineage.select("class", "ancestor", "depth", "way")
-        self_ = self.classes.select(F.col("symbol").alias("class"), F.col("symbol").alias("ancestor"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("way"))
-        above = ways.union(self_).join(defined.withColumnRenamed("class", "ancestor"), "ancestor")
-        nearest = kept(above.groupBy("class", "name").agg(F.min_by("target", F.struct("depth", "way")).alias("nearest"), F.min_by("target", F.when(F.col("depth") > 0, F.struct("depth", "way"))).alias("inherited"), F.bool_or(F.col("depth") == 0).alias("is_own"), F.max(F.when(F.col("depth") > 0, 1)).alias("has_above")))
-        heirs = self.lineage.select(F.col("ancestor").alias("class"), F.col("class").alias("heir"))
-        below = heirs.join(nearest.select(F.col("class").alias("heir"), "name", "nearest"), "heir").groupBy("class", "name").agg(F.min("nearest").alias("under"), F.max("nearest").alias("last_under"))
-        out = nearest.join(below, ["class", "name"], "full").join(self.classes.select(F.col("symbol").alias("class"), "interface"), "class")
-        only = F.when(F.col("under") == F.col("last_under"), F.col("under"))
-        weak = F.coalesce("is_own", F.lit(False)) & F.col("interface") & F.lit(interfaces)
-        above_ = F.when(F.col("has_above") == 1, F.when(F.col("is_own"), F.col("inherited")).otherwise(F.col("nearest")))
-        target = F.when(weak, F.coalesce(above_, only, "nearest")).otherwise(F.coalesce("nearest", only))
-        return out.select("class", "name", target.alias("target")).where("target IS NOT NULL")
-
-    def called(self, methods: DataFrame) -> DataFrame:
-        """(symbol, callee): the function that a symbol means: a member of a class by its name there, a class's constructor,
-        or a function itself."""
-        by_class = methods.select(F.concat_ws(".", "class", "name").alias("symbol"), F.col("target").alias("callee"), F.lit(0).alias("later"))
-        made = methods.where("name = '__init__'").select(F.col("class").alias("symbol"), F.col("target").alias("callee"), F.lit(0).alias("later"))
+    def nearest(self, asked: DataFrame, defined: DataFrame) -> DataFrame:
+        """(class, name, target): those asked (class, name) that an ancestor defines, the nearest one; of one depth the first
+        by the positions of the bases. All go up one base a round, until they are found."""
+        here = defined.select(F.col("class").alias("ancestor"), "name", "target")
+        hit = F.max(F.col("target").isNotNull()).over(Window.partitionBy("class", "name"))
+        at = lambda rows: kept(rows.join(here, ["ancestor", "name"], "left").select("class", "name", "ancestor", "way", "target", hit.alias("hit")))
+        frontier = at(asked.join(self.arcs, "class").groupBy("class", "name", F.col("base").alias("ancestor")).agg(F.array(F.min("position")).alias("way")))
+        met, seen = [], None
+        while True:
+            met.append(frontier.where("target IS NOT NULL").groupBy("class", "name").agg(F.min_by("target", "way").alias("target")))
+            still = frontier.where("NOT hit")
+            if still.isEmpty():
+                return reduce(DataFrame.union, met)
+            seen = still if seen is None else seen.union(still)
+            new = still.join(self.arcs.select(F.col("class").alias("ancestor"), F.col("base").alias("next"), "position"), "ancestor").where("class <> next")
+            new = new.groupBy("class", "name", F.col("next").alias("ancestor")).agg(F.min(F.concat("way", F.array("position"))).alias("way"))
+            frontier = at(new.join(seen.select("class", "name", "ancestor"), ["class", "name", "ancestor"], "left_anti"))
+
+    def heirs(self, classes: DataFrame) -> DataFrame:
+        """(class, heir): all classes that descend from those (class)."""
+        down = self.arcs.select(F.col("base").alias("heir"), F.col("class").alias("next")).distinct()
+        seen = frontier = kept(classes.join(down, classes["class"] == down["heir"]).select("class", F.col("next").alias("heir")))
+        while not frontier.isEmpty():
+            new = frontier.join(down, "heir").where("class <> next").select("class", F.col("next").alias("heir")).distinct()
+            frontier = kept(new.join(seen, ["class", "heir"], "left_anti"))
+            seen = seen.union(frontier)
+        return seen
+
+    def members(self, asked: DataFrame, defined: DataFrame, interfaces: bool) -> DataFrame:
+        """(class, name, target): what asked (class, name) mean, given the members that classes define: their own, unless it
+        is an interface's method; the nearest ancestor's; the only one of their descendants; their own."""
+        key = ["class", "name"]
+        names = defined.select("name").distinct()
+        asked = kept(asked.join(names, "name", "left_semi").distinct().join(self.classes.select(F.col("symbol").alias("class"), (F.col("interface") & F.lit(interfaces)).alias("weak")), "class"))
+        if asked.isEmpty():
+            return defined.limit(0).select(*key, "target")
+        own = kept(asked.join(defined, key).select(*key, "target", "weak"))
+        done = own.where("NOT weak").select(*key, "target")
+        open_ = kept(asked.select(*key).join(done, key, "left_anti"))
+        if open_.isEmpty():
+            return done
+        done = done.union(kept(self.nearest(open_, defined)))
+        left = kept(open_.join(done, key, "left_anti"))
+        if left.isEmpty():
+            return done
+        pairs = kept(left.join(self.heirs(left.select("class").distinct()), "class"))
+        theirs = pairs.select(F.col("heir").alias("class"), "name").distinct()
+        held = kept(theirs.join(defined, key).select(*key, "target"))
+        held = held.union(kept(self.nearest(theirs.join(held, key, "left_anti"), defined)))
+        under = pairs.join(held.withColumnRenamed("class", "heir"), ["heir", "name"]).groupBy(*key).agg(F.min("target").alias("target"), F.max("target").alias("last"))
+        under = kept(under.where("target = last").select(*key, "target"))
+        weak = own.where("weak").select(*key, "target").join(left, key, "left_semi").join(under, key, "left_anti")
+        return done.union(under).union(weak)
+
+    def callees(self, symbols: DataFrame) -> DataFrame:
+        """(symbol, callee): the function that those symbols mean: a member of a class by its name there, a class's
+        constructor, or a function itself."""
+        asked = symbols.select(_FRONT(F.col("symbol")).alias("class"), _LAST(F.col("symbol")).alias("name"))
+        asked = asked.union(symbols.select(F.col("symbol").alias("class"), F.lit("__init__").alias("name")))
+        found = self.members(asked, self.methods, True)
+        by_class = found.select(F.concat_ws(".", "class", "name").alias("symbol"), F.col("target").alias("callee"), F.lit(0).alias("later"))
+        made = found.where("name = '__init__'").select(F.col("class").alias("symbol"), F.col("target").alias("callee"), F.lit(0).alias("later"))
         plain = self.functions.select("symbol", F.col("symbol").alias("callee"), F.lit(1).alias("later"))
-        return kept(by_class.union(made).union(plain).groupBy("symbol").agg(F.min_by("callee", "later").alias("callee")))
+        every = by_class.union(made).union(plain).join(symbols, "symbol", "left_semi")
+        return every.groupBy("symbol").agg(F.min(F.struct("later", "callee"))["callee"].alias("callee"))
 
     def walked(self, rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
         """Rows (module, class, scope, target: a chain) with ``symbol``, what the chain reaches, and ``type``, the class of
@@ -140,24 +170,32 @@ class Repository:
         own = F.col("head").isin("self", "cls") & (F.col("class") != "")
         # _value: the symbol is the class of a value, not a name
         rows = rows.withColumn("symbol", F.when(own, F.col("class")).otherwise(F.coalesce("_local", "root"))).withColumn("_value", own | F.col("_local").isNotNull())
-        state = kept(self.given(self.final(rows.drop("head", "root", "_local"), "symbol"), called(F.lit(0))))
+        state = self.given(kept(self.final(rows.drop("head", "root", "_local"), "symbol")), called(F.lit(0)))
         for at in range(1, rounds):
             open_ = F.col("symbol").isNotNull() & (F.size("_parts") > at)
             going = state.where(open_).withColumn("_name", bare(F.lit(at)))
             if self.attributes is None:
                 going = going.withColumn("_to", F.lit(None).cast("string"))
             else:
-                going = going.join(self.attributes.select(F.col("class").alias("symbol"), F.col("name").alias("_name"), F.col("target").alias("_to")), ["symbol", "_name"], "left")
+                found = self.members(going.select(F.col("symbol").alias("class"), F.col("_name").alias("name")), self.attributes, False)
+                going = going.join(found.select(F.col("class").alias("symbol"), F.col("name").alias("_name"), F.col("target").alias("_to")), ["symbol", "_name"], "left")
             going = going.withColumn("symbol", F.coalesce("_to", F.concat_ws(".", "symbol", "_name"))).withColumn("_value", F.col("_to").isNotNull())
-            going = self.given(self.final(going.select(*state.columns), "symbol"), called(F.lit(at)))
+            going = self.given(kept(self.final(going.select(*state.columns), "symbol")), called(F.lit(at)))
             state = kept(state.where(~open_).unionByName(going))
         out = state.join(self.classes.select("symbol", F.lit(True).alias("_class")), "symbol", "left").withColumn("type", F.when(F.col("_class") & F.col("_value"), F.col("symbol")))
         return out.select(*names, "symbol", "type")
 
     def given(self, state: DataFrame, called: Column) -> DataFrame:
         """States after a call: a class gives a value of it, a function or method one of its result type."""
-        out = state.join(self.results, "symbol", "left").withColumn("_made", called & ~F.col("_value"))
-        return out.withColumn("symbol", F.when(F.col("_made"), F.col("result")).otherwise(F.col("symbol"))).withColumn("_value", F.col("_value") | F.col("_made")).select(*state.columns)
+        out = state.withColumn("_made", F.col("symbol").isNotNull() & called & ~F.col("_value"))
+        asked = kept(out.where("_made").select("symbol").distinct())
+        if asked.isEmpty():
+            return state
+        classes = self.classes.select("symbol").join(asked, "symbol", "left_semi")
+        results = self.callees(kept(asked.join(classes, "symbol", "left_anti"))).join(self.returns, "callee").select("symbol", "result")
+        out = out.join(kept(results.union(classes.select("symbol", F.col("symbol").alias("result")))), "symbol", "left")
+        out = out.withColumn("symbol", F.when(F.col("_made"), F.col("result")).otherwise(F.col("symbol"))).withColumn("_value", F.col("_value") | F.col("_made"))
+        return kept(out.select(*state.columns))
 
     def locals(self) -> DataFrame:
         """(scope, name, type): local variables whose last binding can be followed, to a fixpoint, as a binding may begin
@@ -169,6 +207,9 @@ class Repository:
             found = kept(self.walked(bound, known).where("type IS NOT NULL").select("scope", "name", "type"))
             if known is not None and found.exceptAll(known).isEmpty():
                 return found
+            heads = bound.select("scope", F.regexp_replace(F.substring_index("target", ".", 1), r"\(\)$", "").alias("name"))
+            if known is None and heads.join(found, ["scope", "name"], "left_semi").isEmpty():
+                return found  # no binding begins with a variable
             known = found
 
 
@@ -177,7 +218,8 @@ def repo_calls(facts: DataFrame) -> DataFrame:
     names (or the chain itself) and the function of the repository that it calls, if it is one."""
     repo = Repository(facts)
     calls = repo.facts.where("kind IN ('call', 'context')").select("module", "scope", F.col("name").alias("class"), "target").distinct()
-    out = repo.walked(calls, repo.locals()).join(repo.callees, "symbol", "left")
+    reached = kept(repo.walked(calls, repo.locals()))
+    out = reached.join(repo.callees(kept(reached.where("symbol IS NOT NULL").select("symbol").distinct())), "symbol", "left")
     return out.select(F.col("scope").alias("src"), F.col("target").alias("chain"), "callee", F.coalesce("symbol", "target").alias("reached")).distinct()
 
 

@@ -61,8 +61,9 @@ def diagram_arrows(spark, d):
 
 
 def _repository(spark, d):
-    """A Python file a part, each of which descends from, imports and calls others, by its key."""
-    p = A.table(spark, d, "part")
+    """A Python file a part, each of which descends from, imports and calls others, by its key. The parts are dealt out, as
+    a file of few bytes stands for texts that take long to parse."""
+    p = A.table(spark, d, "part").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
     k = lambda c: F.greatest(F.lit(1), F.floor(c)).cast("long").cast("string")
     key = F.col("p_partkey") + 1
     me, up, store, maker = k(key), k(key / 2), k(key / 3), k(key / 5)

@@ -1,5 +1,6 @@
 """Cross-file resolution, scans of functions, query fragments and domain rules against cases told by hand."""
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +151,21 @@ def test_module_names(spark):
     paths = [("src/a/b.py", "a.b"), ("./a-b/__init__.py", "a_b"), ("", "module"), ("x\\y.py", "x.y")]
     got = spark.createDataFrame(paths, "path string, want string").select(parsers.module_of(F.col("path")).alias("got"), "want").collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_inherited_members_are_looked_up_on_demand(spark, monkeypatch):
+    """No table has all members of all classes, which for a chain of classes would be its square."""
+    n = 40
+    text = "class C0:\n    def run0(self): pass\n" + "".join(f"class C{i}(C{i - 1}):\n    def run{i}(self):\n        self.run{i - 1}()\n" for i in range(1, n))
+    facts = parsers.repo_facts(spark.createDataFrame([("a", "a.py", text)], "source_id string, path string, text string"))
+    sizes, kept = [], repo.kept
+
+    def counted(df):
+        out = kept(df)
+        sizes.append(sum(pq.read_metadata(f.removeprefix("file://")).num_rows for f in out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(repo, "kept", counted)
+    found = {(r.src, r.callee) for r in repo.repo_calls(facts).collect()}
+    assert found == {(f"a.C{i}.run{i}", f"a.C{i - 1}.run{i - 1}") for i in range(1, n)}
+    assert max(sizes) == sizes[0] < n * 6
