@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +153,21 @@ def test_streamed_deltas_match_batch(spark, sf_dir, tmp_path):
     key = lambda df: sorted((r[0], r[1]) for r in df.collect())
     assert key(out.where("batch = 0").groupBy("delta_change_type").count()) == [("new_identity", 150)]
     assert sum(n for _, n in key(out.where("batch = 1").groupBy("delta_change_type").count())) == sum(n for _, n in key(want))
+
+
+def test_similar_pairs_meet_without_an_exchange(spark):
+    """All pairs against brute force, with vectors of unlike lengths, repeated ids, nulls and zero vectors; blocks are read
+    from where they were written, not dealt out for each pair."""
+    rng = np.random.default_rng(3)
+    rows = [(i % 55, "abc"[i % 3] if i % 11 else None, "XyxY"[i % 4], [float(x) for x in rng.normal(size=3) + 0.4] + [0.5] * (i % 2)) for i in range(60)] + [(90, "a", "x", [0.0, 0.0, 0.0]), (91, "a", "x", None), (92, "a", "x", [])]
+    got = R.similar_pairs(spark.createDataFrame(rows, "id long, source string, value string, vector array<double>"), block=8)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    want = []
+    for k, (a, s, v, x) in enumerate(rows[:60]):
+        for b, s2, v2, y in rows[:k]:
+            n = min(len(x), len(y))
+            cosine = sum(p * q for p, q in zip(x[:n], y[:n])) / (sum(p * p for p in x) * sum(q * q for q in y)) ** 0.5
+            if a != b and s != s2 and v.lower() != v2.lower() and cosine >= 0.7:
+                want.append((min(a, b), max(a, b), round(cosine, 9), "high" if cosine >= 0.85 else "medium"))
+    assert len(want) > 50 and sorted((r[0], r[1], round(r[2], 9), r[3]) for r in got.collect()) == sorted(want)
