@@ -171,3 +171,19 @@ def test_similar_pairs_meet_without_an_exchange(spark):
             if a != b and s != s2 and v.lower() != v2.lower() and cosine >= 0.7:
                 want.append((min(a, b), max(a, b), round(cosine, 9), "high" if cosine >= 0.85 else "medium"))
     assert len(want) > 50 and sorted((r[0], r[1], round(r[2], 9), r[3]) for r in got.collect()) == sorted(want)
+
+
+def test_segments_are_not_broadcast(spark):
+    """However small their file: on the driver they would be many times as large. Repeated ids, nulls and lines in falling
+    order give what they gave."""
+    shape = "source_id string, segment_id long, anchor string, section_path string, line_start int, line_end int, words array<string>"
+    seg = spark.createDataFrame([("s", 1, "a", "x", 5, 3, ["p", "q"]), ("s", 2, "a", "x", None, 2, None), ("t", 3, None, None, 1, 1, ["q", "q", "r"]), ("s", 4, "b", "y", 1, 9, ["p", "r", "z"])], shape)
+    shape = "source_id string, claim_id string, anchor string, section_path string, line int, words array<string>"
+    claim = spark.createDataFrame([("s", "c1", "a", "y", 4, ["p"]), ("s", "c2", "n", "n", 99, ["p", "q", "r"]), ("s", "c3", None, "x", 1, None), ("t", "c4", "n", "n", 9, ["r", "q", "q"]), (None, "c5", "a", "x", 1, ["p"])], shape)
+    got = R.claim_segment_links(seg, claim)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {("c1", 1, 1.0), ("c1", 2, 1.0), ("c1", 4, 0.96), ("c2", 1, 0.9), ("c2", 4, 0.9), ("c3", 1, 0.96), ("c3", 2, 0.96), ("c3", 4, 0.96), ("c4", 3, 0.9)}
+    found = sorted((r.claim_id, r.segment_id, r.score) for r in got.collect())
+    assert found == sorted(want)
+    twice = sorted((r.claim_id, r.segment_id, r.score) for r in R.claim_segment_links(seg, claim.union(claim.where("claim_id IN ('c1', 'c3')"))).collect())
+    assert twice == found
