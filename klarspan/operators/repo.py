@@ -272,5 +272,5 @@ def inherited_profile(calls: DataFrame, profile: DataFrame, depth: int | None =
         new = frontier.join(arcs, "src").select(F.col("caller").alias("src"), "kind", "name", F.lit(hops).alias("hops"), F.concat_ws(" -> ", "caller", "path").alias("path"))
         new = new.groupBy("src", "kind", "name", "hops").agg(F.min("path").alias("path")).join(seen.select("src", "kind", "name"), ["src", "kind", "name"], "left_anti")
         frontier = kept(new)
-        seen = kept(seen.union(frontier))
+        seen = seen.union(frontier)  # each round is written once
     return seen
